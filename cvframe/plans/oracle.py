@@ -139,3 +139,30 @@ def macro_cte(conf: str = "conf", name: str = "prf") -> str:
     {m(r('tp', 'tp + fn'), r('tn', 'tn + fp'))} AS recall,
     {m(r('2 * tp', '2 * tp + fp + fn'), r('2 * tn', '2 * tn + fn + fp'))} AS macro_f1
   FROM {conf})"""
+
+
+def tokens_cte(src: str = "corpus", name: str = "toks") -> str:
+    from cvframe.functions.text import STRIP_PATTERN, TOKEN_PATTERN
+
+    return (f"{name} AS (SELECT post_id, regexp_extract_all(regexp_replace(post_text, '{STRIP_PATTERN}', '', 'g'), "
+            f"'{TOKEN_PATTERN}') AS tokens FROM {src})")
+
+
+def vocab_cte(size: int, toks: str = "toks", name: str = "vocab") -> str:
+    return f"""vcount AS (SELECT t AS token, count(*) AS n FROM (SELECT unnest(tokens) AS t FROM {toks}) GROUP BY t),
+{name} AS (SELECT token, CAST(rk + 1 AS INTEGER) AS id
+  FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rk FROM vcount) WHERE rk <= {size})"""
+
+
+def encode_cte(max_len: int, toks: str = "toks", vocab: str = "vocab", name: str = "enc") -> str:
+    return f"""flat AS (SELECT post_id, unnest(tokens[1:{max_len}]) AS token,
+                 generate_subscripts(tokens[1:{max_len}], 1) AS pos FROM {toks}),
+enc0 AS (SELECT post_id, list(coalesce(v.id, 1) ORDER BY pos) AS ids FROM flat LEFT JOIN {vocab} v USING (token)
+         GROUP BY post_id),
+{name} AS (SELECT t.post_id, coalesce(e.ids, CAST([] AS INTEGER[])) AS ids FROM {toks} t LEFT JOIN enc0 e USING (post_id))"""
+
+
+def batches_cte(src: str = "corpus", name: str = "batches", seed: str = "batches", size: int = 16) -> str:
+    return f"""{name} AS (SELECT post_id, CAST(pos // {size} AS BIGINT) AS batch_id, CAST(pos % {size} AS INTEGER) AS slot
+  FROM (SELECT post_id, row_number() OVER (ORDER BY md5('{seed}:' || CAST(post_id AS VARCHAR)), post_id) - 1 AS pos
+        FROM {src}))"""

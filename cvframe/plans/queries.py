@@ -168,3 +168,125 @@ SELECT CAST(row_number() OVER (ORDER BY mean_f1 DESC, approach) AS INTEGER) AS r
 @register("cv_evaluate", _cv_evaluate_sql())
 def q_cv_evaluate(spark, sf):
     return cv_evaluate(fx.preds(spark, sf), _gold(spark, sf), _splits(spark, sf))
+
+
+# --------------------------------------------------------------------------- text
+from cvframe.functions.text import STRIP_PATTERN  # noqa: E402
+from cvframe.operators import text as T  # noqa: E402
+
+VOCAB_SIZE = 5000
+MAX_LEN = 512
+SHUFFLE_SEED = 42
+WITH_TOKS = "WITH " + O.corpus_cte() + ",\n" + O.tokens_cte() + "\n"
+
+
+def _toks(spark, sf):
+    return T.tokens_col(fx.corpus(spark, sf).select("post_id", "post_text"), "post_text").select("post_id", "tokens")
+
+
+def _ids_str(c):
+    return F.array_join(F.col(c).cast("array<string>"), ",")
+
+
+@register(
+    "strip_text",
+    "WITH " + O.corpus_cte() + f"\nSELECT post_id, regexp_replace(post_text, '{STRIP_PATTERN}', '', 'g') AS text FROM corpus",
+)
+def q_strip_text(spark, sf):
+    c = fx.corpus(spark, sf).select("post_id", "post_text")
+    return T.strip_col(c, "post_text", "text").select("post_id", "text")
+
+
+@register(
+    "tokenize_words",
+    WITH_TOKS + "SELECT post_id, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, ' ') AS tokens "
+    "FROM toks",
+)
+def q_tokenize(spark, sf):
+    t = _toks(spark, sf)
+    return t.select("post_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@register(
+    "shuffle_tokens",
+    WITH_TOKS + f"""SELECT post_id, array_to_string(list_transform(list_sort(list_transform(tokens,
+    lambda t, i: {{'h': md5('{SHUFFLE_SEED}:' || CAST(post_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)),
+                  'p': i - 1, 't': t}})), lambda x: x.t), ' ') AS text FROM toks""",
+)
+def q_shuffle_tokens(spark, sf):
+    c = fx.corpus(spark, sf).select("post_id", "post_text")
+    return T.shuffle_text(c, "post_text", SHUFFLE_SEED, out="text").select("post_id", "text")
+
+
+@register(
+    "truncate_tokens",
+    WITH_TOKS + f"SELECT post_id, CAST(len(tokens[1:{MAX_LEN}]) AS INTEGER) AS n_tokens, "
+    f"array_to_string(tokens[1:{MAX_LEN}], ' ') AS tokens FROM toks",
+)
+def q_truncate(spark, sf):
+    t = _toks(spark, sf).select("post_id", T.truncate(F.col("tokens"), MAX_LEN).alias("tokens"))
+    return t.select("post_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+def _encoded(spark, sf):
+    t = _toks(spark, sf)
+    vocab = T.build_vocab(t, size=VOCAB_SIZE)
+    return T.encode(t.select("post_id", T.truncate(F.col("tokens"), MAX_LEN).alias("tokens")), vocab,
+                    vocab_size=VOCAB_SIZE)
+
+
+WITH_ENC = WITH_TOKS.rstrip() + ",\n" + O.vocab_cte(VOCAB_SIZE) + ",\n" + O.encode_cte(MAX_LEN) + "\n"
+
+
+@register(
+    "encode_ids",
+    WITH_ENC + "SELECT post_id, CAST(len(ids) AS INTEGER) AS n_ids, array_to_string(ids, ',') AS ids FROM enc",
+)
+def q_encode(spark, sf):
+    e = _encoded(spark, sf)
+    return e.select("post_id", F.size("ids").alias("n_ids"), _ids_str("ids").alias("ids"))
+
+
+@register(
+    "attention_mask",
+    WITH_ENC + "SELECT post_id, array_to_string(list_transform(ids, lambda x: 1), ',') AS attention_mask FROM enc",
+)
+def q_attention_mask(spark, sf):
+    e = _encoded(spark, sf).withColumn("attention_mask", T.attention_mask(F.col("ids")))
+    return e.select("post_id", _ids_str("attention_mask").alias("attention_mask"))
+
+
+@register("make_batches", "WITH " + O.corpus_cte() + ",\n" + O.batches_cte() + "\nSELECT * FROM batches")
+def q_make_batches(spark, sf):
+    return T.make_batches(fx.gold(spark, sf).select("post_id"))
+
+
+@register(
+    "pad_batches",
+    WITH_ENC.rstrip() + ",\n" + O.batches_cte() + """,
+j AS (SELECT e.post_id, b.batch_id, b.slot, e.ids, len(e.ids) AS n,
+             max(len(e.ids)) OVER (PARTITION BY b.batch_id) AS m FROM enc e JOIN batches b USING (post_id))
+SELECT post_id, batch_id, slot,
+       array_to_string(list_concat(ids, list_transform(range(m - n), lambda x: 0)), ',') AS ids,
+       array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(m - n), lambda x: 0)), ',')
+         AS attention_mask
+FROM j""",
+)
+def q_pad_batches(spark, sf):
+    e = _encoded(spark, sf)
+    b = T.make_batches(e.select("post_id")).join(e, "post_id")
+    p = T.pad_batches(b)
+    return p.select("post_id", "batch_id", "slot", _ids_str("ids").alias("ids"),
+                    _ids_str("attention_mask").alias("attention_mask"))
+
+
+@register(
+    "pack_labels",
+    "WITH " + O.corpus_cte() + "\nSELECT post_id, appropriateness AS label, array_to_string(["
+    + ", ".join(f"CAST({c} AS DOUBLE)" for c in L) + "], ',') AS labels FROM corpus",
+)
+def q_pack_labels(spark, sf):
+    g = fx.gold(spark, sf)
+    b = T.pack_labels(g, L, "binary", "label")
+    m = T.pack_labels(b, L, "multilabel", "labels")
+    return m.select("post_id", "label", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
