@@ -10,7 +10,7 @@ from cvframe.plans import fixtures as fx
 from cvframe.plans import oracle as O
 from cvframe.plans.evaluate import cv_evaluate, leaderboard_from_metrics, per_label_metrics
 from cvframe.plans.registry import register
-from cvframe.schema import LABEL_COLS
+from cvframe.schema import LABEL_COLS, TREE
 
 L = LABEL_COLS
 
@@ -290,3 +290,151 @@ def q_pack_labels(spark, sf):
     b = T.pack_labels(g, L, "binary", "label")
     m = T.pack_labels(b, L, "multilabel", "labels")
     return m.select("post_id", "label", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+# --------------------------------------------------------------------------- weights and losses
+from cvframe.operators import scoring as G  # noqa: E402
+from cvframe.operators import weights as W  # noqa: E402
+
+
+def _pos_weights_sql_body() -> str:
+    parts = [
+        f"SELECT repeat, fold, '{d}' AS dim, CAST(sum({d}) AS BIGINT) AS n_pos, CAST(count(*) - sum({d}) AS BIGINT) AS n_neg "
+        f"FROM splits JOIN corpus USING (post_id) WHERE split = 'TRAIN' GROUP BY repeat, fold"
+        for d in L
+    ]
+    return ("cnt AS (" + " UNION ALL ".join(parts) + "),\n"
+            "pw AS (SELECT *, CASE WHEN n_pos > 0 AND CAST(n_neg AS DOUBLE) / n_pos >= 1 "
+            "AND CAST(n_neg AS DOUBLE) / n_pos < 'inf'::DOUBLE THEN CAST(n_neg AS DOUBLE) / n_pos ELSE 1.0 END AS weight "
+            "FROM cnt)")
+
+
+@register("pos_weights", WITH_SPLITS.rstrip() + ",\n" + _pos_weights_sql_body() +
+          "\nSELECT repeat, fold, dim, n_pos, n_neg, round(weight, 6) AS weight FROM pw")
+def q_pos_weights(spark, sf):
+    w = W.pos_weights(_gold(spark, sf), _splits(spark, sf))
+    return w.withColumn("weight", F.round("weight", 6))
+
+
+def _loss_sql(kind: str) -> str:
+    body = WITH_SPLITS.rstrip() + ",\n" + O.preds_cte() + ",\n"
+    body += "tj AS (SELECT * FROM splits s JOIN corpus c USING (post_id) JOIN preds p USING (post_id) WHERE s.split = 'TEST')"
+    sp = "(greatest({x}, 0) + ln(1 + exp(-abs({x}))))"
+    if kind == "bce":
+        body += ",\n" + _pos_weights_sql_body()
+        terms = []
+        for k, d in enumerate(L):
+            x = f"logit_{k}"
+            terms.append(
+                f"SELECT approach, repeat, fold, (SELECT weight FROM pw WHERE pw.repeat = tj.repeat AND pw.fold = tj.fold "
+                f"AND pw.dim = '{d}') * {d} * {sp.format(x='-' + x)} + (1 - {d}) * {sp.format(x=x)} AS l FROM tj")
+        return body + "\nSELECT approach, repeat, fold, round(avg(l), 6) AS bce_loss FROM (" + \
+            " UNION ALL ".join(terms) + ") GROUP BY 1, 2, 3"
+    if kind == "ce":
+        return body + """
+SELECT approach, repeat, fold,
+  round(avg(greatest(-logit_0, logit_0) + ln(exp(-logit_0 - greatest(-logit_0, logit_0))
+        + exp(logit_0 - greatest(-logit_0, logit_0))) - CASE WHEN appropriateness = 1 THEN logit_0 ELSE -logit_0 END),
+        6) AS ce_loss
+FROM tj GROUP BY 1, 2, 3"""
+    terms = [f"SELECT approach, repeat, fold, (logit_{k} - {d}) * (logit_{k} - {d}) AS l FROM tj" for k, d in enumerate(L)]
+    return body + "\nSELECT approach, repeat, fold, round(avg(l), 6) AS mse_loss FROM (" + \
+        " UNION ALL ".join(terms) + ") GROUP BY 1, 2, 3"
+
+
+@register("bce_loss", _loss_sql("bce"))
+def q_bce(spark, sf):
+    g, s = _gold(spark, sf), _splits(spark, sf)
+    d = W.bce_loss(fx.preds(spark, sf), g, s, W.pos_weights(g, s))
+    return d.withColumn("bce_loss", F.round("bce_loss", 6))
+
+
+@register("cross_entropy", _loss_sql("ce"))
+def q_ce(spark, sf):
+    d = W.cross_entropy(fx.preds(spark, sf), _gold(spark, sf), _splits(spark, sf))
+    return d.withColumn("ce_loss", F.round("ce_loss", 6))
+
+
+@register("mse_loss", _loss_sql("mse"))
+def q_mse(spark, sf):
+    d = W.mse_loss(fx.preds(spark, sf), _gold(spark, sf), _splits(spark, sf))
+    return d.withColumn("mse_loss", F.round("mse_loss", 6))
+
+
+# --------------------------------------------------------------------------- scoring and repair
+EMB_DIM = 64
+# linear-head parameters of the synthetic scorer (a rule, not data)
+HEAD_COEF = [[((k + 1) * (j + 1) % 7 - 3) / 4.0 for j in range(EMB_DIM)] for k in range(len(L))]
+HEAD_BIAS = [(k - 7) / 10.0 for k in range(len(L))]
+
+
+def _linear_head_sql() -> str:
+    cols = []
+    for k in range(len(L)):
+        cols.append(
+            f"round(list_reduce(list_transform(embedding, lambda x, j: CAST(x AS DOUBLE) * "
+            f"((({k + 1} * j) % 7 - 3) / 4.0)), lambda a, b: a + b, CAST(0.0 AS DOUBLE)) + {HEAD_BIAS[k]!r}, 6) "
+            f"AS logit_{k}")
+    return "SELECT vec_id, " + ", ".join(cols) + " FROM embeddings"
+
+
+@register("linear_head", _linear_head_sql())
+def q_linear_head(spark, sf):
+    emb = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    d = G.score_linear(emb, "embedding", HEAD_COEF, HEAD_BIAS)
+    return d.select("vec_id", *[F.round(f"logit_{k}", 6).alias(f"logit_{k}") for k in range(len(L))])
+
+
+WITH_PREDS = "WITH " + O.corpus_cte() + ",\n" + O.preds_cte() + "\n"
+
+
+@register("sigmoid_probs", WITH_PREDS + "SELECT approach, post_id, " + ", ".join(
+    f"round(1.0 / (1.0 + exp(-logit_{k})), 6) AS prob_{d}" for k, d in enumerate(L)) + " FROM preds")
+def q_sigmoid(spark, sf):
+    p = G.probabilities(fx.preds(spark, sf))
+    return p.select("approach", "post_id", *[F.round(f"prob_{d}", 6).alias(f"prob_{d}") for d in L])
+
+
+@register("threshold_labels", WITH_PREDS.rstrip() + ",\n" + O.pred01_cte() + "\nSELECT * FROM p01")
+def q_threshold(spark, sf):
+    return G.thresholded(fx.preds(spark, sf))
+
+
+@register("argmax_label", WITH_PREDS + "SELECT approach, post_id, CASE WHEN logit_0 > -logit_0 THEN 1 ELSE 0 END "
+          "AS label FROM preds")
+def q_argmax(spark, sf):
+    return G.binary_label(fx.preds(spark, sf).select("approach", "post_id", "logit_0")).drop("logit_0")
+
+
+def _repair_sql(mode: str) -> str:
+    k = {d: i for i, d in enumerate(L)}
+    p = {d: f"(CASE WHEN logit_{k[d]} > 0 THEN 1 ELSE 0 END)" for d in L}
+    x = {d: f"logit_{k[d]}" for d in L}
+    root = "appropriateness"
+    cols = [f"{p[root]} AS pred_{root}"]
+    for parent, kids in TREE.items():
+        gate = f"({p[root]} = 1 AND {p[parent]} = 1)"
+        cols.append(f"CASE WHEN {gate} THEN 1 ELSE 0 END AS pred_{parent}")
+        none = " AND ".join(f"{p[c]} = 0" for c in kids)
+        if mode == "reference" and len(kids) == 3:
+            a, b, _ = kids
+            pick = {a: f"{x[a]} >= {x[b]}", b: f"{x[b]} > {x[a]}", kids[2]: "FALSE"}
+        else:
+            pick = {}
+            for j, c in enumerate(kids):
+                conds = [f"{x[c]} > {x[o]}" for o in kids[:j]] + [f"{x[c]} >= {x[o]}" for o in kids[j + 1:]]
+                pick[c] = " AND ".join(conds)
+        for c in kids:
+            cols.append(f"CASE WHEN NOT {gate} THEN 0 WHEN {none} THEN (CASE WHEN {pick[c]} THEN 1 ELSE 0 END) "
+                        f"ELSE {p[c]} END AS pred_{c}")
+    return WITH_PREDS + "SELECT approach, post_id, " + ", ".join(cols) + " FROM preds"
+
+
+@register("repair_hierarchy_ref", _repair_sql("reference"))
+def q_repair_ref(spark, sf):
+    return G.repair(fx.preds(spark, sf), "reference")
+
+
+@register("repair_hierarchy", _repair_sql("corrected"))
+def q_repair(spark, sf):
+    return G.repair(fx.preds(spark, sf), "corrected")
