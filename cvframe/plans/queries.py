@@ -438,3 +438,147 @@ def q_repair_ref(spark, sf):
 @register("repair_hierarchy", _repair_sql("corrected"))
 def q_repair(spark, sf):
     return G.repair(fx.preds(spark, sf), "corrected")
+
+
+# --------------------------------------------------------------------------- runs and reports
+from cvframe.operators import runs as R  # noqa: E402
+from cvframe.operators import stats as J  # noqa: E402
+
+RUN_METRICS = ["mean_F1", "even_macroF1", "even_precision", "coarse_macroF1"]
+HEADLINE = "mean_F1"
+WITH_RUNS = "WITH " + O.runs_cte() + "\n"
+_DEC2 = "CAST(CAST(CAST({x} AS DECIMAL(18,6)) AS DECIMAL(18,2)) AS {t})"
+
+
+def _runs(spark, sf):
+    return fx.runs(spark, sf)
+
+
+def _wide_means(spark, sf):
+    return R.pivot_runs(R.summarise(_runs(spark, sf), "mean"), RUN_METRICS)
+
+
+def _wide_sql(src: str = "runs") -> str:
+    cols = ", ".join(f"max(CASE WHEN metric = '{m}' THEN v END) AS {m}" for m in RUN_METRICS)
+    return f"wide AS (SELECT approach, {cols} FROM (SELECT approach, metric, avg(value) AS v FROM {src} " \
+           f"GROUP BY 1, 2) GROUP BY approach)"
+
+
+@register("mean_runs", WITH_RUNS + "SELECT approach, metric, round(avg(value), 6) AS value, count(*) AS n_runs "
+          "FROM runs GROUP BY 1, 2")
+def q_mean_runs(spark, sf):
+    return R.summarise(_runs(spark, sf), "mean").withColumn("value", F.round("value", 6))
+
+
+@register("std_runs", WITH_RUNS + "SELECT approach, metric, round(stddev_pop(value), 6) AS value, "
+          "count(*) AS n_runs FROM runs GROUP BY 1, 2")
+def q_std_runs(spark, sf):
+    return R.summarise(_runs(spark, sf), "std").withColumn("value", F.round("value", 6))
+
+
+@register("metric_filter", WITH_RUNS + "SELECT approach, repeat, fold, metric, round(value, 6) AS value FROM runs "
+          "WHERE metric LIKE '%F1%'")
+def q_metric_filter(spark, sf):
+    return R.f1_metrics(_runs(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+@register("pivot_runs", WITH_RUNS.rstrip() + ",\n" + _wide_sql() + "\nSELECT approach, " +
+          ", ".join(f"round({m}, 6) AS {m}" for m in RUN_METRICS) + " FROM wide")
+def q_pivot_runs(spark, sf):
+    w = _wide_means(spark, sf)
+    return w.select("approach", *[F.round(m, 6).alias(m) for m in RUN_METRICS])
+
+
+REPORT = ["approach", "mean_F1", "even_macroF1", "coarse_macroF1"]
+
+
+@register("metric_projection", WITH_RUNS.rstrip() + ",\n" + _wide_sql() + "\nSELECT approach, " +
+          ", ".join(f"round({m}, 6) AS {m}" for m in REPORT[1:]) + " FROM wide")
+def q_metric_projection(spark, sf):
+    w = R.report_columns(_wide_means(spark, sf), REPORT)
+    return w.select("approach", *[F.round(m, 6).alias(m) for m in REPORT[1:]])
+
+
+@register("leaderboard", WITH_RUNS.rstrip() + ",\n" + _wide_sql() + f"""
+SELECT CAST(row_number() OVER (ORDER BY {HEADLINE} DESC NULLS LAST, approach) AS INTEGER) AS rank, approach, """ +
+          ", ".join(f"round({m}, 4) AS {m}" for m in RUN_METRICS) + " FROM wide")
+def q_leaderboard(spark, sf):
+    return R.leaderboard(_wide_means(spark, sf), HEADLINE)
+
+
+@register("best_in_column", WITH_RUNS + f"""SELECT approach, metric, shown, shown = max(shown) OVER (PARTITION BY metric)
+  AS is_best FROM (SELECT approach, metric, {_DEC2.format(x='avg(value)', t='DOUBLE')} AS shown FROM runs GROUP BY 1, 2)""")
+def q_best_in_column(spark, sf):
+    return R.mark_best(R.summarise(_runs(spark, sf), "mean")).select("approach", "metric", "shown", "is_best")
+
+
+@register("latex_rows", WITH_RUNS.rstrip() + ",\n" + _wide_sql() + f"""
+SELECT CAST(row_number() OVER (ORDER BY {HEADLINE} DESC NULLS LAST, approach) AS INTEGER) AS rank,
+  replace(approach, '_', '\\_') || ' & ' || """ + " || ' & ' || ".join(
+    _DEC2.format(x=m, t="VARCHAR") for m in RUN_METRICS) + " || ' \\\\' AS line FROM wide")
+def q_latex_rows(spark, sf):
+    board = R.leaderboard(_wide_means(spark, sf), HEADLINE, digits=12)
+    return R.latex_lines(board, RUN_METRICS)
+
+
+@register("score_vectors", WITH_RUNS + "SELECT approach, metric, string_agg(CAST(CAST(value AS DECIMAL(18,6)) AS "
+          "VARCHAR), ',' ORDER BY repeat, fold) AS scores FROM runs GROUP BY 1, 2")
+def q_score_vectors(spark, sf):
+    v = R.score_vectors(_runs(spark, sf))
+    return v.select("approach", "metric", F.array_join(
+        F.transform("scores", lambda x: x.cast("decimal(18,6)").cast("string")), ",").alias("scores"))
+
+
+# --------------------------------------------------------------------------- significance
+_PAIRS_SQL = """pairs AS (SELECT a.metric, a.approach AS approach_a, b.approach AS approach_b, a.repeat, a.fold,
+  a.value AS value_a, b.value AS value_b FROM runs a JOIN runs b
+  ON a.metric = b.metric AND a.repeat = b.repeat AND a.fold = b.fold AND a.approach < b.approach)"""
+_RANKS_SQL = """nz AS (SELECT *, value_a - value_b AS d, abs(value_a - value_b) AS ad FROM pairs WHERE value_a <> value_b),
+ranked AS (SELECT *, CAST(2 * rank() OVER (PARTITION BY metric, approach_a, approach_b ORDER BY ad)
+  + count(*) OVER (PARTITION BY metric, approach_a, approach_b, ad) - 1 AS INTEGER) AS r2 FROM nz),
+grp AS (SELECT metric, approach_a, approach_b, count(*) AS n,
+  sum(CASE WHEN d > 0 THEN r2 ELSE 0 END) AS w2p, sum(CASE WHEN d < 0 THEN r2 ELSE 0 END) AS w2m,
+  CAST(sum(r2) AS BIGINT) AS s, list([r2] ORDER BY r2) AS ranks FROM ranked GROUP BY 1, 2, 3),
+allp AS (SELECT DISTINCT metric, approach_a, approach_b FROM pairs),
+sr AS (SELECT p.metric, p.approach_a, p.approach_b, CAST(coalesce(n, 0) AS BIGINT) AS n,
+  coalesce(w2p, 0) / 2.0 AS w_plus, coalesce(w2m, 0) / 2.0 AS w_minus,
+  least(coalesce(w2p, 0), coalesce(w2m, 0)) / 2.0 AS t_stat, s, ranks
+  FROM allp p LEFT JOIN grp g USING (metric, approach_a, approach_b)),
+dp AS (SELECT *, CASE WHEN n > 0 THEN list_reduce(ranks, lambda acc, x: list_transform(acc, lambda v, i:
+  v + CASE WHEN i - 1 >= x[1] THEN acc[i - x[1]] ELSE 0 END),
+  list_concat([CAST(1 AS BIGINT)], list_transform(range(s), lambda z: CAST(0 AS BIGINT)))) END AS acc FROM sr),
+wx AS (SELECT *, CASE WHEN n > 0 THEN least(1.0, 2.0 * list_sum(acc[1:CAST(t_stat * 2 AS INTEGER) + 1])
+  / pow(2.0, n)) END AS p_value FROM dp)"""
+WITH_F1_RUNS = WITH_RUNS.rstrip() + ",\nf1runs AS (SELECT * FROM runs WHERE metric LIKE '%F1%'),\n" + \
+    _PAIRS_SQL.replace("FROM runs a JOIN runs b", "FROM f1runs a JOIN f1runs b") + ",\n" + _RANKS_SQL + "\n"
+_SR_COLS = "metric, approach_a, approach_b, n, w_plus, w_minus, t_stat"
+
+
+def _f1_pairs(spark, sf):
+    return J.approach_pairs(R.f1_metrics(_runs(spark, sf)))
+
+
+@register("approach_pairs", WITH_RUNS.rstrip() + ",\n" + _PAIRS_SQL + """
+SELECT metric, approach_a, approach_b, repeat, fold, round(value_a, 6) AS value_a, round(value_b, 6) AS value_b
+FROM pairs""")
+def q_pairs(spark, sf):
+    p = J.approach_pairs(_runs(spark, sf))
+    return p.select("metric", "approach_a", "approach_b", "repeat", "fold", F.round("value_a", 6).alias("value_a"),
+                    F.round("value_b", 6).alias("value_b"))
+
+
+@register("signed_rank", WITH_F1_RUNS + f"SELECT {_SR_COLS} FROM sr")
+def q_signed_rank(spark, sf):
+    return J.signed_rank(_f1_pairs(spark, sf)).drop("_ranks")
+
+
+@register("wilcoxon_p", WITH_F1_RUNS + f"SELECT {_SR_COLS}, round(p_value, 9) AS p_value FROM wx")
+def q_wilcoxon(spark, sf):
+    return J.wilcoxon(_f1_pairs(spark, sf)).withColumn("p_value", F.round("p_value", 9))
+
+
+@register("significant_pairs", WITH_F1_RUNS + f"SELECT {_SR_COLS}, round(p_value, 9) AS p_value, "
+          "p_value <= 0.5 AS significant FROM wx")
+def q_significant(spark, sf):
+    t = J.significant_pairs(J.wilcoxon(_f1_pairs(spark, sf)), alpha=0.5)
+    return t.withColumn("p_value", F.round("p_value", 9))
