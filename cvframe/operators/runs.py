@@ -73,16 +73,21 @@ def latex_lines(board: DataFrame, cols: Sequence[str], key: str = "approach", or
     return board.select(F.col(order), F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("line"))
 
 
-def latex_table(lines: DataFrame, header: Sequence[str]) -> list[str]:
-    """Whole table text: header/footer plus the (tiny, sorted) body lines."""
+def latex_table(lines: DataFrame, header: Sequence[str]) -> DataFrame:
+    """Whole table text as ``(i, line)`` rows: header, body (in rank order),
+    footer.  The frame lines are constants; the body stays a DataFrame."""
+    spark = lines.sparkSession
     head = [
         r"\begin{tabular}{l" + "r" * (len(header) - 1) + "}",
         r"\toprule",
         " & ".join(h.replace("_", r"\_") for h in header) + r" \\",
         r"\midrule",
     ]
-    body = [r["line"] for r in lines.orderBy("rank").collect()]  # one row per approach
-    return head + body + [r"\bottomrule", r"\end{tabular}"]
+    foot = [r"\bottomrule", r"\end{tabular}"]
+    fixed = [(i, s) for i, s in enumerate(head)] + [(1_000_000 + i, s) for i, s in enumerate(foot)]
+    frame = spark.createDataFrame(fixed, "i int, line string")
+    body = lines.select((F.col("rank") + F.lit(len(head) - 1)).cast("int").alias("i"), "line")
+    return frame.unionByName(body)
 
 
 def score_vectors(runs: DataFrame) -> DataFrame:

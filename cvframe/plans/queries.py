@@ -582,3 +582,124 @@ def q_wilcoxon(spark, sf):
 def q_significant(spark, sf):
     t = J.significant_pairs(J.wilcoxon(_f1_pairs(spark, sf)), alpha=0.5)
     return t.withColumn("p_value", F.round("p_value", 9))
+
+
+# --------------------------------------------------------------------------- sources and sinks
+from cvframe.session import scratch_dir  # noqa: E402
+from cvframe.sources import corpus_io as C  # noqa: E402
+from cvframe.sources import runs_io as RIO  # noqa: E402
+
+_LAB = ", ".join(L)
+
+
+def _variants_sql() -> str:
+    ctes = ",\n".join(O.corpus_cte(v, f"c_{v}") for v in ("full", "majority", "conservative"))
+    sel = " UNION ALL ".join(f"SELECT '{v}' AS dataset_version, post_id, {_LAB} FROM c_{v}"
+                             for v in ("full", "majority", "conservative"))
+    return "WITH " + ctes + "\n" + sel
+
+
+def _variants(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", "source", "text")
+    return C.union_variants({v: fx.corpus_from_documents(docs, v) for v in ("full", "majority", "conservative")})
+
+
+@register("scan_corpus_csv", "WITH " + O.corpus_cte() + "\nSELECT * FROM corpus")
+def q_scan_corpus_csv(spark, sf):
+    path = scratch_dir(spark, "corpus-csv")
+    C.write_corpus_csv(fx.corpus(spark, sf), path)
+    return C.read_corpus(spark, path)
+
+
+@register("union_variants", _variants_sql())
+def q_union_variants(spark, sf):
+    return _variants(spark, sf).select("dataset_version", "post_id", *L)
+
+
+@register("sink_corpus", _variants_sql())
+def q_sink_corpus(spark, sf):
+    path = scratch_dir(spark, "corpus-parquet")
+    C.write_corpus(_variants(spark, sf).select("dataset_version", "post_id", *L), path)
+    return spark.read.parquet(path).select("dataset_version", "post_id", *L)
+
+
+def _wide_runs_sql() -> str:
+    cols = ", ".join(f"max(CASE WHEN metric = '{m}' THEN value END) AS eval_{m}" for m in RUN_METRICS)
+    return f"SELECT approach, repeat, fold, {cols} FROM runs GROUP BY 1, 2, 3"
+
+
+@register("scan_run_results", WITH_RUNS + "SELECT approach, repeat, fold, metric, round(value, 6) AS value FROM runs")
+def q_scan_runs(spark, sf):
+    wide = _runs(spark, sf).withColumn("metric", F.concat(F.lit("eval_"), "metric"))
+    wide = wide.groupBy("approach", "repeat", "fold").pivot("metric", [f"eval_{m}" for m in RUN_METRICS]) \
+        .agg(F.first("value"))
+    path = scratch_dir(spark, "runs-json")
+    RIO.write_runs(wide, path)
+    back = RIO.read_runs(spark, path)
+    return back.select("approach", "repeat", "fold", "metric", F.round("value", 6).alias("value"))
+
+
+@register("sink_run_results", _run_record_sql())
+def q_sink_runs(spark, sf):
+    rec = M.run_records(_per_label(spark, sf))
+    path = scratch_dir(spark, "run-records")
+    RIO.write_runs(rec, path)
+    back = RIO.read_runs_wide(spark, path).withColumn("approach", F.col("approach").cast("int"))
+    return back.select("approach", "repeat", "fold", *[F.round(c, 6).alias(c) for c in rec.columns[3:]])
+
+
+def _latex_sql() -> str:
+    header = ["approach", *RUN_METRICS]
+    head = [r"\begin{tabular}{l" + "r" * (len(header) - 1) + "}", r"\toprule",
+            " & ".join(h.replace("_", r"\_") for h in header) + r" \\", r"\midrule"]
+    fixed = " UNION ALL ".join(f"SELECT '{s}' AS line" for s in head + [r"\bottomrule", r"\end{tabular}"])
+    body = "replace(approach, '_', '\\_') || ' & ' || " + " || ' & ' || ".join(
+        _DEC2.format(x=m, t="VARCHAR") for m in RUN_METRICS) + " || ' \\\\'"
+    return WITH_RUNS.rstrip() + ",\n" + _wide_sql() + f"\n{fixed} UNION ALL SELECT {body} AS line FROM wide"
+
+
+@register("sink_latex", _latex_sql())
+def q_sink_latex(spark, sf):
+    board = R.leaderboard(_wide_means(spark, sf), HEADLINE, digits=12)
+    table = R.latex_table(R.latex_lines(board, RUN_METRICS), ["approach", *RUN_METRICS])
+    path = scratch_dir(spark, "latex")
+    RIO.write_latex(table, path)
+    return RIO.read_lines(spark, path)
+
+
+# --------------------------------------------------------------------------- reshapes
+@register("label_vector", "WITH " + O.corpus_cte() + "\nSELECT post_id, array_to_string([" + _LAB +
+          "], ',') AS labels FROM corpus")
+def q_label_vector(spark, sf):
+    v = C.label_vector(_gold(spark, sf))
+    return v.select("post_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+_OLD = {"intelligibility": "clarity", "intelligible_position": "clear_position",
+        "intelligible_relevance": "clear_relevance", "intelligible_organization": "clear_organization"}
+
+
+@register("rename_labels", "WITH " + O.corpus_cte() + "\nSELECT post_id, " + ", ".join(_OLD) + " FROM corpus")
+def q_rename_labels(spark, sf):
+    old = _gold(spark, sf).withColumnsRenamed(_OLD)  # the corpus as first published
+    return C.rename_labels(old).select("post_id", *_OLD)
+
+
+@register("arg_issue", "WITH " + O.corpus_cte() + "\nSELECT post_id, issue || ' ' || post_text AS arg_issue FROM corpus")
+def q_arg_issue(spark, sf):
+    return C.with_arg_issue(fx.corpus(spark, sf)).select("post_id", "arg_issue")
+
+
+@register("text_choice", "WITH " + O.corpus_cte() + "\nSELECT post_id, TRUE AS with_issue, issue || ' ' || post_text "
+          "AS text FROM corpus UNION ALL SELECT post_id, FALSE, post_text FROM corpus")
+def q_text_choice(spark, sf):
+    c = fx.corpus(spark, sf)
+    a = C.choose_text(c, True).select("post_id", F.lit(True).alias("with_issue"), "text")
+    b = C.choose_text(c, False).select("post_id", F.lit(False).alias("with_issue"), "text")
+    return a.unionByName(b)
+
+
+@register("melt_labels", "WITH " + O.corpus_cte() + "\n" + " UNION ALL ".join(
+    f"SELECT post_id, '{d}' AS dim, {d} AS y FROM corpus" for d in L))
+def q_melt(spark, sf):
+    return C.melt(_gold(spark, sf), ["post_id"])
