@@ -703,3 +703,75 @@ def q_text_choice(spark, sf):
     f"SELECT post_id, '{d}' AS dim, {d} AS y FROM corpus" for d in L))
 def q_melt(spark, sf):
     return C.melt(_gold(spark, sf), ["post_id"])
+
+
+# --------------------------------------------------------------------------- grid and baselines
+from cvframe.operators import grid as K  # noqa: E402
+
+ABLATION_NAMES = list(K.ABLATIONS)
+
+
+@register("cv_grid", WITH_SPLITS + "SELECT a.approach, s.* FROM (SELECT repeat, fold, "
+          "count(CASE WHEN split = 'TRAIN' THEN 1 END) AS n_train, count(CASE WHEN split = 'VALID' THEN 1 END) "
+          "AS n_valid, count(CASE WHEN split = 'TEST' THEN 1 END) AS n_test FROM splits GROUP BY 1, 2) s CROSS JOIN "
+          "(VALUES " + ", ".join(f"('{a}')" for a in ABLATION_NAMES) + ") a(approach)")
+def q_cv_grid(spark, sf):
+    return K.cv_grid(_splits(spark, sf), ABLATION_NAMES)
+
+
+def _ablation_sql() -> str:
+    from cvframe.functions.text import STRIP_PATTERN, TOKEN_PATTERN
+    def strip(x: str) -> str:
+        return "regexp_replace(" + x + ", '" + STRIP_PATTERN + "', '', 'g')"
+
+    arg = "issue || ' ' || post_text"
+    toks = f"regexp_extract_all({strip(arg)}, '{TOKEN_PATTERN}')"
+    shuf = (f"array_to_string(list_transform(list_sort(list_transform({toks}, lambda t, i: "
+            f"{{'h': md5('42:' || CAST(post_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)), 'p': i - 1, 't': t}})),"
+            f" lambda x: x.t), ' ')")
+    return ("WITH " + O.corpus_cte() + f"\nSELECT 'with_issue' AS approach, post_id, {strip(arg)} AS text "
+            f"FROM corpus UNION ALL SELECT 'wo_issue', post_id, {strip('post_text')} FROM corpus "
+            f"UNION ALL SELECT 'shuffle', post_id, {shuf} FROM corpus")
+
+
+@register("ablation_grid", _ablation_sql())
+def q_ablation_grid(spark, sf):
+    return K.ablations(fx.corpus(spark, sf), seed=42)
+
+
+def _baseline_sql(kind: str) -> str:
+    base = WITH_SPLITS.rstrip() + ",\n"
+    if kind == "majority":
+        base += "cnt AS (" + " UNION ALL ".join(
+            f"SELECT repeat, fold, '{d}' AS dim, sum({d}) AS n_pos, count(*) - sum({d}) AS n_neg FROM splits "
+            f"JOIN corpus USING (post_id) WHERE split = 'TRAIN' GROUP BY 1, 2" for d in L) + "),\n"
+        base += "maj AS (SELECT repeat, fold, dim, CASE WHEN n_pos > n_neg THEN 1 ELSE 0 END AS majority FROM cnt),\n"
+        pred = "(SELECT majority FROM maj m WHERE m.repeat = s.repeat AND m.fold = s.fold AND m.dim = '{d}')"
+    else:
+        pred = "CAST(('0x' || substr(md5('random:' || CAST(c.post_id AS VARCHAR) || ':{d}'), 1, 1))::INTEGER % 2 AS INTEGER)"
+    parts = [
+        f"SELECT repeat, fold, '{d}' AS dim, CAST(sum(c.{d} * p) AS BIGINT) AS tp, CAST(sum((1 - c.{d}) * p) AS BIGINT) AS fp,"
+        f" CAST(sum(c.{d} * (1 - p)) AS BIGINT) AS fn, CAST(sum((1 - c.{d}) * (1 - p)) AS BIGINT) AS tn FROM "
+        f"(SELECT s.repeat, s.fold, c.{d}, {pred.format(d=d)} AS p FROM splits s JOIN corpus c USING (post_id) "
+        f"WHERE s.split = 'TEST') c GROUP BY 1, 2" for d in L]
+    base += "conf AS (" + " UNION ALL ".join(parts) + "),\n" + O.macro_cte() + "\n"
+    out = "SELECT repeat, fold, dim, round(precision, 6) AS precision, round(recall, 6) AS recall, " \
+          "round(macro_f1, 6) AS macro_f1"
+    if kind == "majority":
+        return base + out + ", majority FROM prf JOIN maj USING (repeat, fold, dim)"
+    return base + out + " FROM prf"
+
+
+def _rounded(d):
+    return d.select(*[F.round(c, 6).alias(c) if c in ("precision", "recall", "macro_f1") else F.col(c)
+                      for c in d.columns])
+
+
+@register("majority_baseline", _baseline_sql("majority"))
+def q_majority(spark, sf):
+    return _rounded(K.majority_baseline(_gold(spark, sf), _splits(spark, sf)))
+
+
+@register("random_baseline", _baseline_sql("random"))
+def q_random(spark, sf):
+    return _rounded(K.random_baseline(_gold(spark, sf), _splits(spark, sf)))
