@@ -775,3 +775,67 @@ def q_majority(spark, sf):
 @register("random_baseline", _baseline_sql("random"))
 def q_random(spark, sf):
     return _rounded(K.random_baseline(_gold(spark, sf), _splits(spark, sf)))
+
+
+# --------------------------------------------------------------------------- training (rows-only checks)
+from cvframe.operators import training as TR  # noqa: E402
+
+TRAIN_DIMS = ["quality", "toxic"]
+TRAIN_CELL = (0, 0)
+
+
+def _labelled(spark, sf):
+    lt = fx.labelled_text(spark, sf).withColumnRenamed("doc_id", "post_id")
+    return C.with_arg_issue(lt.withColumnsRenamed({"source": "issue", "text": "post_text"}), "text")
+
+
+def _cell_parts(spark, sf):
+    lt = _labelled(spark, sf)
+    sp = S.assign_splits(lt.select("post_id", *TRAIN_DIMS), dims=TRAIN_DIMS)
+    r, f = TRAIN_CELL
+    parts = {}
+    for name in ("TRAIN", "VALID", "TEST"):
+        parts[name] = S.split_rows(lt, sp, r, f, name)
+    return lt, sp, parts
+
+
+@register("train_binary")
+def q_train_binary(spark, sf):
+    _, _, parts = _cell_parts(spark, sf)
+    fit = TR.fit_binary(parts["TRAIN"], parts["VALID"], "quality")
+    return TR.predict(fit.model, parts["TEST"], ["post_id", "quality"])
+
+
+@register("batch_predict")
+def q_batch_predict(spark, sf):
+    _, _, parts = _cell_parts(spark, sf)
+    fit = TR.fit_binary(parts["TRAIN"], parts["VALID"], "quality", reg_params=(0.1,))
+    v = TR.predict(fit.model, parts["VALID"], ["post_id"]).withColumn("split", F.lit("VALID"))
+    t = TR.predict(fit.model, parts["TEST"], ["post_id"]).withColumn("split", F.lit("TEST"))
+    return v.unionByName(t)
+
+
+@register("train_multilabel")
+def q_train_multilabel(spark, sf):
+    lt, sp, parts = _cell_parts(spark, sf)
+    r, f = TRAIN_CELL
+    w = W.pos_weights(lt.select("post_id", *TRAIN_DIMS), sp, TRAIN_DIMS) \
+        .filter((F.col("repeat") == r) & (F.col("fold") == f)).select("dim", "weight").collect()  # 1 row per label
+    fit = TR.fit_multilabel(parts["TRAIN"], TRAIN_DIMS, {x["dim"]: x["weight"] for x in w})
+    return TR.predict_multilabel(fit, parts["TEST"], ["post_id", *TRAIN_DIMS])
+
+
+# --------------------------------------------------------------------------- streaming
+from cvframe.streaming import leaderboard as ST  # noqa: E402
+
+
+@register("stream_mean_runs", WITH_RUNS + "SELECT approach, metric, round(avg(value), 6) AS value, count(*) AS n_runs "
+          "FROM runs GROUP BY 1, 2")
+def q_stream_mean_runs(spark, sf):
+    wide = _runs(spark, sf).withColumn("metric", F.concat(F.lit("eval_"), "metric"))
+    wide = wide.groupBy("approach", "repeat", "fold").pivot("metric", [f"eval_{m}" for m in RUN_METRICS]) \
+        .agg(F.first("value"))
+    root = scratch_dir(spark, "runs-stream-src")
+    RIO.write_runs(wide, root)
+    table = ST.run_until_caught_up(spark, root, ST.run_record_schema(RUN_METRICS))
+    return spark.read.parquet(table).withColumn("value", F.round("value", 6))
