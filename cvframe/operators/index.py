@@ -64,7 +64,10 @@ def ordered_index(
     w = Window.partitionBy(*keys).orderBy(hash_col, id_col)
     ranked = d.withColumn("_rn", F.row_number().over(w) - F.lit(1))
     return (
-        ranked.join(offsets, keys)
+        # left join: every row's bucket is in the count table, and an inner
+        # join would make Catalyst add IsNotNull filters to this branch only,
+        # which stops the shared scan below from being reused by the counts
+        ranked.join(offsets, keys, "left")
         .withColumn(out_col, (F.col("_off") + F.col("_rn")).cast("bigint"))
         .drop("_off", "_rn", BUCKET_COL)
     )

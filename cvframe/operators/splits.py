@@ -137,7 +137,7 @@ def assign_splits(
         (F.row_number().over(w_rn) - F.lit(1)).alias("_rn"),
         F.array(*[F.sum((F.col("_test") == f).cast("bigint")).over(w_run) for f in range(k)]).alias("_seen"),
     )
-    j = ranked.join(offsets, keys)
+    j = ranked.join(offsets, keys, "left")  # see ordered_index on why left
 
     def cell(f: Column) -> Column:
         hpos = F.element_at("_offs", f + 1) + F.col("_rn") - F.element_at("_seen", f + 1)

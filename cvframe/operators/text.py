@@ -3,8 +3,7 @@ truncation, vocabulary encoding, batching and per-batch padding.
 
 Everything runs as native expressions over whole texts; the only shuffles
 are the vocabulary count (map-side combined), the re-grouping of encoded
-tokens (input pre-partitioned by id so the join and regroup are narrow) and
-the per-batch window.
+tokens by row id and the per-batch window.
 """
 
 from __future__ import annotations
@@ -62,7 +61,10 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", size: int = 30000) -> Dat
     ``size`` rows per partition before the final merge, so the result is
     bounded by the parameter, not by the corpus.
     """
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # explode_outer + filter: a plain explode lets Catalyst infer a
+    # ``size(tokens) > 0`` filter and push it (and the tokenizer) into the scan
+    toks = df.select(F.explode_outer(tokens).alias("token")).filter(F.col("token").isNotNull())
+    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.col("n").desc(), F.col("token").asc()).limit(size)
     w = Window.orderBy(F.col("n").desc(), F.col("token").asc())  # <= size rows
     return top.select("token", (F.row_number().over(w) + F.lit(FIRST_ID - 1)).cast("int").alias("id"))
@@ -72,13 +74,14 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "post_id", tokens: str
            vocab_size: int | None = None) -> DataFrame:
     """Token -> id (unknown -> 1) for every token of every row.
 
-    The rows are hash-partitioned by ``id_col`` once; the exploded tokens
-    stay in that partition through the (bounded, broadcast) vocabulary join,
-    so the regroup by ``id_col`` needs no second exchange.
+    Tokens are exploded with their position, looked up through a broadcast
+    hash join against the vocabulary (bounded by ``vocab_size``), partially
+    collected per row id map-side and regrouped by one shuffle on the id.
+    A row's tokens never span more than that row, so no group outgrows the
+    longest text.
     """
     v = F.broadcast(vocab) if vocab_size is not None and vocab_size <= MAX_BROADCAST_VOCAB else vocab
-    base = df.select(id_col, tokens).repartition(id_col)
-    exploded = base.select(id_col, F.posexplode_outer(tokens).alias("pos", "token"))
+    exploded = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token"))
     looked = exploded.join(v, "token", "left")
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("tid")))
     grouped = looked.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_p"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvframe.functions.hashing import bernoulli
+from cvframe.session import ensure_parallelism
 from cvframe.schema import LABEL_COLS, TREE
 
 TABLES = (
@@ -36,8 +37,12 @@ APPROACH_SHIFT = [0.8, 0.5, 0.2]  # gold-label pull of each synthetic approach
 N_VECS = 500
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
+    """A driver table, pruned to ``columns`` and spread over all cores."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    return ensure_parallelism(df)
 
 
 def corpus_from_documents(documents: DataFrame, variant: str = "majority") -> DataFrame:
@@ -58,12 +63,12 @@ def corpus_from_documents(documents: DataFrame, variant: str = "majority") -> Da
 
 
 def corpus(spark: SparkSession, sf_dir: str, variant: str = "majority") -> DataFrame:
-    return corpus_from_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), variant)
+    return corpus_from_documents(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), variant)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels only (no text): what evaluation needs."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("string").alias("source"),
+    docs = table(spark, sf_dir, "documents", ["doc_id"]).select("doc_id", F.lit(None).cast("string").alias("source"),
                                                    F.lit(None).cast("string").alias("text"))
     return corpus_from_documents(docs).drop("issue", "post_text")
 
@@ -75,7 +80,7 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     embedding ``doc_id % 500``; three approaches of decreasing quality.
     """
     g = gold(spark, sf_dir).withColumn("vec_id", F.col("post_id") % N_VECS)
-    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    emb = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     j = g.join(emb, "vec_id")
     j = j.select("*", F.posexplode(F.array(*[F.lit(s) for s in APPROACH_SHIFT])).alias("approach", "_s"))
     n = len(LABEL_COLS)
@@ -94,7 +99,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Cell = ``event_id % 25``; values are an exact integer sum divided once.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    ev = table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"])
     q = F.round(F.col("value") * 100).cast("bigint")
     even = (F.col("user_id") % 2) == 0
     cell = ev.select(
@@ -123,7 +128,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation history ``(approach, repeat, fold, step, score)``."""
-    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    ev = table(spark, sf_dir, "events", ["event_id", "event_type", "value"])
     h = ev.select(
         F.col("event_type").alias("approach"),
         (F.col("event_id") % 25).alias("_run"),
@@ -141,6 +146,6 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` joined with ``labels``: text plus two 0/1 targets."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    lab = table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
     return docs.join(lab, "doc_id")

@@ -380,7 +380,7 @@ def _linear_head_sql() -> str:
 
 @register("linear_head", _linear_head_sql())
 def q_linear_head(spark, sf):
-    emb = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    emb = fx.table(spark, sf, "embeddings", ["vec_id", "embedding"])
     d = G.score_linear(emb, "embedding", HEAD_COEF, HEAD_BIAS)
     return d.select("vec_id", *[F.round(f"logit_{k}", 6).alias(f"logit_{k}") for k in range(len(L))])
 
@@ -600,7 +600,7 @@ def _variants_sql() -> str:
 
 
 def _variants(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = fx.table(spark, sf, "documents", ["doc_id", "source", "text"])
     return C.union_variants({v: fx.corpus_from_documents(docs, v) for v in ("full", "majority", "conservative")})
 
 

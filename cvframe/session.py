@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CONF_KEY = "spark.checkpoint.dir"
 
@@ -55,3 +55,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer input splits than the cluster has
+    cores (a single large parquet row group, say) over all cores.
+
+    On a real table (many files / row groups) the scan already has at least
+    ``defaultParallelism`` splits and this is a no-op, so no shuffle is
+    added where it is not needed."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
