@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cvframe.functions.link import safe_div, threshold
 from cvframe.schema import LABEL_COLS
 
 CELL = ["approach", "repeat", "fold"]
@@ -20,8 +19,9 @@ CELL = ["approach", "repeat", "fold"]
 
 def predicted_labels(preds: DataFrame, dims: Sequence[str] = LABEL_COLS, prefix: str = "logit_") -> DataFrame:
     """Replace ``logit_k`` columns by 0/1 ``pred_<dim>`` columns (strict > 0)."""
-    keep = [c for c in preds.columns if not c.startswith(prefix)]
-    return preds.select(*keep, *[threshold(F.col(f"{prefix}{k}")).alias(f"pred_{d}") for k, d in enumerate(dims)])
+    keep = [f"`{c}`" for c in preds.columns if not c.startswith(prefix)]
+    return preds.selectExpr(*keep, *[f"CASE WHEN {prefix}{k} > 0 THEN 1 ELSE 0 END AS pred_{d}"
+                                     for k, d in enumerate(dims)])
 
 
 def test_rows(preds01: DataFrame, gold: DataFrame, splits: DataFrame, split: str = "TEST",
@@ -36,52 +36,43 @@ def test_rows(preds01: DataFrame, gold: DataFrame, splits: DataFrame, split: str
 def confusion_counts(rows: DataFrame, keys: Sequence[str] = CELL, dims: Sequence[str] = LABEL_COLS,
                      gold_fmt: str = "{}", pred_fmt: str = "pred_{}") -> DataFrame:
     """``(keys..., dim, tp, fp, fn, tn)`` from wide 0/1 gold and prediction columns."""
-    aggs = []
+    # per label: positives, predicted positives and true positives; fp, fn
+    # and tn follow from them and the row count (fewer aggregate buffers)
+    aggs = [F.count(F.lit(1)).alias("_n")]
     for d in dims:
-        y, p = F.col(gold_fmt.format(d)), F.col(pred_fmt.format(d))
-        aggs += [
-            F.sum((y * p).cast("bigint")).alias(f"_tp_{d}"),
-            F.sum(((1 - y) * p).cast("bigint")).alias(f"_fp_{d}"),
-            F.sum((y * (1 - p)).cast("bigint")).alias(f"_fn_{d}"),
-            F.sum(((1 - y) * (1 - p)).cast("bigint")).alias(f"_tn_{d}"),
-        ]
+        y, p = f"`{gold_fmt.format(d)}`", f"`{pred_fmt.format(d)}`"
+        aggs += [F.expr(f"sum(CAST({y} AS BIGINT))").alias(f"_y_{d}"),
+                 F.expr(f"sum(CAST({p} AS BIGINT))").alias(f"_p_{d}"),
+                 F.expr(f"sum(CAST({y} * {p} AS BIGINT))").alias(f"_t_{d}")]
     wide = rows.groupBy(*keys).agg(*aggs)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(d).alias("dim"),
-                F.col(f"_tp_{d}").alias("tp"),
-                F.col(f"_fp_{d}").alias("fp"),
-                F.col(f"_fn_{d}").alias("fn"),
-                F.col(f"_tn_{d}").alias("tn"),
-            )
-            for d in dims
-        ]
-    )
-    return wide.select(*keys, F.inline(entries))
+    entries = ", ".join(
+        f"named_struct('dim', '{d}', 'tp', _t_{d}, 'fp', _p_{d} - _t_{d}, 'fn', _y_{d} - _t_{d}, "
+        f"'tn', _n - _y_{d} - _p_{d} + _t_{d})" for d in dims)
+    return wide.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({entries}))")
 
 
 # --------------------------------------------------------------------------- M2
-def _macro(x1: Column, x0: Column, present1: Column, present0: Column) -> Column:
-    n = present1.cast("int") + present0.cast("int")
-    s = F.when(present1, x1).otherwise(0.0) + F.when(present0, x0).otherwise(0.0)
-    return F.when(n > 0, s / n)
+def _ratio(num: str, den: str) -> str:
+    return f"CASE WHEN ({den}) = 0 THEN 0.0D ELSE CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) END"
+
+
+def _macro(x1: str, x0: str) -> str:
+    p1, p0 = "(tp + fp + fn > 0)", "(tn + fp + fn > 0)"
+    n = f"(CAST({p1} AS INT) + CAST({p0} AS INT))"
+    return (f"CASE WHEN {n} > 0 THEN ((CASE WHEN {p1} THEN {x1} ELSE 0.0D END) + "
+            f"(CASE WHEN {p0} THEN {x0} ELSE 0.0D END)) / {n} END")
 
 
 def macro_prf(conf: DataFrame) -> DataFrame:
     """Macro precision / recall / F1 over the classes present in gold or
     prediction; an undefined ratio counts as 0.  A label never seen and never
     predicted has only class 0 present and scores 1.0."""
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    p1, r1, f1 = safe_div(tp, tp + fp), safe_div(tp, tp + fn), safe_div(2 * tp, 2 * tp + fp + fn)
-    p0, r0, f0 = safe_div(tn, tn + fn), safe_div(tn, tn + fp), safe_div(2 * tn, 2 * tn + fn + fp)
-    pres1, pres0 = (tp + fp + fn) > 0, (tn + fp + fn) > 0
-    keep = [c for c in conf.columns if c not in ("tp", "fp", "fn", "tn")]
-    return conf.select(
+    keep = [f"`{c}`" for c in conf.columns if c not in ("tp", "fp", "fn", "tn")]
+    return conf.selectExpr(
         *keep,
-        _macro(p1, p0, pres1, pres0).alias("precision"),
-        _macro(r1, r0, pres1, pres0).alias("recall"),
-        _macro(f1, f0, pres1, pres0).alias("macro_f1"),
+        _macro(_ratio("tp", "tp + fp"), _ratio("tn", "tn + fn")) + " AS precision",
+        _macro(_ratio("tp", "tp + fn"), _ratio("tn", "tn + fp")) + " AS recall",
+        _macro(_ratio("2 * tp", "2 * tp + fp + fn"), _ratio("2 * tn", "2 * tn + fn + fp")) + " AS macro_f1",
     )
 
 
@@ -103,15 +94,11 @@ def run_records(per_label: DataFrame, keys: Sequence[str] = CELL, dims: Sequence
         F.first("precision").alias("precision"), F.first("recall").alias("recall"),
         F.first("macro_f1").alias("macro_f1"),
     )
-    cols = [F.col(k) for k in keys]
-    for d in dims:
-        for m in ("precision", "recall", "macro_f1"):
-            cols.append(F.col(f"{d}_{m}").alias(f"eval_{d}_{m}"))
-    n = float(len(dims))
+    cols = [f"`{k}`" for k in keys]
+    cols += [f"`{d}_{m}` AS eval_{d}_{m}" for d in dims for m in ("precision", "recall", "macro_f1")]
     for m, out in (("precision", "precision"), ("recall", "recall"), ("macro_f1", "f1")):
-        total = sum((F.col(f"{d}_{m}") for d in dims[1:]), F.col(f"{dims[0]}_{m}"))
-        cols.append((total / n).alias(f"eval_mean_{out}"))
-    return wide.select(*cols)
+        cols.append(f"({' + '.join(f'`{d}_{m}`' for d in dims)}) / {float(len(dims))}D AS eval_mean_{out}")
+    return wide.selectExpr(*cols)
 
 
 # --------------------------------------------------------------------------- M5

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cvframe.functions.link import argmax2, sigmoid, threshold
+from cvframe.functions.link import argmax2
 from cvframe.schema import LABEL_COLS, ROOT, TREE
 
 
@@ -32,14 +32,15 @@ def score_linear(df: DataFrame, vec_col: str, coef, bias, prefix: str = "logit_"
 
 def probabilities(df: DataFrame, dims: Sequence[str] = LABEL_COLS, prefix: str = "logit_") -> DataFrame:
     """``prob_<dim> = sigmoid(logit)``."""
-    keep = [c for c in df.columns if not c.startswith(prefix)]
-    return df.select(*keep, *[sigmoid(F.col(f"{prefix}{k}")).alias(f"prob_{d}") for k, d in enumerate(dims)])
+    keep = [f"`{c}`" for c in df.columns if not c.startswith(prefix)]
+    return df.selectExpr(*keep, *[f"1D / (1D + exp(-{prefix}{k})) AS prob_{d}" for k, d in enumerate(dims)])
 
 
 def thresholded(df: DataFrame, dims: Sequence[str] = LABEL_COLS, prefix: str = "logit_") -> DataFrame:
     """``pred_<dim>`` = 1 iff logit > 0 (probability strictly above 0.5)."""
-    keep = [c for c in df.columns if not c.startswith(prefix)]
-    return df.select(*keep, *[threshold(F.col(f"{prefix}{k}")).alias(f"pred_{d}") for k, d in enumerate(dims)])
+    keep = [f"`{c}`" for c in df.columns if not c.startswith(prefix)]
+    return df.selectExpr(*keep, *[f"CASE WHEN {prefix}{k} > 0 THEN 1 ELSE 0 END AS pred_{d}"
+                                  for k, d in enumerate(dims)])
 
 
 def binary_label(df: DataFrame, logit0: str = "logit_0", out: str = "label") -> DataFrame:
@@ -48,15 +49,12 @@ def binary_label(df: DataFrame, logit0: str = "logit_0", out: str = "label") ->
     return df.withColumn(out, argmax2(-x, x))
 
 
-def _first_max(xs: Sequence[Column]) -> list[Column]:
-    """Per candidate: is it the first maximum (ties -> lowest index)?"""
+def _first_max(xs: Sequence[str]) -> list[str]:
+    """Per candidate (SQL text): is it the first maximum (ties -> lowest index)?"""
     flags = []
     for j, xj in enumerate(xs):
-        conds = [xj > xs[i] for i in range(j)] + [xj >= xs[i] for i in range(j + 1, len(xs))]
-        c = conds[0] if conds else F.lit(True)
-        for extra in conds[1:]:
-            c = c & extra
-        flags.append(c)
+        conds = [f"{xj} > {xs[i]}" for i in range(j)] + [f"{xj} >= {xs[i]}" for i in range(j + 1, len(xs))]
+        flags.append(" AND ".join(conds) if conds else "TRUE")
     return flags
 
 
@@ -74,30 +72,31 @@ def repair(df: DataFrame, mode: str = "reference", dims: Sequence[str] = LABEL_C
     there) instead of its probability, so it is never chosen and the pick is
     the first child unless the second is strictly more probable.
     ``mode='corrected'`` compares all children's scores.
+
+    Written as one projection of SQL expressions: per-row, codegen'd, no UDF.
     """
     if mode not in ("reference", "corrected"):
         raise ValueError(mode)
     k_of = {d: k for k, d in enumerate(dims)}
-    pred = {d: threshold(F.col(f"{prefix}{k_of[d]}")) for d in dims}
-    logit = {d: F.col(f"{prefix}{k_of[d]}") for d in dims}
-    r = pred[root]
-    out = {root: r}
+    logit = {d: f"`{prefix}{k_of[d]}`" for d in dims}
+    pred = {d: f"(CASE WHEN {logit[d]} > 0 THEN 1 ELSE 0 END)" for d in dims}
+    out = {root: pred[root]}
     for parent, kids in tree.items():
-        gate = r * pred[parent]
+        gate = f"({pred[root]} * {pred[parent]})"
         out[parent] = gate
-        any_kid = F.greatest(*[pred[c] for c in kids]) == 1
+        any_kid = f"(greatest({', '.join(pred[c] for c in kids)}) = 1)"
         scores = [logit[c] for c in kids]
         if mode == "reference" and len(kids) >= 3:
             # third slot holds a 0 prediction where a probability is meant:
             # any probability (>= 0) beats or ties it, so only the first two
             # candidates can win
-            flags = _first_max(scores[:2]) + [F.lit(False)] * (len(kids) - 2)
+            flags = _first_max(scores[:2]) + ["FALSE"] * (len(kids) - 2)
         else:
             flags = _first_max(scores)
         for c, fl in zip(kids, flags):
-            out[c] = gate * F.when(any_kid, pred[c]).otherwise(fl.cast("int"))
-    keep = [c for c in df.columns if not c.startswith(prefix)]
-    return df.select(*keep, *[out[d].cast("int").alias(f"pred_{d}") for d in dims])
+            out[c] = f"{gate} * (CASE WHEN {any_kid} THEN {pred[c]} WHEN {fl} THEN 1 ELSE 0 END)"
+    keep = [f"`{c}`" for c in df.columns if not c.startswith(prefix)]
+    return df.selectExpr(*keep, *[f"CAST({out[d]} AS INT) AS pred_{d}" for d in dims])
 
 
 def is_consistent(dims: Sequence[str] = LABEL_COLS, fmt: str = "pred_{}", tree=TREE, root: str = ROOT) -> Column:

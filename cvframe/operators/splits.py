@@ -38,10 +38,7 @@ def labelset_code(dims: Sequence[str] = LABEL_COLS) -> Column:
     if len(dims) > MAX_LABELS:
         raise ValueError("too many labels for a labelset code")
     n = len(dims)
-    expr = F.lit(0).cast("bigint")
-    for i, d in enumerate(dims):
-        expr = expr + F.col(d).cast("bigint") * F.lit(1 << (n - 1 - i))
-    return expr
+    return F.expr(" + ".join(f"CAST(`{d}` AS BIGINT) * {1 << (n - 1 - i)}" for i, d in enumerate(dims)))
 
 
 def labelset_string(dims: Sequence[str] = LABEL_COLS) -> Column:
@@ -139,17 +136,20 @@ def assign_splits(
     )
     j = ranked.join(offsets, keys, "left")  # see ordered_index on why left
 
-    def cell(f: Column) -> Column:
-        hpos = F.element_at("_offs", f + 1) + F.col("_rn") - F.element_at("_seen", f + 1)
-        split = (
-            F.when(f == F.col("_test"), F.lit("TEST"))
-            .when(hpos % every == 0, F.lit("VALID"))
-            .otherwise(F.lit("TRAIN"))
-        )
-        return F.struct(f.cast("int").alias("fold"), split.alias("split"))
-
-    cells = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), cell)
-    return j.select(F.col(id_col), F.col("repeat").cast("int").alias("repeat"), F.inline(cells))
+    cell = (f"named_struct('fold', f, 'split', CASE WHEN f = _test THEN 'TEST' "
+            f"WHEN (element_at(_offs, f + 1) + _rn - element_at(_seen, f + 1)) % {every} = 0 THEN 'VALID' "
+            f"ELSE 'TRAIN' END)")
+    return j.selectExpr(f"`{id_col}`", "CAST(repeat AS INT) AS repeat",
+                        f"inline(transform(sequence(0, {k - 1}), f -> {cell}))")
+
+
+def test_split(corpus: DataFrame, id_col: str = "post_id", dims: Sequence[str] = LABEL_COLS, k: int = N_FOLDS,
+               seeds: Sequence[int] = KFOLD_SEEDS, digits: int = 2) -> DataFrame:
+    """The TEST rows of :func:`assign_splits` - by definition the k-fold
+    assignment itself - without the holdout pass.  Evaluation needs only
+    these, so it skips the three holdout shuffles."""
+    kf = ms_kfold(corpus, id_col, dims, k, seeds, digits)
+    return kf.withColumn("split", F.lit("TEST"))
 
 
 def ms_holdout(

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cvframe.functions.link import logsumexp2, softplus
+from cvframe.functions.link import logsumexp2_sql, softplus_sql
 from cvframe.operators.metrics import CELL
 from cvframe.schema import LABEL_COLS
 
@@ -25,13 +25,10 @@ def train_label_counts(gold: DataFrame, splits: DataFrame, dims: Sequence[str] =
     """``(repeat, fold, dim, n_pos, n_neg)`` over the ``split`` rows of each cell."""
     rows = splits.filter(F.col("split") == split).select(id_col, *CELL_KEYS).join(gold, id_col)
     wide = rows.groupBy(*CELL_KEYS).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(d).cast("bigint")).alias(f"_p_{d}") for d in dims]
+        F.count(F.lit(1)).alias("_n"), *[F.expr(f"sum(CAST(`{d}` AS BIGINT))").alias(f"_p_{d}") for d in dims]
     )
-    entries = F.array(
-        *[F.struct(F.lit(d).alias("dim"), F.col(f"_p_{d}").alias("n_pos"),
-                   (F.col("_n") - F.col(f"_p_{d}")).alias("n_neg")) for d in dims]
-    )
-    return wide.select(*CELL_KEYS, F.inline(entries))
+    entries = ", ".join(f"named_struct('dim', '{d}', 'n_pos', _p_{d}, 'n_neg', _n - _p_{d})" for d in dims)
+    return wide.selectExpr(*CELL_KEYS, f"inline(array({entries}))")
 
 
 def pos_weights(gold: DataFrame, splits: DataFrame, dims: Sequence[str] = LABEL_COLS) -> DataFrame:
@@ -39,9 +36,8 @@ def pos_weights(gold: DataFrame, splits: DataFrame, dims: Sequence[str] = LABEL_
     (i.e. ``pos > 0`` and ``neg >= pos``); otherwise 1.0.  Guarded so no
     division by zero is ever evaluated."""
     c = train_label_counts(gold, splits, dims)
-    ok = (F.col("n_pos") > 0) & (F.col("n_neg") >= F.col("n_pos"))
-    w = F.when(ok, F.col("n_neg").cast("double") / F.when(ok, F.col("n_pos")).cast("double")).otherwise(F.lit(1.0))
-    return c.withColumn("weight", w)
+    return c.withColumn("weight", F.expr(
+        "CASE WHEN n_pos > 0 AND n_neg >= n_pos THEN CAST(n_neg AS DOUBLE) / CAST(n_pos AS DOUBLE) ELSE 1.0D END"))
 
 
 def _wide_weights(weights: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -60,12 +56,10 @@ def bce_loss(preds: DataFrame, gold: DataFrame, splits: DataFrame, weights: Data
     """L1: weighted binary cross-entropy with logits on TEST, per run:
     mean over rows x labels of ``w*y*softplus(-x) + (1-y)*softplus(x)``."""
     rows = _test_join(preds, gold, splits).join(F.broadcast(_wide_weights(weights, dims)), CELL_KEYS)
-    terms = []
-    for k, d in enumerate(dims):
-        x, y, w = F.col(f"{prefix}{k}"), F.col(d).cast("double"), F.col(f"w_{d}")
-        terms.append(w * y * softplus(-x) + (F.lit(1.0) - y) * softplus(x))
-    row_loss = sum(terms[1:], terms[0])
-    return rows.groupBy(*CELL).agg((F.sum(row_loss) / (F.count(F.lit(1)) * len(dims))).alias("bce_loss"))
+    terms = [f"w_{d} * CAST({d} AS DOUBLE) * {softplus_sql(f'-{prefix}{k}')} + "
+             f"(1D - CAST({d} AS DOUBLE)) * {softplus_sql(f'{prefix}{k}')}" for k, d in enumerate(dims)]
+    loss = f"sum({' + '.join(terms)}) / (count(1) * {len(dims)})"
+    return rows.groupBy(*CELL).agg(F.expr(loss).alias("bce_loss"))
 
 
 def cross_entropy(preds: DataFrame, gold: DataFrame, splits: DataFrame, label: str = LABEL_COLS[0],
@@ -73,16 +67,15 @@ def cross_entropy(preds: DataFrame, gold: DataFrame, splits: DataFrame, label: s
     """L2: two-class cross-entropy on TEST with logits ``(-x, x)``: mean of
     ``logsumexp(x0, x1) - x_y``."""
     rows = _test_join(preds, gold, splits)
-    x1 = F.col(logit0)
-    x0 = -x1
-    xy = F.when(F.col(label) == 1, x1).otherwise(x0)
-    return rows.groupBy(*CELL).agg(F.avg(logsumexp2(x0, x1) - xy).alias("ce_loss"))
+    x1, x0 = logit0, f"(-{logit0})"
+    expr = f"avg({logsumexp2_sql(x0, x1)} - CASE WHEN {label} = 1 THEN {x1} ELSE {x0} END)"
+    return rows.groupBy(*CELL).agg(F.expr(expr).alias("ce_loss"))
 
 
 def mse_loss(preds: DataFrame, gold: DataFrame, splits: DataFrame, dims: Sequence[str] = LABEL_COLS,
              prefix: str = "logit_") -> DataFrame:
     """L3: mean squared error of raw outputs against 0/1 labels on TEST."""
     rows = _test_join(preds, gold, splits)
-    terms = [(F.col(f"{prefix}{k}") - F.col(d).cast("double")) ** 2 for k, d in enumerate(dims)]
-    row_loss = sum(terms[1:], terms[0])
-    return rows.groupBy(*CELL).agg((F.sum(row_loss) / (F.count(F.lit(1)) * len(dims))).alias("mse_loss"))
+    terms = [f"pow({prefix}{k} - CAST({d} AS DOUBLE), 2)" for k, d in enumerate(dims)]
+    loss = f"sum({' + '.join(terms)}) / (count(1) * {len(dims)})"
+    return rows.groupBy(*CELL).agg(F.expr(loss).alias("mse_loss"))

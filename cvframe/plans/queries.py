@@ -23,8 +23,14 @@ def _splits(spark, sf):
     return S.assign_splits(_gold(spark, sf))
 
 
+def _test_splits(spark, sf):
+    """TEST cells only (equal to ``_splits`` filtered to TEST; the oracle
+    checks that against the full split table)."""
+    return S.test_split(_gold(spark, sf))
+
+
 def _per_label(spark, sf):
-    return per_label_metrics(fx.preds(spark, sf), _gold(spark, sf), _splits(spark, sf))
+    return per_label_metrics(fx.preds(spark, sf), _gold(spark, sf), _test_splits(spark, sf))
 
 
 def _r6(x: str) -> str:
@@ -99,7 +105,7 @@ def q_split_filter(spark, sf):
 
 @register("confusion_counts", WITH_EVAL + "SELECT * FROM conf")
 def q_confusion(spark, sf):
-    rows = M.test_rows(M.predicted_labels(fx.preds(spark, sf)), _gold(spark, sf), _splits(spark, sf))
+    rows = M.test_rows(M.predicted_labels(fx.preds(spark, sf)), _gold(spark, sf), _test_splits(spark, sf))
     return M.confusion_counts(rows)
 
 
@@ -167,7 +173,7 @@ SELECT CAST(row_number() OVER (ORDER BY mean_f1 DESC, approach) AS INTEGER) AS r
 
 @register("cv_evaluate", _cv_evaluate_sql())
 def q_cv_evaluate(spark, sf):
-    return cv_evaluate(fx.preds(spark, sf), _gold(spark, sf), _splits(spark, sf))
+    return cv_evaluate(fx.preds(spark, sf), _gold(spark, sf), _test_splits(spark, sf))
 
 
 # --------------------------------------------------------------------------- text
@@ -351,13 +357,13 @@ def q_bce(spark, sf):
 
 @register("cross_entropy", _loss_sql("ce"))
 def q_ce(spark, sf):
-    d = W.cross_entropy(fx.preds(spark, sf), _gold(spark, sf), _splits(spark, sf))
+    d = W.cross_entropy(fx.preds(spark, sf), _gold(spark, sf), _test_splits(spark, sf))
     return d.withColumn("ce_loss", F.round("ce_loss", 6))
 
 
 @register("mse_loss", _loss_sql("mse"))
 def q_mse(spark, sf):
-    d = W.mse_loss(fx.preds(spark, sf), _gold(spark, sf), _splits(spark, sf))
+    d = W.mse_loss(fx.preds(spark, sf), _gold(spark, sf), _test_splits(spark, sf))
     return d.withColumn("mse_loss", F.round("mse_loss", 6))
 
 
@@ -774,7 +780,7 @@ def q_majority(spark, sf):
 
 @register("random_baseline", _baseline_sql("random"))
 def q_random(spark, sf):
-    return _rounded(K.random_baseline(_gold(spark, sf), _splits(spark, sf)))
+    return _rounded(K.random_baseline(_gold(spark, sf), _test_splits(spark, sf)))
 
 
 # --------------------------------------------------------------------------- training (rows-only checks)
