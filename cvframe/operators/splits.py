@@ -51,10 +51,11 @@ def labelset_counts(df: DataFrame, dims: Sequence[str] = LABEL_COLS) -> DataFram
     return df.groupBy(labelset_string(dims).alias("labelset")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _seeded(corpus: DataFrame, id_col: str, dims, seeds) -> DataFrame:
+def _seeded(corpus: DataFrame, id_col: str, dims, seeds, by: Sequence[str] = ()) -> DataFrame:
     """One row per (post, repeat) with the repeat's seed hash; no join."""
     seed_arr = F.array(*[F.lit(str(s)) for s in seeds])
     return corpus.select(
+        *[F.col(b) for b in by],
         F.col(id_col),
         labelset_code(dims).alias("_code"),
         F.posexplode(seed_arr).alias("repeat", "_seed"),
@@ -70,11 +71,17 @@ def ms_kfold(
     seeds: Sequence[int] = KFOLD_SEEDS,
     digits: int = 2,
     keep_code: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Stratified k-fold TEST assignment for every seed: ``(id, repeat, fold)``."""
-    base = _seeded(corpus, id_col, dims, seeds)
-    idx = ordered_index(base, ["repeat"], ["_code"], "_h", id_col, out_col="_pos", digits=digits)
-    cols = [F.col(id_col), F.col("repeat").cast("int").alias("repeat"), (F.col("_pos") % k).cast("int").alias("fold")]
+    """Stratified k-fold TEST assignment for every seed: ``(id, repeat, fold)``.
+
+    ``by`` columns (e.g. ``dataset_version``) split each group on its own,
+    all groups in the same job."""
+    by = list(by)
+    base = _seeded(corpus, id_col, dims, seeds, by)
+    idx = ordered_index(base, [*by, "repeat"], ["_code"], "_h", id_col, out_col="_pos", digits=digits)
+    cols = [*[F.col(b) for b in by], F.col(id_col), F.col("repeat").cast("int").alias("repeat"),
+            (F.col("_pos") % k).cast("int").alias("fold")]
     if keep_code:
         cols.append(F.col("_code"))
     return idx.select(*cols)
@@ -91,6 +98,7 @@ def assign_splits(
     every: int = HOLDOUT_EVERY,
     digits: int = 2,
     test_folds: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Long split table ``(id, repeat, fold, split)``: one row per post and cell.
 
@@ -104,18 +112,20 @@ def assign_splits(
     are TEST in ``f``; its rank among the non-test rows of cell ``f`` is
     ``rn - seen_f``.  Bucket offsets per cell come from the count table.
     """
-    kf = test_folds if test_folds is not None else ms_kfold(corpus, id_col, dims, k, seeds, digits, keep_code=True)
+    by = list(by)
+    kf = test_folds if test_folds is not None else ms_kfold(corpus, id_col, dims, k, seeds, digits, keep_code=True,
+                                                            by=by)
     kf = kf.withColumnRenamed("fold", "_test")
     d = kf.withColumn("_h2", keyed_md5(F.lit(str(holdout_seed)), F.col(id_col))).withColumn(
         BUCKET_COL, F.substring("_h2", 1, digits)
     )
-    keys = ["repeat", "_code", BUCKET_COL]
+    keys = [*by, "repeat", "_code", BUCKET_COL]
 
     counts = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_tot"),
         *[F.sum((F.col("_test") == f).cast("bigint")).alias(f"_c{f}") for f in range(k)],
     )
-    w_off = Window.partitionBy("repeat").orderBy("_code", BUCKET_COL).rowsBetween(
+    w_off = Window.partitionBy(*by, "repeat").orderBy("_code", BUCKET_COL).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     offs = []
@@ -128,9 +138,8 @@ def assign_splits(
     w_run = w_rn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = d.select(
         id_col,
-        "repeat",
         "_test",
-        *keys[1:],
+        *keys,
         (F.row_number().over(w_rn) - F.lit(1)).alias("_rn"),
         F.array(*[F.sum((F.col("_test") == f).cast("bigint")).over(w_run) for f in range(k)]).alias("_seen"),
     )
@@ -139,7 +148,7 @@ def assign_splits(
     cell = (f"named_struct('fold', f, 'split', CASE WHEN f = _test THEN 'TEST' "
             f"WHEN (element_at(_offs, f + 1) + _rn - element_at(_seen, f + 1)) % {every} = 0 THEN 'VALID' "
             f"ELSE 'TRAIN' END)")
-    return j.selectExpr(f"`{id_col}`", "CAST(repeat AS INT) AS repeat",
+    return j.selectExpr(*[f"`{b}`" for b in by], f"`{id_col}`", "CAST(repeat AS INT) AS repeat",
                         f"inline(transform(sequence(0, {k - 1}), f -> {cell}))")
 
 
@@ -172,12 +181,12 @@ def ms_holdout(
 
 
 def splits_wide(splits: DataFrame, id_col: str = "post_id", k: int = N_FOLDS, repeats: int = len(KFOLD_SEEDS),
-                name: str = "fold{repeat}_{fold}") -> DataFrame:
+                name: str = "fold{repeat}_{fold}", by: Sequence[str] = ()) -> DataFrame:
     """Export form: one column per cell (explicit pivot values, no extra job).
     ``name='fold{repeat}.{fold}'`` reproduces the study's column names."""
     names = [name.format(repeat=r, fold=f) for r in range(repeats) for f in range(k)]
     cell = F.format_string(name.replace("{repeat}", "%d").replace("{fold}", "%d"), "repeat", "fold")
-    return splits.withColumn("_cell", cell).groupBy(id_col).pivot("_cell", names).agg(F.first("split"))
+    return splits.withColumn("_cell", cell).groupBy(*by, id_col).pivot("_cell", names).agg(F.first("split"))
 
 
 def split_rows(corpus: DataFrame, splits: DataFrame, repeat: int, fold: int, split: str,

@@ -83,9 +83,11 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "post_id", tokens: str
     v = F.broadcast(vocab) if vocab_size is not None and vocab_size <= MAX_BROADCAST_VOCAB else vocab
     exploded = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token"))
     looked = exploded.join(v, "token", "left")
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("tid")))
-    grouped = looked.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_p"))
-    return grouped.select(id_col, F.transform("_p", lambda x: x["tid"]).alias(out))
+    # (position, id) packed into one BIGINT: collecting and sorting a
+    # primitive array is far cheaper than an array of structs
+    packed = F.expr(f"CASE WHEN pos IS NOT NULL THEN shiftleft(CAST(pos AS BIGINT), 32) + coalesce(id, {UNK_ID}) END")
+    grouped = looked.groupBy(id_col).agg(F.array_sort(F.collect_list(packed)).alias("_p"))
+    return grouped.selectExpr(f"`{id_col}`", f"transform(_p, x -> CAST(x & 4294967295 AS INT)) AS `{out}`")
 
 
 def attention_mask(ids: Column) -> Column:

@@ -166,3 +166,23 @@ def batches_cte(src: str = "corpus", name: str = "batches", seed: str = "batches
     return f"""{name} AS (SELECT post_id, CAST(pos // {size} AS BIGINT) AS batch_id, CAST(pos % {size} AS INTEGER) AS slot
   FROM (SELECT post_id, row_number() OVER (ORDER BY md5('{seed}:' || CAST(post_id AS VARCHAR)), post_id) - 1 AS pos
         FROM {src}))"""
+
+
+def splits_by_cte(src: str, by: str, name: str = "splits") -> str:
+    """Split table of ``src`` computed separately for every value of ``by``."""
+    order = ", ".join("c." + x for x in L)
+    return f"""kf_by AS (
+  SELECT c.{by}, c.post_id, CAST(s.repeat AS INTEGER) AS repeat,
+         CAST((row_number() OVER (PARTITION BY c.{by}, s.repeat ORDER BY {order},
+               md5(s.seed || ':' || CAST(c.post_id AS VARCHAR)), c.post_id) - 1) % 5 AS INTEGER) AS fold
+  FROM {src} c CROSS JOIN seeds s),
+cells_by AS (SELECT CAST(range AS INTEGER) AS fold FROM range(5)),
+nt_by AS (
+  SELECT k.{by}, k.post_id, k.repeat, cl.fold,
+         row_number() OVER (PARTITION BY k.{by}, k.repeat, cl.fold ORDER BY {order},
+             md5('{HOLDOUT_SEED}:' || CAST(k.post_id AS VARCHAR)), k.post_id) - 1 AS hpos
+  FROM kf_by k JOIN {src} c ON c.post_id = k.post_id AND c.{by} = k.{by} JOIN cells_by cl ON cl.fold <> k.fold),
+{name} AS (
+  SELECT {by}, post_id, repeat, fold, 'TEST' AS split FROM kf_by
+  UNION ALL
+  SELECT {by}, post_id, repeat, fold, CASE WHEN hpos % 8 = 0 THEN 'VALID' ELSE 'TRAIN' END FROM nt_by)"""

@@ -280,7 +280,9 @@ FROM j""",
 )
 def q_pad_batches(spark, sf):
     e = _encoded(spark, sf)
-    b = T.make_batches(e.select("post_id")).join(e, "post_id")
+    # batch order needs only the ids: take them from the id column, not from
+    # the encoded rows (which would re-run the encoder for a second branch)
+    b = T.make_batches(_gold(spark, sf).select("post_id")).join(e, "post_id")
     p = T.pad_batches(b)
     return p.select("post_id", "batch_id", "slot", _ids_str("ids").alias("ids"),
                     _ids_str("attention_mask").alias("attention_mask"))
@@ -845,3 +847,27 @@ def q_stream_mean_runs(spark, sf):
     RIO.write_runs(wide, root)
     table = ST.run_until_caught_up(spark, root, ST.run_record_schema(RUN_METRICS))
     return spark.read.parquet(table).withColumn("value", F.round("value", 6))
+
+
+# --------------------------------------------------------------------------- preparation (E1 end to end)
+from cvframe.plans.prepare import prepare_corpus  # noqa: E402
+
+
+def _prepare_sql() -> str:
+    variants = ("full", "majority", "conservative")
+    ctes = [O.corpus_cte(v, f"c_{v}") for v in variants]
+    ctes.append("allc AS (" + " UNION ALL ".join(
+        f"SELECT '{v}' AS dataset_version, * FROM c_{v}" for v in variants) + ")")
+    ctes += [O.seeds_cte(), O.splits_by_cte("allc", "dataset_version")]
+    wide = ", ".join(f"max(CASE WHEN repeat = {r} AND fold = {f} THEN split END) AS fold{r}_{f}"
+                     for r in range(5) for f in range(5))
+    ctes.append(f"wide AS (SELECT dataset_version, post_id, {wide} FROM splits GROUP BY 1, 2)")
+    return ("WITH " + ",\n".join(ctes) + "\nSELECT c.*, c.issue || ' ' || c.post_text AS arg_issue, w.* "
+            "EXCLUDE (dataset_version, post_id) FROM allc c JOIN wide w USING (dataset_version, post_id)")
+
+
+@register("prepare_corpus", _prepare_sql())
+def q_prepare_corpus(spark, sf):
+    docs = fx.table(spark, sf, "documents", ["doc_id", "source", "text"])
+    variants = C.union_variants({v: fx.corpus_from_documents(docs, v) for v in ("full", "majority", "conservative")})
+    return prepare_corpus(variants)

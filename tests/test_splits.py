@@ -113,3 +113,26 @@ def test_splits_wide_names(gold):
     w = S.splits_wide(S.assign_splits(gold), name="fold{repeat}.{fold}")
     assert "fold0.0" in w.columns and "fold4.4" in w.columns
     assert w.count() == gold.count()
+
+
+def test_by_group_equals_separate_runs(spark, sf_small):
+    docs = fx.table(spark, sf_small, "documents", ["doc_id", "source", "text"])
+    parts = {v: fx.corpus_from_documents(docs, v).select("post_id", *LABEL_COLS) for v in ("full", "conservative")}
+    both = parts["full"].withColumn("dataset_version", F.lit("full")).unionByName(
+        parts["conservative"].withColumn("dataset_version", F.lit("conservative")))
+    joint = S.assign_splits(both, by=["dataset_version"])
+    for v, df in parts.items():
+        alone = S.assign_splits(df)
+        mine = joint.filter(F.col("dataset_version") == v).drop("dataset_version")
+        assert mine.exceptAll(alone).count() == 0 and alone.exceptAll(mine).count() == 0
+
+
+def test_prepare_rejects_duplicate_ids(spark):
+    from cvframe.plans.prepare import prepare_corpus
+
+    rows = [(1, "i", "t", *([0] * 14)), (1, "i", "u", *([1] * 14))]
+    from cvframe.schema import corpus_schema
+
+    df = spark.createDataFrame(rows, corpus_schema()).withColumn("dataset_version", F.lit("x"))
+    with pytest.raises(ValueError):
+        prepare_corpus(df)
