@@ -75,10 +75,12 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "post_id", tokens: str
     """Token -> id (unknown -> 1) for every token of every row.
 
     Tokens are exploded with their position, looked up through a broadcast
-    hash join against the vocabulary (bounded by ``vocab_size``), partially
-    collected per row id map-side and regrouped by one shuffle on the id.
-    A row's tokens never span more than that row, so no group outgrows the
-    longest text.
+    hash join against the vocabulary (bounded by ``vocab_size``) and
+    regrouped per row id.  Give it rows hash-partitioned by ``id_col`` (a
+    ``repartition`` of the raw rows, or a table bucketed by id): the
+    broadcast join keeps that partitioning, so the regroup runs in place and
+    no exploded token is shuffled.  Otherwise Spark adds one shuffle on the
+    id.  A group never outgrows the longest row.
     """
     v = F.broadcast(vocab) if vocab_size is not None and vocab_size <= MAX_BROADCAST_VOCAB else vocab
     exploded = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token"))

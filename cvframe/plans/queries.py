@@ -235,7 +235,10 @@ def q_truncate(spark, sf):
 
 
 def _encoded(spark, sf):
-    t = _toks(spark, sf)
+    # rows hash-partitioned by id before tokenizing: the token lookup and the
+    # regroup of each row's ids then need no shuffle of exploded tokens
+    c = fx.corpus(spark, sf).select("post_id", "post_text").repartition("post_id")
+    t = T.tokens_col(c, "post_text").select("post_id", "tokens")
     vocab = T.build_vocab(t, size=VOCAB_SIZE)
     return T.encode(t.select("post_id", T.truncate(F.col("tokens"), MAX_LEN).alias("tokens")), vocab,
                     vocab_size=VOCAB_SIZE)
