@@ -47,9 +47,9 @@ def report_columns(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def leaderboard(wide: DataFrame, by: str, digits: int = 4, key: str = "approach") -> DataFrame:
     """Sort by ``by`` descending (NULLs last, ties by key), round, rank."""
-    w = Window.orderBy(F.col(by).desc_nulls_last(), F.col(key).asc())
     vals = [c for c in wide.columns if c != key]
-    return wide.select(F.row_number().over(w).alias("rank"), key, *[F.round(F.col(c), digits).alias(c) for c in vals])
+    return wide.selectExpr(f"row_number() OVER (ORDER BY `{by}` DESC NULLS LAST, `{key}` ASC) AS rank", f"`{key}`",
+                           *[f"round(`{c}`, {digits}) AS `{c}`" for c in vals])
 
 
 def two_places(c: Column) -> Column:

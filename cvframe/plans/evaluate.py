@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cvframe.operators.metrics import confusion_counts, macro_prf, predicted_labels, test_rows
@@ -28,14 +28,13 @@ def leaderboard_from_metrics(per_label: DataFrame, dims: Sequence[str] = LABEL_C
     """Mean over runs of each label's macro F1 and of their mean, ranked by
     the mean (descending; ties by approach)."""
     wide = per_label.groupBy("approach").pivot("dim", list(dims)).agg(F.avg("macro_f1"))
-    mean = sum((F.col(d) for d in dims[1:]), F.col(dims[0])) / float(len(dims))
-    out = wide.select("approach", mean.alias("mean_f1"), *[F.col(d).alias(f"{d}_f1") for d in dims])
+    mean = f"({' + '.join(f'`{d}`' for d in dims)}) / {float(len(dims))}D"
+    out = wide.selectExpr("approach", f"{mean} AS mean_f1", *[f"`{d}` AS {d}_f1" for d in dims])
     # one row per approach: a global window over this table is tiny
-    w = Window.orderBy(F.col("mean_f1").desc(), F.col("approach").asc())
-    return out.select(
-        F.row_number().over(w).alias("rank"),
+    return out.selectExpr(
+        "row_number() OVER (ORDER BY mean_f1 DESC, approach ASC) AS rank",
         "approach",
-        *[F.round(F.col(c), digits).alias(c) for c in ["mean_f1", *[f"{d}_f1" for d in dims]]],
+        *[f"round({c}, {digits}) AS {c}" for c in ["mean_f1", *[f"{d}_f1" for d in dims]]],
     )
 
 
