@@ -10,9 +10,28 @@ from cvframe.operators import text as T
 
 def test_strip_unicode_whitespace(spark):
     s = " \t  hello world  \x0b\x1c"
-    df = spark.createDataFrame([(s,), ("\t ",), (None,)], "t string")
+    only_ws = "\t  　 "
+    df = spark.createDataFrame([(s,), ("\t ",), (only_ws,), (" x ",), (None,)], "t string")
     got = [r[0] for r in df.select(strip_text(F.col("t"))).collect()]
-    assert got == [s.strip(), "", None]
+    assert got == [s.strip(), "", only_ws.strip(), "x", None]
+
+
+def test_arg_issue_null_in_null_out(spark):
+    from cvframe.sources.corpus_io import null_text_rows, with_arg_issue
+
+    df = spark.createDataFrame([(1, None, "t"), (2, "i", "t")], "post_id long, issue string, post_text string")
+    out = with_arg_issue(df)
+    assert {r["post_id"]: r["arg_issue"] for r in out.collect()} == {1: None, 2: "i t"}
+    assert null_text_rows(out).first()["null_rows"] == 1
+
+
+def test_ensure_parallelism_is_noop_on_split_input(spark):
+    from cvframe.session import ensure_parallelism
+
+    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
+    assert ensure_parallelism(many) is many
+    one = spark.range(0, 1000, numPartitions=1)
+    assert ensure_parallelism(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
 def test_tokenize_words_and_punctuation(spark):
