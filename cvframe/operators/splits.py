@@ -223,12 +223,16 @@ def _greedy_quotas(codes: np.ndarray, counts: np.ndarray, n_labels: int, k: int)
         size_left[:] -= base
         topped = np.zeros(k, dtype=bool)
         for _ in range(rem):
+            # only folds that are not yet ahead in size may take a left-over
+            # row (keeps fold sizes within one); among them the one that
+            # still wants this labelset's labels most, then the lower fold
             score = (demand / norm[None, :]) @ bits[i]
+            room = max(size_left[f] for f in range(k) if not topped[f])
             best = None
             for f in range(k):
-                if topped[f]:
+                if topped[f] or size_left[f] < room - 1e-9:
                     continue
-                key = (score[f], size_left[f], -f)
+                key = (score[f], -f)
                 if best is None or key > best[0]:
                     best = (key, f)
             f = best[1]
@@ -260,6 +264,7 @@ def iterative_stratify(
     seeds: Sequence[int] = KFOLD_SEEDS,
     digits: int = 2,
     keep_code: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Iterative (rarest label first) stratified k-fold: ``(id, repeat, fold)``.
 
@@ -272,22 +277,32 @@ def iterative_stratify(
        cumulative quota range holds it.
     """
     n = len(dims)
-    counts = corpus.groupBy(labelset_code(dims).alias("_code")).agg(F.count(F.lit(1)).alias("_n"))
+    by = list(by)
+    counts = corpus.groupBy(*by, labelset_code(dims).alias("_code")).agg(F.count(F.lit(1)).alias("_n"))
+    by_schema = [f.simpleString().replace(":", " ", 1) for f in corpus.select(*by).schema.fields]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_code").reset_index(drop=True)
         q = _greedy_quotas(pdf["_code"].to_numpy(np.int64), pdf["_n"].to_numpy(np.int64), n, k)
         cum = np.cumsum(q, axis=1)
-        return pd.DataFrame({"_code": pdf["_code"], "_cum": list(cum.tolist())})
-
-    quotas = counts.groupBy(F.lit(0).alias("_g")).applyInPandas(
-        lambda pdf: solve(pdf.drop(columns=["_g"], errors="ignore")), schema="_code long, _cum array<long>"
+        out = pd.DataFrame({b: pdf[b] for b in by})
+        out["_code"] = pdf["_code"]
+        out["_cum"] = list(cum.tolist())
+        return out
+
+    # one pandas group per `by` value; each holds that group's labelset
+    # count table (at most 2**len(dims) rows, independent of the corpus size)
+    grouping = by if by else [F.lit(0).alias("_g")]
+    quotas = counts.groupBy(*grouping).applyInPandas(
+        lambda pdf: solve(pdf.drop(columns=["_g"], errors="ignore")),
+        schema=", ".join([*by_schema, "_code long", "_cum array<long>"]),
     )
-    base = _seeded(corpus, id_col, dims, seeds)
-    idx = ordered_index(base, ["repeat", "_code"], [], "_h", id_col, out_col="_pos", digits=digits)
-    j = idx.join(F.broadcast(quotas), "_code")
+    base = _seeded(corpus, id_col, dims, seeds, by)
+    idx = ordered_index(base, [*by, "repeat", "_code"], [], "_h", id_col, out_col="_pos", digits=digits)
+    j = idx.join(F.broadcast(quotas), [*by, "_code"])
     fold = F.size(F.filter("_cum", lambda c: c <= F.col("_pos")))
-    cols = [F.col(id_col), F.col("repeat").cast("int").alias("repeat"), fold.cast("int").alias("fold")]
+    cols = [*[F.col(b) for b in by], F.col(id_col), F.col("repeat").cast("int").alias("repeat"),
+            fold.cast("int").alias("fold")]
     if keep_code:
         cols.append(F.col("_code"))
     return j.select(*cols)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cvframe.functions.text import TOKEN_PATTERN
 from cvframe.operators.metrics import confusion_counts, macro_prf
 
-NUM_FEATURES = 1 << 18
+NUM_FEATURES = 1 << 16
 
 
 def featurizer(text_col: str = "text", num_features: int = NUM_FEATURES) -> Pipeline:
@@ -58,7 +58,7 @@ class BinaryFit:
 
 
 def fit_binary(train: DataFrame, valid: DataFrame, label: str, text_col: str = "text",
-               reg_params: Sequence[float] = (0.1, 0.01), max_iter: int = 50,
+               reg_params: Sequence[float] = (0.1, 0.01), max_iter: int = 25,
                num_features: int = NUM_FEATURES) -> BinaryFit:
     """K1: fit one candidate per ``reg_param``; keep the best VALID macro F1."""
     feats = featurizer(text_col, num_features).fit(train)
@@ -100,7 +100,7 @@ class MultilabelFit:
 
 
 def fit_multilabel(train: DataFrame, labels: Sequence[str], weights: dict[str, float], text_col: str = "text",
-                   reg_param: float = 0.1, max_iter: int = 50, num_features: int = NUM_FEATURES) -> MultilabelFit:
+                   reg_param: float = 0.1, max_iter: int = 25, num_features: int = NUM_FEATURES) -> MultilabelFit:
     """K2: one weighted logistic regression per label over shared features."""
     feats = featurizer(text_col, num_features).fit(train)
     tr = feats.transform(train).select("features", *[F.col(d).cast("double").alias(d) for d in labels]).cache()

@@ -136,3 +136,19 @@ def test_prepare_rejects_duplicate_ids(spark):
     df = spark.createDataFrame(rows, corpus_schema()).withColumn("dataset_version", F.lit("x"))
     with pytest.raises(ValueError):
         prepare_corpus(df)
+
+
+def test_iterative_by_group_and_feeding_splits(spark, sf_small):
+    docs = fx.table(spark, sf_small, "documents", ["doc_id", "source", "text"])
+    both = fx.corpus_from_documents(docs, "full").select("post_id", *LABEL_COLS) \
+        .withColumn("dataset_version", F.lit("full")).unionByName(
+        fx.corpus_from_documents(docs, "conservative").select("post_id", *LABEL_COLS)
+        .withColumn("dataset_version", F.lit("conservative")))
+    it = S.iterative_stratify(both, by=["dataset_version"], keep_code=True)
+    rows = it.toPandas()
+    assert len(rows) == both.count() * 5
+    sizes = rows.groupby(["dataset_version", "repeat", "fold"]).size()
+    assert (sizes.groupby(level=[0, 1]).agg(lambda x: x.max() - x.min()) <= 1).all()
+    sp = S.assign_splits(both, by=["dataset_version"], test_folds=it).toPandas()
+    test = sp[sp.split == "TEST"].merge(rows, on=["dataset_version", "post_id", "repeat", "fold"])
+    assert len(test) == len(rows)
