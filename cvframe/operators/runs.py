@@ -96,3 +96,24 @@ def score_vectors(runs: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("repeat", "fold", "value"))).alias("_v")
     )
     return g.select("approach", "metric", F.transform("_v", lambda x: x["value"]).alias("scores"))
+
+
+def study_metric_names(kind: str = "multilabel") -> list[str]:
+    """Metric keys of the study's run records (``eval_`` prefix removed), in
+    its report order: the mean first, then one macro F1 per label; the
+    binary report has macro F1, precision and recall of the root label."""
+    from cvframe.schema import DIMS
+
+    if kind == "binary":
+        return [f"{DIMS[0]}_{m}" for m in ("macroF1", "precision", "recall")]
+    return ["mean_F1", *[f"{d}_macroF1" for d in DIMS]]
+
+
+def study_report(runs: DataFrame, kind: str = "multilabel", how: str = "mean") -> DataFrame:
+    """P7 + P9 + R1 on records read in the study's format: one row per
+    approach, the report metrics as snake_case columns in report order."""
+    from cvframe.schema import snake
+
+    metrics = study_metric_names(kind)
+    wide = pivot_runs(summarise(runs, how), metrics)
+    return wide.select("approach", *[F.col(f"`{m}`").alias(snake(m).lower()) for m in metrics])

@@ -73,3 +73,32 @@ def test_latex_lines_escape_and_two_places(spark):
     RIO.write_latex(R.latex_table(R.latex_lines(board, ["x", "y"]), ["approach", "x", "y"]), path)
     text = [r["line"] for r in RIO.read_lines(spark, path).collect()]
     assert text[0].startswith(r"\begin{tabular}") and text[-1] == r"\end{tabular}" and line in text
+
+
+def test_compare_flow_from_study_layout(spark):
+    """Study-format records -> report -> leaderboard -> LaTeX -> Wilcoxon."""
+    import random
+
+    from cvframe.operators import stats as J
+    from cvframe.operators.runs import study_metric_names, study_report
+
+    rnd = random.Random(1)
+    root = tempfile.mkdtemp(prefix="cvframe-study-")
+    keys = study_metric_names()
+    for approach, shift in [("multilabel-a", 0.05), ("multilabel-b", 0.0)]:
+        for r in range(5):
+            for f in range(5):
+                p = os.path.join(root, approach, f"fold{f}", f"fold{r}.{f}")
+                os.makedirs(p)
+                rec = {f"eval_{k}": 0.6 + shift + rnd.random() / 100 for k in keys}
+                rec["eval_loss"] = 0.3
+                with open(os.path.join(p, "test_results.json"), "w") as fh:
+                    json.dump(rec, fh)
+    runs = RIO.read_runs(spark, root, layout="study").cache()
+    rep = study_report(runs)
+    assert rep.columns[:3] == ["approach", "mean_f1", "appropriateness_macrof1"]
+    board = R.leaderboard(rep, "mean_f1").collect()
+    assert [r["approach"] for r in board] == ["multilabel-a", "multilabel-b"]
+    tests = J.wilcoxon(J.approach_pairs(R.f1_metrics(runs))).collect()
+    assert len(tests) == len(keys)
+    assert all(t["n"] == 25 and t["p_value"] < 0.001 for t in tests)
