@@ -47,6 +47,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return d.rstrip("/")
     d = sc.getConf().get(_CONF_KEY, None) or spark.conf.get(_CONF_KEY, None)
     if not d:
+        if not sc.master.startswith("local"):
+            # a folder on the driver's disk is invisible to executors
+            raise RuntimeError(f"set {_CONF_KEY} to a shared folder (e.g. on the cluster file system)")
         d = tempfile.mkdtemp(prefix="cvframe-ckpt-")
         spark.conf.set(_CONF_KEY, d)
     sc.setCheckpointDir(d)
