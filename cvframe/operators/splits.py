@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cvframe.functions.hashing import keyed_md5
-from cvframe.operators.index import BUCKET_COL, bucket_offsets, ordered_index
+from cvframe.operators.index import BUCKET_COL, ordered_index
 from cvframe.schema import HOLDOUT_EVERY, HOLDOUT_SEED, KFOLD_SEEDS, LABEL_COLS, N_FOLDS
 
 MAX_LABELS = 30  # labelset code is a bit mask in a BIGINT

@@ -8,7 +8,7 @@ from cvframe.operators import metrics as M
 from cvframe.operators import splits as S
 from cvframe.plans import fixtures as fx
 from cvframe.plans import oracle as O
-from cvframe.plans.evaluate import cv_evaluate, leaderboard_from_metrics, per_label_metrics
+from cvframe.plans.evaluate import cv_evaluate, per_label_metrics
 from cvframe.plans.registry import register
 from cvframe.schema import LABEL_COLS, TREE
 
