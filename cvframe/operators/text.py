@@ -1,9 +1,10 @@
 """Text preparation (T1-T9): strip, tokenize, token-shuffle ablation,
 truncation, vocabulary encoding, batching and per-batch padding.
 
-Everything runs as native expressions over whole texts; the only shuffles
-are the vocabulary count (map-side combined), the re-grouping of encoded
-tokens by row id and the per-batch window.
+Everything runs as native expressions over whole texts.  Shuffles: the
+vocabulary count (map-side combined), one of the raw rows by id before
+encoding (none if the table is already bucketed by id; the encoded tokens
+are then regrouped in place) and the per-batch window.
 """
 
 from __future__ import annotations
