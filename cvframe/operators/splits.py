@@ -99,8 +99,10 @@ def assign_splits(
     digits: int = 2,
     test_folds: DataFrame | None = None,
     by: Sequence[str] = (),
+    per_repeat: bool = False,
 ) -> DataFrame:
-    """Long split table ``(id, repeat, fold, split)``: one row per post and cell.
+    """Long split table ``(id, repeat, fold, split)``: one row per post and cell
+    (``per_repeat=True``: one row per post and repeat, ``splits`` array).
 
     ``test_folds`` may carry a precomputed ``(id, repeat, fold, _code)``
     TEST assignment (e.g. from :func:`iterative_stratify`); by default the
@@ -144,14 +146,38 @@ def assign_splits(
         F.array(*[F.sum((F.col("_test") == f).cast("bigint")).over(w_run) for f in range(k)]).alias("_seen"),
     )
     j = ranked.join(offsets, keys, "left")  # see ordered_index on why left
-
-    cell = (f"named_struct('fold', f, 'split', CASE WHEN f = _test THEN 'TEST' "
-            f"WHEN (element_at(_offs, f + 1) + _rn - element_at(_seen, f + 1)) % {every} = 0 THEN 'VALID' "
-            f"ELSE 'TRAIN' END)")
+    if per_repeat:
+        # (id, repeat) rows with the k splits of that repeat as an array
+        return j.selectExpr(*[f"`{b}`" for b in by], f"`{id_col}`", "CAST(repeat AS INT) AS repeat",
+                            f"transform(sequence(0, {k - 1}), f -> {_split_case(every)}) AS splits")
+    cell = f"named_struct('fold', f, 'split', {_split_case(every)})"
     return j.selectExpr(*[f"`{b}`" for b in by], f"`{id_col}`", "CAST(repeat AS INT) AS repeat",
                         f"inline(transform(sequence(0, {k - 1}), f -> {cell}))")
 
 
+def _split_case(every: int) -> str:
+    """Split of cell fold ``f`` for a ranked row (SQL text)."""
+    return (f"CASE WHEN f = _test THEN 'TEST' "
+            f"WHEN (element_at(_offs, f + 1) + _rn - element_at(_seen, f + 1)) % {every} = 0 THEN 'VALID' "
+            f"ELSE 'TRAIN' END")
+
+
+def assign_splits_wide(corpus: DataFrame, id_col: str = "post_id", dims: Sequence[str] = LABEL_COLS,
+                       k: int = N_FOLDS, seeds: Sequence[int] = KFOLD_SEEDS, name: str = "fold{repeat}_{fold}",
+                       by: Sequence[str] = (), **kw) -> DataFrame:
+    """Export form computed directly: one row per id, one column per cell.
+
+    Each (id, repeat) row already knows all ``k`` splits of its repeat, so
+    only ``repeats`` rows per id are shuffled to meet (a pivot of the long
+    table would shuffle ``repeats x k``)."""
+    by = list(by)
+    per = assign_splits(corpus, id_col, dims, k, seeds, by=by, per_repeat=True, **kw)
+    wide = per.groupBy(*by, id_col).pivot("repeat", list(range(len(seeds)))).agg(F.first("splits"))
+    cols = [f"element_at(`{r}`, {f + 1}) AS `{name.format(repeat=r, fold=f)}`"
+            for r in range(len(seeds)) for f in range(k)]
+    return wide.selectExpr(*[f"`{b}`" for b in by], f"`{id_col}`", *cols)
+
+
 def test_split(corpus: DataFrame, id_col: str = "post_id", dims: Sequence[str] = LABEL_COLS, k: int = N_FOLDS,
                seeds: Sequence[int] = KFOLD_SEEDS, digits: int = 2) -> DataFrame:
     """The TEST rows of :func:`assign_splits` - by definition the k-fold

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cvframe.operators.splits import assign_splits, splits_wide
+from cvframe.operators.splits import assign_splits_wide
 from cvframe.schema import LABEL_COLS
 from cvframe.sources.corpus_io import rename_labels, with_arg_issue, write_corpus
 
@@ -31,8 +31,7 @@ def prepare_corpus(corpus: DataFrame, by: Sequence[str] = ("dataset_version",),
     corpus = rename_labels(corpus)
     if check_unique and duplicate_ids(corpus, id_col, by).limit(1).count() > 0:
         raise ValueError("duplicate ids in corpus: split assignment would be ambiguous")
-    splits = assign_splits(corpus.select(*by, id_col, *dims), id_col=id_col, dims=dims, by=by)
-    wide = splits_wide(splits, id_col=id_col, name=name, by=by)
+    wide = assign_splits_wide(corpus.select(*by, id_col, *dims), id_col=id_col, dims=dims, name=name, by=by)
     return with_arg_issue(corpus).join(wide, [*by, id_col])
 
 

@@ -82,7 +82,7 @@ def q_assign_splits(spark, sf):
     + " FROM splits GROUP BY post_id",
 )
 def q_splits_wide(spark, sf):
-    return S.splits_wide(_splits(spark, sf))
+    return S.assign_splits_wide(_gold(spark, sf))
 
 
 @register("iterative_stratify")

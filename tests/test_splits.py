@@ -152,3 +152,10 @@ def test_iterative_by_group_and_feeding_splits(spark, sf_small):
     sp = S.assign_splits(both, by=["dataset_version"], test_folds=it).toPandas()
     test = sp[sp.split == "TEST"].merge(rows, on=["dataset_version", "post_id", "repeat", "fold"])
     assert len(test) == len(rows)
+
+
+def test_direct_wide_equals_pivot_of_long(gold):
+    a = S.assign_splits_wide(gold)
+    b = S.splits_wide(S.assign_splits(gold))
+    assert sorted(a.columns) == sorted(b.columns)
+    assert a.exceptAll(b.select(*a.columns)).count() == 0 and a.count() == b.count()
