@@ -44,10 +44,16 @@ def prepare_study(spark: SparkSession, variants: Mapping[str, str], out: str, fm
     return spark.read.format(fmt).load(out) if fmt != "csv" else spark.read.options(**C.CSV_OPTIONS).csv(out)
 
 
-def _long_splits_from_wide(prepared: DataFrame, id_col: str = "post_id") -> DataFrame:
-    cells = [(r, f) for r in range(len(KFOLD_SEEDS)) for f in range(N_FOLDS)]
-    entries = ", ".join(f"named_struct('repeat', {r}, 'fold', {f}, 'split', `fold{r}_{f}`)" for r, f in cells)
-    return prepared.selectExpr(f"`{id_col}`", f"inline(array({entries}))")
+def _test_cells_from_wide(prepared: DataFrame, id_col: str = "post_id") -> DataFrame:
+    """``(id, repeat, fold, 'TEST')``: per repeat, the one cell whose split
+    column says TEST - five rows per post, never the 25-cell long form."""
+    def test_fold(r: int) -> str:
+        whens = " ".join(f"WHEN `fold{r}_{f}` = 'TEST' THEN {f}" for f in range(N_FOLDS))
+        return f"CASE {whens} END"
+
+    entries = ", ".join(f"named_struct('repeat', {r}, 'fold', {test_fold(r)}, 'split', 'TEST')"
+                        for r in range(len(KFOLD_SEEDS)))
+    return prepared.selectExpr(f"`{id_col}`", f"inline(array({entries}))").filter(F.col("fold").isNotNull())
 
 
 def evaluate_study(prepared: DataFrame, preds: DataFrame, kind: str = "multilabel", repair: str | None = None,
@@ -57,7 +63,7 @@ def evaluate_study(prepared: DataFrame, preds: DataFrame, kind: str = "multilabe
     ``kind='binary'`` scores the root label from ``logit_0`` (argmax of
     ``(-x, x)``); ``repair`` in {None, 'reference', 'corrected'} applies the
     hierarchy repair before scoring (the study's opt-in flag)."""
-    splits = _long_splits_from_wide(prepared).filter(F.col("split") == "TEST")
+    splits = _test_cells_from_wide(prepared)
     gold = prepared.select("post_id", *dims)
     if kind == "binary":
         dims = dims[:1]
