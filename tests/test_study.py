@@ -53,3 +53,19 @@ def test_prepare_evaluate_compare(spark, sf_small):
     assert "eval_appropriateness_macro_f1" in binary.columns and binary.count() == 75
     fixed = study.evaluate_study(maj, preds, repair="reference")
     assert fixed.count() == 75
+
+
+def test_cli_compare_writes_report(spark):
+    import os
+
+    root = tempfile.mkdtemp(prefix="cvframe-cli-")
+    wide = spark.createDataFrame(
+        [(a, r, f, 0.5 + 0.1 * i + 0.001 * (r * 5 + f)) for i, a in enumerate(["x", "y"]) for r in range(5)
+         for f in range(5)], "approach string, repeat int, fold int, eval_mean_F1 double")
+    RIO.write_runs(wide, f"{root}/runs")
+    study.main(["compare", "--runs", f"{root}/runs", "--out", f"{root}/report"])
+    board = spark.read.parquet(f"{root}/report/leaderboard").orderBy("rank").collect()
+    assert [r["approach"] for r in board] == ["y", "x"]
+    sig = spark.read.parquet(f"{root}/report/significance").first()
+    assert sig["n"] == 25 and sig["significant"]
+    assert any(n.startswith("part-") for n in os.listdir(f"{root}/report/table.tex"))
