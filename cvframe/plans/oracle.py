@@ -154,9 +154,9 @@ def vocab_cte(size: int, toks: str = "toks", name: str = "vocab") -> str:
   FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rk FROM vcount) WHERE rk <= {size})"""
 
 
-def encode_cte(max_len: int, toks: str = "toks", vocab: str = "vocab", name: str = "enc") -> str:
-    return f"""flat AS (SELECT post_id, unnest(tokens[1:{max_len}]) AS token,
-                 generate_subscripts(tokens[1:{max_len}], 1) AS pos FROM {toks}),
+def encode_cte(toks: str = "toks", vocab: str = "vocab", name: str = "enc") -> str:
+    """Every token of every row (whole texts) to its id, unknown -> 1."""
+    return f"""flat AS (SELECT post_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM {toks}),
 enc0 AS (SELECT post_id, list(coalesce(v.id, 1) ORDER BY pos) AS ids FROM flat LEFT JOIN {vocab} v USING (token)
          GROUP BY post_id),
 {name} AS (SELECT t.post_id, coalesce(e.ids, CAST([] AS INTEGER[])) AS ids FROM {toks} t LEFT JOIN enc0 e USING (post_id))"""

@@ -235,16 +235,23 @@ def q_truncate(spark, sf):
 
 
 def _encoded(spark, sf):
+    """Ids of every token of the whole text."""
     # rows hash-partitioned by id before tokenizing: the token lookup and the
     # regroup of each row's ids then need no shuffle of exploded tokens
     c = fx.corpus(spark, sf).select("post_id", "post_text").repartition("post_id")
     t = T.tokens_col(c, "post_text").select("post_id", "tokens")
     vocab = T.build_vocab(t, size=VOCAB_SIZE)
-    return T.encode(t.select("post_id", T.truncate(F.col("tokens"), MAX_LEN).alias("tokens")), vocab,
-                    vocab_size=VOCAB_SIZE)
+    return T.encode(t, vocab, vocab_size=VOCAB_SIZE)
 
 
-WITH_ENC = WITH_TOKS.rstrip() + ",\n" + O.vocab_cte(VOCAB_SIZE) + ",\n" + O.encode_cte(MAX_LEN) + "\n"
+def _model_input(spark, sf):
+    """The model's input: ids cut at the input limit (T4), as the study's
+    tokenizer does; everything before this works on whole texts."""
+    return _encoded(spark, sf).select("post_id", T.truncate(F.col("ids"), MAX_LEN).alias("ids"))
+
+
+WITH_ENC = WITH_TOKS.rstrip() + ",\n" + O.vocab_cte(VOCAB_SIZE) + ",\n" + O.encode_cte() + "\n"
+WITH_INPUT = WITH_ENC.rstrip() + f",\nmodel_in AS (SELECT post_id, ids[1:{MAX_LEN}] AS ids FROM enc)\n"
 
 
 @register(
@@ -258,10 +265,11 @@ def q_encode(spark, sf):
 
 @register(
     "attention_mask",
-    WITH_ENC + "SELECT post_id, array_to_string(list_transform(ids, lambda x: 1), ',') AS attention_mask FROM enc",
+    WITH_INPUT + "SELECT post_id, array_to_string(list_transform(ids, lambda x: 1), ',') AS attention_mask "
+    "FROM model_in",
 )
 def q_attention_mask(spark, sf):
-    e = _encoded(spark, sf).withColumn("attention_mask", T.attention_mask(F.col("ids")))
+    e = _model_input(spark, sf).withColumn("attention_mask", T.attention_mask(F.col("ids")))
     return e.select("post_id", _ids_str("attention_mask").alias("attention_mask"))
 
 
@@ -272,9 +280,9 @@ def q_make_batches(spark, sf):
 
 @register(
     "pad_batches",
-    WITH_ENC.rstrip() + ",\n" + O.batches_cte() + """,
+    WITH_INPUT.rstrip() + ",\n" + O.batches_cte() + """,
 j AS (SELECT e.post_id, b.batch_id, b.slot, e.ids, len(e.ids) AS n,
-             max(len(e.ids)) OVER (PARTITION BY b.batch_id) AS m FROM enc e JOIN batches b USING (post_id))
+             max(len(e.ids)) OVER (PARTITION BY b.batch_id) AS m FROM model_in e JOIN batches b USING (post_id))
 SELECT post_id, batch_id, slot,
        array_to_string(list_concat(ids, list_transform(range(m - n), lambda x: 0)), ',') AS ids,
        array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(m - n), lambda x: 0)), ',')
@@ -282,7 +290,7 @@ SELECT post_id, batch_id, slot,
 FROM j""",
 )
 def q_pad_batches(spark, sf):
-    e = _encoded(spark, sf)
+    e = _model_input(spark, sf)
     # batch order needs only the ids: take them from the id column, not from
     # the encoded rows (which would re-run the encoder for a second branch)
     b = T.make_batches(_gold(spark, sf).select("post_id")).join(e, "post_id")
