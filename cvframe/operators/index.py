@@ -8,15 +8,17 @@ the corpus) would do the same.  Instead:
 1. split every ``(P, G)`` group into ``16**digits`` buckets by the leading
    hex digits of ``h`` (buckets are ordered the same way as ``h``);
 2. count rows per ``(P, G, bucket)`` with a map-side partial aggregate;
-3. running sum of those counts over the count table gives each bucket's
-   offset.  The count table has at most ``|P| x |G| x 16**digits`` rows no
-   matter how many rows the input has;
+3. a running sum over the count table (ordered by ``G`` then bucket, one
+   window per ``P`` value) gives each bucket's offset.  The count table
+   never has more than ``|P| x |G| x 16**digits`` rows, whatever the input
+   size;
 4. ``row_number`` *within* ``(P, G, bucket)`` and add the bucket offset.
 
-The offset table is joined on the same keys the window is partitioned by,
-so the big side is shuffled exactly once; AQE broadcasts the offsets when
-their measured size is under the broadcast threshold and falls back to a
-co-partitioned join otherwise.
+``digits=3`` (4096 buckets per group) keeps a group holding 10^10 rows at a
+few million rows per window task.  The offset table is joined on the keys
+the window is partitioned by, so the big side is shuffled exactly once; AQE
+broadcasts the offsets when their measured size is small and falls back to
+a co-partitioned join otherwise.
 """
 
 from __future__ import annotations
@@ -29,6 +31,26 @@ from pyspark.sql import functions as F
 BUCKET_COL = "_bkt"
 
 
+def running_offsets(
+    counts: DataFrame,
+    partition_cols: Sequence[str],
+    group_cols: Sequence[str],
+    bucket_col: str,
+    count_cols: Sequence[str],
+    offset_cols: Sequence[str],
+) -> DataFrame:
+    """Adds, per count column, the sum of that column over all rows that come
+    earlier in ``(G, bucket)`` order within ``P``.
+
+    One window pass per ``P`` value over the count table, which holds at most
+    ``|G| x 16**digits`` rows per ``P`` however large the input is (a
+    two-level variant would read the count table twice, and with it every
+    stage above it)."""
+    w = Window.partitionBy(*partition_cols).orderBy(*group_cols, bucket_col).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return counts.select("*", *[(F.sum(c).over(w) - F.col(c)).alias(o) for c, o in zip(count_cols, offset_cols)])
+
+
 def bucket_offsets(
     df: DataFrame,
     partition_cols: Sequence[str],
@@ -40,12 +62,7 @@ def bucket_offsets(
     """Per ``(P, G, bucket)``: number of rows and rows in all earlier buckets."""
     keys = [*partition_cols, *group_cols, bucket_col]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
-    w = (
-        Window.partitionBy(*partition_cols)
-        .orderBy(*group_cols, bucket_col)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return counts.withColumn(offset_col, F.sum(count_col).over(w) - F.col(count_col))
+    return running_offsets(counts, partition_cols, group_cols, bucket_col, [count_col], [offset_col])
 
 
 def ordered_index(
@@ -55,7 +72,7 @@ def ordered_index(
     hash_col: str,
     id_col: str,
     out_col: str = "pos",
-    digits: int = 2,
+    digits: int = 3,
 ) -> DataFrame:
     """Adds ``out_col`` = 0-based position in ``(G, hash, id)`` order within ``P``."""
     d = df.withColumn(BUCKET_COL, F.substring(F.col(hash_col), 1, digits))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cvframe.functions.hashing import keyed_md5
-from cvframe.operators.index import BUCKET_COL, ordered_index
+from cvframe.operators.index import BUCKET_COL, ordered_index, running_offsets
 from cvframe.schema import HOLDOUT_EVERY, HOLDOUT_SEED, KFOLD_SEEDS, LABEL_COLS, N_FOLDS
 
 MAX_LABELS = 30  # labelset code is a bit mask in a BIGINT
@@ -69,7 +69,7 @@ def ms_kfold(
     dims: Sequence[str] = LABEL_COLS,
     k: int = N_FOLDS,
     seeds: Sequence[int] = KFOLD_SEEDS,
-    digits: int = 2,
+    digits: int = 3,
     keep_code: bool = False,
     by: Sequence[str] = (),
 ) -> DataFrame:
@@ -96,7 +96,7 @@ def assign_splits(
     seeds: Sequence[int] = KFOLD_SEEDS,
     holdout_seed: int = HOLDOUT_SEED,
     every: int = HOLDOUT_EVERY,
-    digits: int = 2,
+    digits: int = 3,
     test_folds: DataFrame | None = None,
     by: Sequence[str] = (),
     per_repeat: bool = False,
@@ -127,14 +127,10 @@ def assign_splits(
         F.count(F.lit(1)).alias("_tot"),
         *[F.sum((F.col("_test") == f).cast("bigint")).alias(f"_c{f}") for f in range(k)],
     )
-    w_off = Window.partitionBy(*by, "repeat").orderBy("_code", BUCKET_COL).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    offs = []
-    for f in range(k):
-        n_f = F.col("_tot") - F.col(f"_c{f}")
-        offs.append(F.sum(n_f).over(w_off) - n_f)
-    offsets = counts.select(*keys, F.array(*offs).alias("_offs"))
+    nontest = counts.select(*keys, *[(F.col("_tot") - F.col(f"_c{f}")).alias(f"_n{f}") for f in range(k)])
+    offsets = running_offsets(nontest, [*by, "repeat"], ["_code"], BUCKET_COL,
+                              [f"_n{f}" for f in range(k)], [f"_o{f}" for f in range(k)])
+    offsets = offsets.select(*keys, F.array(*[F.col(f"_o{f}") for f in range(k)]).alias("_offs"))
 
     w_rn = Window.partitionBy(*keys).orderBy("_h2", id_col)
     w_run = w_rn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -179,7 +175,7 @@ def assign_splits_wide(corpus: DataFrame, id_col: str = "post_id", dims: Sequenc
 
 
 def test_split(corpus: DataFrame, id_col: str = "post_id", dims: Sequence[str] = LABEL_COLS, k: int = N_FOLDS,
-               seeds: Sequence[int] = KFOLD_SEEDS, digits: int = 2) -> DataFrame:
+               seeds: Sequence[int] = KFOLD_SEEDS, digits: int = 3) -> DataFrame:
     """The TEST rows of :func:`assign_splits` - by definition the k-fold
     assignment itself - without the holdout pass.  Evaluation needs only
     these, so it skips the three holdout shuffles."""
@@ -193,7 +189,7 @@ def ms_holdout(
     dims: Sequence[str] = LABEL_COLS,
     seed: int = HOLDOUT_SEED,
     every: int = HOLDOUT_EVERY,
-    digits: int = 2,
+    digits: int = 3,
 ) -> DataFrame:
     """Single stratified holdout over the whole input: ``(id, split)`` with
     every ``every``-th row in (labelset, md5) order in VALID, rest TRAIN."""
@@ -288,7 +284,7 @@ def iterative_stratify(
     dims: Sequence[str] = LABEL_COLS,
     k: int = N_FOLDS,
     seeds: Sequence[int] = KFOLD_SEEDS,
-    digits: int = 2,
+    digits: int = 3,
     keep_code: bool = False,
     by: Sequence[str] = (),
 ) -> DataFrame:

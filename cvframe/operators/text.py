@@ -99,7 +99,7 @@ def attention_mask(ids: Column) -> Column:
 
 
 def make_batches(df: DataFrame, id_col: str = "post_id", seed="batches", size: int = 16,
-                 digits: int = 2) -> DataFrame:
+                 digits: int = 3) -> DataFrame:
     """Deterministic batch order, ``batch_id = position div size``.
 
     The position is a global index in ``md5(seed ':' id)`` order computed
