@@ -20,6 +20,7 @@ PAD_ID = 0
 UNK_ID = 1
 FIRST_ID = 2
 MAX_BROADCAST_VOCAB = 2_000_000  # rows; above this the join is left to AQE
+VOCAB_SHARDS = 64
 
 
 def strip_col(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -58,15 +59,23 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", size: int = 30000) -> Dat
     """``(token, id)`` for the ``size`` most frequent tokens (ties by
     token); ids start at 2 (0 = pad, 1 = unknown).
 
-    Counting is a partial aggregate; the top-``size`` selection keeps at most
-    ``size`` rows per partition before the final merge, so the result is
-    bounded by the parameter, not by the corpus.
+    Counting is a partial aggregate; the top-``size`` selection is bounded by
+    the parameter (see below), not by the corpus or its partition count.
     """
     # explode_outer + filter: a plain explode lets Catalyst infer a
     # ``size(tokens) > 0`` filter and push it (and the tokenizer) into the scan
     toks = df.select(F.explode_outer(tokens).alias("token")).filter(F.col("token").isNotNull())
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc(), F.col("token").asc()).limit(size)
+    # exact top-`size` in two steps: the best `size` of each of
+    # VOCAB_SHARDS hash shards (a grouped row_number limit, evaluated per
+    # task before its shuffle), then the best `size` of those candidates -
+    # so the final single-task merge sees at most VOCAB_SHARDS x size rows
+    # however many partitions the counts have
+    order = [F.col("n").desc(), F.col("token").asc()]
+    shard = (F.abs(F.hash("token")) % VOCAB_SHARDS).alias("_s")
+    w_shard = Window.partitionBy("_s").orderBy(*order)
+    cand = counts.select("*", shard).withColumn("_r", F.row_number().over(w_shard)).filter(F.col("_r") <= size)
+    top = cand.select("token", "n").orderBy(*order).limit(size)
     w = Window.orderBy(F.col("n").desc(), F.col("token").asc())  # <= size rows
     return top.select("token", (F.row_number().over(w) + F.lit(FIRST_ID - 1)).cast("int").alias("id"))
 
