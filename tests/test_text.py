@@ -85,3 +85,16 @@ def test_truncate_and_pack(spark):
     assert T.pack_labels(df, ["a", "b"], "binary").first()["labels"] == 1
     toks = spark.createDataFrame([(list("abcdef"),)], "t array<string>")
     assert toks.select(T.truncate(F.col("t"), 4)).first()[0] == list("abcd")
+
+
+def test_vocab_top_k_exact_with_ties(spark):
+    import random
+
+    rnd = random.Random(4)
+    words = [f"w{i:03d}" for i in range(400)]
+    rows = [(i, [rnd.choice(words[: rnd.choice([5, 50, 400])]) for _ in range(30)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "post_id long, tokens array<string>")
+    got = [(r["token"], r["id"]) for r in T.build_vocab(df, size=120).orderBy("id").collect()]
+    counts = Counter(t for _, toks in rows for t in toks)
+    exp = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:120]
+    assert got == [(t, i + 2) for i, (t, _) in enumerate(exp)]
