@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvframe.llm import mixing
+from cvframe.llm import html_text, mixing
 from cvframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,14 @@ def query(fn):
     return fn
 
 
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract(F.col("html")).alias("main"))
+    return pages.select("page_id", "url", F.col("main.text").alias("text"),
+                        F.length("main.text").cast("long").alias("n_chars"),
+                        F.col("main.n_lines").alias("n_lines"), F.col("main.n_kept").alias("n_kept"))
+
+
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
