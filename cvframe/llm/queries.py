@@ -13,9 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvframe.llm import html_text, mixing, simhash
+from cvframe.llm import html_text, mixing, pieces, simhash
 from cvframe.llm.common import table
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file by name (the operators take any path)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -39,6 +46,16 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("main.n_lines").alias("n_lines"), F.col("main.n_kept").alias("n_kept"))
 
 
+@query
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
