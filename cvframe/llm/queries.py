@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvframe.llm import html_text, mixing, pieces, simhash
+from cvframe.llm import html_text, mixing, pieces, sequences, simhash
 from cvframe.llm.common import table
 
 def tokenizer_path(name: str) -> str:
@@ -56,6 +56,13 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = sequences.new_folder(spark)
+    shards = sequences.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder, end_id=2)
+    return sequences.read_documents(shards, folder)
+
+
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
