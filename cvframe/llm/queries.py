@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvframe.llm import html_text, mixing, pieces, sequences, simhash
+from cvframe.llm import html_text, impact_topk, mixing, pieces, prefix_forest, sequences, simhash
 from cvframe.llm.common import table
 
 def tokenizer_path(name: str) -> str:
@@ -72,3 +72,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_mixing"] = mixing.ORACLE
+
+
+@query
+def op8_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+ORACLES["op8_impact_topk"] = impact_topk.ORACLE
+
+
+@query
+def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
