@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvframe.llm import html_text, impact_topk, mixing, pieces, prefix_forest, sequences, simhash
+from cvframe.llm import html_text, impact_topk, mixing, pieces, prefix_forest, quality, sequences, simhash
 from cvframe.llm.common import table
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +32,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), sf_dir)
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
