@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvframe.llm import html_text, impact_topk, mixing, pieces, prefix_forest, quality, sequences, simhash
+from cvframe.llm import html_text, impact_topk, mixing, pieces, prefix_forest, quality, sequences, simhash, toxicity
 from cvframe.llm.common import table
 
 def tokenizer_path(name: str) -> str:
@@ -87,6 +87,11 @@ def op8_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op8_impact_topk"] = impact_topk.ORACLE
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), sf_dir)
+
+
 @query
 def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
