@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvframe.llm import html_text, impact_topk, mixing, pieces, prefix_forest, quality, sequences, simhash, toxicity
+from cvframe.llm import chat_tools, html_text, impact_topk, mixing, pieces, prefix_forest, quality, sequences, simhash, toxicity
 from cvframe.llm.common import table
 
 def tokenizer_path(name: str) -> str:
@@ -43,6 +43,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_tools.from_conversations(table(spark, sf_dir, "conversations"))
+    return chat_tools.link(calls, results, chat_tools.TOOLS)
+
+
 @query
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract(F.col("html")).alias("main"))
