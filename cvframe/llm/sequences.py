@@ -17,6 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from cvframe.session import scratch_dir
 LENGTH = 2048         # tokens in a sequence
 BATCH = 256           # sequences in a record batch
 SLICE_BYTES = 4 << 20
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000   # chunks remembered by one worker; forgetting only costs time
+GROUP = 100             # words the library gets in one text
 
 
 class ChunkEncoder:
@@ -54,12 +56,33 @@ class ChunkEncoder:
             and not pre.get("add_prefix_space") and conf.get("truncation") is None and conf.get("padding") is None
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t.get("normalized") or re.search(r"\s", t["content"])
                         for t in conf.get("added_tokens", [])))
-        self.limit, self.known, self.whole = limit, {}, {}
+        self.limit, self.whole = limit, {}
+        self.known, self.table = _Rows(), []
         self._beside = re.compile(r"[^\S ] | [^\S ]")
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)   # tokens that begin with a space
+        self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with the space before it.
+
+        The library gets many words in one text; a chunk begins with the only
+        token that begins with a space, so its ids are cut out there."""
+        out: list[bytes] = []
+        for a in range(0, len(words), GROUP):
+            part = words[a:a + GROUP]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(part) and at[0] == 0:
+                raw, cuts = ids.tobytes(), (at * 4).tolist()
+                out += [raw[x:y] for x, y in zip(cuts, [*cuts[1:], len(raw)])]
+            else:
+                out += self._ids([" " + w for w in part])
+        return out
+
     @staticmethod
     def _odd_chunks(text: str) -> list[str]:
         """Cuts before each space that has no white space on either side."""
@@ -71,26 +94,32 @@ class ChunkEncoder:
         if not self.by_chunk:
             return self._ids(texts)
         if len(self.known) + len(self.whole) > self.limit:
-            self.known.clear()
-            self.whole.clear()
-        known, whole = self.known, self.whole
-        split: list[tuple[list[str], list[str]]] = []     # chunks as they are, then words that follow a space
+            self.known, self.table, self.whole = _Rows(), [], {}
+        row, whole = self.known.__getitem__, self.whole
+        split: list[tuple[list[str], list[int]]] = []     # chunks as they are, then rows of words that follow a space
         for t in texts:
             words = t.split(" ")
             if "" in words or self._beside.search(t):
                 split.append((self._odd_chunks(t), []))
             else:
-                split.append((words[:1], words[1:]))
-        new = list({w for _, ws in split for w in ws if w not in known})
+                split.append((words[:1], list(map(row, words[1:]))))
+        if len(self.known) > len(self.table):
+            self.table += self._after_space(list(islice(self.known, len(self.table), None)))
         new_whole = list({c for cs, _ in split for c in cs if c not in whole})
-        for part in (new[a:a + 20_000] for a in range(0, len(new), 20_000)):
-            known.update(zip(part, self._ids([" " + w for w in part])))
         for part in (new_whole[a:a + 20_000] for a in range(0, len(new_whole), 20_000)):
             whole.update(zip(part, self._ids(part)))
-        get, get_whole = known.__getitem__, whole.__getitem__
+        get, get_whole = self.table.__getitem__, whole.__getitem__
         return [b"".join([*map(get_whole, cs), *map(get, ws)]) for cs, ws in split]
 
 
+class _Rows(dict):
+    """word -> row; an unknown word gets the next row."""
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        return row
+
+
 _ENCODERS: dict[int, ChunkEncoder] = {}
 
 
