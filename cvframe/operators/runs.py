@@ -66,16 +66,19 @@ def mark_best(summary: DataFrame, digits: int = 2) -> DataFrame:
     )
 
 
-def latex_lines(board: DataFrame, cols: Sequence[str], key: str = "approach", order: str = "rank") -> DataFrame:
-    """One LaTeX body line per row: escaped name, values ``0.00``."""
+def latex_lines(board: DataFrame, cols: Sequence[str], key: str = "approach", order: str = "rank",
+                missing: str = "--") -> DataFrame:
+    """One LaTeX body line per row: escaped name, values ``0.00``; a NULL
+    cell shows ``missing`` and keeps its column."""
     name = F.regexp_replace(F.col(key), "_", r"\\_")
-    cells = [name] + [two_places(F.col(c)).cast("string") for c in cols]
+    cells = [name] + [F.coalesce(two_places(F.col(c)).cast("string"), F.lit(missing)) for c in cols]
     return board.select(F.col(order), F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("line"))
 
 
 def latex_table(lines: DataFrame, header: Sequence[str]) -> DataFrame:
-    """Whole table text as ``(i, line)`` rows: header, body (in rank order),
-    footer.  The frame lines are constants; the body stays a DataFrame."""
+    """Whole table text as ``(part, i, line)`` rows: header (part 0), body
+    (part 1, in rank order), footer (part 2).  The frame lines are constants;
+    the body stays a DataFrame."""
     spark = lines.sparkSession
     head = [
         r"\begin{tabular}{l" + "r" * (len(header) - 1) + "}",
@@ -84,9 +87,9 @@ def latex_table(lines: DataFrame, header: Sequence[str]) -> DataFrame:
         r"\midrule",
     ]
     foot = [r"\bottomrule", r"\end{tabular}"]
-    fixed = [(i, s) for i, s in enumerate(head)] + [(1_000_000 + i, s) for i, s in enumerate(foot)]
-    frame = spark.createDataFrame(fixed, "i int, line string")
-    body = lines.select((F.col("rank") + F.lit(len(head) - 1)).cast("int").alias("i"), "line")
+    fixed = [(0, i, s) for i, s in enumerate(head)] + [(2, i, s) for i, s in enumerate(foot)]
+    frame = spark.createDataFrame(fixed, "part int, i int, line string")
+    body = lines.select(F.lit(1).alias("part"), F.col("rank").cast("int").alias("i"), "line")
     return frame.unionByName(body)
 
 
@@ -99,21 +102,18 @@ def score_vectors(runs: DataFrame) -> DataFrame:
 
 
 def study_metric_names(kind: str = "multilabel") -> list[str]:
-    """Metric keys of the study's run records (``eval_`` prefix removed), in
-    its report order: the mean first, then one macro F1 per label; the
-    binary report has macro F1, precision and recall of the root label."""
-    from cvframe.schema import DIMS
+    """Metrics of the study's report in its order: the mean first, then one
+    macro F1 per label; the binary report has macro F1, precision and recall
+    of the root label."""
+    from cvframe.schema import LABEL_COLS
 
     if kind == "binary":
-        return [f"{DIMS[0]}_{m}" for m in ("macroF1", "precision", "recall")]
-    return ["mean_F1", *[f"{d}_macroF1" for d in DIMS]]
+        return [f"{LABEL_COLS[0]}_{m}" for m in ("macroF1", "precision", "recall")]
+    return ["mean_F1", *[f"{d}_macroF1" for d in LABEL_COLS]]
 
 
 def study_report(runs: DataFrame, kind: str = "multilabel", how: str = "mean") -> DataFrame:
-    """P7 + P9 + R1 on records read in the study's format: one row per
-    approach, the report metrics as snake_case columns in report order."""
-    from cvframe.schema import snake
-
+    """P7 + P9 + R1: the study's report, one row per approach and its fixed
+    columns in report order (16 for multilabel, 4 for binary)."""
     metrics = study_metric_names(kind)
-    wide = pivot_runs(summarise(runs, how), metrics)
-    return wide.select("approach", *[F.col(f"`{m}`").alias(snake(m).lower()) for m in metrics])
+    return report_columns(pivot_runs(summarise(runs, how), metrics), ["approach", *metrics])

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvframe.schema import DIMS, LABEL_COLS, RENAME_LABELS, corpus_schema, snake
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
+# Every value comes back as it was: blanks at either end stay, an empty text
+# is a quoted empty field and NULL an unquoted one (as in the study's files).
+# The reader's NULL mark is what an unquoted empty field turns into inside the
+# parser; it must differ from the empty text, so it is a lone NUL character.
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": '""', "nullValue": ""}
+READ_OPTIONS = {**CSV_OPTIONS, "emptyValue": "", "nullValue": "\x00"}
+WRITE_OPTIONS = {k: v for k, v in CSV_OPTIONS.items() if k != "mode"}
 
 
 def read_corpus(spark: SparkSession, path: str, schema=None, by_name: bool = False) -> DataFrame:
@@ -21,7 +28,7 @@ def read_corpus(spark: SparkSession, path: str, schema=None, by_name: bool = Fal
     (``Clarity``); they are renamed to canonical snake_case, cast to INT,
     and an unnamed leading index column is dropped.
     """
-    reader = spark.read.options(**CSV_OPTIONS)
+    reader = spark.read.options(**READ_OPTIONS)
     if not by_name:
         return reader.schema(schema or corpus_schema()).csv(path)
     raw = reader.option("inferSchema", "false").csv(path)
@@ -41,7 +48,7 @@ def read_corpus(spark: SparkSession, path: str, schema=None, by_name: bool = Fal
 
 def write_corpus_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with the same quoting rules (no index column is written)."""
-    df.write.mode(mode).options(**{k: v for k, v in CSV_OPTIONS.items() if k != "mode"}).csv(path)
+    df.write.mode(mode).options(**WRITE_OPTIONS).csv(path)
 
 
 def read_variants(spark: SparkSession, paths: Mapping[str, str], **kw) -> DataFrame:
@@ -70,7 +77,7 @@ def write_corpus(df: DataFrame, path: str, fmt: str = "parquet", partition_by: S
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.options(**{k: v for k, v in CSV_OPTIONS.items() if k != "mode"}).csv(path)
+        w.options(**WRITE_OPTIONS).csv(path)
     else:
         w.format(fmt).save(path)
 
@@ -98,10 +105,13 @@ def null_text_rows(df: DataFrame, col: str = "arg_issue") -> DataFrame:
     return df.agg(F.count(F.when(F.col(col).isNull(), 1)).alias("null_rows"))
 
 
+def chosen_text(with_issue: bool) -> Column:
+    return F.concat(F.col("issue"), F.lit(" "), F.col("post_text")) if with_issue else F.col("post_text")
+
+
 def choose_text(df: DataFrame, with_issue: bool, out: str = "text") -> DataFrame:
     """The model input text, with or without the issue prefix."""
-    src = F.concat(F.col("issue"), F.lit(" "), F.col("post_text")) if with_issue else F.col("post_text")
-    return df.withColumn(out, src)
+    return df.withColumn(out, chosen_text(with_issue))
 
 
 def melt(df: DataFrame, ids: Sequence[str], dims: Sequence[str] = LABEL_COLS, var: str = "dim",
