@@ -1,5 +1,5 @@
 """Column-expression helpers (all JVM-side, whole-stage-codegen friendly)."""
 
-from cvframe.functions.hashing import bernoulli, hex_bucket, keyed_md5, unit_hash  # noqa: F401
-from cvframe.functions.link import argmax2, logsumexp2, safe_div, sigmoid, softplus, threshold  # noqa: F401
+from cvframe.functions.hashing import keyed_md5  # noqa: F401
+from cvframe.functions.link import argmax2, logsumexp2, sigmoid, softplus, threshold  # noqa: F401
 from cvframe.functions.text import STRIP_PATTERN, TOKEN_PATTERN, strip_text, tokenize  # noqa: F401

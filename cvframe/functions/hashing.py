@@ -41,18 +41,3 @@ def keyed_md5(key, id_col) -> Column:
     """``md5(key || ':' || id)`` as a 32-char lower-case hex string."""
     idc = id_col if isinstance(id_col, Column) else F.col(id_col)
     return F.md5(F.concat(_lit_or_col(key).cast("string"), F.lit(":"), idc.cast("string")))
-
-
-def unit_hash(key, id_col, digits: int = UNIT_DIGITS) -> Column:
-    """Integer in ``[0, 16**digits)`` from the leading hex digits of keyed md5."""
-    return F.conv(F.substring(keyed_md5(key, id_col), 1, digits), 16, 10).cast("bigint")
-
-
-def bernoulli(key, id_col, p: float) -> Column:
-    """0/1 INT that is 1 with probability ``p`` (hash-keyed)."""
-    return (unit_hash(key, id_col) < F.lit(float(UNIT_RANGE * p))).cast("int")
-
-
-def hex_bucket(md5_col: Column, digits: int) -> Column:
-    """Leading ``digits`` hex characters: ``16**digits`` ordered buckets."""
-    return F.substring(md5_col, 1, digits)

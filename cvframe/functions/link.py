@@ -31,11 +31,6 @@ def logsumexp2(a: Column, b: Column) -> Column:
     return m + F.log(F.exp(a - m) + F.exp(b - m))
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """``num/den`` as DOUBLE, 0.0 where the denominator is 0 (ANSI-safe)."""
-    return F.when(den != 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
-
-
 # SQL-text forms (one JVM parse per expression instead of one call per node)
 def softplus_sql(x: str) -> str:
     return f"(greatest({x}, 0D) + log1p(exp(-abs({x}))))"

@@ -23,7 +23,3 @@ def strip_text(c: Column) -> Column:
 def tokenize(c: Column) -> Column:
     """Word and punctuation tokens as ``ARRAY<STRING>`` (whole text)."""
     return F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), 0)
-
-
-def join_tokens(tokens: Column, sep: str = " ") -> Column:
-    return F.array_join(tokens, sep)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from cvframe.functions.text import strip_text
 from cvframe.operators.metrics import confusion_counts, macro_prf
-from cvframe.operators.text import shuffle_text
+from cvframe.operators.splits import CODE
+from cvframe.operators.text import shuffled_text
 from cvframe.operators.weights import CELL_KEYS, train_label_counts
 from cvframe.schema import LABEL_COLS
 
@@ -21,12 +22,12 @@ from cvframe.schema import LABEL_COLS
 ABLATIONS = {"with_issue": (True, False), "wo_issue": (False, False), "shuffle": (True, True)}
 
 
-def cv_grid(splits: DataFrame, approaches: Sequence[str]) -> DataFrame:
+def cv_grid(splits: DataFrame, approaches: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """K3: every approach x cell with its TRAIN/VALID/TEST sizes.
 
-    Split sizes are one grouped aggregate (25 rows); approaches are a
-    literal array exploded onto them - no join."""
-    sizes = splits.groupBy(*CELL_KEYS).agg(
+    Split sizes are one grouped aggregate (25 rows per ``by`` value);
+    approaches are a literal array exploded onto them - no join."""
+    sizes = splits.groupBy(*by, *CELL_KEYS).agg(
         *[F.count(F.when(F.col("split") == s, 1)).alias(f"n_{s.lower()}") for s in ("TRAIN", "VALID", "TEST")]
     )
     return sizes.select(F.explode(F.array(*[F.lit(a) for a in approaches])).alias("approach"), "*")
@@ -34,50 +35,63 @@ def cv_grid(splits: DataFrame, approaches: Sequence[str]) -> DataFrame:
 
 def ablations(corpus: DataFrame, seed=42, id_col: str = "post_id",
               variants: dict[str, tuple[bool, bool]] | None = None) -> DataFrame:
-    """K4: ``(approach, id, text)`` - the model input of each ablation."""
-    out = None
+    """K4: ``(approach, id, text)`` - the model input of each ablation, all
+    from one pass over the corpus."""
+    entries = []
     for name, (with_issue, shuffled) in (variants or ABLATIONS).items():
-        src = F.concat(F.col("issue"), F.lit(" "), F.col("post_text")) if with_issue else F.col("post_text")
-        d = corpus.select(id_col, src.alias("text"))
-        d = shuffle_text(d, "text", seed, id_col) if shuffled else d.withColumn("text", strip_text(F.col("text")))
-        d = d.select(F.lit(name).alias("approach"), id_col, "text")
-        out = d if out is None else out.unionByName(d)
-    return out
+        text = F.concat(F.col("issue"), F.lit(" "), F.col("post_text")) if with_issue else F.col("post_text")
+        text = shuffled_text(text, seed, F.col(id_col)) if shuffled else strip_text(text)
+        entries.append(F.struct(F.lit(name).alias("approach"), text.alias("text")))
+    return corpus.select(id_col, F.inline(F.array(*entries))).select("approach", id_col, "text")
 
 
-def _evaluate_cells(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
-    return macro_prf(confusion_counts(rows, keys=CELL_KEYS, dims=dims))
+def _evaluate_cells(rows: DataFrame, dims: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    return macro_prf(confusion_counts(rows, keys=[*by, *CELL_KEYS], dims=dims))
 
 
 def majority_baseline(gold: DataFrame, splits: DataFrame, dims: Sequence[str] = LABEL_COLS,
-                      id_col: str = "post_id") -> DataFrame:
+                      id_col: str = "post_id", by: Sequence[str] = ()) -> DataFrame:
     """K6: per cell and label predict TRAIN's majority class (ties -> 0),
-    scored on TEST: ``(repeat, fold, dim, majority, precision, recall, macro_f1)``.
+    scored on TEST: ``(by..., repeat, fold, dim, majority, precision, recall,
+    macro_f1)``.
 
-    The majority table has cells x labels rows, so it is broadcast."""
-    maj = train_label_counts(gold, splits, dims).withColumn(
-        "majority", (F.col("n_pos") > F.col("n_neg")).cast("int"))
-    wide = maj.groupBy(*CELL_KEYS).pivot("dim", list(dims)).agg(F.first("majority")) \
-        .select(*CELL_KEYS, *[F.col(d).alias(f"pred_{d}") for d in dims])
-    test = splits.filter(F.col("split") == "TEST").select(id_col, *CELL_KEYS).join(gold, id_col)
-    rows = test.join(F.broadcast(wide), CELL_KEYS)
-    res = _evaluate_cells(rows, dims)
-    return res.join(F.broadcast(maj.select(*CELL_KEYS, "dim", "majority")), [*CELL_KEYS, "dim"])
+    A constant prediction needs only the label counts of TRAIN and TEST, two
+    tables of cells x labels rows; no post-level join."""
+    keys = [*by, *CELL_KEYS, "dim"]
+    maj = train_label_counts(gold, splits, dims, "TRAIN", id_col, by).select(
+        *keys, (F.col("n_pos") > F.col("n_neg")).cast("int").alias("majority"))
+    test = train_label_counts(gold, splits, dims, "TEST", id_col, by)
+    conf = test.join(maj, keys).selectExpr(
+        *[f"`{k}`" for k in keys], "majority", "n_pos * majority AS tp", "n_neg * majority AS fp",
+        "n_pos * (1 - majority) AS fn", "n_neg * (1 - majority) AS tn")
+    return macro_prf(conf)
 
 
 def random_labels(df: DataFrame, seed="random", dims: Sequence[str] = LABEL_COLS, id_col: str = "post_id") -> DataFrame:
     """K7 predictions: uniform 0/1 per (post, label) from the parity of a
     keyed md5 digit."""
+    return df.select(id_col, *_random_bits(seed, dims, id_col))
+
+
+def _random_bits(seed, dims: Sequence[str], id_col: str) -> list:
     def bit(d: str):
         h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.lit(d)))
         return (F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % 2).alias(f"pred_{d}")
 
-    return df.select(id_col, *[bit(d) for d in dims])
+    return [bit(d) for d in dims]
 
 
 def random_baseline(gold: DataFrame, splits: DataFrame, seed="random", dims: Sequence[str] = LABEL_COLS,
-                    id_col: str = "post_id") -> DataFrame:
-    """K7: random predictions scored on TEST of every cell."""
-    test = splits.filter(F.col("split") == "TEST").select(id_col, *CELL_KEYS).join(gold, id_col)
-    rows = test.join(random_labels(gold.select(id_col), seed, dims, id_col), id_col)
-    return _evaluate_cells(rows, dims)
+                    id_col: str = "post_id", by: Sequence[str] = ()) -> DataFrame:
+    """K7: random predictions scored on TEST of every cell.  The bits are a
+    function of the id, computed beside the labels; nothing is joined for
+    them, and nothing at all if the splits carry the labelset code."""
+    test = splits.filter(F.col("split") == "TEST")
+    if CODE in splits.columns:
+        n = len(dims)
+        bits = [F.expr(f"CAST(shiftright({CODE}, {n - 1 - i}) & 1 AS INT)").alias(d) for i, d in enumerate(dims)]
+        rows = test.select(*by, *CELL_KEYS, *bits, *_random_bits(seed, dims, id_col))
+    else:
+        labels = gold.select(*by, id_col, *dims, *_random_bits(seed, dims, id_col))
+        rows = test.select(*by, id_col, *CELL_KEYS).join(labels, [*by, id_col])
+    return _evaluate_cells(rows, dims, by)

@@ -8,10 +8,10 @@ the corpus) would do the same.  Instead:
 1. split every ``(P, G)`` group into ``16**digits`` buckets by the leading
    hex digits of ``h`` (buckets are ordered the same way as ``h``);
 2. count rows per ``(P, G, bucket)`` with a map-side partial aggregate;
-3. a running sum over the count table (ordered by ``G`` then bucket, one
-   window per ``P`` value) gives each bucket's offset.  The count table
-   never has more than ``|P| x |G| x 16**digits`` rows, whatever the input
-   size;
+3. offsets in two levels: a running sum over the totals per ``(P, G)`` (at
+   most ``|G|`` rows per ``P``) and one over the buckets of each ``(P, G)``
+   (at most ``16**digits`` rows per window), so no window task holds the
+   whole count table;
 4. ``row_number`` *within* ``(P, G, bucket)`` and add the bucket offset.
 
 ``digits=3`` (4096 buckets per group) keeps a group holding 10^10 rows at a
@@ -28,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cvframe.session import written
+
 BUCKET_COL = "_bkt"
 
 
@@ -42,13 +44,24 @@ def running_offsets(
     """Adds, per count column, the sum of that column over all rows that come
     earlier in ``(G, bucket)`` order within ``P``.
 
-    One window pass per ``P`` value over the count table, which holds at most
-    ``|G| x 16**digits`` rows per ``P`` however large the input is (a
-    two-level variant would read the count table twice, and with it every
-    stage above it)."""
-    w = Window.partitionBy(*partition_cols).orderBy(*group_cols, bucket_col).rowsBetween(
+    Two levels: the running sum over group totals (``|G|`` rows per ``P``;
+    without group columns one row) plus the running sum over the buckets of
+    the row's own group (``16**digits`` rows).  Both read the count table,
+    which is written to the shared folder first: it is counted once, and the
+    plans that follow do not carry the work above it twice."""
+    counts = written(counts, "index-counts")
+    groups = [*partition_cols, *group_cols]
+    own = Window.partitionBy(*groups).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = [(F.sum(c).over(own) - F.col(c)).alias(o) for c, o in zip(count_cols, offset_cols)]
+    if not group_cols:
+        return counts.select("*", *within)
+    before = Window.partitionBy(*partition_cols).orderBy(*group_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return counts.select("*", *[(F.sum(c).over(w) - F.col(c)).alias(o) for c, o in zip(count_cols, offset_cols)])
+    totals = counts.groupBy(*groups).agg(*[F.sum(c).alias(f"_t_{c}") for c in count_cols])
+    totals = totals.select(*groups, *[(F.sum(f"_t_{c}").over(before) - F.col(f"_t_{c}")).alias(f"_g_{c}") for c in count_cols])
+    # the group columns are never NULL, so an inner join loses nothing
+    both = counts.select("*", *within).join(totals, groups)
+    return both.select(*counts.columns, *[(F.col(o) + F.col(f"_g_{c}")).alias(o) for c, o in zip(count_cols, offset_cols)])
 
 
 def bucket_offsets(

@@ -10,24 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cvframe.functions.link import argmax2
+from cvframe.operators.metrics import predicted_labels
 from cvframe.schema import LABEL_COLS, ROOT, TREE
 
 
-def linear_head(vec: Column, coef: Sequence[Sequence[float]], bias: Sequence[float]) -> list[Column]:
-    """G1: ``W.v + b`` per output; ``coef`` is small model state (outputs x
-    dims) shipped as literals, ``vec`` an ``ARRAY<FLOAT|DOUBLE>`` column."""
-    v = F.transform(vec, lambda x: x.cast("double"))
-    outs = []
-    for row, b in zip(coef, bias):
-        w = F.array(*[F.lit(float(x)) for x in row])
-        dot = F.aggregate(F.zip_with(v, w, lambda a, c: a * c), F.lit(0.0), lambda acc, x: acc + x)
-        outs.append(dot + F.lit(float(b)))
-    return outs
+def linear_head(vec: str, coef: Sequence[Sequence[float]], bias: Sequence[float]) -> list[str]:
+    """G1: ``W.v + b`` per output as SQL text: one sum of products over the
+    components of ``vec`` (an ``ARRAY<DOUBLE>``), compiled with its stage."""
+    return [" + ".join([f"{float(x)!r}D * {vec}[{j}]" for j, x in enumerate(row)] + [f"{float(b)!r}D"])
+            for row, b in zip(coef, bias)]
 
 
 def score_linear(df: DataFrame, vec_col: str, coef, bias, prefix: str = "logit_") -> DataFrame:
-    heads = linear_head(F.col(vec_col), coef, bias)
-    return df.select(*[c for c in df.columns if c != vec_col], *[h.alias(f"{prefix}{k}") for k, h in enumerate(heads)])
+    """The vector is cast to DOUBLE once; ``coef`` is small model state."""
+    keep = [f"`{c}`" for c in df.columns if c != vec_col]
+    cast = df.selectExpr(*keep, f"CAST(`{vec_col}` AS ARRAY<DOUBLE>) AS _v")
+    return cast.selectExpr(*keep, *[f"{h} AS {prefix}{k}" for k, h in enumerate(linear_head("_v", coef, bias))])
 
 
 def probabilities(df: DataFrame, dims: Sequence[str] = LABEL_COLS, prefix: str = "logit_") -> DataFrame:
@@ -36,17 +34,19 @@ def probabilities(df: DataFrame, dims: Sequence[str] = LABEL_COLS, prefix: str =
     return df.selectExpr(*keep, *[f"1D / (1D + exp(-{prefix}{k})) AS prob_{d}" for k, d in enumerate(dims)])
 
 
-def thresholded(df: DataFrame, dims: Sequence[str] = LABEL_COLS, prefix: str = "logit_") -> DataFrame:
-    """``pred_<dim>`` = 1 iff logit > 0 (probability strictly above 0.5)."""
-    keep = [f"`{c}`" for c in df.columns if not c.startswith(prefix)]
-    return df.selectExpr(*keep, *[f"CASE WHEN {prefix}{k} > 0 THEN 1 ELSE 0 END AS pred_{d}"
-                                  for k, d in enumerate(dims)])
+#: ``pred_<dim>`` = 1 iff logit > 0 (probability strictly above 0.5).
+thresholded = predicted_labels
+
 
+def binary_label(df: DataFrame, logit0: str = "logit_0", logit1: str | None = None, out: str = "label") -> DataFrame:
+    """Class of the larger logit; equal logits give class 0.
 
-def binary_label(df: DataFrame, logit0: str = "logit_0", out: str = "label") -> DataFrame:
-    """Class of ``argmax(-x, x)``; equal logits give class 0."""
-    x = F.col(logit0)
-    return df.withColumn(out, argmax2(-x, x))
+    With ``logit1`` the table holds both classes' logits (``logit0`` is
+    class 0's); without it one score ``x`` stands for ``(-x, x)``.  A NULL or
+    NaN logit gives a NULL label."""
+    x0, x1 = (F.col(logit0), F.col(logit1)) if logit1 else (-F.col(logit0), F.col(logit0))
+    known = x0.isNotNull() & x1.isNotNull() & ~F.isnan(x0) & ~F.isnan(x1)
+    return df.withColumn(out, F.when(known, argmax2(x0, x1)))
 
 
 def _first_max(xs: Sequence[str]) -> list[str]:

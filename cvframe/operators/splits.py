@@ -4,14 +4,16 @@ Definition (also what the SQL oracle computes).  For repeat ``r`` with seed
 ``s_r``::
 
     pos  = row_number() over (partition by r
-                              order by l1..l14, md5(s_r ':' id), id) - 1
+                              order by md5(s_r ':' code), code, md5(s_r ':' id), id) - 1
     test_fold = pos % k
 
-Rows with equal label vectors are neighbours in that order, so every
-labelset is dealt round-robin over the folds: fold sizes differ by at most
-one and every label is spread evenly.  The inner holdout renumbers the
-non-test rows of each cell ``(r, f)`` with the holdout seed and sends every
-``every``-th position to VALID.
+``code`` is the labelset as a bit mask.  Rows with equal label vectors are
+neighbours in that order, so every labelset is dealt round-robin over the
+folds: fold sizes differ by at most one and every label is spread evenly.
+The order of the labelsets depends on the seed too, so a labelset of a
+single row meets another fold in each repeat.  The inner holdout renumbers
+the non-test rows of each cell ``(r, f)`` by ``(code, md5(seed ':' id), id)``
+with the holdout seed and sends every ``every``-th position to VALID.
 
 Nothing here sorts globally: see :mod:`cvframe.operators.index`.
 """
@@ -19,6 +21,7 @@ Nothing here sorts globally: see :mod:`cvframe.operators.index`.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,7 @@ from cvframe.operators.index import BUCKET_COL, ordered_index, running_offsets
 from cvframe.schema import HOLDOUT_EVERY, HOLDOUT_SEED, KFOLD_SEEDS, LABEL_COLS, N_FOLDS
 
 MAX_LABELS = 30  # labelset code is a bit mask in a BIGINT
+CODE = "labelset_code"
 
 
 def labelset_code(dims: Sequence[str] = LABEL_COLS) -> Column:
@@ -59,7 +63,8 @@ def _seeded(corpus: DataFrame, id_col: str, dims, seeds, by: Sequence[str] = ())
         F.col(id_col),
         labelset_code(dims).alias("_code"),
         F.posexplode(seed_arr).alias("repeat", "_seed"),
-    ).withColumn("_h", keyed_md5(F.col("_seed"), F.col(id_col)))
+    ).withColumn("_h", keyed_md5(F.col("_seed"), F.col(id_col))).withColumn(
+        "_gh", keyed_md5(F.col("_seed"), F.col("_code")))
 
 
 # --------------------------------------------------------------------------- D2
@@ -79,7 +84,7 @@ def ms_kfold(
     all groups in the same job."""
     by = list(by)
     base = _seeded(corpus, id_col, dims, seeds, by)
-    idx = ordered_index(base, [*by, "repeat"], ["_code"], "_h", id_col, out_col="_pos", digits=digits)
+    idx = ordered_index(base, [*by, "repeat"], ["_gh", "_code"], "_h", id_col, out_col="_pos", digits=digits)
     cols = [*[F.col(b) for b in by], F.col(id_col), F.col("repeat").cast("int").alias("repeat"),
             (F.col("_pos") % k).cast("int").alias("fold")]
     if keep_code:
@@ -100,9 +105,12 @@ def assign_splits(
     test_folds: DataFrame | None = None,
     by: Sequence[str] = (),
     per_repeat: bool = False,
+    keep_code: bool = False,
 ) -> DataFrame:
     """Long split table ``(id, repeat, fold, split)``: one row per post and cell
-    (``per_repeat=True``: one row per post and repeat, ``splits`` array).
+    (``per_repeat=True``: one row per post and repeat, ``splits`` array;
+    ``keep_code=True``: with the labelset code, so counts per cell and label
+    need no join with the labels).
 
     ``test_folds`` may carry a precomputed ``(id, repeat, fold, _code)``
     TEST assignment (e.g. from :func:`iterative_stratify`); by default the
@@ -142,12 +150,13 @@ def assign_splits(
         F.array(*[F.sum((F.col("_test") == f).cast("bigint")).over(w_run) for f in range(k)]).alias("_seen"),
     )
     j = ranked.join(offsets, keys, "left")  # see ordered_index on why left
+    code = [f"_code AS {CODE}"] if keep_code else []
     if per_repeat:
         # (id, repeat) rows with the k splits of that repeat as an array
-        return j.selectExpr(*[f"`{b}`" for b in by], f"`{id_col}`", "CAST(repeat AS INT) AS repeat",
+        return j.selectExpr(*[f"`{b}`" for b in by], f"`{id_col}`", *code, "CAST(repeat AS INT) AS repeat",
                             f"transform(sequence(0, {k - 1}), f -> {_split_case(every)}) AS splits")
     cell = f"named_struct('fold', f, 'split', {_split_case(every)})"
-    return j.selectExpr(*[f"`{b}`" for b in by], f"`{id_col}`", "CAST(repeat AS INT) AS repeat",
+    return j.selectExpr(*[f"`{b}`" for b in by], f"`{id_col}`", *code, "CAST(repeat AS INT) AS repeat",
                         f"inline(transform(sequence(0, {k - 1}), f -> {cell}))")
 
 
@@ -175,12 +184,13 @@ def assign_splits_wide(corpus: DataFrame, id_col: str = "post_id", dims: Sequenc
 
 
 def test_split(corpus: DataFrame, id_col: str = "post_id", dims: Sequence[str] = LABEL_COLS, k: int = N_FOLDS,
-               seeds: Sequence[int] = KFOLD_SEEDS, digits: int = 3) -> DataFrame:
+               seeds: Sequence[int] = KFOLD_SEEDS, digits: int = 3, by: Sequence[str] = (),
+               keep_code: bool = False) -> DataFrame:
     """The TEST rows of :func:`assign_splits` - by definition the k-fold
     assignment itself - without the holdout pass.  Evaluation needs only
     these, so it skips the three holdout shuffles."""
-    kf = ms_kfold(corpus, id_col, dims, k, seeds, digits)
-    return kf.withColumn("split", F.lit("TEST"))
+    kf = ms_kfold(corpus, id_col, dims, k, seeds, digits, keep_code=keep_code, by=by)
+    return kf.withColumnsRenamed({"_code": CODE}).withColumn("split", F.lit("TEST"))
 
 
 def ms_holdout(
@@ -212,10 +222,13 @@ def splits_wide(splits: DataFrame, id_col: str = "post_id", k: int = N_FOLDS, re
 
 
 def split_rows(corpus: DataFrame, splits: DataFrame, repeat: int, fold: int, split: str,
-               id_col: str = "post_id") -> DataFrame:
-    """Rows of one cell's TRAIN/VALID/TEST part (P5): filter then equi-join."""
+               id_col: str = "post_id", by: Sequence[str] = ()) -> DataFrame:
+    """Rows of one cell's TRAIN/VALID/TEST part (P5): filter then equi-join.
+
+    ``by`` columns (e.g. ``dataset_version``) are part of the key: a post is
+    taken where its own variant puts it in the part."""
     ids = splits.filter((F.col("repeat") == repeat) & (F.col("fold") == fold) & (F.col("split") == split))
-    return corpus.join(ids.select(id_col), id_col, "left_semi")
+    return corpus.join(ids.select(*by, id_col), [*by, id_col], "left_semi")
 
 
 # --------------------------------------------------------------------------- D5
@@ -294,9 +307,11 @@ def iterative_stratify(
     2. greedy quotas on the count table, one pandas task.  The table has at
        most ``2**len(dims)`` rows whatever the corpus size, and quotas do
        not depend on the seed, so they are computed once;
-    3. quotas (same bound) are broadcast; each row's rank inside its
+    3. quotas are joined on the labelset; each row's rank inside its
        labelset (seeded md5 order, bucketed index) picks the fold whose
-       cumulative quota range holds it.
+       cumulative quota range holds it;
+    4. folds are numbered anew in each repeat (by ``md5(seed ':' fold)``), so
+       a labelset with fewer rows than folds meets other folds.
     """
     n = len(dims)
     by = list(by)
@@ -319,12 +334,29 @@ def iterative_stratify(
         lambda pdf: solve(pdf.drop(columns=["_g"], errors="ignore")),
         schema=", ".join([*by_schema, "_code long", "_cum array<long>"]),
     )
-    base = _seeded(corpus, id_col, dims, seeds, by)
+    base = _seeded(corpus, id_col, dims, seeds, by).drop("_gh")
     idx = ordered_index(base, [*by, "repeat", "_code"], [], "_h", id_col, out_col="_pos", digits=digits)
-    j = idx.join(F.broadcast(quotas), [*by, "_code"])
-    fold = F.size(F.filter("_cum", lambda c: c <= F.col("_pos")))
+    j = idx.join(quotas, [*by, "_code"])
+    slot = F.size(F.filter("_cum", lambda c: c <= F.col("_pos")))
+    orders = [sorted(range(k), key=lambda f: md5(f"{s}:{f}".encode()).hexdigest()) for s in seeds]
+    renumbered = F.array(*[F.array(*[F.lit(f) for f in o]) for o in orders])
+    fold = F.element_at(F.element_at(renumbered, F.col("repeat").cast("int") + 1), slot + 1)
     cols = [*[F.col(b) for b in by], F.col(id_col), F.col("repeat").cast("int").alias("repeat"),
             fold.cast("int").alias("fold")]
     if keep_code:
         cols.append(F.col("_code"))
     return j.select(*cols)
+
+
+def stratification_balance(assigned: DataFrame, k: int = N_FOLDS, code: str = "_code") -> DataFrame:
+    """Per (repeat, labelset): rows, and whether its folds' shares and the
+    repeat's fold sizes lie within one row of each other."""
+    per = assigned.groupBy("repeat", code, "fold").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per.groupBy("repeat", "fold").agg(F.sum("n").alias("n")).groupBy("repeat").agg(
+        F.count(F.lit(1)).alias("n_folds"), (F.max("n") - F.min("n")).alias("_d"))
+    # folds without a row of the labelset count as 0
+    sets = per.groupBy("repeat", code).agg(
+        F.sum("n").alias("n_rows"), (F.max("n") - F.when(F.count(F.lit(1)) < k, 0).otherwise(F.min("n"))).alias("_s"))
+    return sets.join(sizes, "repeat").select(
+        "repeat", F.col(code).alias("code"), "n_rows", F.col("n_folds").cast("int").alias("n_folds"),
+        (F.col("_s") <= 1).alias("spread_within_one"), (F.col("_d") <= 1).alias("sizes_within_one"))

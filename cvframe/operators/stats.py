@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIR = ["metric", "approach_a", "approach_b"]
-MAX_EXACT_N = 60  # 2**n stays exact in BIGINT/DOUBLE
 
 
 def approach_pairs(runs: DataFrame) -> DataFrame:
@@ -36,7 +35,9 @@ def signed_ranks(pairs: DataFrame) -> DataFrame:
 
 
 def signed_rank(pairs: DataFrame) -> DataFrame:
-    """Per pair ``n`` (non-zero differences), ``w_plus``, ``w_minus``,
+    """Per pair ``n_pairs`` (runs present on both sides; a run missing on
+    one side makes no pair, so compare it with the number of runs), ``n``
+    (non-zero differences), ``w_plus``, ``w_minus``,
     ``t_stat = min(w_plus, w_minus)`` and the doubled ranks (for J3).
     Pairs whose differences are all zero keep ``n = 0``."""
     r = signed_ranks(pairs)
@@ -46,10 +47,11 @@ def signed_rank(pairs: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("d") < 0, F.col("r2")).otherwise(0)).alias("_w2m"),
         F.collect_list("r2").alias("_ranks"),
     )
-    allp = pairs.select(*PAIR).distinct()
+    allp = pairs.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_pairs"))
     j = allp.join(per, PAIR, "left")
     return j.select(
         *PAIR,
+        "n_pairs",
         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
         (F.coalesce(F.col("_w2p"), F.lit(0)) / 2.0).alias("w_plus"),
         (F.coalesce(F.col("_w2m"), F.lit(0)) / 2.0).alias("w_minus"),
@@ -58,52 +60,32 @@ def signed_rank(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _null_counts(ranks: Column) -> Column:
-    """Number of sign assignments per value of the (doubled) positive rank sum."""
+def _null_probabilities(ranks: Column) -> Column:
+    """Probability of each value of the (doubled) positive rank sum when every
+    sign is a fair coin: one rank at a time, halving at each step, so the
+    numbers stay in DOUBLE range at any n."""
     total = F.aggregate(ranks, F.lit(0), lambda s, x: s + x)
-    init = F.concat(F.array(F.lit(1).cast("bigint")), F.array_repeat(F.lit(0).cast("bigint"), total))
+    init = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), total))
 
     def step(acc, a):
-        return F.transform(
-            acc,
-            lambda v, i: v + F.when(i >= a, F.element_at(acc, F.when(i >= a, i - a).otherwise(0) + 1)).otherwise(
-                F.lit(0).cast("bigint")),
-        )
+        shifted = lambda i: F.element_at(acc, F.when(i >= a, i - a).otherwise(0) + 1)
+        return F.transform(acc, lambda v, i: F.lit(0.5) * (v + F.when(i >= a, shifted(i)).otherwise(F.lit(0.0))))
 
     return F.aggregate(ranks, init, step)
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
     """Two-sided exact p-value, ``min(1, 2 P(W <= T))`` under the
-    (conditional, mid-rank) null distribution; zero differences dropped;
-    ``n = 0`` gives NULL.  Beyond ``MAX_EXACT_N`` the normal approximation
-    with tie correction is used."""
+    (conditional, mid-rank) null distribution at every n; zero differences
+    dropped; ``n = 0`` gives NULL."""
     s = signed_rank(pairs)
-    counts = _null_counts(F.col("_ranks"))
+    probs = _null_probabilities(F.col("_ranks"))
     t2 = (F.col("t_stat") * 2).cast("int")
-    le = F.aggregate(F.slice(counts, 1, t2 + 1), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    exact = F.least(F.lit(1.0), F.lit(2.0) * le / F.pow(F.lit(2.0), F.col("n")))
-    # normal approximation with tie correction for large n
-    n = F.col("n").cast("double")
-    mu = n * (n + 1) / 4.0
-    r2sq = F.aggregate(F.col("_ranks"), F.lit(0.0), lambda a, x: a + (x.cast("double") / 2) ** 2)
-    sd = F.sqrt(r2sq / 4.0)
-    z = (F.col("t_stat") - mu) / sd
-    approx = F.least(F.lit(1.0), F.lit(2.0) * _phi(z))
-    p = F.when(F.col("n") == 0, F.lit(None).cast("double")).when(F.col("n") <= MAX_EXACT_N, exact).otherwise(approx)
+    le = F.aggregate(F.slice(probs, 1, t2 + 1), F.lit(0.0), lambda a, x: a + x)
+    p = F.when(F.col("n") > 0, F.least(F.lit(1.0), F.lit(2.0) * le))
     return s.withColumn("p_value", p).drop("_ranks")
 
 
-def _phi(z: Column) -> Column:
-    """Standard normal CDF (Abramowitz-Stegun 7.1.26 erf approximation)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * x)
-    poly = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (
-        F.lit(-1.453152027) + t * F.lit(1.061405429)))))
-    erf = F.lit(1.0) - poly * F.exp(-x * x)
-    return F.when(z < 0, (F.lit(1.0) - erf) / 2.0).otherwise((F.lit(1.0) + erf) / 2.0)
-
-
 def significant_pairs(tests: DataFrame, alpha: float = 0.5) -> DataFrame:
     """Flag ``p <= alpha`` (the study prints this with alpha 0.5)."""
     return tests.withColumn("significant", F.col("p_value") <= F.lit(float(alpha)))

@@ -2,9 +2,8 @@
 truncation, vocabulary encoding, batching and per-batch padding.
 
 Everything runs as native expressions over whole texts.  Shuffles: the
-vocabulary count (map-side combined), one of the raw rows by id before
-encoding (none if the table is already bucketed by id; the encoded tokens
-are then regrouped in place) and the per-batch window.
+vocabulary count (map-side combined) and rank, the tokens of the encoder
+(never the text) and the per-batch window.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from cvframe.operators.index import ordered_index
 PAD_ID = 0
 UNK_ID = 1
 FIRST_ID = 2
-MAX_BROADCAST_VOCAB = 2_000_000  # rows; above this the join is left to AQE
-VOCAB_SHARDS = 64
 
 
 def strip_col(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -41,13 +38,16 @@ def shuffled_tokens(tokens: Column, seed, id_col: Column) -> Column:
     """
     key = F.concat(F.lit(str(seed)), F.lit(":"), id_col.cast("string"))
     keyed = F.transform(tokens, lambda t, i: F.struct(keyed_md5(key, i).alias("h"), i.alias("p"), t.alias("t")))
-    return F.transform(F.array_sort(keyed), lambda x: x["t"])
+    return F.transform(F.sort_array(keyed), lambda x: x["t"])
+
+
+def shuffled_text(text: Column, seed, id_col: Column) -> Column:
+    """The text's tokens, shuffled and re-joined with spaces."""
+    return F.array_join(shuffled_tokens(tokenize(strip_text(text)), seed, id_col), " ")
 
 
 def shuffle_text(df: DataFrame, col: str, seed, id_col: str = "post_id", out: str | None = None) -> DataFrame:
-    """Tokenize ``col`` and re-join its shuffled tokens with spaces."""
-    toks = tokenize(strip_text(F.col(col)))
-    return df.withColumn(out or col, F.array_join(shuffled_tokens(toks, seed, F.col(id_col)), " "))
+    return df.withColumn(out or col, shuffled_text(F.col(col), seed, F.col(id_col)))
 
 
 def truncate(tokens: Column, max_len: int = 512) -> Column:
@@ -55,50 +55,41 @@ def truncate(tokens: Column, max_len: int = 512) -> Column:
     return F.slice(tokens, 1, max_len)
 
 
-def build_vocab(df: DataFrame, tokens: str = "tokens", size: int = 30000) -> DataFrame:
-    """``(token, id)`` for the ``size`` most frequent tokens (ties by
+def build_vocab(df: DataFrame, tokens: str = "tokens", size: int | None = None, digits: int = 3) -> DataFrame:
+    """``(token, id)``, most frequent first (ties by ``md5('vocab:' token)``,
     token); ids start at 2 (0 = pad, 1 = unknown).
 
-    Counting is a partial aggregate; the top-``size`` selection is bounded by
-    the parameter (see below), not by the corpus or its partition count.
+    All tokens by default; ``size`` keeps the most frequent ones.  Counting
+    is a partial aggregate; the rank is a bucketed index over the counts
+    (the tokens seen once, a third of the vocabulary, are one hot group
+    there), so no task holds the vocabulary.
     """
     # explode_outer + filter: a plain explode lets Catalyst infer a
     # ``size(tokens) > 0`` filter and push it (and the tokenizer) into the scan
     toks = df.select(F.explode_outer(tokens).alias("token")).filter(F.col("token").isNotNull())
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # exact top-`size` in two steps: the best `size` of each of
-    # VOCAB_SHARDS hash shards (a grouped row_number limit, evaluated per
-    # task before its shuffle), then the best `size` of those candidates -
-    # so the final single-task merge sees at most VOCAB_SHARDS x size rows
-    # however many partitions the counts have
-    order = [F.col("n").desc(), F.col("token").asc()]
-    shard = (F.abs(F.hash("token")) % VOCAB_SHARDS).alias("_s")
-    w_shard = Window.partitionBy("_s").orderBy(*order)
-    cand = counts.select("*", shard).withColumn("_r", F.row_number().over(w_shard)).filter(F.col("_r") <= size)
-    top = cand.select("token", "n").orderBy(*order).limit(size)
-    w = Window.orderBy(F.col("n").desc(), F.col("token").asc())  # <= size rows
-    return top.select("token", (F.row_number().over(w) + F.lit(FIRST_ID - 1)).cast("int").alias("id"))
-
-
-def encode(df: DataFrame, vocab: DataFrame, id_col: str = "post_id", tokens: str = "tokens", out: str = "ids",
-           vocab_size: int | None = None) -> DataFrame:
+    counts = toks.groupBy("token").agg((-F.count(F.lit(1))).alias("_neg"))
+    counts = counts.withColumn("_h", keyed_md5(F.lit("vocab"), F.col("token")))
+    ranked = ordered_index(counts, [], ["_neg"], "_h", "token", out_col="_rank", digits=digits)
+    if size is not None:
+        ranked = ranked.filter(F.col("_rank") < size)
+    return ranked.select("token", (F.col("_rank") + F.lit(FIRST_ID)).cast("int").alias("id"))
+
+
+def encode(df: DataFrame, vocab: DataFrame, id_col: str = "post_id", tokens: str = "tokens", out: str = "ids") -> DataFrame:
     """Token -> id (unknown -> 1) for every token of every row.
 
-    Tokens are exploded with their position, looked up through a broadcast
-    hash join against the vocabulary (bounded by ``vocab_size``) and
-    regrouped per row id.  Give it rows hash-partitioned by ``id_col`` (a
-    ``repartition`` of the raw rows, or a table bucketed by id): the
-    broadcast join keeps that partitioning, so the regroup runs in place and
-    no exploded token is shuffled.  Otherwise Spark adds one shuffle on the
-    id.  A group never outgrows the longest row.
+    Only (row id, position, token) is shuffled, never the text.  The join is
+    left to Spark's own size check: a broadcast for a small vocabulary (then
+    rows that come hash-partitioned by id are regrouped in place), else a
+    shuffle by token whose frequent tokens AQE splits.  A group of the final
+    regrouping never outgrows its text.
     """
-    v = F.broadcast(vocab) if vocab_size is not None and vocab_size <= MAX_BROADCAST_VOCAB else vocab
     exploded = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token"))
-    looked = exploded.join(v, "token", "left")
+    looked = exploded.join(vocab, "token", "left")
     # (position, id) packed into one BIGINT: collecting and sorting a
     # primitive array is far cheaper than an array of structs
     packed = F.expr(f"CASE WHEN pos IS NOT NULL THEN shiftleft(CAST(pos AS BIGINT), 32) + coalesce(id, {UNK_ID}) END")
-    grouped = looked.groupBy(id_col).agg(F.array_sort(F.collect_list(packed)).alias("_p"))
+    grouped = looked.groupBy(id_col).agg(F.sort_array(F.collect_list(packed)).alias("_p"))
     return grouped.selectExpr(f"`{id_col}`", f"transform(_p, x -> CAST(x & 4294967295 AS INT)) AS `{out}`")
 
 

@@ -9,7 +9,8 @@ estimators: fit on TRAIN, pick the candidate with the best VALID score
   study's weight decay), unweighted.
 * K2 ``fit_multilabel``: binary relevance - one logistic regression per
   label on a shared cached feature table, positives weighted by the
-  clamped ``neg/pos`` weight of W1.  A label with a single class in TRAIN
+  clamped ``neg/pos`` weight of W1; the candidate with the best mean macro
+  F1 on VALID is kept.  A label with a single class in TRAIN
   is not fitted; it predicts that class.
 * K5 ``predict``: ``PipelineModel.transform`` on any split.
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from cvframe.functions.text import TOKEN_PATTERN
 from cvframe.operators.metrics import confusion_counts, macro_prf
+from cvframe.operators.splits import split_rows
 
 NUM_FEATURES = 1 << 16
 
@@ -97,39 +99,89 @@ def _vec_to_array(c: str):
 class MultilabelFit:
     features: PipelineModel
     models: dict  # label -> LogisticRegressionModel | int (constant class)
+    reg_param: float = 0.0
+    valid_f1: float = 0.0
+    history: list = field(default_factory=list)
 
 
 def fit_multilabel(train: DataFrame, labels: Sequence[str], weights: dict[str, float], text_col: str = "text",
-                   reg_param: float = 0.1, max_iter: int = 25, num_features: int = NUM_FEATURES) -> MultilabelFit:
-    """K2: one weighted logistic regression per label over shared features."""
+                   reg_params: Sequence[float] = (0.1, 0.01), max_iter: int = 25, num_features: int = NUM_FEATURES,
+                   valid: DataFrame | None = None) -> MultilabelFit:
+    """K2: one weighted logistic regression per label over shared features.
+
+    With ``valid`` one candidate per ``reg_param`` is fitted and the one with
+    the best mean macro F1 over the labels on VALID is kept (the first wins
+    on ties); without it the first ``reg_param`` is used."""
     feats = featurizer(text_col, num_features).fit(train)
     tr = feats.transform(train).select("features", *[F.col(d).cast("double").alias(d) for d in labels]).cache()
     stats = tr.agg(*[F.sum(d).alias(d) for d in labels], F.count(F.lit(1)).alias("_n")).first()
-    models = {}
-    for d in labels:
-        pos, n = stats[d] or 0.0, stats["_n"]
-        if pos == 0 or pos == n:  # one class only: constant prediction
-            models[d] = int(pos == n and n > 0)
-            continue
-        w = float(weights.get(d, 1.0))
-        data = tr.select("features", F.col(d).alias("label"),
-                         F.when(F.col(d) == 1.0, F.lit(w)).otherwise(F.lit(1.0)).alias("w"))
-        models[d] = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
-                                       regParam=reg_param, maxIter=max_iter).fit(data)
+    best, hist = None, []
+    for reg in reg_params if valid is not None else reg_params[:1]:
+        models = {}
+        for d in labels:
+            pos, n = stats[d] or 0.0, stats["_n"]
+            if pos == 0 or pos == n:  # one class only: constant prediction
+                models[d] = int(pos == n and n > 0)
+                continue
+            w = float(weights.get(d, 1.0))
+            data = tr.select("features", F.col(d).alias("label"),
+                             F.when(F.col(d) == 1.0, F.lit(w)).otherwise(F.lit(1.0)).alias("w"))
+            models[d] = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
+                                           regParam=reg, maxIter=max_iter).fit(data)
+        fit = MultilabelFit(feats, models, reg)
+        if valid is not None:
+            fit.valid_f1 = _mean_macro_f1(predict_multilabel(fit, valid, labels), labels)
+            hist.append((reg, fit.valid_f1))
+        if best is None or fit.valid_f1 > best.valid_f1:
+            best = fit
     tr.unpersist()
-    return MultilabelFit(feats, models)
+    best.history = hist
+    return best
+
+
+def _mean_macro_f1(pred: DataFrame, labels: Sequence[str]) -> float:
+    rows = pred.withColumn("_k", F.lit(0))
+    m = macro_prf(confusion_counts(rows, keys=["_k"], dims=labels)).agg(F.avg("macro_f1")).first()
+    return float(m[0] or 0.0)
 
 
 def predict_multilabel(fit: MultilabelFit, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Wide ``pred_<label>`` columns for every row of ``df``."""
-    base = fit.features.transform(df)
-    out = base.select(*keep, "features")
-    for d, m in fit.models.items():
+    """``keep``, then ``pred_<label>`` and ``logit_<k>`` (the margin; infinite
+    for a constant label) for every row of ``df``."""
+    out = fit.features.transform(df).select(*keep, "features")
+    for k, (d, m) in enumerate(fit.models.items()):
         if isinstance(m, int):
-            out = out.withColumn(f"pred_{d}", F.lit(m))
+            out = out.withColumn(f"pred_{d}", F.lit(m)).withColumn(f"logit_{k}", F.lit(float("inf") if m else float("-inf")))
         else:
             m = m.copy()
             m.setPredictionCol(f"_p_{d}").setRawPredictionCol(f"_raw_{d}").setProbabilityCol(f"_prob_{d}")
             out = m.transform(out).withColumn(f"pred_{d}", F.col(f"_p_{d}").cast("int")) \
+                .withColumn(f"logit_{k}", _vec_to_array(f"_raw_{d}").getItem(1)) \
                 .drop(f"_p_{d}", f"_raw_{d}", f"_prob_{d}")
     return out.drop("features")
+
+
+def train_cells(labelled: DataFrame, splits: DataFrame, labels: Sequence[str], weights: DataFrame | None = None,
+                cells: Sequence[tuple[int, int]] | None = None, approach: str = "logistic", text_col: str = "text",
+                id_col: str = "post_id", **kw) -> DataFrame:
+    """K1/K2/K5 over cells (all of ``splits`` by default): fit on TRAIN, select
+    on VALID, score TEST: ``(approach, repeat, fold, id, logit_0 ..)``.
+
+    The cells are separate distributed fits one after the other, as in the
+    study; the result has a cell key, so each cell's TEST rows are scored by
+    that cell's own model when ``evaluate`` joins it."""
+    if cells is None:
+        cells = sorted((r["repeat"], r["fold"]) for r in splits.select("repeat", "fold").distinct().collect())  # 25 keys
+    by_cell: dict[tuple[int, int], dict[str, float]] = {}
+    if weights is not None:
+        for r in weights.collect():     # cells x labels rows
+            by_cell.setdefault((r["repeat"], r["fold"]), {})[r["dim"]] = r["weight"]
+    out = None
+    for r, f in cells:
+        parts = {s: split_rows(labelled, splits, r, f, s, id_col) for s in ("TRAIN", "VALID", "TEST")}
+        fit = fit_multilabel(parts["TRAIN"], labels, by_cell.get((r, f), {}), text_col, valid=parts["VALID"], **kw)
+        scored = predict_multilabel(fit, parts["TEST"], [id_col]).select(
+            F.lit(approach).alias("approach"), F.lit(r).cast("int").alias("repeat"), F.lit(f).cast("int").alias("fold"), id_col,
+            *[f"logit_{k}" for k in range(len(labels))])
+        out = scored if out is None else out.unionByName(scored)
+    return out

@@ -1,7 +1,7 @@
 """Flagship plan (K8): TEST metrics of every approach x cell x label, averaged
 over the runs and ranked, as a single Spark job.
 
-preds ⋈ gold ⋈ splits(TEST)   -- three inputs keyed by post id
+preds ⋈ splits(TEST)   -- one row per post with its labelset code and cells
   -> confusion counts per (approach, repeat, fold, label)   -- partial agg
   -> macro P/R/F1 -> mean over runs -> leaderboard
 """
@@ -13,15 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cvframe.operators.metrics import confusion_counts, macro_prf, predicted_labels, test_rows
+from cvframe.operators.metrics import CELL, confusion_counts, macro_prf, predicted_labels, test_rows
 from cvframe.schema import LABEL_COLS
 
 
 def per_label_metrics(preds: DataFrame, gold: DataFrame, splits: DataFrame, dims: Sequence[str] = LABEL_COLS,
-                      preds01: DataFrame | None = None) -> DataFrame:
-    """``(approach, repeat, fold, dim, precision, recall, macro_f1)`` on TEST."""
+                      preds01: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., approach, repeat, fold, dim, precision, recall, macro_f1)`` on TEST."""
     p01 = preds01 if preds01 is not None else predicted_labels(preds, dims)
-    return macro_prf(confusion_counts(test_rows(p01, gold, splits), dims=dims))
+    rows = test_rows(p01, gold, splits, dims=dims, by=by)
+    return macro_prf(confusion_counts(rows, keys=[*by, *CELL], dims=dims))
 
 
 def leaderboard_from_metrics(per_label: DataFrame, dims: Sequence[str] = LABEL_COLS, digits: int = 4) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvframe.functions.hashing import bernoulli_sql
-from cvframe.session import ensure_parallelism
 from cvframe.schema import LABEL_COLS, TREE
 
 TABLES = (
@@ -34,7 +33,6 @@ CHILD_P = {
     "not_classified": 0.2,
 }
 APPROACH_SHIFT = [0.8, 0.5, 0.2]  # gold-label pull of each synthetic approach
-N_VECS = 500
 
 
 _MEMO: dict = {}
@@ -61,11 +59,9 @@ def memo(fn):
 
 @memo
 def table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
-    """A driver table, pruned to ``columns`` and spread over all cores."""
+    """A driver table, pruned to ``columns``."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    return ensure_parallelism(df)
+    return df.select(*columns) if columns else df
 
 
 def corpus_from_documents(documents: DataFrame, variant: str = "majority") -> DataFrame:
@@ -101,14 +97,12 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic model outputs: ``(approach, post_id, logit_0 .. logit_13)``.
 
     ``logit_k = 8 * embedding[14a + k] + s_a * (2 y_k - 1)`` with the post's
-    embedding ``doc_id % 500``; three approaches of decreasing quality.
+    embedding ``doc_id % (max vec_id + 1)``, so every vector takes part;
+    three approaches of decreasing quality.
     """
-    g = gold(spark, sf_dir).withColumn("vec_id", F.col("post_id") % N_VECS)
-    # only vec_ids 0..N_VECS-1 can match: the range filter reaches the scan
-    # (PushedFilters), so the join's small side stays small at any scale
-    emb = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]).filter(
-        (F.col("vec_id") >= 0) & (F.col("vec_id") < N_VECS))
-    j = g.join(emb, "vec_id")
+    emb = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    n_vecs = emb.agg(F.max("vec_id") + 1).first()[0]  # one number
+    j = gold(spark, sf_dir).withColumn("vec_id", F.col("post_id") % n_vecs).join(emb, "vec_id")
     j = j.select("*", F.posexplode(F.array(*[F.lit(s) for s in APPROACH_SHIFT])).alias("approach", "_s"))
     n = len(LABEL_COLS)
     logits = [f"8.0D * CAST(element_at(embedding, approach * {n} + {k + 1}) AS DOUBLE) "

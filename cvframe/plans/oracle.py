@@ -8,7 +8,7 @@ most direct statement), never the Spark plan.  Views ``documents``,
 
 from __future__ import annotations
 
-from cvframe.plans.fixtures import APPROACH_SHIFT, CHILD_P, N_VECS, PARENT_P, ROOT_P
+from cvframe.plans.fixtures import APPROACH_SHIFT, CHILD_P, PARENT_P, ROOT_P
 from cvframe.schema import HOLDOUT_SEED, KFOLD_SEEDS, LABEL_COLS, TREE
 
 L = LABEL_COLS
@@ -33,6 +33,9 @@ def corpus_cte(variant: str = "majority", name: str = "corpus") -> str:
             f"FROM ({lvl3}))")
 
 
+CODE_SQL = "(" + " + ".join(f"CAST(c.{x} AS BIGINT) * {1 << (len(L) - 1 - i)}" for i, x in enumerate(L)) + ")"
+
+
 def seeds_cte() -> str:
     vals = ", ".join(f"({i}, '{s}')" for i, s in enumerate(KFOLD_SEEDS))
     return f"seeds AS (SELECT * FROM (VALUES {vals}) t(repeat, seed))"
@@ -41,7 +44,7 @@ def seeds_cte() -> str:
 def kfold_cte(src: str = "corpus") -> str:
     return f"""kfold AS (
   SELECT c.post_id, CAST(s.repeat AS INTEGER) AS repeat,
-         CAST((row_number() OVER (PARTITION BY s.repeat ORDER BY {', '.join('c.' + x for x in L)},
+         CAST((row_number() OVER (PARTITION BY s.repeat ORDER BY md5(s.seed || ':' || CAST({CODE_SQL} AS VARCHAR)), {CODE_SQL},
                md5(s.seed || ':' || CAST(c.post_id AS VARCHAR)), c.post_id) - 1) % 5 AS INTEGER) AS fold
   FROM {src} c CROSS JOIN seeds s)"""
 
@@ -72,7 +75,8 @@ def preds_cte(name: str = "preds", gold: str = "corpus") -> str:
     )
     return (f"approaches AS (SELECT * FROM (VALUES {approaches}) t(approach, s)),\n"
             f"{name} AS (SELECT CAST(a.approach AS INTEGER) AS approach, g.post_id, {logits} "
-            f"FROM {gold} g JOIN embeddings e ON e.vec_id = g.post_id % {N_VECS} CROSS JOIN approaches a)")
+            f"FROM {gold} g JOIN embeddings e ON e.vec_id = g.post_id % (SELECT max(vec_id) + 1 FROM embeddings) "
+            f"CROSS JOIN approaches a)")
 
 
 def runs_cte(name: str = "runs") -> str:
@@ -148,10 +152,11 @@ def tokens_cte(src: str = "corpus", name: str = "toks") -> str:
             f"'{TOKEN_PATTERN}') AS tokens FROM {src})")
 
 
-def vocab_cte(size: int, toks: str = "toks", name: str = "vocab") -> str:
+def vocab_cte(toks: str = "toks", name: str = "vocab") -> str:
+    """Every token of the corpus, most frequent first (ties by md5, token)."""
     return f"""vcount AS (SELECT t AS token, count(*) AS n FROM (SELECT unnest(tokens) AS t FROM {toks}) GROUP BY t),
-{name} AS (SELECT token, CAST(rk + 1 AS INTEGER) AS id
-  FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rk FROM vcount) WHERE rk <= {size})"""
+{name} AS (SELECT token, CAST(1 + row_number() OVER (ORDER BY n DESC, md5('vocab:' || token), token) AS INTEGER) AS id
+  FROM vcount)"""
 
 
 def encode_cte(toks: str = "toks", vocab: str = "vocab", name: str = "enc") -> str:
@@ -173,7 +178,7 @@ def splits_by_cte(src: str, by: str, name: str = "splits") -> str:
     order = ", ".join("c." + x for x in L)
     return f"""kf_by AS (
   SELECT c.{by}, c.post_id, CAST(s.repeat AS INTEGER) AS repeat,
-         CAST((row_number() OVER (PARTITION BY c.{by}, s.repeat ORDER BY {order},
+         CAST((row_number() OVER (PARTITION BY c.{by}, s.repeat ORDER BY md5(s.seed || ':' || CAST({CODE_SQL} AS VARCHAR)), {CODE_SQL},
                md5(s.seed || ':' || CAST(c.post_id AS VARCHAR)), c.post_id) - 1) % 5 AS INTEGER) AS fold
   FROM {src} c CROSS JOIN seeds s),
 cells_by AS (SELECT CAST(range AS INTEGER) AS fold FROM range(5)),

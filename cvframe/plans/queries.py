@@ -23,10 +23,14 @@ def _splits(spark, sf):
     return S.assign_splits(_gold(spark, sf))
 
 
+def _coded_splits(spark, sf):
+    return S.assign_splits(_gold(spark, sf), keep_code=True)
+
+
 def _test_splits(spark, sf):
     """TEST cells only (equal to ``_splits`` filtered to TEST; the oracle
     checks that against the full split table)."""
-    return S.test_split(_gold(spark, sf))
+    return S.test_split(_gold(spark, sf), keep_code=True)
 
 
 def _per_label(spark, sf):
@@ -90,6 +94,22 @@ def q_iterative_stratify(spark, sf):
     return S.iterative_stratify(_gold(spark, sf))
 
 
+def _d5_sql() -> str:
+    """What must hold of any stratified assignment: per cell the fold's size
+    is within one of a fifth of the corpus, and each labelset's rows in it
+    within one of a fifth of the labelset."""
+    return ("WITH " + O.corpus_cte() + f""",
+sets AS (SELECT {O.CODE_SQL} AS code, count(*) AS n FROM corpus c GROUP BY 1)
+SELECT CAST(r.range AS INTEGER) AS repeat, s.code, s.n AS n_rows, 5 AS n_folds, TRUE AS spread_within_one, TRUE AS sizes_within_one
+FROM sets s CROSS JOIN range(5) r""")
+
+
+@register("iterative_stratify_balance", _d5_sql())
+def q_iterative_stratify_balance(spark, sf):
+    assigned = S.iterative_stratify(_gold(spark, sf), keep_code=True)
+    return S.stratification_balance(assigned)
+
+
 @register(
     "split_filter",
     WITH_SPLITS + "SELECT c.post_id, c.issue FROM corpus c JOIN splits s USING (post_id) "
@@ -133,9 +153,9 @@ def q_mean_over_labels(spark, sf):
 def _run_record_sql() -> str:
     cols = []
     for d in L:
-        for m in ("precision", "recall", "macro_f1"):
-            cols.append(f"round(max(CASE WHEN dim = '{d}' THEN {m} END), 6) AS eval_{d}_{m}")
-    for m, out in (("precision", "precision"), ("recall", "recall"), ("macro_f1", "f1")):
+        for m, out in (("precision", "precision"), ("recall", "recall"), ("macro_f1", "macroF1")):
+            cols.append(f"round(max(CASE WHEN dim = '{d}' THEN {m} END), 6) AS eval_{d}_{out}")
+    for m, out in (("precision", "precision"), ("recall", "recall"), ("macro_f1", "F1")):
         cols.append(f"round(avg({m}), 6) AS eval_mean_{out}")
     return WITH_EVAL + "SELECT approach, repeat, fold, " + ", ".join(cols) + " FROM prf GROUP BY 1, 2, 3"
 
@@ -180,7 +200,6 @@ def q_cv_evaluate(spark, sf):
 from cvframe.functions.text import STRIP_PATTERN  # noqa: E402
 from cvframe.operators import text as T  # noqa: E402
 
-VOCAB_SIZE = 5000
 MAX_LEN = 512
 SHUFFLE_SEED = 42
 WITH_TOKS = "WITH " + O.corpus_cte() + ",\n" + O.tokens_cte() + "\n"
@@ -235,23 +254,12 @@ def q_truncate(spark, sf):
 
 
 def _encoded(spark, sf):
-    """Ids of every token of the whole text."""
-    # rows hash-partitioned by id before tokenizing: the token lookup and the
-    # regroup of each row's ids then need no shuffle of exploded tokens
-    c = fx.corpus(spark, sf).select("post_id", "post_text").repartition("post_id")
-    t = T.tokens_col(c, "post_text").select("post_id", "tokens")
-    vocab = T.build_vocab(t, size=VOCAB_SIZE)
-    return T.encode(t, vocab, vocab_size=VOCAB_SIZE)
-
-
-def _model_input(spark, sf):
-    """The model's input: ids cut at the input limit (T4), as the study's
-    tokenizer does; everything before this works on whole texts."""
-    return _encoded(spark, sf).select("post_id", T.truncate(F.col("ids"), MAX_LEN).alias("ids"))
+    """Ids of every token of the whole text, from the whole vocabulary."""
+    t = _toks(spark, sf)
+    return T.encode(t, T.build_vocab(t))
 
 
-WITH_ENC = WITH_TOKS.rstrip() + ",\n" + O.vocab_cte(VOCAB_SIZE) + ",\n" + O.encode_cte() + "\n"
-WITH_INPUT = WITH_ENC.rstrip() + f",\nmodel_in AS (SELECT post_id, ids[1:{MAX_LEN}] AS ids FROM enc)\n"
+WITH_ENC = WITH_TOKS.rstrip() + ",\n" + O.vocab_cte() + ",\n" + O.encode_cte() + "\n"
 
 
 @register(
@@ -265,11 +273,10 @@ def q_encode(spark, sf):
 
 @register(
     "attention_mask",
-    WITH_INPUT + "SELECT post_id, array_to_string(list_transform(ids, lambda x: 1), ',') AS attention_mask "
-    "FROM model_in",
+    WITH_ENC + "SELECT post_id, array_to_string(list_transform(ids, lambda x: 1), ',') AS attention_mask FROM enc",
 )
 def q_attention_mask(spark, sf):
-    e = _model_input(spark, sf).withColumn("attention_mask", T.attention_mask(F.col("ids")))
+    e = _encoded(spark, sf).withColumn("attention_mask", T.attention_mask(F.col("ids")))
     return e.select("post_id", _ids_str("attention_mask").alias("attention_mask"))
 
 
@@ -280,9 +287,9 @@ def q_make_batches(spark, sf):
 
 @register(
     "pad_batches",
-    WITH_INPUT.rstrip() + ",\n" + O.batches_cte() + """,
+    WITH_ENC.rstrip() + ",\n" + O.batches_cte() + """,
 j AS (SELECT e.post_id, b.batch_id, b.slot, e.ids, len(e.ids) AS n,
-             max(len(e.ids)) OVER (PARTITION BY b.batch_id) AS m FROM model_in e JOIN batches b USING (post_id))
+             max(len(e.ids)) OVER (PARTITION BY b.batch_id) AS m FROM enc e JOIN batches b USING (post_id))
 SELECT post_id, batch_id, slot,
        array_to_string(list_concat(ids, list_transform(range(m - n), lambda x: 0)), ',') AS ids,
        array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(m - n), lambda x: 0)), ',')
@@ -290,7 +297,7 @@ SELECT post_id, batch_id, slot,
 FROM j""",
 )
 def q_pad_batches(spark, sf):
-    e = _model_input(spark, sf)
+    e = _encoded(spark, sf)
     # batch order needs only the ids: take them from the id column, not from
     # the encoded rows (which would re-run the encoder for a second branch)
     b = T.make_batches(_gold(spark, sf).select("post_id")).join(e, "post_id")
@@ -331,7 +338,7 @@ def _pos_weights_sql_body() -> str:
 @register("pos_weights", WITH_SPLITS.rstrip() + ",\n" + _pos_weights_sql_body() +
           "\nSELECT repeat, fold, dim, n_pos, n_neg, round(weight, 6) AS weight FROM pw")
 def q_pos_weights(spark, sf):
-    w = W.pos_weights(_gold(spark, sf), _splits(spark, sf))
+    w = W.pos_weights(_gold(spark, sf), _coded_splits(spark, sf))
     return w.withColumn("weight", F.round("weight", 6))
 
 
@@ -363,7 +370,7 @@ FROM tj GROUP BY 1, 2, 3"""
 
 @register("bce_loss", _loss_sql("bce"))
 def q_bce(spark, sf):
-    g, s = _gold(spark, sf), _splits(spark, sf)
+    g, s = _gold(spark, sf), _coded_splits(spark, sf)
     d = W.bce_loss(fx.preds(spark, sf), g, s, W.pos_weights(g, s))
     return d.withColumn("bce_loss", F.round("bce_loss", 6))
 
@@ -462,6 +469,7 @@ def q_repair(spark, sf):
 # --------------------------------------------------------------------------- runs and reports
 from cvframe.operators import runs as R  # noqa: E402
 from cvframe.operators import stats as J  # noqa: E402
+from cvframe.sources import runs_io as RIO  # noqa: E402
 
 RUN_METRICS = ["mean_F1", "even_macroF1", "even_precision", "coarse_macroF1"]
 HEADLINE = "mean_F1"
@@ -518,6 +526,25 @@ def q_metric_projection(spark, sf):
     return w.select("approach", *[F.round(m, 6).alias(m) for m in REPORT[1:]])
 
 
+def _records(spark, sf):
+    """Long run records of the engine's own evaluation."""
+    return RIO.runs_long(M.run_records(_per_label(spark, sf)))
+
+
+@register("record_metric_filter", WITH_EVAL + " UNION ALL ".join(
+    [f"SELECT approach, repeat, fold, '{d}_macroF1' AS metric, round(macro_f1, 6) AS value FROM prf WHERE dim = '{d}'" for d in L]
+    + ["SELECT approach, repeat, fold, 'mean_F1', round(avg(macro_f1), 6) FROM prf GROUP BY 1, 2, 3"]))
+def q_record_metric_filter(spark, sf):
+    return R.f1_metrics(_records(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+@register("study_report", WITH_EVAL + "SELECT approach, round(avg(macro_f1), 6) AS \"mean_F1\", " + ", ".join(
+    f"round(avg(CASE WHEN dim = '{d}' THEN macro_f1 END), 6) AS \"{d}_macroF1\"" for d in L) + " FROM prf GROUP BY 1")
+def q_study_report(spark, sf):
+    d = R.study_report(_records(spark, sf))
+    return d.select("approach", *[F.round(c, 6).alias(c) for c in d.columns[1:]])
+
+
 @register("leaderboard", WITH_RUNS.rstrip() + ",\n" + _wide_sql() + f"""
 SELECT CAST(row_number() OVER (ORDER BY {HEADLINE} DESC NULLS LAST, approach) AS INTEGER) AS rank, approach, """ +
           ", ".join(f"round({m}, 4) AS {m}" for m in RUN_METRICS) + " FROM wide")
@@ -534,7 +561,7 @@ def q_best_in_column(spark, sf):
 @register("latex_rows", WITH_RUNS.rstrip() + ",\n" + _wide_sql() + f"""
 SELECT CAST(row_number() OVER (ORDER BY {HEADLINE} DESC NULLS LAST, approach) AS INTEGER) AS rank,
   replace(approach, '_', '\\_') || ' & ' || """ + " || ' & ' || ".join(
-    _DEC2.format(x=m, t="VARCHAR") for m in RUN_METRICS) + " || ' \\\\' AS line FROM wide")
+    f"coalesce({_DEC2.format(x=m, t='VARCHAR')}, '--')" for m in RUN_METRICS) + " || ' \\\\' AS line FROM wide")
 def q_latex_rows(spark, sf):
     board = R.leaderboard(_wide_means(spark, sf), HEADLINE, digits=12)
     return R.latex_lines(board, RUN_METRICS)
@@ -558,8 +585,8 @@ ranked AS (SELECT *, CAST(2 * rank() OVER (PARTITION BY metric, approach_a, appr
 grp AS (SELECT metric, approach_a, approach_b, count(*) AS n,
   sum(CASE WHEN d > 0 THEN r2 ELSE 0 END) AS w2p, sum(CASE WHEN d < 0 THEN r2 ELSE 0 END) AS w2m,
   CAST(sum(r2) AS BIGINT) AS s, list([r2] ORDER BY r2) AS ranks FROM ranked GROUP BY 1, 2, 3),
-allp AS (SELECT DISTINCT metric, approach_a, approach_b FROM pairs),
-sr AS (SELECT p.metric, p.approach_a, p.approach_b, CAST(coalesce(n, 0) AS BIGINT) AS n,
+allp AS (SELECT metric, approach_a, approach_b, count(*) AS n_pairs FROM pairs GROUP BY 1, 2, 3),
+sr AS (SELECT p.metric, p.approach_a, p.approach_b, n_pairs, CAST(coalesce(n, 0) AS BIGINT) AS n,
   coalesce(w2p, 0) / 2.0 AS w_plus, coalesce(w2m, 0) / 2.0 AS w_minus,
   least(coalesce(w2p, 0), coalesce(w2m, 0)) / 2.0 AS t_stat, s, ranks
   FROM allp p LEFT JOIN grp g USING (metric, approach_a, approach_b)),
@@ -570,7 +597,7 @@ wx AS (SELECT *, CASE WHEN n > 0 THEN least(1.0, 2.0 * list_sum(acc[1:CAST(t_sta
   / pow(2.0, n)) END AS p_value FROM dp)"""
 WITH_F1_RUNS = WITH_RUNS.rstrip() + ",\nf1runs AS (SELECT * FROM runs WHERE metric LIKE '%F1%'),\n" + \
     _PAIRS_SQL.replace("FROM runs a JOIN runs b", "FROM f1runs a JOIN f1runs b") + ",\n" + _RANKS_SQL + "\n"
-_SR_COLS = "metric, approach_a, approach_b, n, w_plus, w_minus, t_stat"
+_SR_COLS = "metric, approach_a, approach_b, n_pairs, n, w_plus, w_minus, t_stat"
 
 
 def _f1_pairs(spark, sf):
@@ -606,7 +633,6 @@ def q_significant(spark, sf):
 # --------------------------------------------------------------------------- sources and sinks
 from cvframe.session import scratch_dir  # noqa: E402
 from cvframe.sources import corpus_io as C  # noqa: E402
-from cvframe.sources import runs_io as RIO  # noqa: E402
 
 _LAB = ", ".join(L)
 
@@ -671,10 +697,14 @@ def _latex_sql() -> str:
     header = ["approach", *RUN_METRICS]
     head = [r"\begin{tabular}{l" + "r" * (len(header) - 1) + "}", r"\toprule",
             " & ".join(h.replace("_", r"\_") for h in header) + r" \\", r"\midrule"]
-    fixed = " UNION ALL ".join(f"SELECT '{s}' AS line" for s in head + [r"\bottomrule", r"\end{tabular}"])
+    foot = [r"\bottomrule", r"\end{tabular}"]
+    parts = [f"SELECT {i} AS line_no, '{s}' AS line" for i, s in enumerate(head)]
+    parts += [f"SELECT (SELECT count(*) FROM wide) + {len(head) + i}, '{s}'" for i, s in enumerate(foot)]
     body = "replace(approach, '_', '\\_') || ' & ' || " + " || ' & ' || ".join(
-        _DEC2.format(x=m, t="VARCHAR") for m in RUN_METRICS) + " || ' \\\\'"
-    return WITH_RUNS.rstrip() + ",\n" + _wide_sql() + f"\n{fixed} UNION ALL SELECT {body} AS line FROM wide"
+        f"coalesce({_DEC2.format(x=m, t='VARCHAR')}, '--')" for m in RUN_METRICS) + " || ' \\\\'"
+    parts.append(f"SELECT {len(head) - 1} + row_number() OVER (ORDER BY {HEADLINE} DESC NULLS LAST, approach), {body} FROM wide")
+    return (WITH_RUNS.rstrip() + ",\n" + _wide_sql() + "\nSELECT CAST(line_no AS INTEGER) AS line_no, line FROM ("
+            + " UNION ALL ".join(parts) + ")")
 
 
 @register("sink_latex", _latex_sql())
@@ -712,10 +742,9 @@ def q_arg_issue(spark, sf):
 @register("text_choice", "WITH " + O.corpus_cte() + "\nSELECT post_id, TRUE AS with_issue, issue || ' ' || post_text "
           "AS text FROM corpus UNION ALL SELECT post_id, FALSE, post_text FROM corpus")
 def q_text_choice(spark, sf):
-    c = fx.corpus(spark, sf)
-    a = C.choose_text(c, True).select("post_id", F.lit(True).alias("with_issue"), "text")
-    b = C.choose_text(c, False).select("post_id", F.lit(False).alias("with_issue"), "text")
-    return a.unionByName(b)
+    # both choices from one pass over the corpus
+    both = F.array(*[F.struct(F.lit(w).alias("with_issue"), C.chosen_text(w).alias("text")) for w in (True, False)])
+    return fx.corpus(spark, sf).select("post_id", F.inline(both))
 
 
 @register("melt_labels", "WITH " + O.corpus_cte() + "\n" + " UNION ALL ".join(
@@ -765,13 +794,16 @@ def _baseline_sql(kind: str) -> str:
             f"SELECT repeat, fold, '{d}' AS dim, sum({d}) AS n_pos, count(*) - sum({d}) AS n_neg FROM splits "
             f"JOIN corpus USING (post_id) WHERE split = 'TRAIN' GROUP BY 1, 2" for d in L) + "),\n"
         base += "maj AS (SELECT repeat, fold, dim, CASE WHEN n_pos > n_neg THEN 1 ELSE 0 END AS majority FROM cnt),\n"
-        pred = "(SELECT majority FROM maj m WHERE m.repeat = s.repeat AND m.fold = s.fold AND m.dim = '{d}')"
+        pred = "m_{d}"
+        base += ("majw AS (SELECT repeat, fold, " + ", ".join(f"max(CASE WHEN dim = '{d}' THEN majority END) AS m_{d}" for d in L)
+                 + " FROM maj GROUP BY 1, 2),\n")
     else:
         pred = "CAST(('0x' || substr(md5('random:' || CAST(c.post_id AS VARCHAR) || ':{d}'), 1, 1))::INTEGER % 2 AS INTEGER)"
+    extra = "JOIN majw USING (repeat, fold) " if kind == "majority" else ""
     parts = [
         f"SELECT repeat, fold, '{d}' AS dim, CAST(sum(c.{d} * p) AS BIGINT) AS tp, CAST(sum((1 - c.{d}) * p) AS BIGINT) AS fp,"
         f" CAST(sum(c.{d} * (1 - p)) AS BIGINT) AS fn, CAST(sum((1 - c.{d}) * (1 - p)) AS BIGINT) AS tn FROM "
-        f"(SELECT s.repeat, s.fold, c.{d}, {pred.format(d=d)} AS p FROM splits s JOIN corpus c USING (post_id) "
+        f"(SELECT repeat, fold, c.{d}, {pred.format(d=d)} AS p FROM splits s JOIN corpus c USING (post_id) {extra}"
         f"WHERE s.split = 'TEST') c GROUP BY 1, 2" for d in L]
     base += "conf AS (" + " UNION ALL ".join(parts) + "),\n" + O.macro_cte() + "\n"
     out = "SELECT repeat, fold, dim, round(precision, 6) AS precision, round(recall, 6) AS recall, " \
@@ -788,7 +820,7 @@ def _rounded(d):
 
 @register("majority_baseline", _baseline_sql("majority"))
 def q_majority(spark, sf):
-    return _rounded(K.majority_baseline(_gold(spark, sf), _splits(spark, sf)))
+    return _rounded(K.majority_baseline(_gold(spark, sf), _coded_splits(spark, sf)))
 
 
 @register("random_baseline", _baseline_sql("random"))
@@ -825,6 +857,24 @@ def q_train_binary(spark, sf):
     return TR.predict(fit.model, parts["TEST"], ["post_id", "quality"])
 
 
+def _labelled_sql(select: str) -> str:
+    """Split table of the labelled documents, stated over their two labels."""
+    src = "lt AS (SELECT d.doc_id AS post_id, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id))"
+    code = "(CAST(c.quality AS BIGINT) * 2 + CAST(c.toxic AS BIGINT))"
+    kf = f"""kfold AS (SELECT c.post_id, CAST(s.repeat AS INTEGER) AS repeat,
+  CAST((row_number() OVER (PARTITION BY s.repeat ORDER BY md5(s.seed || ':' || CAST({code} AS VARCHAR)), {code},
+        md5(s.seed || ':' || CAST(c.post_id AS VARCHAR)), c.post_id) - 1) % 5 AS INTEGER) AS fold FROM lt c CROSS JOIN seeds s)"""
+    holdout = O.splits_cte("lt").replace(", ".join("c." + x for x in L), "c.quality, c.toxic")
+    return "WITH " + ",\n".join([src, O.seeds_cte(), kf, holdout]) + "\n" + select
+
+
+@register("train_binary_rows", _labelled_sql(
+    "SELECT post_id, quality, TRUE AS scored FROM splits JOIN lt USING (post_id) WHERE repeat = 0 AND fold = 0 AND split = 'TEST'"))
+def q_train_binary_rows(spark, sf):
+    p = q_train_binary(spark, sf)
+    return p.select("post_id", "quality", (F.col("prediction").isin(0, 1) & F.col("prob").between(0, 1)).alias("scored"))
+
+
 @register("batch_predict")
 def q_batch_predict(spark, sf):
     _, _, parts = _cell_parts(spark, sf)
@@ -834,16 +884,32 @@ def q_batch_predict(spark, sf):
     return v.unionByName(t)
 
 
+@register("batch_predict_rows", _labelled_sql(
+    "SELECT post_id, split, TRUE AS scored FROM splits WHERE repeat = 0 AND fold = 0 AND split <> 'TRAIN'"))
+def q_batch_predict_rows(spark, sf):
+    p = q_batch_predict(spark, sf)
+    return p.select("post_id", "split", (F.col("prediction").isin(0, 1) & F.col("prob").between(0, 1)).alias("scored"))
+
+
 @register("train_multilabel")
 def q_train_multilabel(spark, sf):
     lt, sp, parts = _cell_parts(spark, sf)
     r, f = TRAIN_CELL
     w = W.pos_weights(lt.select("post_id", *TRAIN_DIMS), sp, TRAIN_DIMS) \
         .filter((F.col("repeat") == r) & (F.col("fold") == f)).select("dim", "weight").collect()  # 1 row per label
-    fit = TR.fit_multilabel(parts["TRAIN"], TRAIN_DIMS, {x["dim"]: x["weight"] for x in w})
+    fit = TR.fit_multilabel(parts["TRAIN"], TRAIN_DIMS, {x["dim"]: x["weight"] for x in w}, valid=parts["VALID"])
     return TR.predict_multilabel(fit, parts["TEST"], ["post_id", *TRAIN_DIMS])
 
 
+@register("train_multilabel_rows", _labelled_sql(
+    "SELECT post_id, quality, toxic, TRUE AS scored FROM splits JOIN lt USING (post_id) "
+    "WHERE repeat = 0 AND fold = 0 AND split = 'TEST'"))
+def q_train_multilabel_rows(spark, sf):
+    p = q_train_multilabel(spark, sf)
+    ok = [F.col(f"pred_{d}").isin(0, 1) & F.col(f"logit_{k}").isNotNull() for k, d in enumerate(TRAIN_DIMS)]
+    return p.select("post_id", *TRAIN_DIMS, (ok[0] & ok[1]).alias("scored"))
+
+
 # --------------------------------------------------------------------------- streaming
 from cvframe.streaming import leaderboard as ST  # noqa: E402
 

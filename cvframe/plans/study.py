@@ -5,13 +5,13 @@
                partitioned parquet (one folder per variant).
 * ``evaluate`` a prediction table ``(approach, post_id, logit_0..)`` and the
                prepared corpus -> TEST metrics of every run -> run records in
-               the partitioned layout (``eval_<label>_{precision,recall,
-               macro_f1}``, ``eval_mean_*``).
+               the partitioned or the study's layout (``eval_<label>_
+               {precision,recall,macroF1}``, ``eval_mean_*``).
 * ``compare``  run records (partitioned or the study's folder layout) ->
                leaderboard, LaTeX table and paired exact Wilcoxon tests.
 
-Each stage reads its inputs once and writes its outputs to the given
-(shared) paths; nothing but small result tables reaches the driver.
+Each stage writes its outputs to the given (shared) paths; nothing but
+small result tables reaches the driver.
 
     python -m cvframe.plans.study prepare --variant full=a.csv --variant majority=b.csv --out prepared/
     python -m cvframe.plans.study evaluate --prepared prepared/ --variant majority --preds preds/ --out runs/
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cvframe.operators import runs as R
 from cvframe.operators import scoring as G
 from cvframe.operators import stats as J
-from cvframe.operators.metrics import confusion_counts, macro_prf, predicted_labels, run_records, test_rows
+from cvframe.operators.metrics import confusion_counts, macro_prf, predicted_labels, run_records, test_rows, unscored
 from cvframe.plans.prepare import prepare_corpus, write_prepared
 from cvframe.schema import KFOLD_SEEDS, LABEL_COLS, N_FOLDS
 from cvframe.sources import corpus_io as C
@@ -41,7 +41,7 @@ def prepare_study(spark: SparkSession, variants: Mapping[str, str], out: str, fm
     corpus = C.read_variants(spark, variants, by_name=True)
     prepared = prepare_corpus(corpus)
     write_prepared(prepared, out, fmt=fmt)
-    return spark.read.format(fmt).load(out) if fmt != "csv" else spark.read.options(**C.CSV_OPTIONS).csv(out)
+    return spark.read.format(fmt).load(out) if fmt != "csv" else spark.read.options(**C.READ_OPTIONS).csv(out)
 
 
 def _test_cells_from_wide(prepared: DataFrame, id_col: str = "post_id") -> DataFrame:
@@ -57,39 +57,55 @@ def _test_cells_from_wide(prepared: DataFrame, id_col: str = "post_id") -> DataF
 
 
 def evaluate_study(prepared: DataFrame, preds: DataFrame, kind: str = "multilabel", repair: str | None = None,
-                   dims: Sequence[str] = LABEL_COLS) -> DataFrame:
+                   dims: Sequence[str] = LABEL_COLS, allow_missing: bool = False) -> DataFrame:
     """Stage 2: wide run records for every approach and cell on TEST.
 
-    ``kind='binary'`` scores the root label from ``logit_0`` (argmax of
-    ``(-x, x)``); ``repair`` in {None, 'reference', 'corrected'} applies the
-    hierarchy repair before scoring (the study's opt-in flag)."""
+    ``kind='binary'`` scores the root label: with columns ``logit_0`` and
+    ``logit_1`` alone these are the two classes' logits, else ``logit_0`` is
+    one score x that stands for ``(-x, x)``.  ``repair`` in {None,
+    'reference', 'corrected'} applies the hierarchy repair before scoring
+    (the study's opt-in flag).  Predictions may carry ``repeat`` and ``fold``
+    (one model per cell); they then meet their own cell only.
+
+    A TEST post without a prediction, or with a NULL or NaN logit, is refused
+    unless ``allow_missing``: the scores would look complete."""
     splits = _test_cells_from_wide(prepared)
     gold = prepared.select("post_id", *dims)
+    if not allow_missing:
+        gaps = unscored(preds, splits).filter("n_missing > 0 OR n_invalid > 0").limit(1).collect()
+        if gaps:
+            g = gaps[0]
+            raise ValueError(f"run {g['approach']} {g['repeat']}.{g['fold']}: of {g['n_posts']} TEST posts {g['n_missing']} have "
+                             f"no prediction and {g['n_invalid']} a NULL or NaN logit")
+    keys = [c for c in ("approach", "repeat", "fold", "post_id") if c in preds.columns]
     if kind == "binary":
         dims = dims[:1]
-        p01 = G.binary_label(preds.select("approach", "post_id", "logit_0")) \
-            .select("approach", "post_id", F.col("label").alias(f"pred_{dims[0]}"))
+        logits = [c for c in preds.columns if c.startswith("logit_")]
+        pair = "logit_1" if sorted(logits) == ["logit_0", "logit_1"] else None
+        p01 = G.binary_label(preds.select(*keys, *logits), "logit_0", pair) \
+            .select(*keys, F.col("label").alias(f"pred_{dims[0]}"))
     elif repair:
         p01 = G.repair(preds, repair, dims)
     else:
         p01 = predicted_labels(preds, dims)
-    per_label = macro_prf(confusion_counts(test_rows(p01, gold, splits), dims=dims))
+    per_label = macro_prf(confusion_counts(test_rows(p01, gold, splits, dims=dims), dims=dims))
     return run_records(per_label, dims=dims)
 
 
-def compare_study(runs: DataFrame, headline: str = "mean_f1", alpha: float = 0.5,
-                  f1_needle: str = "f1") -> dict[str, DataFrame]:
-    """Stage 3 on the long run table: leaderboard of means, population std,
-    LaTeX frame + rows, and significance of every approach pair on every
-    F1 metric."""
-    # the metric names (a few dozen keys) fix the report columns
-    metrics = [r["metric"] for r in runs.select("metric").distinct().orderBy("metric").collect()]
-    head = next((m for m in metrics if m.lower() == headline.lower()), metrics[0])
-    wide = R.pivot_runs(R.summarise(runs, "mean"), metrics)
+def compare_study(runs: DataFrame, kind: str = "multilabel", alpha: float = 0.5) -> dict[str, DataFrame]:
+    """Stage 3 on the long run table: the study's report (16 columns, or 4 for
+    binary) as a ranked leaderboard of means, population std of every metric,
+    LaTeX frame + rows, and significance of every approach pair on every F1
+    metric.  A label metric that no record has shows as missing; records
+    without the report's first metric, which ranks the board, are refused."""
+    metrics = R.study_metric_names(kind)
+    head = metrics[0]
+    if runs.filter(F.col("metric") == head).isEmpty():
+        raise ValueError(f"the run records have no {head}, which ranks the report")
+    wide = R.study_report(runs, kind)
     board = R.leaderboard(wide, head)
     latex = R.latex_table(R.latex_lines(R.leaderboard(wide, head, digits=12), metrics), ["approach", *metrics])
-    f1 = runs.filter(F.lower(F.col("metric")).contains(f1_needle))
-    tests = J.significant_pairs(J.wilcoxon(J.approach_pairs(f1)), alpha)
+    tests = J.significant_pairs(J.wilcoxon(J.approach_pairs(R.f1_metrics(runs))), alpha)
     return {"leaderboard": board, "std": R.summarise(runs, "std"), "latex": latex, "significance": tests}
 
 
@@ -105,10 +121,13 @@ def main(argv: Sequence[str] | None = None) -> None:
     p2.add_argument("--preds", required=True, help="parquet (approach, post_id, logit_0..logit_13)")
     p2.add_argument("--kind", default="multilabel", choices=["multilabel", "binary"])
     p2.add_argument("--repair", default=None, choices=[None, "reference", "corrected"])
+    p2.add_argument("--layout", default="partitioned", choices=["partitioned", "study"])
+    p2.add_argument("--allow-missing", action="store_true")
     p2.add_argument("--out", required=True)
     p3 = sub.add_parser("compare")
     p3.add_argument("--runs", required=True)
     p3.add_argument("--layout", default="partitioned", choices=["partitioned", "study"])
+    p3.add_argument("--kind", default="multilabel", choices=["multilabel", "binary"])
     p3.add_argument("--alpha", type=float, default=0.5)
     p3.add_argument("--out", required=True)
     a = ap.parse_args(argv)
@@ -118,9 +137,10 @@ def main(argv: Sequence[str] | None = None) -> None:
         prepare_study(spark, dict(v.split("=", 1) for v in a.variant), a.out)
     elif a.stage == "evaluate":
         prepared = spark.read.parquet(a.prepared).filter(F.col("dataset_version") == a.variant)
-        RIO.write_runs(evaluate_study(prepared, spark.read.parquet(a.preds), a.kind, a.repair), a.out)
+        records = evaluate_study(prepared, spark.read.parquet(a.preds), a.kind, a.repair, allow_missing=a.allow_missing)
+        (RIO.write_runs if a.layout == "partitioned" else RIO.write_study_runs)(records, a.out)
     else:
-        out = compare_study(RIO.read_runs(spark, a.runs, a.layout), alpha=a.alpha)
+        out = compare_study(RIO.read_runs(spark, a.runs, a.layout), a.kind, alpha=a.alpha)
         out["leaderboard"].write.mode("overwrite").parquet(f"{a.out}/leaderboard")
         out["std"].write.mode("overwrite").parquet(f"{a.out}/std")
         out["significance"].write.mode("overwrite").parquet(f"{a.out}/significance")

@@ -53,7 +53,7 @@ def test_read_study_layout_runs(spark):
     assert len(rows) == 12
     for x in rows:
         assert x["value"] == x["repeat"] + x["fold"] / 10
-    assert {r["metric"] for r in long.collect()} == {"mean_F1", "Emotional Intensity_macroF1"}
+    assert {r["metric"] for r in long.collect()} == {"mean_F1", "emotional_intensity_macroF1"}
 
 
 def test_partitioned_run_round_trip(spark):
@@ -96,9 +96,68 @@ def test_compare_flow_from_study_layout(spark):
                     json.dump(rec, fh)
     runs = RIO.read_runs(spark, root, layout="study").cache()
     rep = study_report(runs)
-    assert rep.columns[:3] == ["approach", "mean_f1", "appropriateness_macrof1"]
-    board = R.leaderboard(rep, "mean_f1").collect()
+    assert rep.columns[:3] == ["approach", "mean_F1", "appropriateness_macroF1"]
+    board = R.leaderboard(rep, "mean_F1").collect()
     assert [r["approach"] for r in board] == ["multilabel-a", "multilabel-b"]
     tests = J.wilcoxon(J.approach_pairs(R.f1_metrics(runs))).collect()
     assert len(tests) == len(keys)
     assert all(t["n"] == 25 and t["p_value"] < 0.001 for t in tests)
+
+
+def test_csv_keeps_every_text(spark):
+    d = tempfile.mkdtemp(prefix="cvframe-csv-") + "/c"
+    texts = ["  lead and trail  ", "", None, "a\\b", "c\\", 'say "hi", ok\r\n', '""', '\\"', "null", " ", ",", "\n", "\t x \n"]
+    rows = [(i, t, texts[-1 - i], *([0] * 14)) for i, t in enumerate(texts)]
+    C.write_corpus_csv(spark.createDataFrame(rows, corpus_schema()), d)
+    back = sorted(tuple(r) for r in C.read_corpus(spark, d).collect())
+    assert back == rows
+
+
+def test_other_json_files_are_not_records(spark):
+    """25 runs stay 25 with the files a trainer leaves beside the record."""
+    from cvframe.operators import stats as J
+
+    root = tempfile.mkdtemp(prefix="cvframe-runs-")
+    for a, shift in (("007", 0.0), ("b c+d", 0.1)):
+        for r in range(5):
+            for f in range(5):
+                p = os.path.join(root, a, f"fold{f}", f"fold{r}.{f}")
+                os.makedirs(p)
+                for name, extra in (("test_results.json", 0.0), ("all_results.json", 0.0), ("eval_results.json", 0.4)):
+                    with open(os.path.join(p, name), "w") as fh:
+                        json.dump({"eval_mean_F1": 0.5 + shift + extra + (5 * r + f) / 1000, "epoch": 2}, fh)
+    runs = RIO.read_runs(spark, root, layout="study")
+    assert runs.count() == 50 and {r["approach"] for r in runs.select("approach").collect()} == {"007", "b c+d"}
+    t = J.wilcoxon(J.approach_pairs(runs)).first()
+    assert t["n_pairs"] == t["n"] == 25
+
+
+def test_study_layout_round_trip_and_repeated_runs(spark):
+    import pytest
+
+    root = tempfile.mkdtemp(prefix="cvframe-runs-")
+    wide = spark.createDataFrame(
+        [(a, r, f, 0.1 * r + 0.01 * f, 0.5) for a in ("007", "x") for r in range(2) for f in range(2)],
+        "approach string, repeat int, fold int, eval_mean_F1 double, eval_emotional_intensity_macroF1 double")
+    assert RIO.write_study_runs(wide, f"{root}/study").count() == 8
+    with open(f"{root}/study/007/fold1/fold0.1/test_results.json") as fh:
+        assert set(json.load(fh)) == {"eval_mean_F1", "eval_Emotional Intensity_macroF1"}
+    RIO.write_runs(wide, f"{root}/parts")
+    want = sorted(tuple(r) for r in RIO.runs_long(wide).collect())
+    for layout, folder in (("study", "study"), ("partitioned", "parts")):
+        back = RIO.read_runs(spark, f"{root}/{folder}", layout=layout)
+        assert sorted(tuple(r) for r in back.collect()) == want
+        assert dict(back.dtypes)["approach"] == "string"
+    RIO.write_runs(wide.filter("approach = 'x'"), f"{root}/parts", mode="append")
+    with pytest.raises(ValueError, match="2 records"):
+        RIO.read_runs(spark, f"{root}/parts")
+
+
+def test_null_cell_keeps_its_column_and_long_bodies_their_footer(spark):
+    board = spark.createDataFrame([(1, "a", 0.1, None, 0.3)], "rank int, approach string, x double, y double, z double")
+    assert R.latex_lines(board, ["x", "y", "z"]).first()["line"] == r"a & 0.10 & -- & 0.30 \\"
+    late = spark.createDataFrame([(2_000_000, "b", 0.1)], "rank int, approach string, x double")
+    path = tempfile.mkdtemp(prefix="cvframe-tex-") + "/t"
+    RIO.write_latex(R.latex_table(R.latex_lines(late, ["x"]), ["approach", "x"]), path)
+    lines = [r["line"] for r in RIO.read_lines(spark, path).orderBy("line_no").collect()]
+    assert lines[-1] == r"\end{tabular}" and lines[-3].startswith("b &")

@@ -22,8 +22,12 @@ def splits(gold):
 def brute_force_kfold(gdf: pd.DataFrame, seed: int, k: int = 5) -> pd.Series:
     import hashlib
 
-    h = gdf["post_id"].map(lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())
-    order = gdf.assign(_h=h).sort_values(LABEL_COLS + ["_h", "post_id"]).reset_index(drop=True)
+    def digest(x):
+        return hashlib.md5(f"{seed}:{x}".encode()).hexdigest()
+
+    code = sum(gdf[c].astype("int64") * 2 ** (len(LABEL_COLS) - 1 - i) for i, c in enumerate(LABEL_COLS))
+    order = gdf.assign(_code=code, _g=code.map(digest), _h=gdf["post_id"].map(digest))
+    order = order.sort_values(["_g", "_code", "_h", "post_id"]).reset_index(drop=True)
     order["fold"] = order.index % k
     return order.set_index("post_id")["fold"]
 
@@ -159,3 +163,26 @@ def test_direct_wide_equals_pivot_of_long(gold):
     b = S.splits_wide(S.assign_splits(gold))
     assert sorted(a.columns) == sorted(b.columns)
     assert a.exceptAll(b.select(*a.columns)).count() == 0 and a.count() == b.count()
+
+
+@pytest.mark.parametrize("assign", [S.ms_kfold, S.iterative_stratify])
+def test_repeats_differ_for_rare_labelsets(spark, assign):
+    """A post keeps one fold over all five repeats about as often as chance (0.16 %)."""
+    gold = fx.gold(spark, "/root/testdata/sf0.1")
+    folds = assign(gold).groupBy("post_id").agg(F.count_distinct("fold").alias("n"))
+    assert folds.filter("n = 1").count() / folds.count() < 0.005
+
+
+def test_iterative_balance(gold):
+    b = S.stratification_balance(S.iterative_stratify(gold, keep_code=True)).toPandas()
+    assert b.spread_within_one.all() and b.sizes_within_one.all() and (b.n_folds == 5).all()
+
+
+def test_prepare_refuses_null_texts(spark, sf_small):
+    from cvframe.plans.prepare import prepare_corpus
+
+    docs = fx.table(spark, sf_small, "documents", ["doc_id", "source", "text"])
+    c = fx.corpus_from_documents(docs).withColumn("dataset_version", F.lit("v"))
+    c = c.withColumn("issue", F.when(F.col("post_id") != 3, F.col("issue")))
+    with pytest.raises(ValueError, match="no issue or no text"):
+        prepare_corpus(c)

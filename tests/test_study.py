@@ -50,7 +50,7 @@ def test_prepare_evaluate_compare(spark, sf_small):
     assert len(lines) == 4 + 3 + 2
 
     binary = study.evaluate_study(maj, preds, kind="binary")
-    assert "eval_appropriateness_macro_f1" in binary.columns and binary.count() == 75
+    assert "eval_appropriateness_macroF1" in binary.columns and binary.count() == 75
     fixed = study.evaluate_study(maj, preds, repair="reference")
     assert fixed.count() == 75
 
@@ -69,3 +69,49 @@ def test_cli_compare_writes_report(spark):
     sig = spark.read.parquet(f"{root}/report/significance").first()
     assert sig["n"] == 25 and sig["significant"]
     assert any(n.startswith("part-") for n in os.listdir(f"{root}/report/table.tex"))
+
+
+def test_two_logits_missing_predictions_and_cell_models(spark, sf_small):
+    import pytest
+
+    prepared = study.prepare_corpus(
+        fx.corpus(spark, sf_small).withColumn("dataset_version", F.lit("v"))).cache()
+    gold = prepared.select("post_id", "appropriateness")
+    y = F.col("appropriateness").cast("double")
+    perfect = gold.select(F.lit("p").alias("approach"), "post_id", (1 - y).alias("logit_0"), y.alias("logit_1"))
+    rec = study.evaluate_study(prepared, perfect, kind="binary")
+    assert rec.count() == 25 and all(r["eval_appropriateness_macroF1"] == 1.0 for r in rec.collect())
+    half = perfect.filter("post_id % 2 = 0")
+    with pytest.raises(ValueError, match="have no prediction"):
+        study.evaluate_study(prepared, half, kind="binary")
+    assert study.evaluate_study(prepared, half, kind="binary", allow_missing=True).count() == 25
+    # one model per cell: each cell sees its own scores only
+    cells = S.assign_splits(fx.gold(spark, sf_small)).filter("split = 'TEST'")
+    wrong = (F.col("repeat") == 1) & (F.col("fold") == 2)
+    own = cells.join(gold, "post_id").select(
+        F.lit("c").alias("approach"), "repeat", "fold", "post_id", *[
+            F.when(wrong, v).otherwise(w).alias(n) for n, v, w in (("logit_0", y, 1 - y), ("logit_1", 1 - y, y))])
+    got = {(r["repeat"], r["fold"]): r["eval_appropriateness_macroF1"] for r in study.evaluate_study(prepared, own, kind="binary").collect()}
+    assert got[1, 2] == 0.0 and all(v == 1.0 for k, v in got.items() if k != (1, 2))
+    prepared.unpersist()
+
+
+def test_report_without_its_headline_is_refused(spark):
+    import pytest
+
+    runs = spark.createDataFrame([("x", 0, 0, "loss", 1.0)], "approach string, repeat int, fold int, metric string, value double")
+    with pytest.raises(ValueError, match="mean_F1"):
+        study.compare_study(runs)
+
+
+def test_train_cells_feeds_evaluate(spark, sf_small):
+    from cvframe.operators import training as TR
+
+    lt = fx.labelled_text(spark, sf_small).withColumnsRenamed({"doc_id": "post_id"}).select("post_id", "text", "quality", "toxic")
+    sp = S.assign_splits(lt.select("post_id", "quality", "toxic"), dims=["quality", "toxic"]).cache()
+    out = TR.train_cells(lt, sp, ["quality", "toxic"], cells=[(0, 0), (3, 1)], max_iter=5, num_features=1 << 10, reg_params=(0.1,))
+    want = sp.filter("split = 'TEST' AND ((repeat = 0 AND fold = 0) OR (repeat = 3 AND fold = 1))").select("repeat", "fold", "post_id")
+    assert sorted(map(tuple, out.select("repeat", "fold", "post_id").collect())) == sorted(map(tuple, want.collect()))
+    conf = M.confusion_counts(M.test_rows(M.predicted_labels(out, ["quality", "toxic"]), lt, sp), dims=["quality", "toxic"])
+    assert conf.count() == 4
+    sp.unpersist()

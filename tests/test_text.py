@@ -1,6 +1,7 @@
 """Text preparation: strip, tokens, shuffle, encode, batches, padding."""
 
 from collections import Counter
+from hashlib import md5
 
 from pyspark.sql import functions as F
 
@@ -25,15 +26,6 @@ def test_arg_issue_null_in_null_out(spark):
     assert null_text_rows(out).first()["null_rows"] == 1
 
 
-def test_ensure_parallelism_is_noop_on_split_input(spark):
-    from cvframe.session import ensure_parallelism
-
-    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
-    assert ensure_parallelism(many) is many
-    one = spark.range(0, 1000, numPartitions=1)
-    assert ensure_parallelism(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
 def test_tokenize_words_and_punctuation(spark):
     df = spark.createDataFrame([("Hello, wörld_1! it's 3.5",)], "t string")
     got = df.select(tokenize(F.col("t"))).first()[0]
@@ -58,7 +50,7 @@ def test_encode_unknown_and_empty(spark):
     vocab = T.build_vocab(df, size=2)
     v = {r["token"]: r["id"] for r in vocab.collect()}
     assert v == {"a": 2, "b": 3}
-    enc = {r["post_id"]: r["ids"] for r in T.encode(df, vocab, vocab_size=2).collect()}
+    enc = {r["post_id"]: r["ids"] for r in T.encode(df, vocab).collect()}
     assert enc[1] == [2, 3, 2, 1] and enc[2] == [] and enc[3] == [3, 3, 2]
 
 
@@ -96,5 +88,7 @@ def test_vocab_top_k_exact_with_ties(spark):
     df = spark.createDataFrame(rows, "post_id long, tokens array<string>")
     got = [(r["token"], r["id"]) for r in T.build_vocab(df, size=120).orderBy("id").collect()]
     counts = Counter(t for _, toks in rows for t in toks)
-    exp = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:120]
-    assert got == [(t, i + 2) for i, (t, _) in enumerate(exp)]
+    exp = sorted(counts.items(), key=lambda kv: (-kv[1], md5(f"vocab:{kv[0]}".encode()).hexdigest(), kv[0]))
+    assert got == [(t, i + 2) for i, (t, _) in enumerate(exp[:120])]
+    whole = [(r["token"], r["id"]) for r in T.build_vocab(df).orderBy("id").collect()]
+    assert whole == [(t, i + 2) for i, (t, _) in enumerate(exp)]

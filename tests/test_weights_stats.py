@@ -78,10 +78,23 @@ def test_approach_pairs_unordered(spark):
     assert sorted(tuple(r) for r in p) == [("x", "y"), ("x", "z"), ("y", "z")]
 
 
-def test_large_n_uses_normal_approximation(spark):
-    rnd = random.Random(5)
-    rows = [("m", "A", "B", i, 0, rnd.random() + 0.05, rnd.random()) for i in range(80)]
+@pytest.mark.parametrize("n", [25, 60, 61, 150])
+def test_exact_at_every_n(spark, n):
+    """The whole null distribution, counted with integers of any size."""
+    rnd = random.Random(n)
+    rows = [("m", "A", "B", i, 0, rnd.choice([1.0, 2.0, 3.5]) + 0.2, rnd.choice([1.0, 2.0, 3.5])) for i in range(n)]
     pairs = spark.createDataFrame(rows, "metric string, approach_a string, approach_b string, repeat int, fold int, "
                                         "value_a double, value_b double")
     r = J.wilcoxon(pairs).first()
-    assert r["n"] == 80 and 0.0 <= r["p_value"] <= 1.0
+    d = [a - b for *_, a, b in rows if a != b]
+    ad = sorted(abs(x) for x in d)
+    rank2 = {v: 2 * ad.index(v) + ad.count(v) + 1 for v in set(ad)}
+    counts = {0: 1}
+    for x in d:
+        new = dict(counts)
+        for k, c in counts.items():
+            new[k + rank2[abs(x)]] = new.get(k + rank2[abs(x)], 0) + c
+        counts = new
+    t2 = min(sum(rank2[abs(x)] for x in d if x > 0), sum(rank2[abs(x)] for x in d if x < 0))
+    p = min(1.0, 2 * sum(c for k, c in counts.items() if k <= t2) / 2 ** len(d))
+    assert r["n_pairs"] == n and r["n"] == len(d) and r["p_value"] == pytest.approx(p, rel=1e-9)
