@@ -33,6 +33,7 @@ from cvframe.operators.index import BUCKET_COL, ordered_index, running_offsets
 from cvframe.schema import HOLDOUT_EVERY, HOLDOUT_SEED, KFOLD_SEEDS, LABEL_COLS, N_FOLDS
 
 MAX_LABELS = 30  # labelset code is a bit mask in a BIGINT
+MAX_GREEDY_LABELS = 20  # D5 solves its quotas on up to 2**labels counts in one task
 CODE = "labelset_code"
 
 
@@ -314,6 +315,8 @@ def iterative_stratify(
        a labelset with fewer rows than folds meets other folds.
     """
     n = len(dims)
+    if n > MAX_GREEDY_LABELS:
+        raise ValueError(f"iterative stratification takes at most {MAX_GREEDY_LABELS} labels")
     by = list(by)
     counts = corpus.groupBy(*by, labelset_code(dims).alias("_code")).agg(F.count(F.lit(1)).alias("_n"))
     by_schema = [f.simpleString().replace(":", " ", 1) for f in corpus.select(*by).schema.fields]
