@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvframe.session import scratch_dir
+from cvframe.session import written  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -15,16 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared checkpoint folder.
-
-    Cuts the lineage and keeps a copy that outlives any executor; readers of
-    the result scan the files instead of repeating the work above."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (compared as Spark does)."""
     taken = {c.lower() for c in df.columns}
