@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cvframe.llm.common import fresh, id_remainder, quoted
-from cvframe.llm.words import WordTable, labelled, sums, text_slices
+from cvframe.llm.words import WordTable, labelled, text_slices
 
 BUCKETS = 1 << 14
 DIM = 64
@@ -31,6 +31,7 @@ NONZERO = 4            # nonzero entries of an index vector
 REACH = 2              # neighbours on each side
 CHUNK = 256            # buckets summed by one row of the reduction
 HIDDEN = 32
+POOL_WORDS = 50_000    # words whose vectors a task looks up at once
 MAX_LABELLED = 20_000  # labelled documents the network is fitted on, at most
 SPARE = 0.2            # share of them kept for the temperature
 THRESHOLD = 0.7
@@ -131,18 +132,27 @@ def word_vectors(context: np.ndarray) -> np.ndarray:
 
 
 def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    """(texts, 3 DIM): mean, spread and mean neighbour product; empty: zeros."""
+    """(texts, 3 DIM): mean, spread and mean neighbour product; empty: zeros.
+
+    Vectors are looked up for ``POOL_WORDS`` words at a time, so a task's
+    memory does not grow with its texts, however long one is."""
     words, sizes = _buckets(texts)
-    v = vectors[words]
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.zeros((3, len(sizes), DIM))
+    for a in range(0, len(words), POOL_WORDS):
+        b = min(a + POOL_WORDS, len(words))
+        v = vectors[words[a:b + 1]]                       # and the word after the last one
+        own, ids = v[:b - a], text[a:b]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        near = np.zeros_like(own)
+        near[:len(v) - 1] = v[:-1] * v[1:]
+        near[:len(v) - 1][text[a:a + len(v) - 1] != text[a + 1:a + len(v)]] = 0
+        for k, x in enumerate((own, own * own, near)):
+            total[k, ids[first]] += np.add.reduceat(x, first, axis=0, dtype=np.float64)
     n = np.maximum(sizes, 1)[:, None]
-    mean = sums(v, sizes) / n
-    spread = np.sqrt(np.maximum(0, sums(v * v, sizes) / n - mean * mean))
-    product = np.zeros_like(v)
-    if len(v) > 1:
-        product[:-1] = v[:-1] * v[1:]
-        product[np.cumsum(sizes)[sizes > 0] - 1] = 0      # the last word of a text has no next one
-    near = sums(product, sizes) / np.maximum(sizes - 1, 1)[:, None]
-    return np.hstack([mean, spread, near])
+    mean = total[0] / n
+    spread = np.sqrt(np.maximum(0, total[1] / n - mean * mean))
+    return np.hstack([mean, spread, total[2] / np.maximum(sizes - 1, 1)[:, None]])
 
 
 @dataclass
