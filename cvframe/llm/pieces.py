@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from cvframe.llm.common import fresh
 
 SPACE = "▁"
-CACHE_UNITS = 400_000        # units remembered by one worker; forgetting only costs time
+CACHE_UNITS = 300_000        # units remembered by one worker; forgetting only costs time
 BATCH_BYTES = 4 << 20        # text bytes encoded at once
 LONG_UNIT = 64               # longer words are cut where nothing can merge
 NO_RANK = np.int64(1) << 30

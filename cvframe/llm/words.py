@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cvframe.llm.common import id_remainder, quoted, table
 
 BATCH_BYTES = 4 << 20      # text handled at once
-KNOWN_WORDS = 300_000      # words remembered by one worker; forgetting only costs time
+KNOWN_WORDS = 200_000      # words remembered by one worker; forgetting only costs time
 
 
 class _Rows(dict):
