@@ -306,7 +306,8 @@ def read_documents(shards: DataFrame, folder: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"])
                     start = int(ends[-1])
 
-    spread = shards.select("shard", "file", "start").repartition("shard")
+    # as many tasks as files: left to itself Spark would join the short list of files in one task
+    spread = shards.select("shard", "file", "start").repartition(max(1, shards.count()), "shard")
     return spread.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
