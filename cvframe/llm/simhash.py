@@ -276,7 +276,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, limit: int) -> Data
     labels = min_labels(links(distinct.select("fp"), limit))          # only fingerprints that have a link
     named = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
     named = named.select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
-    ids = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    # written, so that the join below deals both sides anew and a component of very many fingerprints can be split
+    ids = written(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "simhash-ids")
     by_fp = written(named.join(ids, "label").select("fp", "label", "component_id"), "simhash-components")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "label", "component_id")
 
