@@ -12,7 +12,6 @@ isotonic curve, fitted on the rest, turns their sums into probabilities.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -122,25 +121,20 @@ def dense_features(texts: list[str | None], words: WordTable) -> np.ndarray:
         total[:, 9] / n, total[:, 10] / n, total[:, 11] / letters, total[:, 12] / n, total[:, 13] / n, np.log1p(sizes)])
 
 
-def _fold(doc_id) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+def _fold(text) -> Column:
+    """Copies of a text share a fold, so none teaches the lexicon of another."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
 
 
 def term_counts(rows: DataFrame, limit: int = MAX_LEXICON, least: int = MIN_DOCS) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """(entry -> documents per fold and kind, documents per fold and kind);
     kinds are toxic and other.
 
-    One text stands for all with the same least word hash and label, so
-    copies of a toxic document do not turn its words into entries.  Counts
-    are added up per batch and shuffled by entry; the ``limit`` entries that
-    deviate most reach the driver."""
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crc = zlib.crc32
-        for batch in batches:
-            sig = [min((crc(w.encode("utf-8", "surrogatepass")) for w in set((t or "").split())), default=-1)
-                   for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig, pa.int64())], names=["text", "label", "fold", "sig"])
+    Rows with the same whole text (by its SHA-256; NULL counts as empty) and
+    label count once, so copies of a toxic document do not turn its words
+    into entries; every other row counts.  Counts are added up per batch and
+    shuffled by entry; the ``limit`` entries that deviate most reach the
+    driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,10 +148,9 @@ def term_counts(rows: DataFrame, limit: int = MAX_LEXICON, least: int = MIN_DOCS
                         [pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()),
                          pa.array(np.full(len(n), 2 * fold + kind, np.int32))], names=["term", "n", "cell"])
 
-    rows = rows.select("text", "label", _fold("doc_id").alias("fold"))
-    rows = rows.mapInArrow(signed, "text string, label int, fold int, sig long")
-    rows = written(rows.groupBy("sig", "label").agg(F.min(F.struct("fold", "text")).alias("r"))
-                   .select("r.text", "label", "r.fold"), "toxicity-rows")
+    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = rows.groupBy(F.sha2("text", 256).alias("sig"), "label").agg(F.min("text").alias("text"))
+    rows = written(rows.select("text", "label", _fold(F.col("text")).alias("fold")), "toxicity-rows")
     docs = np.zeros((FOLDS, 2))
     for r in rows.groupBy("fold", (F.col("label") != 1).cast("int").alias("kind")).count().collect():
         docs[r["fold"], r["kind"]] = r["count"]
@@ -303,7 +296,7 @@ def fit(docs: DataFrame, sf_dir: str, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
-    rows = rows.withColumn("fold", _fold("doc_id"))
+    rows = rows.withColumn("fold", _fold(F.col("text")))
     got = rows.mapInArrow(features, "doc_id long, label int, x binary").collect()   # limit x 18 numbers
     got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     x = np.array([np.frombuffer(bytes(r["x"])) for r in got]).reshape(len(got), len(FEATURES))

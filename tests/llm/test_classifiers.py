@@ -125,3 +125,19 @@ def test_isotonic_curve_rises_and_matches_means():
 def test_hidden_words():
     assert toxicity.plain("(Moron!!") == "moron" and toxicity.revealed("m0r0n!") == "moron"
     assert toxicity.revealed("i.d.i.o.t") == "idiot" and toxicity.revealed("looooser") == "loser"
+
+
+def test_term_counts_count_every_text_and_copies_once(spark):
+    common = "w226169"         # crc32 19772: the least of each text, though none is a copy of another
+    rows = [(i, f"{common} own{i} word{i}" + (" rude" if i % 2 == 0 else ""), int(i % 2 == 0)) for i in range(40)]
+    rows += [(100 + i, rows[0][1], 1) for i in range(5)] + [(200, rows[0][1], 0), (201, None, 1), (202, "", 1)]
+    counts, docs = toxicity.term_counts(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert docs.sum(0).tolist() == [21, 21]         # 20 texts and the empty one; 20 texts and the copy with the other label
+    assert (docs.sum(1) > 0).all()
+    assert counts["rude"].sum(0).tolist() == [20, 1]
+
+
+def test_copies_share_a_fold(spark):
+    rows = spark.createDataFrame([(i, f"text {i % 7}") for i in range(70)] + [(99, None), (98, "")], "doc_id long, text string")
+    folds = rows.select(F.coalesce("text", F.lit("")).alias("t"), toxicity._fold(F.col("text")).alias("f")).distinct().collect()
+    assert len(folds) == 8
