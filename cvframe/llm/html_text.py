@@ -1,8 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines (one per block element).  Lines inside page
-furniture (menus, adverts, forms, comments, ...) and lines that are mostly
-links weigh nothing; every other line weighs its text length.  Sums over a
+furniture (menus, adverts, forms, comments, ...) weigh nothing, nor do lines
+outside of an article that are mostly links; every other line weighs its
+text length.  Sums over a
 sliding window of ``WINDOW`` lines rise where the article begins (surge)
 and fall to nothing where it ends (dive); the text between is kept.
 """
@@ -47,6 +48,7 @@ _TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S)
 _HINTED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -77,7 +79,8 @@ def lines_of(page: str) -> list[Line]:
     linked = 0
     skip, depth = "", 0          # the furniture element that is open, and how many of its name
     inside = 0                   # open article and main elements
-    link = 0
+    link, linked_any = 0, False  # in a link; it has had text
+    blocks: list[str] = []       # blocks opened inside the link
     pos, n = 0, len(page)
 
     def end_line():
@@ -96,6 +99,7 @@ def lines_of(page: str) -> list[Line]:
             parts.append(text)
             if link:
                 linked += len(text)
+                linked_any = linked_any or not text.isspace()
         if not m:
             break
         pos = m.end()
@@ -110,11 +114,20 @@ def lines_of(page: str) -> list[Line]:
                 parts.append(" ")
             continue
         if name == "a":
-            link = 0 if closing else 1
+            link, linked_any = int(not closing and bool(_HREF.search(attrs))), False
+            blocks.clear()
         if name in SPACING:
             parts.append(" ")
         if name in BLOCKS:
             end_line()
+            if link:             # a link ends with the block it began in, and before a further block
+                if closing and name in blocks:
+                    while blocks.pop() != name:
+                        pass
+                elif closing or linked_any and not blocks:
+                    link = 0
+                elif name not in VOID:
+                    blocks.append(name)
         if name in VOID:
             continue
         if skip:
@@ -169,7 +182,7 @@ def main_text(page: str | None) -> tuple[str, int, int]:
     largest region alone if none has that)."""
     lines = lines_of(page or "")
     marked = any(x.article and not x.furniture for x in lines)
-    weights = np.array([0.0 if x.furniture or (marked and not x.article) or 2 * x.linked > len(x.text) else float(len(x.text))
+    weights = np.array([0.0 if x.furniture or (marked and not x.article) or (not marked and 2 * x.linked > len(x.text)) else float(len(x.text))
                         for x in lines])
     if marked:
         spans = regions(weights, 1)

@@ -58,3 +58,18 @@ def test_column(spark):
     got = df.select("page_id", html_text.extract(F.col("html")).alias("m")).collect()
     assert sorted(((r["page_id"], r["m"]["text"]) for r in got), key=str) == [(1, "a b"), (1, "a b"), (2, ""), (None, "")]
     assert df.limit(0).select(html_text.extract(F.col("html"))).collect() == []
+
+
+def test_linked_lines_of_an_article_stay():
+    links = "".join(f"<li><a href=r{i}>Reference {i}</a></li>" for i in range(5))
+    page = f"<article><h1><a href=x>Title</a></h1><p>{LONG}</p><ul>{links}</ul><p>end</p><p>Source: <a href=y>the agency's page</a></p></article>"
+    assert text(page).split("\n") == ["Title", " ".join(LONG.split()), *[f"Reference {i}" for i in range(5)], "end",
+                                      "Source: the agency's page"]
+
+
+def test_links_end():
+    assert text(f"<body><a name=top><p>{LONG}</p><p>more</p></body>") == " ".join(LONG.split()) + "\nmore"
+    assert text(f"<body><p><a href=x>go</p><p>{LONG}</p></body>").endswith(" ".join(LONG.split()))
+    assert text(f"<body><p><a href=x>go<p>{LONG}<p>more</body>").endswith(" ".join(LONG.split()) + "\nmore")
+    lines = html_text.lines_of("<a href=x><div><h3>Card</h3><p>teaser</p></div></a><p>free")
+    assert [(x.text, x.linked > 0) for x in lines] == [("Card", True), ("teaser", True), ("free", False)]
