@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines (one per block element).  Lines inside page
-furniture (menus, adverts, forms, comments, ...) weigh nothing, nor do lines
-outside of an article that are mostly links; every other line weighs its
+furniture (menus, adverts, forms, comments, ...) are taken out; lines
+outside of an article that are mostly links weigh nothing; every other line weighs its
 text length.  Sums over a
 sliding window of ``WINDOW`` lines rise where the article begins (surge)
 and fall to nothing where it ends (dive); the text between is kept.
@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 3          # lines per block
-SURGE = 80          # characters in a window that start a region on a page without an article element
-SHARE = 0.25        # a further region counts from this share of the page's largest window sum
+SURGE = 80          # characters in a window that start a region outside of an article element
 
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "button", "object", "math",
        "canvas", "audio", "video", "title", "option"}
@@ -176,22 +175,22 @@ def regions(weights: np.ndarray, surge: float, window: int = WINDOW) -> list[tup
 def main_text(page: str | None) -> tuple[str, int, int]:
     """(text, lines on the page, lines kept) of one page; NULL: empty.
 
-    If the page marks an article or main element, only its lines weigh and
-    any region counts, however short; otherwise a region needs ``SURGE``
-    characters in a window and ``SHARE`` of the page's largest sum (the
-    largest region alone if none has that)."""
+    Furniture is taken out before the windows, so it parts no text.  Every
+    other line of an article or main element is kept.  Lines outside of one
+    are dropped if the marked lines hold half of the text or more;
+    otherwise they are kept in regions of ``SURGE`` characters in a window
+    (in any region if none has so many)."""
     lines = lines_of(page or "")
-    marked = any(x.article and not x.furniture for x in lines)
-    weights = np.array([0.0 if x.furniture or (marked and not x.article) or (not marked and 2 * x.linked > len(x.text)) else float(len(x.text))
-                        for x in lines])
-    if marked:
-        spans = regions(weights, 1)
-    else:
-        padded = np.concatenate([weights, np.zeros(WINDOW - 1)])
-        top = float(np.convolve(padded, np.ones(WINDOW), "valid").max()) if len(weights) else 0.0
-        spans = regions(weights, max(SURGE, SHARE * top)) or regions(weights, max(top, 1))
-    kept = [lines[i].text for a, b in spans for i in range(a, b)
-            if not lines[i].furniture and (not marked or lines[i].article)]
+    own = [x for x in lines if not x.furniture]
+    keep = np.array([x.article for x in own], bool)
+    length = np.array([len(x.text) for x in own], float)
+    plain = np.array([2 * x.linked <= len(x.text) for x in own], bool)
+    if 2 * length[keep].sum() < length[keep | plain].sum():
+        weights = np.where(keep | plain, length, 0.0)
+        spans = regions(weights, SURGE) or regions(weights, 1)
+        for a, b in spans:
+            keep[a:b] = True
+    kept = [x.text for x, k in zip(own, keep) if k]
     return "\n".join(kept), len(lines), len(kept)
 
 

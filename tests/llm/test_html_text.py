@@ -73,3 +73,15 @@ def test_links_end():
     assert text(f"<body><p><a href=x>go<p>{LONG}<p>more</body>").endswith(" ".join(LONG.split()) + "\nmore")
     lines = html_text.lines_of("<a href=x><div><h3>Card</h3><p>teaser</p></div></a><p>free")
     assert [(x.text, x.linked > 0) for x in lines] == [("Card", True), ("teaser", True), ("free", False)]
+
+
+def test_later_parts_count_whatever_the_longest_paragraph():
+    part, long = " ".join(LONG.split()), " ".join((LONG * 40).split())
+    box = "<div class=ad><p>Buy</p><p>this</p><p>now</p><p>!</p></div>"
+    assert text(f"<body><p>{long}</p>{box}<p>{part}</p>{box}<p>short</p></body>").split("\n") == [long, part, "short"]
+
+
+def test_an_article_with_little_of_the_text_does_not_hide_the_rest():
+    part = " ".join((LONG * 3).split())
+    page = f"<body><p>{part}</p><article><a href=t>Teaser</a></article><p>{part}</p></body>"
+    assert text(page).split("\n") == [part, "Teaser", part]
