@@ -40,13 +40,22 @@ HINTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
          "sharing", "social", "related", "recommended", "recommendations", "widget", "pagination", "pager", "toolbar",
          "login", "search", "skip", "contentinfo", "complementary", "form", "dialog"}
 READERS = {"comment", "comments", "disqus", "respond", "replies"}
+#: Hints that no amount of text overrides; a name made of a hint and parts below is known furniture too.
+SURE = READERS | {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "sponsored", "cookie",
+                  "cookies", "consent", "gdpr", "newsletter", "subscribe", "breadcrumb", "breadcrumbs", "pagination", "pager"}
+PARTS = {"", "box", "bar", "block", "button", "buttons", "link", "links", "list", "item", "items", "container", "wrapper", "wrap",
+         "inner", "outer", "section", "area", "panel", "unit", "slot", "icon", "icons", "post", "posts", "article", "articles",
+         "story", "stories", "top", "bottom", "left", "right", "inline", "media", "site", "page", "main", "header", "thread"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+TITLED = HEADINGS | {"section", "hgroup"}     # their ids are often slugs of titles
+LONG = 400          # characters of a block in an article, mostly not linked, that override a hint
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S)
-_HINTED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HINTED = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -58,25 +67,52 @@ class Line:
     linked: int        # characters inside links
     furniture: bool
     article: bool      # inside an article or main element
+    hint: int = 0      # the element in an article that made it furniture by an overridable hint
 
 
 def _hinted(name: str, attrs: str, in_article: bool) -> bool:
     if name in ROOTS or not attrs:
         return False
-    words = {w for m in _HINTED.finditer(attrs) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
+    words = {w for m in _HINTED.finditer(attrs) for w in _WORDS.findall(_value(m).lower())}
     if name in ("article", "main"):
         return bool(words & READERS)
-    if not in_article and "header" in words:
+    if in_article:
+        return bool(_known(name, attrs))
+    if "header" in words:
         return True
     return bool(words & HINTS)
 
 
+def _value(m: re.Match) -> str:
+    return m[2] or m[3] or m[4] or ""
+
+
+def _known(name: str, attrs: str) -> set[str]:
+    """Hints an element in an article gives by whole names of known furniture.
+
+    A name (class, role, id or a whole label) counts if it is a hint or a
+    hint with PARTS.  Ids of headings and sections are their titles: a
+    heading's never counts, a section's only if it names readers' comments."""
+    found = set()
+    for m in _HINTED.finditer(attrs):
+        kind, value = m[1].lower(), _value(m).lower()
+        for token in ["-".join(value.split())] if kind == "aria-label" else value.split():
+            words = set(re.split(r"[-_\d]+", token))
+            if kind == "id" and name in TITLED and (name in HEADINGS or not words <= READERS):
+                continue
+            if words <= HINTS | PARTS:
+                found |= words & HINTS
+    return found
+
+
 def lines_of(page: str) -> list[Line]:
     """The page as lines, one per block element, in page order."""
     out: list[Line] = []
     parts: list[str] = []
     linked = 0
     skip, depth = "", 0          # the furniture element that is open, and how many of its name
+    hint, hints = 0, 0           # number of the open element with a hint that text overrides; such elements so far
+    within, below = "", 0        # furniture in it that nothing overrides, and how many of its name
     inside = 0                   # open article and main elements
     link, linked_any = 0, False  # in a link; it has had text
     blocks: list[str] = []       # blocks opened inside the link
@@ -87,7 +123,7 @@ def lines_of(page: str) -> list[Line]:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                out.append(Line(text, linked, bool(skip), inside > 0))
+                out.append(Line(text, linked, bool(skip), inside > 0, 0 if within else hint))
             parts.clear()
         linked = 0
 
@@ -130,11 +166,20 @@ def lines_of(page: str) -> list[Line]:
         if name in VOID:
             continue
         if skip:
+            if within:
+                if name == within:
+                    below += -1 if closing else 1
+                    if below <= 0:
+                        end_line()
+                        within = ""
+            elif hint and not closing and _sure(name, attrs) and not attrs.endswith("/"):
+                end_line()
+                within, below = name, 1
             if name == skip:
                 depth += -1 if closing else 1
                 if depth <= 0:
                     end_line()
-                    skip = ""
+                    skip, hint, within = "", 0, ""
             elif name in ("article", "main") and not closing and not inside and not _hinted(name, attrs, False):
                 end_line()       # an article ends furniture that was never closed
                 skip, inside = "", 1
@@ -144,11 +189,31 @@ def lines_of(page: str) -> list[Line]:
                     or (attrs and name not in ROOTS and _HIDDEN.search(attrs))) and not attrs.endswith("/"):
                 end_line()
                 skip, depth = name, 1
+                if inside and not _sure(name, attrs):
+                    hint = hints = hints + 1
             elif name in ("article", "main"):
                 inside += 1
         elif name in ("article", "main"):
             inside = max(0, inside - 1)
     end_line()
+    long = {h for h, (size, in_links) in _sizes(out).items() if size >= LONG and 4 * in_links <= size}
+    for x in out:
+        x.furniture = x.furniture and x.hint not in long
+    return out
+
+
+def _sure(name: str, attrs: str) -> bool:
+    """Furniture whatever text it holds."""
+    return bool(name in FURNITURE or attrs and (_HIDDEN.search(attrs) or name not in ("article", "main") and _known(name, attrs) & SURE))
+
+
+def _sizes(lines: list[Line]) -> dict[int, tuple[int, int]]:
+    """(characters, characters inside links) per element with a hint."""
+    out: dict[int, tuple[int, int]] = {}
+    for x in lines:
+        if x.hint:
+            size, in_links = out.get(x.hint, (0, 0))
+            out[x.hint] = size + len(x.text), in_links + x.linked
     return out
 
 

@@ -85,3 +85,17 @@ def test_an_article_with_little_of_the_text_does_not_hide_the_rest():
     part = " ".join((LONG * 3).split())
     page = f"<body><p>{part}</p><article><a href=t>Teaser</a></article><p>{part}</p></body>"
     assert text(page).split("\n") == [part, "Teaser", part]
+
+
+def test_titles_in_an_article_are_no_hints():
+    page = ("<article><h2 id=related-work>Related work</h2><section id=\"search-for-water\"><p>found</p></section>"
+            "<div class='social-history'><p>kept</p></div><div class='share-buttons'>Tweet</div><div class='box ad'>Buy</div>"
+            "<p aria-label='a social notice'>spoken</p><div id=related-posts><a href=x>Other</a></div></article>")
+    assert text(page) == "Related work\nfound\nkept\nspoken"
+
+
+def test_a_long_block_in_an_article_overrides_its_hint():
+    body = " ".join((LONG * 3).split())
+    page = f"<article><p>a</p><div class=notice><p>{body}</p><nav>menu</nav><div class=ad>Buy {body}</div><p>b</p></div><div class=comments>{body}</div></article>"
+    assert text(page) == f"a\n{body}\nb"
+    assert text(f"<article><p>a</p><div class=related><a href=x>{body}</a></div><div class=notice>short</div></article>") == "a"
