@@ -631,7 +631,7 @@ def q_significant(spark, sf):
 
 
 # --------------------------------------------------------------------------- sources and sinks
-from cvframe.session import scratch_dir  # noqa: E402
+from cvframe.session import scratch_dir, written  # noqa: E402
 from cvframe.sources import corpus_io as C  # noqa: E402
 
 _LAB = ", ".join(L)
@@ -832,7 +832,9 @@ def q_random(spark, sf):
 from cvframe.operators import training as TR  # noqa: E402
 
 TRAIN_DIMS = ["quality", "toxic"]
-TRAIN_CELL = (0, 0)
+TRAIN_CELLS = [(r, f) for r in range(5) for f in range(5)]
+TRAIN_CELL = (0, 0)     # the cell of the *_rows statements; *_cells_rows state every cell
+APPROACH = "logistic"
 
 
 def _labelled(spark, sf):
@@ -840,21 +842,27 @@ def _labelled(spark, sf):
     return C.with_arg_issue(lt.withColumnsRenamed({"source": "issue", "text": "post_text"}), "text")
 
 
-def _cell_parts(spark, sf):
+def _over_cells(spark, sf, cells, score):
+    """(approach, repeat, fold, ...) of ``score(lt, splits, cell, parts)`` for each cell, one fit after the other."""
     lt = _labelled(spark, sf)
-    sp = S.assign_splits(lt.select("post_id", *TRAIN_DIMS), dims=TRAIN_DIMS)
-    r, f = TRAIN_CELL
-    parts = {}
-    for name in ("TRAIN", "VALID", "TEST"):
-        parts[name] = S.split_rows(lt, sp, r, f, name)
-    return lt, sp, parts
+    sp = written(S.assign_splits(lt.select("post_id", *TRAIN_DIMS), dims=TRAIN_DIMS), "train-splits")
+    out = None
+    for r, f in cells:
+        parts = {name: S.split_rows(lt, sp, r, f, name) for name in ("TRAIN", "VALID", "TEST")}
+        rows = score(lt, sp, (r, f), parts)
+        rows = rows.select(F.lit(APPROACH).alias("approach"), F.lit(r).cast("int").alias("repeat"),
+                           F.lit(f).cast("int").alias("fold"), *rows.columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @register("train_binary")
-def q_train_binary(spark, sf):
-    _, _, parts = _cell_parts(spark, sf)
-    fit = TR.fit_binary(parts["TRAIN"], parts["VALID"], "quality")
-    return TR.predict(fit.model, parts["TEST"], ["post_id", "quality"])
+def q_train_binary(spark, sf, cells=TRAIN_CELLS):
+    def score(lt, sp, cell, parts):
+        fit = TR.fit_binary(parts["TRAIN"], parts["VALID"], "quality")
+        return TR.predict(fit.model, parts["TEST"], ["post_id", "quality"])
+
+    return _over_cells(spark, sf, cells, score)
 
 
 def _labelled_sql(select: str) -> str:
@@ -871,45 +879,78 @@ def _labelled_sql(select: str) -> str:
 @register("train_binary_rows", _labelled_sql(
     "SELECT post_id, quality, TRUE AS scored FROM splits JOIN lt USING (post_id) WHERE repeat = 0 AND fold = 0 AND split = 'TEST'"))
 def q_train_binary_rows(spark, sf):
-    p = q_train_binary(spark, sf)
+    p = q_train_binary(spark, sf, [TRAIN_CELL])
     return p.select("post_id", "quality", (F.col("prediction").isin(0, 1) & F.col("prob").between(0, 1)).alias("scored"))
 
 
+CELL_KEYS = f"SELECT '{APPROACH}' AS approach, repeat, fold, post_id, "
+
+
+@register("train_binary_cells_rows", _labelled_sql(
+    CELL_KEYS + "quality, TRUE AS scored FROM splits JOIN lt USING (post_id) WHERE split = 'TEST'"))
+def q_train_binary_cells_rows(spark, sf):
+    p = q_train_binary(spark, sf)
+    return p.select("approach", "repeat", "fold", "post_id", "quality",
+                    (F.col("prediction").isin(0, 1) & F.col("prob").between(0, 1)).alias("scored"))
+
+
 @register("batch_predict")
-def q_batch_predict(spark, sf):
-    _, _, parts = _cell_parts(spark, sf)
-    fit = TR.fit_binary(parts["TRAIN"], parts["VALID"], "quality", reg_params=(0.1,))
-    v = TR.predict(fit.model, parts["VALID"], ["post_id"]).withColumn("split", F.lit("VALID"))
-    t = TR.predict(fit.model, parts["TEST"], ["post_id"]).withColumn("split", F.lit("TEST"))
-    return v.unionByName(t)
+def q_batch_predict(spark, sf, cells=TRAIN_CELLS):
+    def score(lt, sp, cell, parts):
+        fit = TR.fit_binary(parts["TRAIN"], parts["VALID"], "quality")
+        v = TR.predict(fit.model, parts["VALID"], ["post_id"]).withColumn("split", F.lit("VALID"))
+        t = TR.predict(fit.model, parts["TEST"], ["post_id"]).withColumn("split", F.lit("TEST"))
+        return v.unionByName(t)
+
+    return _over_cells(spark, sf, cells, score)
 
 
 @register("batch_predict_rows", _labelled_sql(
     "SELECT post_id, split, TRUE AS scored FROM splits WHERE repeat = 0 AND fold = 0 AND split <> 'TRAIN'"))
 def q_batch_predict_rows(spark, sf):
-    p = q_batch_predict(spark, sf)
+    p = q_batch_predict(spark, sf, [TRAIN_CELL])
     return p.select("post_id", "split", (F.col("prediction").isin(0, 1) & F.col("prob").between(0, 1)).alias("scored"))
 
 
+@register("batch_predict_cells_rows", _labelled_sql(
+    CELL_KEYS + "split, TRUE AS scored FROM splits WHERE split <> 'TRAIN'"))
+def q_batch_predict_cells_rows(spark, sf):
+    p = q_batch_predict(spark, sf)
+    return p.select("approach", "repeat", "fold", "post_id", "split",
+                    (F.col("prediction").isin(0, 1) & F.col("prob").between(0, 1)).alias("scored"))
+
+
 @register("train_multilabel")
-def q_train_multilabel(spark, sf):
-    lt, sp, parts = _cell_parts(spark, sf)
-    r, f = TRAIN_CELL
-    w = W.pos_weights(lt.select("post_id", *TRAIN_DIMS), sp, TRAIN_DIMS) \
-        .filter((F.col("repeat") == r) & (F.col("fold") == f)).select("dim", "weight").collect()  # 1 row per label
-    fit = TR.fit_multilabel(parts["TRAIN"], TRAIN_DIMS, {x["dim"]: x["weight"] for x in w}, valid=parts["VALID"])
-    return TR.predict_multilabel(fit, parts["TEST"], ["post_id", *TRAIN_DIMS])
+def q_train_multilabel(spark, sf, cells=TRAIN_CELLS):
+    weights = {}
+
+    def score(lt, sp, cell, parts):
+        if not weights:     # cells x labels rows
+            for x in W.pos_weights(lt.select("post_id", *TRAIN_DIMS), sp, TRAIN_DIMS).collect():
+                weights.setdefault((x["repeat"], x["fold"]), {})[x["dim"]] = x["weight"]
+        fit = TR.fit_multilabel(parts["TRAIN"], TRAIN_DIMS, weights.get(cell, {}), valid=parts["VALID"])
+        return TR.predict_multilabel(fit, parts["TEST"], ["post_id", *TRAIN_DIMS])
+
+    return _over_cells(spark, sf, cells, score)
 
 
 @register("train_multilabel_rows", _labelled_sql(
     "SELECT post_id, quality, toxic, TRUE AS scored FROM splits JOIN lt USING (post_id) "
     "WHERE repeat = 0 AND fold = 0 AND split = 'TEST'"))
 def q_train_multilabel_rows(spark, sf):
-    p = q_train_multilabel(spark, sf)
+    p = q_train_multilabel(spark, sf, [TRAIN_CELL])
     ok = [F.col(f"pred_{d}").isin(0, 1) & F.col(f"logit_{k}").isNotNull() for k, d in enumerate(TRAIN_DIMS)]
     return p.select("post_id", *TRAIN_DIMS, (ok[0] & ok[1]).alias("scored"))
 
 
+@register("train_multilabel_cells_rows", _labelled_sql(
+    CELL_KEYS + "quality, toxic, TRUE AS scored FROM splits JOIN lt USING (post_id) WHERE split = 'TEST'"))
+def q_train_multilabel_cells_rows(spark, sf):
+    p = q_train_multilabel(spark, sf)
+    ok = [F.col(f"pred_{d}").isin(0, 1) & F.col(f"logit_{k}").isNotNull() for k, d in enumerate(TRAIN_DIMS)]
+    return p.select("approach", "repeat", "fold", "post_id", *TRAIN_DIMS, (ok[0] & ok[1]).alias("scored"))
+
+
 # --------------------------------------------------------------------------- streaming
 from cvframe.streaming import leaderboard as ST  # noqa: E402
 

@@ -115,3 +115,25 @@ def test_train_cells_feeds_evaluate(spark, sf_small):
     conf = M.confusion_counts(M.test_rows(M.predicted_labels(out, ["quality", "toxic"]), lt, sp), dims=["quality", "toxic"])
     assert conf.count() == 4
     sp.unpersist()
+
+
+def test_training_queries_score_every_cell(spark, sf_small, monkeypatch):
+    """Fits are replaced by constants: the rows and keys are the point here."""
+    from types import SimpleNamespace
+
+    from cvframe.operators import training as TR
+    from cvframe.plans import queries as Q
+
+    seen = []
+    monkeypatch.setattr(TR, "fit_binary", lambda *a, **kw: seen.append(kw) or SimpleNamespace(model=None))
+    monkeypatch.setattr(TR, "fit_multilabel", lambda *a, **kw: seen.append(kw))
+    monkeypatch.setattr(TR, "predict", lambda m, df, keep: df.select(*keep))
+    monkeypatch.setattr(TR, "predict_multilabel", lambda m, df, keep: df.select(*keep))
+    lt = fx.labelled_text(spark, sf_small).withColumnRenamed("doc_id", "post_id")
+    sp = S.assign_splits(lt.select("post_id", "quality", "toxic"), dims=["quality", "toxic"]).select("repeat", "fold", "post_id", "split")
+    sp = list(map(tuple, sp.collect()))
+    for query, parts in ((Q.q_train_binary, {"TEST"}), (Q.q_train_multilabel, {"TEST"}), (Q.q_batch_predict, {"VALID", "TEST"})):
+        seen.clear()
+        got = query(spark, sf_small).select("approach", "repeat", "fold", "post_id").collect()
+        assert sorted(map(tuple, got)) == sorted(("logistic", r, f, i) for r, f, i, s in sp if s in parts)
+        assert len(seen) == 25 and all("reg_params" not in kw for kw in seen)
