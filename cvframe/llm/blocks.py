@@ -24,15 +24,15 @@ CANDIDATE_BLOCK = 32768
 
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str, nonzero: bool) -> DataFrame:
     """(vec_id, v) of the rows that take part: an id and a vector without
-    NULL or non-finite components (``nonzero``: not all zero).  An id stored
-    more than once counts once, with its smallest vector."""
+    NULL or non-finite components (``nonzero``: not all zero).  Rows equal in
+    id and vector count once; other vectors of an id are rows of their own."""
     v = F.col("v")
     good = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & (F.size(v) > 0)
     if nonzero:
         good = good & F.exists(v, lambda x: x != 0)
     rows = df.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(good)
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.distinct()
 
 
 def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -46,8 +46,8 @@ def search(vectors: DataFrame, is_query: Column, k: int, score_type: str,
     """(query_id, rank, vec_id, score): the k best of each query's candidates.
 
     ``top(query ids, query matrix, ids, matrix)`` returns arrays (query_id,
-    vec_id, score) with at most k rows a query and without the query's own
-    id.  Vectors of another length than the query's are no candidates."""
+    vec_id, score) with at most k rows a query vector and without the query's
+    own id; the vectors of one id share its ranks.  Vectors of another length than the query's are no candidates."""
     vectors = written(vectors, "vectors")
     n, nq = vectors.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     nc, nq = max(1, -(-n // candidate_block)), max(1, -(-nq // query_block))

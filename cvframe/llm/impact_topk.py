@@ -36,10 +36,8 @@ class ImpactIndex:
 
     def top(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best but ``own``, ties to smaller ids."""
-        at = np.searchsorted(self.ids, own)
         other = np.ones(self.n, bool)
-        if at < self.n and self.ids[at] == own:
-            other[at] = False
+        other[np.searchsorted(self.ids, own):np.searchsorted(self.ids, own, "right")] = False
         if not other.any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
         dims = np.flatnonzero(query)
@@ -89,8 +87,8 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vecto
     """(query_id, rank, vec_id, score): exact integer inner products.
 
     Components become floor(scale * x), x as double.  Rows with a NULL id, a
-    NULL or empty vector or NULL or non-finite components take no part; an id
-    stored several times counts once (its smallest vector).  Ties go to the
+    NULL or empty vector or NULL or non-finite components take no part; a row
+    repeated with id and vector counts once.  Ties go to the
     smaller id; fewer than k other rows give them all; an empty table or no
     query gives no rows.  Only the two named columns are read."""
 

@@ -65,10 +65,7 @@ class PrefixForest:
         """(ids, scores) of the k nearest found but ``own``; low, high: (length, tree)."""
         n = len(self.ids)
         met = np.zeros(n, bool)
-        at = int(np.searchsorted(self.ids, own))
-        skip = at if at < n and self.ids[at] == own else -1
-        if skip >= 0:
-            met[skip] = True
+        met[np.searchsorted(self.ids, own):np.searchsorted(self.ids, own, "right")] = True
         norm = float(np.sqrt(query @ query)) * self.longest
         rows, scores = np.empty(0, np.int64), np.empty(0)
         prev_low = prev_high = None
@@ -114,8 +111,8 @@ def nearest(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec
 
     Scores are exact inner products in double precision of the stored
     vectors.  Rows with a NULL id, a NULL, empty or zero vector or NULL or
-    non-finite components take no part; an id stored several times counts
-    once (its smallest vector).  Ties go to the smaller id, equal vectors tie
+    non-finite components take no part; a row repeated with id and
+    vector counts once.  Ties go to the smaller id, equal vectors tie
     exactly; fewer than k other rows give them all; an empty table or no
     query gives no rows.  Only the two named columns are read.  Every row is
     indexed; nothing is fitted (the projections come from ``seed``)."""

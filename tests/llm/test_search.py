@@ -85,3 +85,14 @@ def test_few_and_none(spark):
     assert impact_topk.top_k(none, F.col("vec_id") == 0, 5).collect() == []
     assert prefix_forest.nearest(none, F.col("vec_id") == 0, 5).collect() == []
     assert impact_topk.top_k(frame(spark, [(0, [1, 0])]), F.col("vec_id") == 0, 5).collect() == []
+
+
+@pytest.mark.parametrize("search", [impact_topk.top_k, prefix_forest.nearest])
+def test_every_vector_of_an_id_counts(spark, search):
+    rows = [(0, [1, 0]), (0, [1, 0]), (1, [2, 0]), (1, [3, 0]), (1, [3, 0]), (2, [1, 1]), (10, [0, 1]), (10, [0, 2])]
+    got = search(frame(spark, rows), F.col("vec_id") % 10 == 0, 9).select("query_id", "vec_id", "score").collect()
+    scale = 256 ** 2 if search is impact_topk.top_k else 1
+    kept = sorted({(i, tuple(v)) for i, v in rows})
+    want = [(q, c, scale * (a * x + b * y)) for q, (a, b) in kept for c, (x, y) in kept if q % 10 == 0 and c != q]
+    want = [w for q in (0, 10) for w in sorted((w for w in want if w[0] == q), key=lambda w: (-w[2], w[1]))[:9]]
+    assert sorted((r[0], r[1], float(r[2])) for r in got) == sorted((q, c, float(s)) for q, c, s in want)
