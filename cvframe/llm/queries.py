@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvframe.llm import chat_tools, html_text, impact_topk, mixing, pieces, prefix_forest, quality, sequences, simhash, toxicity
+from cvframe.llm import chat_tools, hard_negatives, html_text, impact_topk, mixing, pieces, prefix_forest, quality, sequences, simhash, toxicity
 from cvframe.llm.common import table
 
 def tokenizer_path(name: str) -> str:
@@ -101,3 +101,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = hard_negatives.ORACLE

@@ -18,6 +18,8 @@ CONTRACT = {
     "op8_impact_topk": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
     "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10_prefix_forest": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op11_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint",
+                            "positive_score": "bigint", "negative_score": "bigint"},
 }
 
 
