@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvframe.llm import chat_tools, hard_negatives, html_text, impact_topk, mixing, pieces, prefix_forest, quality, sequences, simhash, toxicity
+from cvframe.llm import chat_tools, hard_negatives, html_text, impact_topk, mixing, pieces, prefix_forest, quality, sequences, simhash, spelling, toxicity
 from cvframe.llm.common import table
 
 def tokenizer_path(name: str) -> str:
@@ -111,3 +111,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_hard_negatives"] = hard_negatives.ORACLE
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_spelling"] = spelling.ORACLE
