@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvframe.llm import chat_tools, hard_negatives, html_text, impact_topk, mixing, pieces, prefix_forest, quality, sequences, simhash, spelling, toxicity
+from cvframe.llm import chat_tools, hard_negatives, html_text, impact_topk, language, mixing, pieces, prefix_forest, quality, sequences, simhash, spelling, toxicity
 from cvframe.llm.common import table
 
 def tokenizer_path(name: str) -> str:
@@ -119,3 +119,8 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_spelling"] = spelling.ORACLE
+
+
+@query
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.classify(table(spark, sf_dir, "documents"))

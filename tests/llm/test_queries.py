@@ -20,6 +20,8 @@ CONTRACT = {
     "op10_prefix_forest": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
     "op11_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint",
                             "positive_score": "bigint", "negative_score": "bigint"},
+    "op12_spelling": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
+    "op13_language": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
 }
 
 
