@@ -31,7 +31,6 @@ from cvframe.llm.words import text_slices
 DOCUMENTS, PASSAGES, PASSAGE_BYTES = 256, 64, 512
 #: Languages with the most labelled documents (ties: code-point order) that are learned.
 LANGUAGES = 256
-DEALS = 64                   # tasks that look for a language's first documents
 STRETCH = 1024               # bytes parsed on their own
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -176,12 +175,12 @@ def learn(docs: DataFrame, divisor: int = 4, held: int = 2, id_col: str = "doc_i
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
                       & (id_remainder(F.col("id"), divisor) != held))
     known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    # the first of each deal, then the first of all deals: a language's last task reads DEALS * documents rows at most
-    chosen = rows.select("lang", "id", F.xxhash64("id").alias("h"))
-    for dealt in (["lang", F.pmod(F.xxhash64("id", F.lit("deal")), F.lit(DEALS))], ["lang"]):
-        first = Window.partitionBy(*dealt).orderBy("h", "id")
-        chosen = chosen.withColumn("place", F.row_number().over(first)).where(F.col("place") <= documents).drop("place")
-    chosen = chosen.join(F.broadcast(known.select("lang")), "lang", "left_semi").select("lang", "id")
+    # some four times as many by their hash alone, so no task sees more than those of a language
+    h = F.xxhash64("id")
+    share = F.pmod(h, F.lit(1 << 32)) * F.col("n").cast("double") / float(1 << 32)
+    chosen = rows.select("lang", "id").join(F.broadcast(known), "lang").where(share < 4 * documents)
+    first = Window.partitionBy("lang").orderBy(h, "id")
+    chosen = chosen.withColumn("place", F.row_number().over(first)).where(F.col("place") <= documents).select("lang", "id")
     # at most documents * languages pairs of ids
     sample = rows.join(F.broadcast(chosen), ["lang", "id"], "left_semi").distinct()
 
