@@ -35,6 +35,7 @@ from cvframe.schema import HOLDOUT_EVERY, HOLDOUT_SEED, KFOLD_SEEDS, LABEL_COLS,
 MAX_LABELS = 30  # labelset code is a bit mask in a BIGINT
 MAX_GREEDY_LABELS = 20  # D5 solves its quotas on up to 2**labels counts in one task
 CODE = "labelset_code"
+SPLIT_BITS = {"TRAIN": 1, "VALID": 2, "TEST": 3}    # two bits a cell, 0: not assigned
 
 
 def labelset_code(dims: Sequence[str] = LABEL_COLS) -> Column:
@@ -46,6 +47,12 @@ def labelset_code(dims: Sequence[str] = LABEL_COLS) -> Column:
     return F.expr(" + ".join(f"CAST(`{d}` AS BIGINT) * {1 << (n - 1 - i)}" for i, d in enumerate(dims)))
 
 
+def _known_code(dims: Sequence[str]) -> Column:
+    """The code, -1 for rows with a NULL label (a group of their own).  Never
+    NULL: joins on it then infer no filter that would part shared scans."""
+    return F.coalesce(labelset_code(dims), F.lit(-1).cast("bigint"))
+
+
 def labelset_string(dims: Sequence[str] = LABEL_COLS) -> Column:
     return F.concat(*[F.col(d).cast("string") for d in dims])
 
@@ -58,14 +65,16 @@ def labelset_counts(df: DataFrame, dims: Sequence[str] = LABEL_COLS) -> DataFram
 
 def _seeded(corpus: DataFrame, id_col: str, dims, seeds, by: Sequence[str] = ()) -> DataFrame:
     """One row per (post, repeat) with the repeat's seed hash; no join."""
-    seed_arr = F.array(*[F.lit(str(s)) for s in seeds])
     return corpus.select(
         *[F.col(b) for b in by],
         F.col(id_col),
-        labelset_code(dims).alias("_code"),
-        F.posexplode(seed_arr).alias("repeat", "_seed"),
-    ).withColumn("_h", keyed_md5(F.col("_seed"), F.col(id_col))).withColumn(
-        "_gh", keyed_md5(F.col("_seed"), F.col("_code")))
+        _known_code(dims).alias("_code"),
+        F.posexplode(_seed_array(seeds)).alias("repeat", "_seed"),
+    ).withColumn("_h", keyed_md5(F.col("_seed"), F.col(id_col))).drop("_seed")
+
+
+def _seed_array(seeds) -> Column:
+    return F.array(*[F.lit(str(s)) for s in seeds])
 
 
 # --------------------------------------------------------------------------- D2
@@ -85,7 +94,10 @@ def ms_kfold(
     all groups in the same job."""
     by = list(by)
     base = _seeded(corpus, id_col, dims, seeds, by)
-    idx = ordered_index(base, [*by, "repeat"], ["_gh", "_code"], "_h", id_col, out_col="_pos", digits=digits)
+    # the seeded order of the labelsets: hashed once per labelset and repeat
+    seed = F.element_at(_seed_array(seeds), F.col("repeat") + 1)
+    idx = ordered_index(base, [*by, "repeat"], ["_code"], "_h", id_col, out_col="_pos", digits=digits,
+                        group_order=[keyed_md5(seed, F.col("_code")), F.col("_code")])
     cols = [*[F.col(b) for b in by], F.col(id_col), F.col("repeat").cast("int").alias("repeat"),
             (F.col("_pos") % k).cast("int").alias("fold")]
     if keep_code:
@@ -121,7 +133,7 @@ def assign_splits(
     (bucket = leading hex digits of the holdout hash) one window pass gives
     each row its rank ``rn`` and, per fold ``f``, how many rows up to it
     are TEST in ``f``; its rank among the non-test rows of cell ``f`` is
-    ``rn - seen_f``.  Bucket offsets per cell come from the count table.
+    ``rn - seen_f``.  Bucket sizes per cell are a bucket's last values.
     """
     by = list(by)
     kf = test_folds if test_folds is not None else ms_kfold(corpus, id_col, dims, k, seeds, digits, keep_code=True,
@@ -131,27 +143,24 @@ def assign_splits(
         BUCKET_COL, F.substring("_h2", 1, digits)
     )
     keys = [*by, "repeat", "_code", BUCKET_COL]
-
-    counts = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_tot"),
-        *[F.sum((F.col("_test") == f).cast("bigint")).alias(f"_c{f}") for f in range(k)],
+    d = d.select(*keys, F.struct("_h2", id_col, "_test").alias("_row"))     # as in ordered_index: one shuffle
+    w_rn = Window.partitionBy(*keys).orderBy("_row")
+    w_run = w_rn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = d.select(
+        "*",
+        F.row_number().over(w_rn).cast("bigint").alias("_rn"),
+        *[F.sum((F.col("_row._test") == f).cast("bigint")).over(w_run).alias(f"_s{f}") for f in range(k)],
     )
-    nontest = counts.select(*keys, *[(F.col("_tot") - F.col(f"_c{f}")).alias(f"_n{f}") for f in range(k)])
+    # a bucket's sizes are its last rank and running sums
+    sizes = ranked.groupBy(*keys).agg(F.max("_rn").alias("_tot"), *[F.max(f"_s{f}").alias(f"_c{f}") for f in range(k)])
+    nontest = sizes.select(*keys, *[(F.col("_tot") - F.col(f"_c{f}")).alias(f"_n{f}") for f in range(k)])
     offsets = running_offsets(nontest, [*by, "repeat"], ["_code"], BUCKET_COL,
                               [f"_n{f}" for f in range(k)], [f"_o{f}" for f in range(k)])
     offsets = offsets.select(*keys, F.array(*[F.col(f"_o{f}") for f in range(k)]).alias("_offs"))
-
-    w_rn = Window.partitionBy(*keys).orderBy("_h2", id_col)
-    w_run = w_rn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = d.select(
-        id_col,
-        "_test",
-        *keys,
-        (F.row_number().over(w_rn) - F.lit(1)).alias("_rn"),
-        F.array(*[F.sum((F.col("_test") == f).cast("bigint")).over(w_run) for f in range(k)]).alias("_seen"),
-    )
+    ranked = ranked.select(*keys, F.col(f"_row.`{id_col}`").alias(id_col), F.col("_row._test").alias("_test"),
+                           (F.col("_rn") - 1).alias("_rn"), F.array(*[F.col(f"_s{f}") for f in range(k)]).alias("_seen"))
     j = ranked.join(offsets, keys, "left")  # see ordered_index on why left
-    code = [f"_code AS {CODE}"] if keep_code else []
+    code = [f"nullif(_code, -1L) AS {CODE}"] if keep_code else []
     if per_repeat:
         # (id, repeat) rows with the k splits of that repeat as an array
         return j.selectExpr(*[f"`{b}`" for b in by], f"`{id_col}`", *code, "CAST(repeat AS INT) AS repeat",
@@ -184,6 +193,34 @@ def assign_splits_wide(corpus: DataFrame, id_col: str = "post_id", dims: Sequenc
     return wide.selectExpr(*[f"`{b}`" for b in by], f"`{id_col}`", *cols)
 
 
+def cell_bits(corpus: DataFrame, id_col: str = "post_id", dims: Sequence[str] = LABEL_COLS, k: int = N_FOLDS,
+              seeds: Sequence[int] = KFOLD_SEEDS, by: Sequence[str] = (), **kw) -> DataFrame:
+    """``(by.., id, cells)``, the splits of all cells of a post in one
+    BIGINT: two bits (:data:`SPLIT_BITS`) at ``2 * (repeat * k + fold)``.
+
+    Any part of any cell is then a mask on one column (:func:`in_split`):
+    a corpus that carries it is read once for all cells, without a join per
+    part."""
+    if k * len(seeds) > 31:
+        raise ValueError("at most 31 cells fit one packed word")
+    per = assign_splits(corpus, id_col, dims, k, seeds, by=list(by), per_repeat=True, **kw)
+    code = "CASE element_at(splits, {}) WHEN 'TRAIN' THEN 1L WHEN 'VALID' THEN 2L ELSE 3L END"
+    mine = " | ".join(f"shiftleft({code.format(f + 1)}, 2 * (repeat * {k} + {f}))" for f in range(k))
+    return per.groupBy(*by, id_col).agg(F.bit_or(F.expr(mine)).alias("cells"))
+
+
+def wide_bits(prefix: str = "fold{repeat}_{fold}", k: int = N_FOLDS, repeats: int = len(KFOLD_SEEDS)) -> Column:
+    """The packed word from the export form's split columns."""
+    parts = [f"shiftleft(CASE `{prefix.format(repeat=r, fold=f)}` WHEN 'TRAIN' THEN 1L WHEN 'VALID' THEN 2L WHEN 'TEST' THEN 3L ELSE 0L END, "
+             f"{2 * (r * k + f)})" for r in range(repeats) for f in range(k)]
+    return F.expr(" | ".join(parts))
+
+
+def in_split(cells: Column, repeat: int, fold: int, split: str, k: int = N_FOLDS) -> Column:
+    """Whether a packed word has the post in that part of the cell."""
+    return F.shiftright(cells, 2 * (repeat * k + fold)).bitwiseAND(3) == SPLIT_BITS[split]
+
+
 def test_split(corpus: DataFrame, id_col: str = "post_id", dims: Sequence[str] = LABEL_COLS, k: int = N_FOLDS,
                seeds: Sequence[int] = KFOLD_SEEDS, digits: int = 3, by: Sequence[str] = (),
                keep_code: bool = False) -> DataFrame:
@@ -191,7 +228,9 @@ def test_split(corpus: DataFrame, id_col: str = "post_id", dims: Sequence[str] =
     assignment itself - without the holdout pass.  Evaluation needs only
     these, so it skips the three holdout shuffles."""
     kf = ms_kfold(corpus, id_col, dims, k, seeds, digits, keep_code=keep_code, by=by)
-    return kf.withColumnsRenamed({"_code": CODE}).withColumn("split", F.lit("TEST"))
+    if keep_code:
+        kf = kf.withColumn("_code", F.expr("nullif(_code, -1L)")).withColumnRenamed("_code", CODE)
+    return kf.withColumn("split", F.lit("TEST"))
 
 
 def ms_holdout(
@@ -205,7 +244,7 @@ def ms_holdout(
     """Single stratified holdout over the whole input: ``(id, split)`` with
     every ``every``-th row in (labelset, md5) order in VALID, rest TRAIN."""
     base = corpus.select(
-        F.col(id_col), labelset_code(dims).alias("_code"), keyed_md5(F.lit(str(seed)), F.col(id_col)).alias("_h")
+        F.col(id_col), _known_code(dims).alias("_code"), keyed_md5(F.lit(str(seed)), F.col(id_col)).alias("_h")
     )
     idx = ordered_index(base, [], ["_code"], "_h", id_col, out_col="_pos", digits=digits)
     return idx.select(
@@ -241,7 +280,7 @@ def _greedy_quotas(codes: np.ndarray, counts: np.ndarray, n_labels: int, k: int)
     """
     s = len(codes)
     shifts = np.arange(n_labels - 1, -1, -1, dtype=np.int64)
-    bits = ((codes[:, None] >> shifts[None, :]) & 1).astype(np.float64)  # S x L
+    bits = ((np.maximum(codes, 0)[:, None] >> shifts[None, :]) & 1).astype(np.float64)  # S x L; -1 (a NULL label) has none
     counts = counts.astype(np.int64)
     label_tot = bits.T @ counts.astype(np.float64)
     norm = np.where(label_tot > 0, label_tot, 1.0)
@@ -318,7 +357,7 @@ def iterative_stratify(
     if n > MAX_GREEDY_LABELS:
         raise ValueError(f"iterative stratification takes at most {MAX_GREEDY_LABELS} labels")
     by = list(by)
-    counts = corpus.groupBy(*by, labelset_code(dims).alias("_code")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = corpus.groupBy(*by, _known_code(dims).alias("_code")).agg(F.count(F.lit(1)).alias("_n"))
     by_schema = [f.simpleString().replace(":", " ", 1) for f in corpus.select(*by).schema.fields]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -337,7 +376,7 @@ def iterative_stratify(
         lambda pdf: solve(pdf.drop(columns=["_g"], errors="ignore")),
         schema=", ".join([*by_schema, "_code long", "_cum array<long>"]),
     )
-    base = _seeded(corpus, id_col, dims, seeds, by).drop("_gh")
+    base = _seeded(corpus, id_col, dims, seeds, by)
     idx = ordered_index(base, [*by, "repeat", "_code"], [], "_h", id_col, out_col="_pos", digits=digits)
     j = idx.join(quotas, [*by, "_code"])
     slot = F.size(F.filter("_cum", lambda c: c <= F.col("_pos")))

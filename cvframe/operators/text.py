@@ -1,23 +1,32 @@
 """Text preparation (T1-T9): strip, tokenize, token-shuffle ablation,
 truncation, vocabulary encoding, batching and per-batch padding.
 
-Everything runs as native expressions over whole texts.  Shuffles: the
-vocabulary count (map-side combined) and rank, the tokens of the encoder
-(never the text) and the per-batch window.
+Everything works on whole texts.  The token shuffle and the encoder are
+array-in, array-out Arrow functions, the rest native expressions.  Shuffles:
+the vocabulary count (map-side combined) and rank and the per-batch window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from cvframe.functions.hashing import keyed_md5
+from cvframe.functions.permute import key_words, permuted
 from cvframe.functions.text import strip_text, tokenize
 from cvframe.operators.index import ordered_index
+from cvframe.session import written
 
 PAD_ID = 0
 UNK_ID = 1
 FIRST_ID = 2
+DICTIONARY_TOKENS = 1 << 20     # vocabulary sent to every worker (some 30 MB); beyond, a join
 
 
 def strip_col(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -33,12 +42,11 @@ def tokens_col(df: DataFrame, col: str, out: str = "tokens") -> DataFrame:
 def shuffled_tokens(tokens: Column, seed, id_col: Column) -> Column:
     """T3 as an expression: one deterministic permutation per (seed, post).
 
-    Each token is keyed by ``md5(seed ':' id ':' position)``; sorting by that
-    key (position breaks ties) is a uniform-looking, reproducible shuffle.
-    """
-    key = F.concat(F.lit(str(seed)), F.lit(":"), id_col.cast("string"))
-    keyed = F.transform(tokens, lambda t, i: F.struct(keyed_md5(key, i).alias("h"), i.alias("p"), t.alias("t")))
-    return F.transform(F.sort_array(keyed), lambda x: x["t"])
+    The order is a keyed permutation of the positions (a Feistel network,
+    :mod:`cvframe.functions.permute`) with key ``seed ':' id``: no hash per
+    token and no sort.  A NULL id counts as empty."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))
+    return permuted(tokens, key_words(key))
 
 
 def shuffled_text(text: Column, seed, id_col: Column) -> Column:
@@ -75,26 +83,59 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", size: int | None = None,
     return ranked.select("token", (F.col("_rank") + F.lit(FIRST_ID)).cast("int").alias("id"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, id_col: str = "post_id", tokens: str = "tokens", out: str = "ids") -> DataFrame:
-    """Token -> id (unknown -> 1) for every token of every row.
-
-    Only (row id, position, token) is shuffled, never the text.  The join is
-    left to Spark's own size check: a broadcast for a small vocabulary (then
-    rows that come hash-partitioned by id are regrouped in place), else a
-    shuffle by token whose frequent tokens AQE splits.  A group of the final
+def encode(df: DataFrame, vocab: DataFrame, id_col: str = "post_id", tokens: str = "tokens", out: str = "ids",
+           dictionary_tokens: int = DICTIONARY_TOKENS) -> DataFrame:
+    """``(id, ids)`` with the id of every token of every row (unknown -> 1);
+    a NULL array gives an empty one, repeated ids stay rows of their own.
+
+    The vocabulary is written first.  Up to ``dictionary_tokens`` tokens it is
+    sent to the workers as one Arrow dictionary and each array is looked up
+    where it is: no row per token and no shuffle.  A larger vocabulary is
+    joined (:func:`encode_joined`)."""
+    vocab = written(vocab.select("token", "id"), "vocab")
+    if vocab.count() > dictionary_tokens:
+        return encode_joined(df, vocab, id_col, tokens, out)
+    known = vocab.toArrow()             # at most dictionary_tokens rows
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast((known["token"].combine_chunks(), known["id"].combine_chunks()))
+    schema = StructType([df.schema[id_col], StructField(out, ArrayType(IntegerType()))])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids = shared.value
+        for batch in batches:
+            arrays = batch.column(1)
+            size = np.asarray(pc.fill_null(pc.list_value_length(arrays), 0))
+            distinct = arrays.flatten().dictionary_encode()
+            found = pc.fill_null(ids.take(pc.index_in(distinct.dictionary, names)), UNK_ID)
+            flat = pc.fill_null(found.take(distinct.indices), UNK_ID).cast(pa.int32())
+            offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
+
+    return df.select(id_col, tokens).mapInArrow(look_up, schema)
+
+
+def encode_joined(df: DataFrame, vocab: DataFrame, id_col: str = "post_id", tokens: str = "tokens", out: str = "ids") -> DataFrame:
+    """:func:`encode` for a vocabulary of any size: a join on the token.
+
+    Only (row number, position, token) is shuffled, never the text; the rows
+    get their number in a written table, so a retry sees the same ones.
+    Frequent tokens are left to AQE, which splits them.  A group of the final
     regrouping never outgrows its text.
     """
-    exploded = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token"))
+    rows = written(df.select(id_col, tokens).withColumn("_row", F.monotonically_increasing_id()), "encode-rows")
+    exploded = rows.select("_row", F.posexplode(tokens).alias("pos", "token"))
     looked = exploded.join(vocab, "token", "left")
     # (position, id) packed into one BIGINT: collecting and sorting a
     # primitive array is far cheaper than an array of structs
-    packed = F.expr(f"CASE WHEN pos IS NOT NULL THEN shiftleft(CAST(pos AS BIGINT), 32) + coalesce(id, {UNK_ID}) END")
-    grouped = looked.groupBy(id_col).agg(F.sort_array(F.collect_list(packed)).alias("_p"))
-    return grouped.selectExpr(f"`{id_col}`", f"transform(_p, x -> CAST(x & 4294967295 AS INT)) AS `{out}`")
+    packed = F.expr(f"shiftleft(CAST(pos AS BIGINT), 32) + coalesce(id, {UNK_ID})")
+    grouped = looked.groupBy("_row").agg(F.sort_array(F.collect_list(packed)).alias("_p"))
+    ids = f"coalesce(transform(_p, x -> CAST(x & 4294967295 AS INT)), CAST(array() AS ARRAY<INT>)) AS `{out}`"
+    return rows.select("_row", id_col).join(grouped, "_row", "left").selectExpr(f"`{id_col}`", ids)
 
 
 def attention_mask(ids: Column) -> Column:
-    """T6 (unpadded): one 1 per real token."""
+    """T6 (unpadded): one 1 per real token.  Ids and tokens are equally many,
+    so the token array serves and nothing need be encoded for it."""
     return F.array_repeat(F.lit(1), F.size(ids))
 
 

@@ -152,6 +152,20 @@ def tokens_cte(src: str = "corpus", name: str = "toks") -> str:
             f"'{TOKEN_PATTERN}') AS tokens FROM {src})")
 
 
+def shuffled_cte(seed, toks: str = "toks", name: str = "shuffled") -> str:
+    """(post_id, text): tokens in the order of the keyed permutation (WITH RECURSIVE)."""
+    from cvframe.functions.permute import permutation_sql
+
+    key = f"'{seed}:' || CAST(post_id AS VARCHAR)"
+    return permutation_sql(toks, "perm", "post_id", key) + f""",
+{name} AS (SELECT t.post_id, CASE WHEN t.tokens IS NOT NULL THEN coalesce(string_agg(t.tokens[p.x + 1], ' ' ORDER BY p.j), '') END AS text
+  FROM {toks} t LEFT JOIN perm p ON p.post_id = t.post_id GROUP BY t.post_id, t.tokens)"""
+
+
+def shuffled_sql(seed) -> str:
+    return "WITH RECURSIVE " + ",\n".join([corpus_cte(), tokens_cte(), shuffled_cte(seed)]) + "\nSELECT post_id, text FROM shuffled"
+
+
 def vocab_cte(toks: str = "toks", name: str = "vocab") -> str:
     """Every token of the corpus, most frequent first (ties by md5, token)."""
     return f"""vcount AS (SELECT t AS token, count(*) AS n FROM (SELECT unnest(tokens) AS t FROM {toks}) GROUP BY t),

@@ -234,9 +234,7 @@ def q_tokenize(spark, sf):
 
 @register(
     "shuffle_tokens",
-    WITH_TOKS + f"""SELECT post_id, array_to_string(list_transform(list_sort(list_transform(tokens,
-    lambda t, i: {{'h': md5('{SHUFFLE_SEED}:' || CAST(post_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)),
-                  'p': i - 1, 't': t}})), lambda x: x.t), ' ') AS text FROM toks""",
+    O.shuffled_sql(SHUFFLE_SEED),
 )
 def q_shuffle_tokens(spark, sf):
     c = fx.corpus(spark, sf).select("post_id", "post_text")
@@ -276,8 +274,8 @@ def q_encode(spark, sf):
     WITH_ENC + "SELECT post_id, array_to_string(list_transform(ids, lambda x: 1), ',') AS attention_mask FROM enc",
 )
 def q_attention_mask(spark, sf):
-    e = _encoded(spark, sf).withColumn("attention_mask", T.attention_mask(F.col("ids")))
-    return e.select("post_id", _ids_str("attention_mask").alias("attention_mask"))
+    t = _toks(spark, sf).withColumn("attention_mask", T.attention_mask(F.col("tokens")))
+    return t.select("post_id", _ids_str("attention_mask").alias("attention_mask"))
 
 
 @register("make_batches", "WITH " + O.corpus_cte() + ",\n" + O.batches_cte() + "\nSELECT * FROM batches")
@@ -769,17 +767,16 @@ def q_cv_grid(spark, sf):
 
 def _ablation_sql() -> str:
     from cvframe.functions.text import STRIP_PATTERN, TOKEN_PATTERN
+
     def strip(x: str) -> str:
         return "regexp_replace(" + x + ", '" + STRIP_PATTERN + "', '', 'g')"
 
     arg = "issue || ' ' || post_text"
-    toks = f"regexp_extract_all({strip(arg)}, '{TOKEN_PATTERN}')"
-    shuf = (f"array_to_string(list_transform(list_sort(list_transform({toks}, lambda t, i: "
-            f"{{'h': md5('42:' || CAST(post_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)), 'p': i - 1, 't': t}})),"
-            f" lambda x: x.t), ' ')")
-    return ("WITH " + O.corpus_cte() + f"\nSELECT 'with_issue' AS approach, post_id, {strip(arg)} AS text "
+    toks = f"argtoks AS (SELECT post_id, regexp_extract_all({strip(arg)}, '{TOKEN_PATTERN}') AS tokens FROM corpus)"
+    return ("WITH RECURSIVE " + O.corpus_cte() + ",\n" + toks + ",\n" + O.shuffled_cte(42, "argtoks")
+            + f"\nSELECT 'with_issue' AS approach, post_id, {strip(arg)} AS text "
             f"FROM corpus UNION ALL SELECT 'wo_issue', post_id, {strip('post_text')} FROM corpus "
-            f"UNION ALL SELECT 'shuffle', post_id, {shuf} FROM corpus")
+            f"UNION ALL SELECT 'shuffle', post_id, text FROM shuffled")
 
 
 @register("ablation_grid", _ablation_sql())
@@ -828,43 +825,13 @@ def q_random(spark, sf):
     return _rounded(K.random_baseline(_gold(spark, sf), _test_splits(spark, sf)))
 
 
-# --------------------------------------------------------------------------- training (rows-only checks)
+# --------------------------------------------------------------------------- training
 from cvframe.operators import training as TR  # noqa: E402
 
 TRAIN_DIMS = ["quality", "toxic"]
-TRAIN_CELLS = [(r, f) for r in range(5) for f in range(5)]
-TRAIN_CELL = (0, 0)     # the cell of the *_rows statements; *_cells_rows state every cell
 APPROACH = "logistic"
 
 
-def _labelled(spark, sf):
-    lt = fx.labelled_text(spark, sf).withColumnRenamed("doc_id", "post_id")
-    return C.with_arg_issue(lt.withColumnsRenamed({"source": "issue", "text": "post_text"}), "text")
-
-
-def _over_cells(spark, sf, cells, score):
-    """(approach, repeat, fold, ...) of ``score(lt, splits, cell, parts)`` for each cell, one fit after the other."""
-    lt = _labelled(spark, sf)
-    sp = written(S.assign_splits(lt.select("post_id", *TRAIN_DIMS), dims=TRAIN_DIMS), "train-splits")
-    out = None
-    for r, f in cells:
-        parts = {name: S.split_rows(lt, sp, r, f, name) for name in ("TRAIN", "VALID", "TEST")}
-        rows = score(lt, sp, (r, f), parts)
-        rows = rows.select(F.lit(APPROACH).alias("approach"), F.lit(r).cast("int").alias("repeat"),
-                           F.lit(f).cast("int").alias("fold"), *rows.columns)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-@register("train_binary")
-def q_train_binary(spark, sf, cells=TRAIN_CELLS):
-    def score(lt, sp, cell, parts):
-        fit = TR.fit_binary(parts["TRAIN"], parts["VALID"], "quality")
-        return TR.predict(fit.model, parts["TEST"], ["post_id", "quality"])
-
-    return _over_cells(spark, sf, cells, score)
-
-
 def _labelled_sql(select: str) -> str:
     """Split table of the labelled documents, stated over their two labels."""
     src = "lt AS (SELECT d.doc_id AS post_id, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id))"
@@ -876,11 +843,38 @@ def _labelled_sql(select: str) -> str:
     return "WITH " + ",\n".join([src, O.seeds_cte(), kf, holdout]) + "\n" + select
 
 
-@register("train_binary_rows", _labelled_sql(
-    "SELECT post_id, quality, TRUE AS scored FROM splits JOIN lt USING (post_id) WHERE repeat = 0 AND fold = 0 AND split = 'TEST'"))
-def q_train_binary_rows(spark, sf):
-    p = q_train_binary(spark, sf, [TRAIN_CELL])
-    return p.select("post_id", "quality", (F.col("prediction").isin(0, 1) & F.col("prob").between(0, 1)).alias("scored"))
+@fx.memo
+def _training_rows(spark, sf):
+    """The labelled documents with terms, both labels and packed splits, read once for all cells."""
+    lt = fx.labelled_text(spark, sf).withColumnRenamed("doc_id", "post_id")
+    lt = C.with_arg_issue(lt.withColumnsRenamed({"source": "issue", "text": "post_text"}), "text")
+    bits = S.cell_bits(lt.select("post_id", *TRAIN_DIMS), dims=TRAIN_DIMS)
+    return TR.training_rows(lt, bits, TRAIN_DIMS, keep=TRAIN_DIMS)
+
+
+@fx.memo
+def _model(spark, sf, kind):
+    """All 25 cells in one fit: K1 on the first label, unweighted; K2 on both
+    with the positive weights of each cell.  Fitted once a session."""
+    rows = _training_rows(spark, sf)
+    if kind == "binary":
+        return TR.train(rows, TRAIN_DIMS[:1], approach=APPROACH)
+    return TR.train(rows, TRAIN_DIMS, "clamped", approach=APPROACH)
+
+
+def _scored(spark, sf, kind, splits, keep):
+    scored = TR.predict(_model(spark, sf, kind), _training_rows(spark, sf), splits, ["post_id", *keep])
+    return scored.withColumn("approach", F.lit(APPROACH))
+
+
+def _binary_scores():
+    return [F.expr("CASE WHEN logit_0 > 0 THEN 1 ELSE 0 END").alias("prediction"), F.expr("1 / (1 + exp(-logit_0))").alias("prob")]
+
+
+@register("train_binary")
+def q_train_binary(spark, sf):
+    p = _scored(spark, sf, "binary", ("TEST",), ["quality"])
+    return p.select("approach", "repeat", "fold", "post_id", "quality", *_binary_scores())
 
 
 CELL_KEYS = f"SELECT '{APPROACH}' AS approach, repeat, fold, post_id, "
@@ -895,21 +889,9 @@ def q_train_binary_cells_rows(spark, sf):
 
 
 @register("batch_predict")
-def q_batch_predict(spark, sf, cells=TRAIN_CELLS):
-    def score(lt, sp, cell, parts):
-        fit = TR.fit_binary(parts["TRAIN"], parts["VALID"], "quality")
-        v = TR.predict(fit.model, parts["VALID"], ["post_id"]).withColumn("split", F.lit("VALID"))
-        t = TR.predict(fit.model, parts["TEST"], ["post_id"]).withColumn("split", F.lit("TEST"))
-        return v.unionByName(t)
-
-    return _over_cells(spark, sf, cells, score)
-
-
-@register("batch_predict_rows", _labelled_sql(
-    "SELECT post_id, split, TRUE AS scored FROM splits WHERE repeat = 0 AND fold = 0 AND split <> 'TRAIN'"))
-def q_batch_predict_rows(spark, sf):
-    p = q_batch_predict(spark, sf, [TRAIN_CELL])
-    return p.select("post_id", "split", (F.col("prediction").isin(0, 1) & F.col("prob").between(0, 1)).alias("scored"))
+def q_batch_predict(spark, sf):
+    p = _scored(spark, sf, "binary", ("VALID", "TEST"), [])
+    return p.select("approach", "repeat", "fold", "post_id", *_binary_scores(), "split")
 
 
 @register("batch_predict_cells_rows", _labelled_sql(
@@ -921,26 +903,10 @@ def q_batch_predict_cells_rows(spark, sf):
 
 
 @register("train_multilabel")
-def q_train_multilabel(spark, sf, cells=TRAIN_CELLS):
-    weights = {}
-
-    def score(lt, sp, cell, parts):
-        if not weights:     # cells x labels rows
-            for x in W.pos_weights(lt.select("post_id", *TRAIN_DIMS), sp, TRAIN_DIMS).collect():
-                weights.setdefault((x["repeat"], x["fold"]), {})[x["dim"]] = x["weight"]
-        fit = TR.fit_multilabel(parts["TRAIN"], TRAIN_DIMS, weights.get(cell, {}), valid=parts["VALID"])
-        return TR.predict_multilabel(fit, parts["TEST"], ["post_id", *TRAIN_DIMS])
-
-    return _over_cells(spark, sf, cells, score)
-
-
-@register("train_multilabel_rows", _labelled_sql(
-    "SELECT post_id, quality, toxic, TRUE AS scored FROM splits JOIN lt USING (post_id) "
-    "WHERE repeat = 0 AND fold = 0 AND split = 'TEST'"))
-def q_train_multilabel_rows(spark, sf):
-    p = q_train_multilabel(spark, sf, [TRAIN_CELL])
-    ok = [F.col(f"pred_{d}").isin(0, 1) & F.col(f"logit_{k}").isNotNull() for k, d in enumerate(TRAIN_DIMS)]
-    return p.select("post_id", *TRAIN_DIMS, (ok[0] & ok[1]).alias("scored"))
+def q_train_multilabel(spark, sf):
+    p = _scored(spark, sf, "multilabel", ("TEST",), TRAIN_DIMS)
+    pred = [F.expr(f"CASE WHEN logit_{k} > 0 THEN 1 ELSE 0 END").alias(f"pred_{d}") for k, d in enumerate(TRAIN_DIMS)]
+    return p.select("approach", "repeat", "fold", "post_id", *TRAIN_DIMS, *pred, "logit_0", "logit_1")
 
 
 @register("train_multilabel_cells_rows", _labelled_sql(
@@ -951,6 +917,49 @@ def q_train_multilabel_cells_rows(spark, sf):
     return p.select("approach", "repeat", "fold", "post_id", *TRAIN_DIMS, (ok[0] & ok[1]).alias("scored"))
 
 
+@register("train_history")
+def q_train_history(spark, sf):
+    """VALID score of every saved step of both fits."""
+    one, two = (_model(spark, sf, kind).history.withColumn("kind", F.lit(kind)) for kind in ("binary", "multilabel"))
+    return one.unionByName(two)
+
+
+STEP_LIST = ", ".join(f"({t})" for t in range(1, TR.STEPS + 1) if t % TR.EVERY == 0 or t == TR.STEPS)
+TRAIN_RUNS = ("FROM (SELECT CAST(range AS INTEGER) AS repeat FROM range(5)), (SELECT CAST(range AS INTEGER) AS fold FROM range(5)), "
+              "(VALUES ('binary'), ('multilabel')) k(kind)")
+
+
+@register("train_history_steps", f"SELECT '{APPROACH}' AS approach, repeat, fold, kind, step, TRUE AS scored {TRAIN_RUNS}, "
+          f"(VALUES {STEP_LIST}) s(step) WHERE EXISTS (SELECT 1 FROM documents JOIN labels USING (doc_id))")
+def q_train_history_steps(spark, sf):
+    h = q_train_history(spark, sf)
+    return h.select("approach", "repeat", "fold", "kind", "step", F.col("score").between(0, 1).alias("scored"))
+
+
+@register("train_best_step")
+def q_train_best_step(spark, sf):
+    """M5 on the engine's own history."""
+    return M.best_checkpoint(q_train_history(spark, sf), ["kind", *M.CELL])
+
+
+@register("train_scores")
+def q_train_scores(spark, sf):
+    """K1/K2 through M1-M3: TEST macro P/R/F1 of every cell and label."""
+    p = q_train_multilabel(spark, sf)
+    return M.macro_prf(M.confusion_counts(p, dims=TRAIN_DIMS))
+
+
+def _bits_sql() -> str:
+    code = "CASE split WHEN 'TRAIN' THEN 1 WHEN 'VALID' THEN 2 ELSE 3 END"
+    return ("WITH " + O.splits_with() + f"\nSELECT post_id, CAST(sum(CAST({code} AS BIGINT) << CAST(2 * (repeat * 5 + fold) AS BIGINT)) AS BIGINT) AS cells "
+            "FROM splits GROUP BY post_id")
+
+
+@register("cell_bits", _bits_sql())
+def q_cell_bits(spark, sf):
+    return S.cell_bits(_gold(spark, sf))
+
+
 # --------------------------------------------------------------------------- streaming
 from cvframe.streaming import leaderboard as ST  # noqa: E402
 

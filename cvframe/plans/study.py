@@ -1,8 +1,10 @@
-"""The study's three stages as Spark jobs, callable from Python or the shell.
+"""The study's four stages as Spark jobs, callable from Python or the shell.
 
 * ``prepare``  corpus variants (CSV, study format) -> per-variant 5 x 5
                stratified splits, ``arg_issue``, current label names ->
                partitioned parquet (one folder per variant).
+* ``train``    the prepared corpus -> TEST logits of every cell's own model
+               (all cells and labels in one fit) and the VALID history.
 * ``evaluate`` a prediction table ``(approach, post_id, logit_0..)`` and the
                prepared corpus -> TEST metrics of every run -> run records in
                the partitioned or the study's layout (``eval_<label>_
@@ -14,6 +16,7 @@ Each stage writes its outputs to the given (shared) paths; nothing but
 small result tables reaches the driver.
 
     python -m cvframe.plans.study prepare --variant full=a.csv --variant majority=b.csv --out prepared/
+    python -m cvframe.plans.study train --prepared prepared/ --variant majority --out fit/
     python -m cvframe.plans.study evaluate --prepared prepared/ --variant majority --preds preds/ --out runs/
     python -m cvframe.plans.study compare --runs runs/ --layout partitioned --out report/
 """
@@ -30,6 +33,8 @@ from cvframe.operators import runs as R
 from cvframe.operators import scoring as G
 from cvframe.operators import stats as J
 from cvframe.operators.metrics import confusion_counts, macro_prf, predicted_labels, run_records, test_rows, unscored
+from cvframe.operators.splits import wide_bits
+from cvframe.operators.training import EVERY, NUM_FEATURES, STEPS, train_cells
 from cvframe.plans.prepare import prepare_corpus, write_prepared
 from cvframe.schema import KFOLD_SEEDS, LABEL_COLS, N_FOLDS
 from cvframe.sources import corpus_io as C
@@ -44,6 +49,25 @@ def prepare_study(spark: SparkSession, variants: Mapping[str, str], out: str, fm
     return spark.read.format(fmt).load(out) if fmt != "csv" else spark.read.options(**C.READ_OPTIONS).csv(out)
 
 
+def train_study(prepared: DataFrame, out: str, kind: str = "multilabel", approach: str = "logistic", text_col: str = "arg_issue",
+                dims: Sequence[str] = LABEL_COLS, **kw) -> DataFrame:
+    """Fits every cell of one prepared variant and scores its TEST posts.
+
+    ``kind='binary'``: the root label alone, unweighted; ``'multilabel'``: all
+    labels, positives weighted per cell.  Writes ``out/preds`` (what
+    ``evaluate`` reads), ``out/history`` (VALID score of each saved step),
+    ``out/best`` and the optimiser's states in ``out/steps``; run again with
+    the same ``out`` it goes on where it stopped."""
+    labels = list(dims[:1] if kind == "binary" else dims)
+    bits = prepared.select("post_id", wide_bits().alias("cells"))
+    weights = None if kind == "binary" else "clamped"
+    preds, model = train_cells(prepared, bits, labels, weights, approach, text_col, folder=f"{out}/steps", **kw)
+    preds.write.mode("overwrite").parquet(f"{out}/preds")
+    model.history.write.mode("overwrite").parquet(f"{out}/history")
+    model.best.write.mode("overwrite").parquet(f"{out}/best")
+    return prepared.sparkSession.read.parquet(f"{out}/preds")
+
+
 def _test_cells_from_wide(prepared: DataFrame, id_col: str = "post_id") -> DataFrame:
     """``(id, repeat, fold, 'TEST')``: per repeat, the one cell whose split
     column says TEST - five rows per post, never the 25-cell long form."""
@@ -115,6 +139,16 @@ def main(argv: Sequence[str] | None = None) -> None:
     p1 = sub.add_parser("prepare")
     p1.add_argument("--variant", action="append", required=True, help="name=path.csv")
     p1.add_argument("--out", required=True)
+    pt = sub.add_parser("train")
+    pt.add_argument("--prepared", required=True)
+    pt.add_argument("--variant", default="majority")
+    pt.add_argument("--kind", default="multilabel", choices=["multilabel", "binary"])
+    pt.add_argument("--approach", default="logistic")
+    pt.add_argument("--text", default="arg_issue")
+    pt.add_argument("--num-features", type=int, default=NUM_FEATURES)
+    pt.add_argument("--steps", type=int, default=STEPS)
+    pt.add_argument("--every", type=int, default=EVERY)
+    pt.add_argument("--out", required=True)
     p2 = sub.add_parser("evaluate")
     p2.add_argument("--prepared", required=True)
     p2.add_argument("--variant", default="majority")
@@ -135,6 +169,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"cvframe-{a.stage}").getOrCreate()
     if a.stage == "prepare":
         prepare_study(spark, dict(v.split("=", 1) for v in a.variant), a.out)
+    elif a.stage == "train":
+        prepared = spark.read.parquet(a.prepared).filter(F.col("dataset_version") == a.variant)
+        train_study(prepared, a.out, a.kind, a.approach, a.text, num_features=a.num_features, steps=a.steps, every=a.every)
     elif a.stage == "evaluate":
         prepared = spark.read.parquet(a.prepared).filter(F.col("dataset_version") == a.variant)
         records = evaluate_study(prepared, spark.read.parquet(a.preds), a.kind, a.repair, allow_missing=a.allow_missing)

@@ -20,6 +20,7 @@ def spark():
     s = (
         SparkSession.builder.master("local[*]")
         .appName("cvframe-tests")
+        .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")

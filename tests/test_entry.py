@@ -10,7 +10,6 @@ from cvframe.plans.fixtures import TABLES
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
-TRAINING = {"train_binary", "train_multilabel", "batch_predict"}
 
 
 def test_entry_runs(spark):
@@ -56,14 +55,10 @@ def test_query_matches_oracle(spark, duck, sf_small, name):
     assert _rows(srows, c) == _rows(drows, c)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - TRAINING))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only_queries_run(spark, sf_small, name):
-    assert QUERIES[name](spark, sf_small).count() > 0
-
-
-def test_training_queries_run(spark, sf_small):
-    for name in sorted(TRAINING):
-        df = QUERIES[name](spark, sf_small)
-        rows = df.collect()
-        assert len(rows) > 0
-        assert set(r["prediction"] if "prediction" in df.columns else 0 for r in rows) <= {0, 1}
+    df = QUERIES[name](spark, sf_small)
+    rows = df.collect()
+    assert rows
+    if "prediction" in df.columns:
+        assert {r["prediction"] for r in rows} <= {0, 1}

@@ -104,36 +104,20 @@ def test_report_without_its_headline_is_refused(spark):
         study.compare_study(runs)
 
 
-def test_train_cells_feeds_evaluate(spark, sf_small):
-    from cvframe.operators import training as TR
-
-    lt = fx.labelled_text(spark, sf_small).withColumnsRenamed({"doc_id": "post_id"}).select("post_id", "text", "quality", "toxic")
-    sp = S.assign_splits(lt.select("post_id", "quality", "toxic"), dims=["quality", "toxic"]).cache()
-    out = TR.train_cells(lt, sp, ["quality", "toxic"], cells=[(0, 0), (3, 1)], max_iter=5, num_features=1 << 10, reg_params=(0.1,))
-    want = sp.filter("split = 'TEST' AND ((repeat = 0 AND fold = 0) OR (repeat = 3 AND fold = 1))").select("repeat", "fold", "post_id")
-    assert sorted(map(tuple, out.select("repeat", "fold", "post_id").collect())) == sorted(map(tuple, want.collect()))
-    conf = M.confusion_counts(M.test_rows(M.predicted_labels(out, ["quality", "toxic"]), lt, sp), dims=["quality", "toxic"])
-    assert conf.count() == 4
-    sp.unpersist()
-
-
-def test_training_queries_score_every_cell(spark, sf_small, monkeypatch):
-    """Fits are replaced by constants: the rows and keys are the point here."""
-    from types import SimpleNamespace
-
-    from cvframe.operators import training as TR
-    from cvframe.plans import queries as Q
-
-    seen = []
-    monkeypatch.setattr(TR, "fit_binary", lambda *a, **kw: seen.append(kw) or SimpleNamespace(model=None))
-    monkeypatch.setattr(TR, "fit_multilabel", lambda *a, **kw: seen.append(kw))
-    monkeypatch.setattr(TR, "predict", lambda m, df, keep: df.select(*keep))
-    monkeypatch.setattr(TR, "predict_multilabel", lambda m, df, keep: df.select(*keep))
-    lt = fx.labelled_text(spark, sf_small).withColumnRenamed("doc_id", "post_id")
-    sp = S.assign_splits(lt.select("post_id", "quality", "toxic"), dims=["quality", "toxic"]).select("repeat", "fold", "post_id", "split")
-    sp = list(map(tuple, sp.collect()))
-    for query, parts in ((Q.q_train_binary, {"TEST"}), (Q.q_train_multilabel, {"TEST"}), (Q.q_batch_predict, {"VALID", "TEST"})):
-        seen.clear()
-        got = query(spark, sf_small).select("approach", "repeat", "fold", "post_id").collect()
-        assert sorted(map(tuple, got)) == sorted(("logistic", r, f, i) for r, f, i, s in sp if s in parts)
-        assert len(seen) == 25 and all("reg_params" not in kw for kw in seen)
+def test_train_stage_fits_all_labels_of_all_cells(spark, sf_small):
+    """The whole study: prepared corpus -> 14 labels x 25 cells -> run records."""
+    root = tempfile.mkdtemp(prefix="cvframe-train-")
+    posts = fx.corpus(spark, sf_small).withColumn("dataset_version", F.lit("v"))
+    prepared = study.prepare_corpus(posts)
+    prepared.write.parquet(f"{root}/prepared")
+    study.main(["train", "--prepared", f"{root}/prepared", "--variant", "v", "--out", f"{root}/fit", "--num-features", "256",
+                "--steps", "2", "--every", "1"])
+    preds = spark.read.parquet(f"{root}/fit/preds")
+    n = posts.count()
+    assert preds.count() == 5 * n and len([c for c in preds.columns if c.startswith("logit_")]) == 14
+    history = spark.read.parquet(f"{root}/fit/history")
+    assert history.count() == 50 and history.where("score NOT BETWEEN 0 AND 1").count() == 0
+    rec = study.evaluate_study(spark.read.parquet(f"{root}/prepared").where("dataset_version = 'v'"), preds)
+    assert rec.count() == 25
+    binary = study.train_study(spark.read.parquet(f"{root}/prepared"), f"{root}/one", kind="binary", num_features=64, steps=1, every=1)
+    assert [c for c in binary.columns if c.startswith("logit_")] == ["logit_0"] and binary.count() == 5 * n

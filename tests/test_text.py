@@ -3,8 +3,10 @@
 from collections import Counter
 from hashlib import md5
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from cvframe.functions.permute import permuted_positions
 from cvframe.functions.text import strip_text, tokenize
 from cvframe.operators import text as T
 
@@ -54,6 +56,39 @@ def test_encode_unknown_and_empty(spark):
     assert enc[1] == [2, 3, 2, 1] and enc[2] == [] and enc[3] == [3, 3, 2]
 
 
+def test_encode_keeps_rows_apart_and_both_ways_agree(spark):
+    rows = [(1, ["a", "b"]), (1, ["c"]), (2, None), (None, ["a", None, "c"]), (3, []), (4, ["a"] * 3000 + ["b"]), (1, ["c"])]
+    df = spark.createDataFrame(rows, "post_id long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "token string, id int")
+    want = sorted([(1, [2, 3]), (1, [1]), (2, []), (None, [2, 1, 1]), (3, []), (4, [2] * 3000 + [3]), (1, [1])], key=str)
+    assert sorted(map(tuple, T.encode(df, vocab).collect()), key=str) == want
+    assert sorted(map(tuple, T.encode(df, vocab, dictionary_tokens=1).collect()), key=str) == want
+    assert T.encode(df.where("false"), vocab).collect() == [] == T.encode_joined(df.where("false"), vocab).collect()
+    assert sorted(map(tuple, T.encode(df, vocab.where("false")).collect()), key=str) == sorted(
+        [(i, [1] * len(t or [])) for i, t in rows], key=str)
+
+
+def test_positions_are_permuted():
+    sizes = np.array([0, 1, 2, 3, 4, 5, 16, 17, 0, 257, 5000])
+    keys = np.random.default_rng(3).integers(0, 1 << 32, (len(sizes), 4))
+    flat = permuted_positions(sizes, keys)
+    for a, n in zip(np.cumsum(sizes) - sizes, sizes):
+        assert sorted(flat[a:a + n]) == list(range(n))
+    # every order of three positions turns up, none much too often
+    many = permuted_positions(np.full(6000, 3), np.random.default_rng(4).integers(0, 1 << 32, (6000, 4))).reshape(-1, 3)
+    counts = Counter(map(tuple, many.tolist()))
+    assert len(counts) == 6 and max(counts.values()) < 1.3 * 1000
+    # first positions of long rows are spread evenly
+    first = permuted_positions(np.full(2000, 100), np.random.default_rng(5).integers(0, 1 << 32, (2000, 4)))[::100]
+    assert len(set(first.tolist())) == 100 and abs(first.mean() - 49.5) < 3
+
+
+def test_shuffle_of_null_and_empty(spark):
+    df = spark.createDataFrame([(1, None), (None, "a b"), (2, ""), (3, " \n")], "post_id long, t string")
+    got = {r["post_id"]: r["s"] for r in T.shuffle_text(df, "t", 42, out="s").collect()}
+    assert got[1] is None and sorted(got[None]) == [" ", "a", "b"] and got[2] == got[3] == ""
+
+
 def test_batches_and_padding(spark):
     n = 37  # last batch smaller than 16
     df = spark.createDataFrame([(i, list(range(i % 7 + 1))) for i in range(n)], "post_id long, ids array<int>")
