@@ -74,15 +74,18 @@ def labelled(docs: DataFrame, sf_dir: str, label: str, divisor: int, held: int,
     """(doc_id, text, label) of at most ``limit`` documents to learn from.
 
     Rows whose crc32(id as text) mod ``divisor`` is ``held`` are left out, as
-    are NULL labels and ids.  An id with several labels takes the smallest.
-    Beyond the limit the ids with the smallest hashes are taken, so the
-    choice does not depend on order.  The chosen labels (16 bytes each, at
-    most ``limit`` rows) are broadcast; texts are not shuffled."""
+    are NULL labels, NULL ids and ids that ``docs`` does not have.  An id with
+    several labels takes the smallest.  Beyond the limit the ids with the
+    smallest hashes are taken, so the choice does not depend on order.  Ids
+    alone are shuffled for that; the chosen labels (16 bytes each, at most
+    ``limit`` rows) are broadcast, and texts stay where they are."""
     labels = table(docs.sparkSession, sf_dir, "labels").select(
         F.col("doc_id").cast("long").alias("_label_id"), F.col(label).cast("int").alias("label"))
     labels = labels.where(F.col("_label_id").isNotNull() & F.col("label").isNotNull()
                           & (id_remainder(F.col("_label_id"), divisor) != held))
     labels = labels.groupBy("_label_id").agg(F.min("label").alias("label"))
+    there = docs.select(quoted(id_col).cast("long").alias("_label_id"))
+    labels = labels.join(there, "_label_id", "left_semi")
     chosen = labels.orderBy(F.xxhash64("_label_id"), "_label_id").limit(limit)
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id")).select("doc_id", "text", "label")
