@@ -47,7 +47,7 @@ def word_form(word: str) -> str:
     case letters; words with other characters only these, in order."""
     if _PLAIN.fullmatch(word):
         return word.rstrip(".,;:!?").lower()
-    return "\x00" + _LETTERS.sub("a", word)[:24]
+    return "\x00" + _LETTERS.sub("a", word)
 
 
 def _bucket(words: list[str]) -> np.ndarray:
