@@ -31,7 +31,7 @@ NONZERO = 4            # nonzero entries of an index vector
 REACH = 2              # neighbours on each side
 CHUNK = 256            # buckets summed by one row of the reduction
 HIDDEN = 32
-POOL_WORDS = 50_000    # words whose vectors a task looks up at once
+POOL_WORDS = 4096      # words whose vectors are looked up at once
 MAX_LABELLED = 20_000  # labelled documents the network is fitted on, at most
 SPARE = 0.2            # share of them kept for the temperature
 THRESHOLD = 0.7
@@ -137,22 +137,21 @@ def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
     Vectors are looked up for ``POOL_WORDS`` words at a time, so a task's
     memory does not grow with its texts, however long one is."""
     words, sizes = _buckets(texts)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    total = np.zeros((3, len(sizes), DIM))
-    for a in range(0, len(words), POOL_WORDS):
-        b = min(a + POOL_WORDS, len(words))
-        v = vectors[words[a:b + 1]]                       # and the word after the last one
-        own, ids = v[:b - a], text[a:b]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        near = np.zeros_like(own)
-        near[:len(v) - 1] = v[:-1] * v[1:]
-        near[:len(v) - 1][text[a:a + len(v) - 1] != text[a + 1:a + len(v)]] = 0
-        for k, x in enumerate((own, own * own, near)):
-            total[k, ids[first]] += np.add.reduceat(x, first, axis=0, dtype=np.float64)
+    total = np.zeros((len(sizes), 3, DIM))
+    start = 0
+    for t, size in enumerate(sizes.tolist()):
+        for a in range(0, size, POOL_WORDS):
+            n = min(POOL_WORDS, size - a)
+            v = vectors.take(words[start + a:start + min(a + n + 1, size)], axis=0)     # and the word after the last one
+            own = v[:n]
+            total[t, 0] += own.sum(0)
+            total[t, 1] += np.einsum("ij,ij->j", own, own)
+            total[t, 2] += np.einsum("ij,ij->j", v[:-1], v[1:])
+        start += size
     n = np.maximum(sizes, 1)[:, None]
-    mean = total[0] / n
-    spread = np.sqrt(np.maximum(0, total[1] / n - mean * mean))
-    return np.hstack([mean, spread, total[2] / np.maximum(sizes - 1, 1)[:, None]])
+    mean = total[:, 0] / n
+    spread = np.sqrt(np.maximum(0, total[:, 1] / n - mean * mean))
+    return np.hstack([mean, spread, total[:, 2] / np.maximum(sizes - 1, 1)[:, None]])
 
 
 @dataclass
