@@ -32,7 +32,7 @@ from cvframe.session import scratch_dir
 LENGTH = 2048         # tokens in a sequence
 BATCH = 256           # sequences in a record batch
 SLICE_BYTES = 4 << 20
-CACHE_CHUNKS = 800_000   # chunks remembered by one worker; forgetting only costs time
+CACHE_CHUNKS = 1_200_000  # chunks remembered by one worker (some 200 bytes each); forgetting only costs time
 GROUP = 100             # words the library gets in one text
 
 
@@ -56,32 +56,47 @@ class ChunkEncoder:
             and not pre.get("add_prefix_space") and conf.get("truncation") is None and conf.get("padding") is None
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t.get("normalized") or re.search(r"\s", t["content"])
                         for t in conf.get("added_tokens", [])))
-        self.limit, self.whole = limit, {}
-        self.known, self.table = _Rows(), []
-        self._beside = re.compile(r"[^\S ] | [^\S ]")
+        self.limit = limit
+        self._forget()
         vocab = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)   # tokens that begin with a space
         self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        """Rows of known words (with the space before them) and other chunks, and their ids one after the other."""
+        self.words, self.chunks = _Rows(), _Rows()
+        self.ids_of = {id(x): _Ids() for x in (self.words, self.chunks)}
 
-    def _after_space(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with the space before it.
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after_space(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word with the space before it: (all ids, ids per word).
 
         The library gets many words in one text; a chunk begins with the only
         token that begins with a space, so its ids are cut out there."""
-        out: list[bytes] = []
+        parts, sizes = [], []
         for a in range(0, len(words), GROUP):
             part = words[a:a + GROUP]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self._ids([" " + " ".join(part)])[0], np.uint32)
             at = np.flatnonzero(self.begins[ids])
             if len(at) == len(part) and at[0] == 0:
-                raw, cuts = ids.tobytes(), (at * 4).tolist()
-                out += [raw[x:y] for x, y in zip(cuts, [*cuts[1:], len(raw)])]
+                parts.append(ids)
+                sizes.append(np.diff(at, append=len(ids)))
             else:
-                out += self._ids([" " + w for w in part])
-        return out
+                single = self._ids([" " + w for w in part])
+                parts += [np.array(x, np.uint32) for x in single]
+                sizes.append(np.array([len(x) for x in single]))
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _learn(self, rows: "_Rows", texts: list[str]) -> None:
+        """Ids of the texts that got the next rows."""
+        if rows is self.words:
+            self.ids_of[id(rows)].add(*self._after_space(texts))
+            return
+        for a in range(0, len(texts), 20_000):
+            ids = self._ids(texts[a:a + 20_000])
+            self.ids_of[id(rows)].add(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
 
     @staticmethod
     def _odd_chunks(text: str) -> list[str]:
@@ -89,27 +104,80 @@ class ChunkEncoder:
         cuts = [0, *(m.start() for m in re.finditer(r"(?<=\S) (?=\S)", text)), len(text)]
         return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids (little-endian uint32) of each text."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (uint32) of each text."""
         if not self.by_chunk:
-            return self._ids(texts)
-        if len(self.known) + len(self.whole) > self.limit:
-            self.known, self.table, self.whole = _Rows(), [], {}
-        row, whole = self.known.__getitem__, self.whole
-        split: list[tuple[list[str], list[int]]] = []     # chunks as they are, then rows of words that follow a space
+            return [np.array(x, np.uint32) for x in self._ids(texts)]
+        if len(self.words) + len(self.chunks) > self.limit:
+            self._forget()
+        known = {id(x): len(x) for x in (self.words, self.chunks)}
+        row, chunk = self.words.__getitem__, self.chunks.__getitem__
+        rows: list[int] = []         # of words as they are, of other chunks as -1 - row
+        counts = []
         for t in texts:
             words = t.split(" ")
-            if "" in words or self._beside.search(t):
-                split.append((self._odd_chunks(t), []))
+            if "" in words or _space_beside_space(t):
+                mine = [-1 - chunk(c) for c in self._odd_chunks(t)]
             else:
-                split.append((words[:1], list(map(row, words[1:]))))
-        if len(self.known) > len(self.table):
-            self.table += self._after_space(list(islice(self.known, len(self.table), None)))
-        new_whole = list({c for cs, _ in split for c in cs if c not in whole})
-        for part in (new_whole[a:a + 20_000] for a in range(0, len(new_whole), 20_000)):
-            whole.update(zip(part, self._ids(part)))
-        get, get_whole = self.table.__getitem__, whole.__getitem__
-        return [b"".join([*map(get_whole, cs), *map(get, ws)]) for cs, ws in split]
+                mine = [-1 - chunk(words[0]), *map(row, words[1:])]
+            rows += mine
+            counts.append(len(mine))
+        for table in (self.words, self.chunks):
+            new = list(islice(table, known[id(table)], None))
+            if new:
+                self._learn(table, new)
+        at = np.array(rows, np.int64)
+        other = at < 0
+        flat, sizes = self.ids_of[id(self.words)].take(np.where(other, 0, at), ~other)
+        odd, odd_sizes = self.ids_of[id(self.chunks)].take(np.where(other, -1 - at, 0), other)
+        sizes = sizes + odd_sizes
+        ends = np.cumsum(sizes)
+        out = np.empty(int(sizes.sum()), np.uint32)
+        mask = np.repeat(other, sizes)
+        out[mask], out[~mask] = odd, flat
+        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)] if counts else [0]
+        return [out[a:b] for a, b in zip(stops[:-1], stops[1:])]
+
+
+#: White space other than the space and the line feed.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_BESIDE = re.compile(r"[^\S ] | [^\S ]")
+
+
+def _space_beside_space(text: str) -> bool:
+    """Whether a space stands beside other white space."""
+    if "\n " in text or " \n" in text:
+        return True
+    return any(c in text for c in _OTHER_SPACE) and _BESIDE.search(text) is not None
+
+
+class _Ids:
+    """Ids of rows, one after the other in a growing array."""
+
+    def __init__(self):
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.rows = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = self._room(self.flat, self.used + len(ids))
+        self.flat[self.used:self.used + len(ids)] = ids
+        n = self.rows + len(sizes)
+        self.start, self.size = self._room(self.start, n), self._room(self.size, n)
+        self.size[self.rows:n] = sizes
+        self.start[self.rows:n] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.rows = self.used + len(ids), n
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+    def take(self, rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the wanted rows, ids per row; 0 where not wanted)."""
+        sizes = np.where(wanted, self.size[rows], 0)
+        ends = np.cumsum(sizes)
+        at = np.arange(int(sizes.sum())) + np.repeat(self.start[rows] - (ends - sizes), sizes)
+        return self.flat[at], sizes
 
 
 class _Rows(dict):
@@ -224,7 +292,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col
         ctx = TaskContext.get()
         name = f"shard-{ctx.partitionId():06d}"
         temp = f"{top}/_{name}-{ctx.taskAttemptId()}"
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         n_docs = 0
         with fs.open_output_stream(f"{temp}.arrow") as sink, fs.open_output_stream(f"{temp}.docs") as id_sink:
             out = SequenceWriter(sink, dtype, length, batch)
@@ -232,8 +300,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col
             rb = first
             while rb is not None:
                 for a, b in _slices(rb.column(1), SLICE_BYTES):
-                    for raw in enc.encode([t or "" for t in rb.column(1).slice(a, b - a).to_pylist()]):
-                        out.add(np.frombuffer(raw + end, "<u4"))
+                    for ids in enc.encode([t or "" for t in rb.column(1).slice(a, b - a).to_pylist()]):
+                        out.add(np.concatenate([ids, end]))
                 if rb.num_rows:
                     ids_out.write_batch(pa.RecordBatch.from_arrays([rb.column(0)], names=["doc_id"]))
                 n_docs += rb.num_rows
