@@ -1,11 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (one per block element).  Lines inside page
-furniture (menus, adverts, forms, comments, ...) are taken out; lines
-outside of an article that are mostly links weigh nothing; every other line weighs its
-text length.  Sums over a
-sliding window of ``WINDOW`` lines rise where the article begins (surge)
-and fall to nothing where it ends (dive); the text between is kept.
+Markup is stripped into lines (one per block element) and every line weighs
+its text length.  Sums over a sliding window of ``WINDOW`` lines rise where
+the text begins (surge) and fall to nothing where it ends (dive); the text
+between is kept.  What is known of a line only changes its weight:
+
+* lines that are mostly links weigh nothing outside of an article element;
+* lines of elements with the names of page furniture (menus, forms, notices)
+  weigh a fraction and have windows of their own: such a block stays if it
+  surges even so, else it goes and parts no text.  Adverts, readers'
+  comments and hidden elements weigh nothing;
+* lines in an article or main element weigh ``SURGE`` more, and where there
+  are such lines those outside of one weigh a fraction; the windows do not
+  reach across the border of an article.
 """
 
 from __future__ import annotations
@@ -21,11 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 3          # lines per block
-SURGE = 80          # characters in a window that start a region outside of an article element
+SURGE = 80          # weighed characters in a window that start a region
+HINTED = 0.2        # weight of a character in furniture by its name, or beside an article
+ELEMENT = 0.05      # in a furniture element
 
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "button", "object", "math",
        "canvas", "audio", "video", "title", "option"}
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+AROUND = {"form", "fieldset"}     # these may also hold a whole page
 ROOTS = {"html", "body"}
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody",
           "tfoot", "tr", "caption", "section", "article", "main", "blockquote", "pre", "hr", "figure", "figcaption", "address",
@@ -40,7 +50,7 @@ HINTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
          "sharing", "social", "related", "recommended", "recommendations", "widget", "pagination", "pager", "toolbar",
          "login", "search", "skip", "contentinfo", "complementary", "form", "dialog"}
 READERS = {"comment", "comments", "disqus", "respond", "replies"}
-#: Hints that no amount of text overrides; a name made of a hint and parts below is known furniture too.
+#: Hints of no weight at all; a name made of a hint and parts below is known furniture too.
 SURE = READERS | {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "sponsored", "cookie",
                   "cookies", "consent", "gdpr", "newsletter", "subscribe", "breadcrumb", "breadcrumbs", "pagination", "pager"}
 PARTS = {"", "box", "bar", "block", "button", "buttons", "link", "links", "list", "item", "items", "container", "wrapper", "wrap",
@@ -48,7 +58,7 @@ PARTS = {"", "box", "bar", "block", "button", "buttons", "link", "links", "list"
          "story", "stories", "top", "bottom", "left", "right", "inline", "media", "site", "page", "main", "header", "thread"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TITLED = HEADINGS | {"section", "hgroup"}     # their ids are often slugs of titles
-LONG = 400          # characters of a block in an article, mostly not linked, that override a hint
+SITE_HEADERS = {"header", "site", "page", "top", "main"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -65,22 +75,26 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 class Line:
     text: str          # decoded, white space collapsed
     linked: int        # characters inside links
-    furniture: bool
     article: bool      # inside an article or main element
-    hint: int = 0      # the element in an article that made it furniture by an overridable hint
+    weight: float = 1.0
+    element: int = -1  # the furniture element it is in, by its place on the page
 
 
-def _hinted(name: str, attrs: str, in_article: bool) -> bool:
-    if name in ROOTS or not attrs:
-        return False
-    words = {w for m in _HINTED.finditer(attrs) for w in _WORDS.findall(_value(m).lower())}
+def _weight(name: str, attrs: str, inside: bool) -> float:
+    """Weight of an element's lines by its name and attributes."""
+    if name in ROOTS:
+        return 1.0
+    if attrs and _HIDDEN.search(attrs):
+        return 0.0
     if name in ("article", "main"):
-        return bool(words & READERS)
-    if in_article:
-        return bool(_known(name, attrs))
-    if "header" in words:
-        return True
-    return bool(words & HINTS)
+        words = {w for m in _HINTED.finditer(attrs) for w in _WORDS.findall(_value(m).lower())}
+        return 0.0 if words & READERS else 1.0
+    known = _known(name, attrs) if attrs else set()
+    if known & SURE:
+        return 0.0
+    if name in FURNITURE or not inside and (name == "header" or "header" in known):
+        return ELEMENT
+    return HINTED if known - {"header"} else 1.0
 
 
 def _value(m: re.Match) -> str:
@@ -88,11 +102,12 @@ def _value(m: re.Match) -> str:
 
 
 def _known(name: str, attrs: str) -> set[str]:
-    """Hints an element in an article gives by whole names of known furniture.
+    """Hints an element gives by whole names of known furniture.
 
     A name (class, role, id or a whole label) counts if it is a hint or a
-    hint with PARTS.  Ids of headings and sections are their titles: a
-    heading's never counts, a section's only if it names readers' comments."""
+    hint with PARTS (a site's header: with SITE_HEADERS).  Ids of headings
+    and sections are their titles: a heading's never counts, a section's only
+    if it names readers' comments."""
     found = set()
     for m in _HINTED.finditer(attrs):
         kind, value = m[1].lower(), _value(m).lower()
@@ -102,17 +117,21 @@ def _known(name: str, attrs: str) -> set[str]:
                 continue
             if words <= HINTS | PARTS:
                 found |= words & HINTS
+            if "header" in words and words <= SITE_HEADERS:
+                found.add("header")
     return found
 
 
-def lines_of(page: str) -> list[Line]:
-    """The page as lines, one per block element, in page order."""
+def lines_of(page: str, plain: frozenset[int] = frozenset()) -> list[Line]:
+    """The page as lines, one per block element, in page order; elements that
+    begin at a place in ``plain`` are no furniture."""
     out: list[Line] = []
     parts: list[str] = []
     linked = 0
     skip, depth = "", 0          # the furniture element that is open, and how many of its name
-    hint, hints = 0, 0           # number of the open element with a hint that text overrides; such elements so far
-    within, below = "", 0        # furniture in it that nothing overrides, and how many of its name
+    weight, element = 1.0, -1    # its weight and place
+    within, below = "", 0        # an element of less weight in it, and how many of its name
+    inner, place = 1.0, -1       # that one's weight and place
     inside = 0                   # open article and main elements
     link, linked_any = 0, False  # in a link; it has had text
     blocks: list[str] = []       # blocks opened inside the link
@@ -123,7 +142,7 @@ def lines_of(page: str) -> list[Line]:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                out.append(Line(text, linked, bool(skip), inside > 0, 0 if within else hint))
+                out.append(Line(text, linked, inside > 0, inner if within else weight, place if within else element))
             parts.clear()
         linked = 0
 
@@ -165,6 +184,7 @@ def lines_of(page: str) -> list[Line]:
                     blocks.append(name)
         if name in VOID:
             continue
+        own = 1.0 if closing or attrs.endswith("/") or m.start() in plain else _weight(name, attrs, inside > 0)
         if skip:
             if within:
                 if name == within:
@@ -172,49 +192,40 @@ def lines_of(page: str) -> list[Line]:
                     if below <= 0:
                         end_line()
                         within = ""
-            elif hint and not closing and _sure(name, attrs) and not attrs.endswith("/"):
+            elif own < weight:
                 end_line()
-                within, below = name, 1
+                within, below, inner, place = name, 1, own, m.start()
             if name == skip:
                 depth += -1 if closing else 1
                 if depth <= 0:
                     end_line()
-                    skip, hint, within = "", 0, ""
-            elif name in ("article", "main") and not closing and not inside and not _hinted(name, attrs, False):
+                    skip, within, weight, element = "", "", 1.0, -1
+            elif name in ("article", "main") and not closing and not inside and own == 1.0:
                 end_line()       # an article ends furniture that was never closed
-                skip, inside = "", 1
+                skip, within, weight, element, inside = "", "", 1.0, -1, 1
             continue
-        if not closing:
-            if (name in FURNITURE or name == "header" and not inside or _hinted(name, attrs, inside > 0)
-                    or (attrs and name not in ROOTS and _HIDDEN.search(attrs))) and not attrs.endswith("/"):
-                end_line()
-                skip, depth = name, 1
-                if inside and not _sure(name, attrs):
-                    hint = hints = hints + 1
-            elif name in ("article", "main"):
-                inside += 1
+        if own < 1.0:
+            end_line()
+            skip, depth, weight, element = name, 1, own, m.start()
         elif name in ("article", "main"):
-            inside = max(0, inside - 1)
+            inside = max(0, inside + (-1 if closing else 1))
     end_line()
-    long = {h for h, (size, in_links) in _sizes(out).items() if size >= LONG and 4 * in_links <= size}
-    for x in out:
-        x.furniture = x.furniture and x.hint not in long
     return out
 
 
-def _sure(name: str, attrs: str) -> bool:
-    """Furniture whatever text it holds."""
-    return bool(name in FURNITURE or attrs and (_HIDDEN.search(attrs) or name not in ("article", "main") and _known(name, attrs) & SURE))
-
-
-def _sizes(lines: list[Line]) -> dict[int, tuple[int, int]]:
-    """(characters, characters inside links) per element with a hint."""
-    out: dict[int, tuple[int, int]] = {}
+def _around(page: str, lines: list[Line], plain: frozenset[int]) -> frozenset[int]:
+    """Elements taken for furniture that hold most of the page's unlinked text
+    and no article has text beside them: they are around the page."""
+    free: dict[int, int] = {}
     for x in lines:
-        if x.hint:
-            size, in_links = out.get(x.hint, (0, 0))
-            out[x.hint] = size + len(x.text), in_links + x.linked
-    return out
+        if x.weight > 0:
+            free[x.element] = free.get(x.element, 0) + max(0, len(x.text) - x.linked)
+    total = sum(free.values())
+    if any(x.article and x.element < 0 for x in lines):
+        return plain
+    return plain | {e for e, size in free.items() if e >= 0 and 2 * size > total
+                    and (m := _TOKEN.match(page, e)) and ((m["name"] or m["name2"]).lower() in AROUND
+                                                         or (m["name"] or m["name2"]).lower() not in FURNITURE | {"header"})}
 
 
 def regions(weights: np.ndarray, surge: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -237,25 +248,47 @@ def regions(weights: np.ndarray, surge: float, window: int = WINDOW) -> list[tup
     return found
 
 
+def _spans(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Regions that surge; where none does, those that come half as high as the highest."""
+    spans = regions(weights, SURGE)
+    if not spans and weights.any():
+        spans = regions(weights, np.convolve(weights, np.ones(WINDOW)).max() / 2)
+    return spans
+
+
 def main_text(page: str | None) -> tuple[str, int, int]:
     """(text, lines on the page, lines kept) of one page; NULL: empty.
 
-    Furniture is taken out before the windows, so it parts no text.  Every
-    other line of an article or main element is kept.  Lines outside of one
-    are dropped if the marked lines hold half of the text or more;
-    otherwise they are kept in regions of ``SURGE`` characters in a window
-    (in any region if none has so many)."""
-    lines = lines_of(page or "")
-    own = [x for x in lines if not x.furniture]
-    keep = np.array([x.article for x in own], bool)
-    length = np.array([len(x.text) for x in own], float)
-    plain = np.array([2 * x.linked <= len(x.text) for x in own], bool)
-    if 2 * length[keep].sum() < length[keep | plain].sum():
-        weights = np.where(keep | plain, length, 0.0)
-        spans = regions(weights, SURGE) or regions(weights, 1)
-        for a, b in spans:
-            keep[a:b] = True
-    kept = [x.text for x, k in zip(own, keep) if k]
+    First the windows of each furniture element say which of its lines stay,
+    then the windows over what is left say where the text lies."""
+    page = page or ""
+    plain: frozenset[int] = frozenset()
+    lines = lines_of(page)
+    while (more := _around(page, lines, plain)) != plain:
+        plain, lines = more, lines_of(page, more)
+    of: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        if x.element >= 0:
+            of.setdefault(x.element, []).append(i)
+    stays = {i for i, x in enumerate(lines) if x.element < 0}
+    for rows in of.values():
+        own = [lines[i] for i in rows]
+        weighed = np.array([x.weight * len(x.text) * (4 * x.linked <= len(x.text)) for x in own])
+        for a, b in regions(weighed, SURGE):
+            stays.update(rows[a:b])
+    left = [x for i, x in enumerate(lines) if i in stays]
+    beside = HINTED if any(x.article for x in left) else 1.0
+    weights: list[float] = []
+    at: list[int] = []
+    for i, x in enumerate(left):
+        if i and x.article != left[i - 1].article:
+            weights += [0.0] * WINDOW            # windows end where an article does
+        at.append(len(weights))
+        weights.append(len(x.text) + SURGE if x.article else beside * len(x.text) * (2 * x.linked <= len(x.text)))
+    keep = np.zeros(len(weights), bool)
+    for a, b in _spans(np.array(weights)):
+        keep[a:b] = True
+    kept = [x.text for x, k in zip(left, at) if keep[k]]
     return "\n".join(kept), len(lines), len(kept)
 
 

@@ -1,3 +1,6 @@
+import re
+from html.parser import HTMLParser
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -99,3 +102,69 @@ def test_a_long_block_in_an_article_overrides_its_hint():
     page = f"<article><p>a</p><div class=notice><p>{body}</p><nav>menu</nav><div class=ad>Buy {body}</div><p>b</p></div><div class=comments>{body}</div></article>"
     assert text(page) == f"a\n{body}\nb"
     assert text(f"<article><p>a</p><div class=related><a href=x>{body}</a></div><div class=notice>short</div></article>") == "a"
+
+
+PARTS = "A paragraph of some length that says a good deal about its matter and goes on for a while, as they do. " * 8
+
+
+def test_wrappers_with_a_hint_in_their_name_keep_the_page():
+    body = "".join(f"<p>{i} {PARTS}</p>" for i in range(3))
+    want = "\n".join(f"{i} {PARTS}".strip() for i in range(3))
+    for page in (f'<div class="layout has-sidebar">{body}</div>', f'<div id="page-form-wrapper">{body}</div>',
+                 f'<form id="aspnetForm"><div class=menu><a href=x>a</a></div>{body}<footer>me</footer></form>'):
+        assert text(f"<html><body>{page}</body></html>") == want
+    assert text(f'<body><div class="section-header"><h2>Head</h2></div>{body}</body>') == "Head\n" + want
+    # beside an article the same names stand for furniture
+    assert text(f'<body><article>{body}</article><form id="form">Mail us</form></body>') == want
+
+
+def test_windows_decide_what_no_name_tells():
+    """No class, id or role: plain boxes beside an article go for want of a surge."""
+    body = "".join(f"<p>{i} {PARTS}</p>" for i in range(3))
+    want = "\n".join(f"{i} {PARTS}".strip() for i in range(3))
+    page = f"<body><div>Buy this now, it is cheap.</div><article>{body}</article><div>All rights reserved, some time.</div></body>"
+    assert text(page) == want
+    assert text(page.replace("Buy this", "Buy " + PARTS)).startswith("Buy A paragraph")       # a surge of its own
+    assert text(f"<body><nav><p>About our company</p></nav><article>{body}</article><footer>{PARTS[:200]}</footer></body>") == want
+
+
+def test_without_windows_the_result_differs(monkeypatch):
+    body = f"<p>{PARTS}</p>" * 3
+    page = f"<body><div>Buy this now, it is cheap.</div><article>{body}</article><div>All rights reserved.</div></body>"
+    with_windows = text(page)
+    monkeypatch.setattr(html_text, "regions", lambda w, surge, window=3: [(0, len(w))])
+    assert text(page) != with_windows
+
+
+def _without_names(page):
+    return re.sub(r"\s(?:class|id|role)=\"[^\"]*\"", "", page)
+
+
+def test_whole_table_is_the_articles_of_its_pages(spark, sf_small):
+    """Every page of the driver's table has its article between tags: brute
+    force is what stands there, read by the standard library's parser."""
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.blocks += [""] if tag in ("p", "h1", "article") else []
+            self.blocks[-1] += " " if tag == "br" else ""
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.blocks += [""] if tag in ("p", "h1", "article") else []
+
+        def handle_data(self, data):
+            if self.depth:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet(f"{sf_small}/pages.parquet").select("html").collect()
+    assert len(pages) > 20
+    for (page,) in pages:
+        parser = Article()
+        parser.feed(page or "")
+        want = "\n".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x)
+        assert text(page) == want and text(_without_names(page or "")) == want
