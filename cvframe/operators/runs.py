@@ -67,11 +67,22 @@ def mark_best(summary: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def latex_lines(board: DataFrame, cols: Sequence[str], key: str = "approach", order: str = "rank",
-                missing: str = "--") -> DataFrame:
+                missing: str = "--", best: str | None = None) -> DataFrame:
     """One LaTeX body line per row: escaped name, values ``0.00``; a NULL
-    cell shows ``missing`` and keeps its column."""
+    cell shows ``missing`` and keeps its column.  ``best`` names a LaTeX
+    command (``textbf``) put around each column's best value(s) as displayed
+    (R4); the window is over the report's rows, one per approach."""
     name = F.regexp_replace(F.col(key), "_", r"\\_")
-    cells = [name] + [F.coalesce(two_places(F.col(c)).cast("string"), F.lit(missing)) for c in cols]
+
+    def cell(c: str) -> Column:
+        shown = two_places(F.col(c))
+        text = shown.cast("string")
+        if best:
+            top = F.max(shown).over(Window.partitionBy(F.lit(0)))
+            text = F.when(shown == top, F.concat(F.lit(f"\\{best}{{"), text, F.lit("}"))).otherwise(text)
+        return F.coalesce(text, F.lit(missing))
+
+    cells = [name] + [cell(c) for c in cols]
     return board.select(F.col(order), F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("line"))
 
 

@@ -73,18 +73,23 @@ def repair(df: DataFrame, mode: str = "reference", dims: Sequence[str] = LABEL_C
     the first child unless the second is strictly more probable.
     ``mode='corrected'`` compares all children's scores.
 
+    A NULL or NaN logit gives a NULL prediction, and so does whatever depends
+    on it: labels below it, and the children of a parent if it is unknown
+    whether one of them is predicted.  What a known 0 above decides stays 0.
+
     Written as one projection of SQL expressions: per-row, codegen'd, no UDF.
     """
     if mode not in ("reference", "corrected"):
         raise ValueError(mode)
     k_of = {d: k for k, d in enumerate(dims)}
     logit = {d: f"`{prefix}{k_of[d]}`" for d in dims}
-    pred = {d: f"(CASE WHEN {logit[d]} > 0 THEN 1 ELSE 0 END)" for d in dims}
+    pred = {d: f"(CASE WHEN {x} > 0 AND NOT isnan({x}) THEN 1 WHEN {x} <= 0 THEN 0 END)" for d, x in logit.items()}
     out = {root: pred[root]}
     for parent, kids in tree.items():
-        gate = f"({pred[root]} * {pred[parent]})"
+        gate = f"(CASE WHEN {pred[root]} = 0 OR {pred[parent]} = 0 THEN 0 ELSE {pred[root]} * {pred[parent]} END)"
         out[parent] = gate
-        any_kid = f"(greatest({', '.join(pred[c] for c in kids)}) = 1)"
+        any_kid = f"greatest({', '.join(pred[c] for c in kids)}) = 1"
+        unknown = " OR ".join(f"{pred[c]} IS NULL" for c in kids)
         scores = [logit[c] for c in kids]
         if mode == "reference" and len(kids) >= 3:
             # third slot holds a 0 prediction where a probability is meant:
@@ -94,7 +99,8 @@ def repair(df: DataFrame, mode: str = "reference", dims: Sequence[str] = LABEL_C
         else:
             flags = _first_max(scores)
         for c, fl in zip(kids, flags):
-            out[c] = f"{gate} * (CASE WHEN {any_kid} THEN {pred[c]} WHEN {fl} THEN 1 ELSE 0 END)"
+            out[c] = (f"CASE WHEN {gate} = 0 THEN 0 WHEN {gate} = 1 THEN CASE WHEN {any_kid} THEN {pred[c]} "
+                      f"WHEN NOT ({unknown}) THEN CASE WHEN {fl} THEN 1 ELSE 0 END END END")
     keep = [f"`{c}`" for c in df.columns if not c.startswith(prefix)]
     return df.selectExpr(*keep, *[f"CAST({out[d]} AS INT) AS pred_{d}" for d in dims])
 

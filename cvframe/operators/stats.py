@@ -1,18 +1,20 @@
 """Paired significance between approaches (J1-J4): exact Wilcoxon
-signed-rank test on the per-run scores, fully in native expressions.
+signed-rank test on the per-run scores.
 
 Pairs are formed by an equi-join on ``(metric, repeat, fold)`` with
 ``a < b``: each join group holds one row per approach, so its size is the
 number of compared approaches, not a data size.  Ranks come from windows
-over each pair's (at most ``#runs``) differences, and the exact null
-distribution is an array dynamic programme (``aggregate`` over the ranks,
-``transform`` over the counts) evaluated per pair.
+over each pair's (at most ``#runs``) differences, and the exact null distribution
+is counted per pair in an Arrow-fed vectorised loop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAIR = ["metric", "approach_a", "approach_b"]
 
@@ -60,29 +62,41 @@ def signed_rank(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _null_probabilities(ranks: Column) -> Column:
-    """Probability of each value of the (doubled) positive rank sum when every
-    sign is a fair coin: one rank at a time, halving at each step, so the
-    numbers stay in DOUBLE range at any n."""
-    total = F.aggregate(ranks, F.lit(0), lambda s, x: s + x)
-    init = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), total))
+RESCALE = 512       # ranks after which counts are scaled down, so they stay in DOUBLE range
 
-    def step(acc, a):
-        shifted = lambda i: F.element_at(acc, F.when(i >= a, i - a).otherwise(0) + 1)
-        return F.transform(acc, lambda v, i: F.lit(0.5) * (v + F.when(i >= a, shifted(i)).otherwise(F.lit(0.0))))
 
-    return F.aggregate(ranks, init, step)
+def lower_tail(ranks: np.ndarray, t: int) -> float:
+    """P(W <= t) of the sum W of the ranks whose fair coin shows heads.
+
+    Counts subsets by their sum, one rank at a time, smallest first and only
+    up to ``t``: work and memory follow the statistic, not the whole range."""
+    counts = np.zeros(t + 1)
+    counts[0] = 1.0
+    reach, halved = 0, 0
+    ordered = np.sort(ranks)
+    for i, r in enumerate(ordered.tolist(), 1):
+        reach = min(t, reach + r)
+        if r <= t:
+            counts[r:reach + 1] += counts[:reach + 1 - r].copy()
+        if i % RESCALE == 0:
+            counts[:reach + 1] *= 2.0 ** -RESCALE
+            halved += RESCALE
+    return float(counts.sum() * 2.0 ** (halved - len(ordered)))
+
+
+@F.pandas_udf(T.DoubleType())
+def _lower_tails(ranks: pd.Series, t2: pd.Series) -> pd.Series:
+    return pd.Series([lower_tail(np.asarray(r, np.int64), int(t)) for r, t in zip(ranks, t2)], dtype="float64")
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
     """Two-sided exact p-value, ``min(1, 2 P(W <= T))`` under the
     (conditional, mid-rank) null distribution at every n; zero differences
-    dropped; ``n = 0`` gives NULL."""
+    dropped; ``n = 0`` gives NULL.  A pair takes n * T additions and T
+    numbers (8 MB at n = 1,000), in one vectorised loop over its ranks."""
     s = signed_rank(pairs)
-    probs = _null_probabilities(F.col("_ranks"))
-    t2 = (F.col("t_stat") * 2).cast("int")
-    le = F.aggregate(F.slice(probs, 1, t2 + 1), F.lit(0.0), lambda a, x: a + x)
-    p = F.when(F.col("n") > 0, F.least(F.lit(1.0), F.lit(2.0) * le))
+    t2 = (F.col("t_stat") * 2).cast("bigint")
+    p = F.when(F.col("n") > 0, F.least(F.lit(1.0), F.lit(2.0) * _lower_tails("_ranks", t2)))
     return s.withColumn("p_value", p).drop("_ranks")
 
 

@@ -565,6 +565,19 @@ def q_latex_rows(spark, sf):
     return R.latex_lines(board, RUN_METRICS)
 
 
+_BEST = [(f"{_DEC2.format(x=m, t='VARCHAR')}", f"{_DEC2.format(x=m, t='DOUBLE')}") for m in RUN_METRICS]
+
+
+@register("latex_rows_best", WITH_RUNS.rstrip() + ",\n" + _wide_sql() + f"""
+SELECT CAST(row_number() OVER (ORDER BY {HEADLINE} DESC NULLS LAST, approach) AS INTEGER) AS rank,
+  replace(approach, '_', '\\_') || ' & ' || """ + " || ' & ' || ".join(
+    f"coalesce(CASE WHEN {d} = max({d}) OVER () THEN '\\textbf{{' || {t} || '}}' ELSE {t} END, '--')" for t, d in _BEST)
+    + " || ' \\\\' AS line FROM wide")
+def q_latex_rows_best(spark, sf):
+    board = R.leaderboard(_wide_means(spark, sf), HEADLINE, digits=12)
+    return R.latex_lines(board, RUN_METRICS, best="textbf")
+
+
 @register("score_vectors", WITH_RUNS + "SELECT approach, metric, string_agg(CAST(CAST(value AS DECIMAL(18,6)) AS "
           "VARCHAR), ',' ORDER BY repeat, fold) AS scores FROM runs GROUP BY 1, 2")
 def q_score_vectors(spark, sf):

@@ -128,7 +128,7 @@ def compare_study(runs: DataFrame, kind: str = "multilabel", alpha: float = 0.5)
         raise ValueError(f"the run records have no {head}, which ranks the report")
     wide = R.study_report(runs, kind)
     board = R.leaderboard(wide, head)
-    latex = R.latex_table(R.latex_lines(R.leaderboard(wide, head, digits=12), metrics), ["approach", *metrics])
+    latex = R.latex_table(R.latex_lines(R.leaderboard(wide, head, digits=12), metrics, best="textbf"), ["approach", *metrics])
     tests = J.significant_pairs(J.wilcoxon(J.approach_pairs(R.f1_metrics(runs))), alpha)
     return {"leaderboard": board, "std": R.summarise(runs, "std"), "latex": latex, "significance": tests}
 

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,8 +65,12 @@ def write_study_runs(wide: DataFrame, root: str) -> DataFrame:
     """S5 in the study's layout and key names; returns the files written.
 
     Each task writes its records to the shared folder, a file at a time under
-    a temporary name that is renamed when complete; a run that is written
-    again replaces its file."""
+    a name of its own attempt that is renamed when complete, so a second copy
+    of a task cannot pass on a half-written file; a run that is written again
+    replaces its file.  Outside local mode the folder needs a scheme (a plain
+    path would be each executor's own disk)."""
+    if not urlsplit(root).scheme and not wide.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError(f"{root} names no file system; executors would each write to their own disk")
     metrics = [c for c in wide.columns if c not in KEYS]
     keys = {c: ("eval_" + study_metric_name(c[5:])) if c.startswith("eval_") else c for c in metrics}
 
@@ -77,9 +82,10 @@ def write_study_runs(wide: DataFrame, root: str) -> DataFrame:
                 folder = f"{top}/{row['approach']}/fold{int(row['fold'])}/fold{int(row['repeat'])}.{int(row['fold'])}"
                 fs.create_dir(folder, recursive=True)
                 record = {keys[c]: row[c] for c in metrics if row[c] is not None and row[c] == row[c]}
-                with fs.open_output_stream(f"{folder}/_{RECORD_FILE}") as out:
+                mine = f"{folder}/_{TaskContext.get().taskAttemptId()}-{RECORD_FILE}"
+                with fs.open_output_stream(mine) as out:
                     out.write(json.dumps(record, indent=4).encode())
-                fs.move(f"{folder}/_{RECORD_FILE}", f"{folder}/{RECORD_FILE}")
+                fs.move(mine, f"{folder}/{RECORD_FILE}")
                 done.append((row["approach"], int(row["repeat"]), int(row["fold"])))
             yield pd.DataFrame(done, columns=KEYS)
 

@@ -74,3 +74,26 @@ def test_fixture_repair_consistent_and_idempotent(spark, sf_small, mode):
                                                 for k, d in enumerate(LABEL_COLS)])
     twice = G.repair(again, mode)
     assert twice.exceptAll(rep).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["reference", "corrected"])
+def test_repair_of_unknown_logits(spark, mode):
+    """NULL and NaN give NULL, and NULL only for what depends on them."""
+    def fixed(**known):
+        row = {d: -1.0 for d in LABEL_COLS} | known
+        df = spark.createDataFrame([tuple(row[d] for d in LABEL_COLS)], ", ".join(f"logit_{k} double" for k in range(len(LABEL_COLS))))
+        return G.repair(df, mode).first().asDict()
+
+    for none in (None, float("nan")):
+        assert set(fixed(appropriateness=none).values()) == {None, 0}
+        got = fixed(appropriateness=none, emotions=1.0, emotional_typology=1.0)
+        assert got["pred_appropriateness"] is got["pred_emotions"] is got["pred_emotional_typology"] is None
+        assert got["pred_commitment"] == got["pred_orthography"] == 0
+        assert set(fixed(emotions=none).values()) == {0}            # the root decides
+        on = {"appropriateness": 1.0, "emotions": 1.0}
+        got = fixed(**on, emotional_intensity=none)                   # is a child to be picked?
+        assert got["pred_emotions"] == 1 and got["pred_emotional_intensity"] is got["pred_emotional_typology"] is None
+        got = fixed(**on, emotional_intensity=none, emotional_typology=2.0)
+        assert got["pred_emotional_typology"] == 1 and got["pred_emotional_intensity"] is None
+        got = fixed(appropriateness=1.0, emotions=none, emotional_typology=1.0)
+        assert got["pred_emotional_typology"] is None and got["pred_commitment"] == 0

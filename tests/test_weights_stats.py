@@ -3,7 +3,9 @@
 import itertools
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,28 @@ def test_exact_at_every_n(spark, n):
     t2 = min(sum(rank2[abs(x)] for x in d if x > 0), sum(rank2[abs(x)] for x in d if x < 0))
     p = min(1.0, 2 * sum(c for k, c in counts.items() if k <= t2) / 2 ** len(d))
     assert r["n_pairs"] == n and r["n"] == len(d) and r["p_value"] == pytest.approx(p, rel=1e-9)
+
+
+def test_two_thousand_runs_in_seconds():
+    n = 2000
+    ranks = 2 * np.arange(1, n + 1)
+    total = int(ranks.sum())
+    start = time.perf_counter()
+    half = J.lower_tail(ranks, total // 2)
+    low = J.lower_tail(ranks, total // 2 - total // 40)
+    assert time.perf_counter() - start < 60
+    # the distribution is symmetric; far from the centre it follows the normal law closely
+    assert 0.5 < half < 0.51
+    sd = math.sqrt((ranks.astype(float) ** 2).sum()) / 2
+    z = (total // 2 - total // 40 + 1 - total / 2) / sd
+    assert low == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)), rel=0.01)
+
+
+def test_lower_tail_is_exact():
+    for ranks in ([3, 1, 1], [2, 4, 6, 8], [5], [2] * 700):
+        counts = {0: 1}
+        for r in ranks:
+            counts = {k: counts.get(k, 0) + counts.get(k - r, 0) for k in {*counts, *(x + r for x in counts)}}
+        for t in range(0, sum(ranks) + 1, max(1, sum(ranks) // 7)):
+            want = sum(c for k, c in counts.items() if k <= t) / 2 ** len(ranks)
+            assert J.lower_tail(np.array(ranks), t) == pytest.approx(want, rel=1e-12)
