@@ -269,8 +269,9 @@ def _block_runs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """(doc_id, fp, label, component_id) per row; one label per component."""
+def _components(docs: DataFrame, id_col: str, text_col: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, label, component_id) per row, one label per component;
+    and the written (doc_id, fp) of the rows."""
     prints = written(docs.select(quoted(id_col).alias("doc_id"), fingerprints(quoted(text_col)).alias("fp")), "simhash-prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     labels = min_labels(links(distinct.select("fp"), limit))          # only fingerprints that have a link
@@ -279,7 +280,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, limit: int) -> Data
     # written, so that the join below deals both sides anew and a component of very many fingerprints can be split
     ids = written(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "simhash-ids")
     by_fp = written(named.join(ids, "label").select("fp", "label", "component_id"), "simhash-components")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "label", "component_id")
+    return prints.join(by_fp, "fp").select("doc_id", "fp", "label", "component_id"), prints
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable (NULL ids are ignored by the minimum; a component
     with no other id has NULL).  Other columns of ``docs`` are not read; an
     empty table gives an empty result."""
-    return _components(docs, id_col, text_col, limit).select("doc_id", "fp", "component_id")
+    return _components(docs, id_col, text_col, limit)[0].select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = RUN_LIMIT) -> DataFrame:
@@ -300,17 +301,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
 
     It is the row with the smallest id (NULL ids last; among rows that share
     that id the smallest fingerprint, then the smallest row in column order)."""
-    names = {c: fresh(docs, f"_keep_{c}") for c in ("key", "fp", "row")}
-
-    def key(doc_id: Column, fp: Column) -> Column:
-        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), fp.cast("string"))
-
+    names = {c: fresh(docs, f"_keep_{c}") for c in ("id", "fp", "row", "other")}
+    own_id, own_fp = quoted(names["id"]), quoted(names["fp"])
+    rows_of, prints = _components(docs, id_col, text_col, limit)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
-    kept = _components(docs, id_col, text_col, limit).groupBy("label").agg(first.alias("first"))
-    kept = kept.select(key(F.col("first.doc_id"), F.col("first.fp")).alias(names["key"]))
-    rows = docs.withColumn(names["fp"], fingerprints(quoted(text_col)))
-    rows = rows.withColumn(names["key"], key(quoted(id_col), quoted(names["fp"])))
-    rows = rows.join(kept, names["key"], "left_semi")
+    kept = rows_of.groupBy("label").agg(first.alias("first")).select(
+        F.col("first.doc_id").alias(names["id"]), F.col("first.fp").alias(names["fp"]))
+    kept = written(kept, "simhash-kept")
+    # an id of one row says which row it is; only rows that share theirs are told apart by their texts
+    shared = written(prints.groupBy(F.col("doc_id").alias(names["id"])).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(own_id),
+                     "simhash-shared")
+    alone = docs.join(kept.join(shared.withColumnRenamed(names["id"], "other"), own_id.eqNullSafe(F.col("other")), "left_anti"),
+                      quoted(id_col).eqNullSafe(own_id), "left_semi")
+    rows = docs.join(shared, quoted(id_col).eqNullSafe(own_id), "left_semi")
+    rows = rows.withColumn(names["fp"], fingerprints(quoted(text_col)))
+    theirs = kept.select(own_id, own_fp.alias(names["other"]))
+    rows = rows.join(theirs, quoted(id_col).eqNullSafe(own_id) & (own_fp == quoted(names["other"])), "left_semi")
     row = F.struct(*[quoted(c) for c in docs.columns])
-    one = rows.groupBy(quoted(names["key"])).agg(F.min(row).alias(names["row"]))
-    return one.select(*[quoted(names["row"]).getField(c).alias(c) for c in docs.columns])
+    one = rows.groupBy(quoted(id_col), own_fp).agg(F.min(row).alias(names["row"]))
+    return alone.unionByName(one.select(*[quoted(names["row"]).getField(c).alias(c) for c in docs.columns]))
