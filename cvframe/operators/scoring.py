@@ -1,31 +1,51 @@
 """Scores to labels (G1-G6): linear head, sigmoid, threshold, argmax and the
-hierarchy repair, all as per-row native expressions (no UDF, no shuffle).
+hierarchy repair.  The head is one matrix product per Arrow batch, the rest
+per-row native expressions; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cvframe.functions.link import argmax2
 from cvframe.operators.metrics import predicted_labels
 from cvframe.schema import LABEL_COLS, ROOT, TREE
 
 
-def linear_head(vec: str, coef: Sequence[Sequence[float]], bias: Sequence[float]) -> list[str]:
-    """G1: ``W.v + b`` per output as SQL text: one sum of products over the
-    components of ``vec`` (an ``ARRAY<DOUBLE>``), compiled with its stage."""
-    return [" + ".join([f"{float(x)!r}D * {vec}[{j}]" for j, x in enumerate(row)] + [f"{float(b)!r}D"])
-            for row, b in zip(coef, bias)]
+def linear_head(coef: Sequence[Sequence[float]], bias: Sequence[float]):
+    """G1 as a function of an ``ARRAY<DOUBLE>`` column: the outputs ``W.v + b``
+    as an array.  A batch of vectors is one matrix product, at any width; a
+    NULL vector, one with a NULL component or of another width gives NULL."""
+    w, b = np.asarray(coef, np.float64).T.copy(), np.asarray(bias, np.float64)
+    outputs = T.ArrayType(T.DoubleType())
+
+    @F.arrow_udf(outputs)
+    def head(vectors: pa.Array) -> pa.Array:
+        width = np.asarray(pc.fill_null(pc.list_value_length(vectors), -1))
+        nulls = np.asarray(pc.is_null(vectors.flatten()))
+        owner = np.repeat(np.arange(len(width)), np.maximum(width, 0))
+        ok = (width == len(w)) & (np.bincount(owner, nulls, len(width)) == 0)
+        x = vectors.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(w))
+        y = (x @ w + b).ravel()
+        size = np.where(ok, len(b), 0)
+        offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(y), mask=pa.array(~ok))
+
+    return head
 
 
 def score_linear(df: DataFrame, vec_col: str, coef, bias, prefix: str = "logit_") -> DataFrame:
-    """The vector is cast to DOUBLE once; ``coef`` is small model state."""
+    """``vec_col`` replaced by one column per output; ``coef`` is model state."""
     keep = [f"`{c}`" for c in df.columns if c != vec_col]
-    cast = df.selectExpr(*keep, f"CAST(`{vec_col}` AS ARRAY<DOUBLE>) AS _v")
-    return cast.selectExpr(*keep, *[f"{h} AS {prefix}{k}" for k, h in enumerate(linear_head("_v", coef, bias))])
+    out = df.select(*keep, linear_head(coef, bias)(F.col(vec_col).cast("array<double>")).alias("_y"))
+    return out.selectExpr(*keep, *[f"_y[{k}] AS {prefix}{k}" for k in range(len(bias))])
 
 
 def probabilities(df: DataFrame, dims: Sequence[str] = LABEL_COLS, prefix: str = "logit_") -> DataFrame:

@@ -667,6 +667,13 @@ def q_scan_corpus_csv(spark, sf):
     return C.read_corpus(spark, path)
 
 
+@register("scan_corpus_csv_split", "WITH " + O.corpus_cte() + "\nSELECT * FROM corpus")
+def q_scan_corpus_csv_split(spark, sf):
+    path = scratch_dir(spark, "corpus-csv")
+    C.write_corpus_csv(fx.corpus(spark, sf), path)
+    return C.read_corpus(spark, path, split=True)
+
+
 @register("union_variants", _variants_sql())
 def q_union_variants(spark, sf):
     return _variants(spark, sf).select("dataset_version", "post_id", *L)

@@ -43,7 +43,7 @@ from cvframe.sources import runs_io as RIO
 
 def prepare_study(spark: SparkSession, variants: Mapping[str, str], out: str, fmt: str = "parquet") -> DataFrame:
     """Stage 1: read every variant CSV (by header name), split, write."""
-    corpus = C.read_variants(spark, variants, by_name=True)
+    corpus = C.read_variants(spark, variants, by_name=True, split=True)
     prepared = prepare_corpus(corpus)
     write_prepared(prepared, out, fmt=fmt)
     return spark.read.format(fmt).load(out) if fmt != "csv" else spark.read.options(**C.READ_OPTIONS).csv(out)

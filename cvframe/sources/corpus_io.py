@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cvframe.schema import DIMS, LABEL_COLS, RENAME_LABELS, corpus_schema, snake
@@ -19,7 +19,7 @@ READ_OPTIONS = {**CSV_OPTIONS, "emptyValue": "", "nullValue": "\x00"}
 WRITE_OPTIONS = {k: v for k, v in CSV_OPTIONS.items() if k != "mode"}
 
 
-def read_corpus(spark: SparkSession, path: str, schema=None, by_name: bool = False) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, schema=None, by_name: bool = False, split: bool = False) -> DataFrame:
     """Header CSV whose text fields may hold quotes and newlines.
 
     Positional (default): the explicit corpus schema is applied column by
@@ -27,11 +27,17 @@ def read_corpus(spark: SparkSession, path: str, schema=None, by_name: bool = Fal
     may carry display names (``Emotional Intensity``) or the old names
     (``Clarity``); they are renamed to canonical snake_case, cast to INT,
     and an unnamed leading index column is dropped.
+
+    ``split=True`` reads each file in many tasks (:func:`csv_records`); the
+    reader's own way takes one task a file, since a line feed may be text.
     """
     reader = spark.read.options(**READ_OPTIONS)
     if not by_name:
-        return reader.schema(schema or corpus_schema()).csv(path)
-    raw = reader.option("inferSchema", "false").csv(path)
+        schema = schema or corpus_schema()
+        return _parsed(csv_records(spark, path), schema) if split else reader.schema(schema).csv(path)
+    raw = reader.option("inferSchema", "false").csv(path)       # its header alone is read here
+    if split:
+        raw = _parsed(csv_records(spark, path), raw.schema)
     names = {c: snake(RENAME_LABELS.get(c, c)) for c in raw.columns}
     cols = []
     for c, n in names.items():
@@ -46,6 +52,46 @@ def read_corpus(spark: SparkSession, path: str, schema=None, by_name: bool = Fal
     return raw.select(*cols)
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(record,)``: the CSV records of UTF-8 files without their headers,
+    however many lines a record has; a file is read split by split.
+
+    Quotes are doubled inside quoted fields, so a line begins a record where
+    the number of quotes before it is even.  Each split counts its quotes,
+    and how many records begin in it if an even or an odd number came before;
+    running sums over the splits (one row each) settle which, and number the
+    records; lines of one record then meet by its number."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("n"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    block = Window.partitionBy("file", "at").orderBy("n")
+    upto = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("q", quotes.cast("bigint"))
+    lines = lines.withColumn("odd", (F.sum("q").over(upto) - F.col("q")) % 2)
+    starts = [F.sum((F.col("odd") == k).cast("bigint")).over(upto).alias(f"s{k}") for k in (0, 1)]
+    lines = lines.select("file", "at", "n", "value", "q", "odd", *starts)
+    blocks = lines.groupBy("file", "at").agg(F.sum("q").alias("q"), F.max("s0").alias("s0"), F.max("s1").alias("s1"))
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("begin", F.coalesce(F.sum("q").over(before), F.lit(0)) % 2)
+    blocks = blocks.withColumn("first", F.coalesce(
+        F.sum(F.when(F.col("begin") == 0, F.col("s0")).otherwise(F.col("s1"))).over(before), F.lit(0)))
+    numbered = lines.join(blocks.select("file", "at", "begin", "first"), ["file", "at"], "left")
+    # lines before the first record of a split end the last record of the splits before it
+    here = F.when(F.col("begin") == 0, F.col("s0")).otherwise(F.col("s1"))
+    numbered = numbered.select("file", (F.col("first") + here - 1).alias("record"), F.struct("at", "n", "value").alias("line"))
+    whole = numbered.groupBy("file", "record").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
+    whole = whole.where("record > 0").select(F.regexp_replace(text, "\r$", "").alias("record"))
+    return whole.where("record <> ''")
+
+
+def _parsed(records: DataFrame, schema) -> DataFrame:
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    options = {k: v for k, v in READ_OPTIONS.items() if k != "header"}
+    return records.select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
+
+
 def write_corpus_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with the same quoting rules (no index column is written)."""
     df.write.mode(mode).options(**WRITE_OPTIONS).csv(path)

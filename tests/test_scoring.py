@@ -1,5 +1,6 @@
 """Hierarchy repair on hand rows and on the fixture predictions."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,16 @@ def test_repair_of_unknown_logits(spark, mode):
         assert got["pred_emotional_typology"] == 1 and got["pred_emotional_intensity"] is None
         got = fixed(appropriateness=1.0, emotions=none, emotional_typology=1.0)
         assert got["pred_emotional_typology"] is None and got["pred_commitment"] == 0
+
+
+@pytest.mark.parametrize("width", [3, 1024])
+def test_linear_head_of_any_width(spark, width):
+    r = np.random.default_rng(2)
+    w, b = r.normal(size=(14, width)), r.normal(size=14)
+    v = r.normal(size=(50, width)).round(3)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(90, None), (91, [1.0] * (width - 1)), (92, [None] + [1.0] * (width - 1)), (93, [])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = {r["id"]: [r[f"logit_{k}"] for k in range(14)] for r in G.score_linear(df, "v", w.tolist(), b.tolist()).collect()}
+    want = v.astype(np.float32).astype(float) @ w.T + b
+    assert all(got[i] == pytest.approx(want[i].tolist(), abs=1e-9) for i in range(50))
+    assert all(got[i] == [None] * 14 for i in (90, 91, 92, 93))

@@ -2,14 +2,16 @@
 
 import json
 import os
+import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from cvframe.operators import runs as R
 from cvframe.sources import corpus_io as C
 from cvframe.sources import runs_io as RIO
-from cvframe.schema import DIMS, corpus_schema
+from cvframe.schema import DIMS, LABEL_COLS, corpus_schema
 
 
 def test_csv_round_trip_keeps_quotes_and_newlines(spark):
@@ -161,3 +163,42 @@ def test_null_cell_keeps_its_column_and_long_bodies_their_footer(spark):
     RIO.write_latex(R.latex_table(R.latex_lines(late, ["x"]), ["approach", "x"]), path)
     lines = [r["line"] for r in RIO.read_lines(spark, path).orderBy("line_no").collect()]
     assert lines[-1] == r"\end{tabular}" and lines[-3].startswith("b &")
+
+
+def _same_rows(a, b):
+    return a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+@pytest.mark.parametrize("split_bytes", ["64", "1000", "128m"])
+def test_split_scan_equals_the_reader(spark, tmp_path, split_bytes):
+    """Many splits of one file: records, quotes and line feeds across their borders."""
+    r = random.Random(8)
+    bits = ["word", " ", ",", '"', "\n", "\n\n", "é", '""', "a b", ";", "'", "\t"]
+    rows = [(i, r.choice(["issue", 'is"sue', "two\nlines", "", None]), "".join(r.choice(bits) for _ in range(r.randint(0, 40))) or None,
+             *[r.randint(0, 1) for _ in LABEL_COLS]) for i in range(150)]
+    rows.append((900, "x", 'long "' + "line\n" * 200 + '"', *[1] * len(LABEL_COLS)))
+    one = str(tmp_path / "one")
+    C.write_corpus_csv(spark.createDataFrame(rows, corpus_schema()).coalesce(1), one)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        want = C.read_corpus(spark, one)
+        got = C.read_corpus(spark, one, split=True)
+        assert _same_rows(got, want) and got.count() == len(rows)
+        assert _same_rows(C.read_corpus(spark, one, by_name=True, split=True), C.read_corpus(spark, one, by_name=True))
+        if split_bytes == "64":
+            assert spark.read.option("lineSep", "\n").text(one).rdd.getNumPartitions() > 100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_split_scan_of_several_files_and_odd_ends(spark, tmp_path):
+    head = "post_id,issue,post_text," + ",".join(LABEL_COLS)
+    zeros = ",0" * len(LABEL_COLS)
+    (tmp_path / "a.csv").write_bytes(f'{head}\r\n1,x,"a ""quoted"" text"{zeros}\r\n\r\n2,y,plain{zeros}\r\n'.encode())
+    (tmp_path / "b.csv").write_bytes(f'{head}\n3,z,"no line feed\nat the end"{zeros}'.encode())
+    (tmp_path / "c.csv").write_bytes(f"{head}\n".encode())
+    got = C.read_corpus(spark, str(tmp_path), split=True)
+    assert _same_rows(got, C.read_corpus(spark, str(tmp_path))) and got.count() == 3
