@@ -16,6 +16,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -112,21 +113,22 @@ class ChunkEncoder:
             self._forget()
         known = {id(x): len(x) for x in (self.words, self.chunks)}
         row, chunk = self.words.__getitem__, self.chunks.__getitem__
-        rows: list[int] = []         # of words as they are, of other chunks as -1 - row
-        counts = []
+        rows = array("q")            # of words as they are, of other chunks as -1 - row
+        stops = [0]
         for t in texts:
             words = t.split(" ")
             if "" in words or _space_beside_space(t):
-                mine = [-1 - chunk(c) for c in self._odd_chunks(t)]
+                rows.extend([-1 - chunk(c) for c in self._odd_chunks(t)])
             else:
-                mine = [-1 - chunk(words[0]), *map(row, words[1:])]
-            rows += mine
-            counts.append(len(mine))
+                rows.append(-1 - chunk(words[0]))
+                del words[0]
+                rows.extend(map(row, words))
+            stops.append(len(rows))
         for table in (self.words, self.chunks):
             new = list(islice(table, known[id(table)], None))
             if new:
                 self._learn(table, new)
-        at = np.array(rows, np.int64)
+        at = np.frombuffer(rows, np.int64) if rows else np.zeros(0, np.int64)
         other = at < 0
         flat, sizes = self.ids_of[id(self.words)].take(np.where(other, 0, at), ~other)
         odd, odd_sizes = self.ids_of[id(self.chunks)].take(np.where(other, -1 - at, 0), other)
@@ -135,8 +137,8 @@ class ChunkEncoder:
         out = np.empty(int(sizes.sum()), np.uint32)
         mask = np.repeat(other, sizes)
         out[mask], out[~mask] = odd, flat
-        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)] if counts else [0]
-        return [out[a:b] for a, b in zip(stops[:-1], stops[1:])]
+        cuts = np.concatenate([[0], ends])[stops].tolist()
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 #: White space other than the space and the line feed.
