@@ -16,9 +16,8 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +63,10 @@ class ChunkEncoder:
         self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
 
     def _forget(self) -> None:
-        """Rows of known words (with the space before them) and other chunks, and their ids one after the other."""
-        self.words, self.chunks = _Rows(), _Rows()
-        self.ids_of = {id(x): _Ids() for x in (self.words, self.chunks)}
+        """Rows of known words (with the space before them) and of other
+        chunks, numbered together, and the ids of all rows."""
+        number = count()
+        self.words, self.chunks, self.ids = _Rows(number), _Rows(number), _Ids()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,14 +90,17 @@ class ChunkEncoder:
                 sizes.append(np.array([len(x) for x in single]))
         return np.concatenate(parts), np.concatenate(sizes)
 
-    def _learn(self, rows: "_Rows", texts: list[str]) -> None:
-        """Ids of the texts that got the next rows."""
-        if rows is self.words:
-            self.ids_of[id(rows)].add(*self._after_space(texts))
-            return
+    def _learn(self, rows: "_Rows", known: int) -> None:
+        """Ids of the texts that got rows since there were ``known``."""
+        texts = list(islice(rows, known, None))
+        at = np.fromiter(islice(rows.values(), known, None), np.int64, len(texts))
         for a in range(0, len(texts), 20_000):
-            ids = self._ids(texts[a:a + 20_000])
-            self.ids_of[id(rows)].add(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+            part = texts[a:a + 20_000]
+            if rows is self.words:
+                self.ids.add(at[a:a + 20_000], *self._after_space(part))
+            else:
+                ids = self._ids(part)
+                self.ids.add(at[a:a + 20_000], np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
 
     @staticmethod
     def _odd_chunks(text: str) -> list[str]:
@@ -111,33 +114,24 @@ class ChunkEncoder:
             return [np.array(x, np.uint32) for x in self._ids(texts)]
         if len(self.words) + len(self.chunks) > self.limit:
             self._forget()
-        known = {id(x): len(x) for x in (self.words, self.chunks)}
+        known = len(self.words), len(self.chunks)
         row, chunk = self.words.__getitem__, self.chunks.__getitem__
-        rows = array("q")            # of words as they are, of other chunks as -1 - row
-        stops = [0]
-        for t in texts:
-            words = t.split(" ")
-            if "" in words or _space_beside_space(t):
-                rows.extend([-1 - chunk(c) for c in self._odd_chunks(t)])
-            else:
-                rows.append(-1 - chunk(words[0]))
-                del words[0]
-                rows.extend(map(row, words))
-            stops.append(len(rows))
-        for table in (self.words, self.chunks):
-            new = list(islice(table, known[id(table)], None))
-            if new:
-                self._learn(table, new)
-        at = np.frombuffer(rows, np.int64) if rows else np.zeros(0, np.int64)
-        other = at < 0
-        flat, sizes = self.ids_of[id(self.words)].take(np.where(other, 0, at), ~other)
-        odd, odd_sizes = self.ids_of[id(self.chunks)].take(np.where(other, -1 - at, 0), other)
-        sizes = sizes + odd_sizes
-        ends = np.cumsum(sizes)
-        out = np.empty(int(sizes.sum()), np.uint32)
-        mask = np.repeat(other, sizes)
-        out[mask], out[~mask] = odd, flat
-        cuts = np.concatenate([[0], ends])[stops].tolist()
+        odd = [_odd_space(t) for t in texts]
+        # plain texts: words are looked up once a call, not once an occurrence
+        plain = pa.array([t for t, o in zip(texts, odd) if not o], pa.string())
+        split = pc.split_pattern(plain, " ")
+        counted = split.flatten().dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(counted.dictionary)], counted.dictionary), " ")[0].as_py()
+        at = np.fromiter(map(row, distinct.split(" ")), np.int64)[np.asarray(counted.indices)] if len(plain) else np.zeros(0, np.int64)
+        sizes = np.asarray(pc.list_value_length(split)).astype(np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        at[firsts] = [chunk(w) for w in split.flatten().take(pa.array(firsts)).to_pylist()]     # no space before it
+        whole = iter(np.split(at, firsts[1:])) if len(plain) else iter(())
+        rows = [np.array([chunk(c) for c in self._odd_chunks(t)], np.int64) if o else next(whole) for t, o in zip(texts, odd)]
+        self._learn(self.words, known[0])
+        self._learn(self.chunks, known[1])
+        out, sizes = self.ids.take(np.concatenate([np.zeros(0, np.int64), *rows]))
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, rows)])].tolist()
         return [out[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
@@ -146,9 +140,9 @@ _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 _BESIDE = re.compile(r"[^\S ] | [^\S ]")
 
 
-def _space_beside_space(text: str) -> bool:
-    """Whether a space stands beside other white space."""
-    if "\n " in text or " \n" in text:
+def _odd_space(text: str) -> bool:
+    """Whether a space stands beside other white space, or first or last."""
+    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
         return True
     return any(c in text for c in _OTHER_SPACE) and _BESIDE.search(text) is not None
 
@@ -159,34 +153,36 @@ class _Ids:
     def __init__(self):
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.rows = 0
 
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         self.flat = self._room(self.flat, self.used + len(ids))
         self.flat[self.used:self.used + len(ids)] = ids
-        n = self.rows + len(sizes)
+        n = int(rows.max()) + 1
         self.start, self.size = self._room(self.start, n), self._room(self.size, n)
-        self.size[self.rows:n] = sizes
-        self.start[self.rows:n] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.rows = self.used + len(ids), n
+        self.size[rows], self.start[rows] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
-    def take(self, rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the wanted rows, ids per row; 0 where not wanted)."""
-        sizes = np.where(wanted, self.size[rows], 0)
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the rows, one after the other; ids per row)."""
+        sizes = self.size[rows]
         ends = np.cumsum(sizes)
         at = np.arange(int(sizes.sum())) + np.repeat(self.start[rows] - (ends - sizes), sizes)
         return self.flat[at], sizes
 
 
 class _Rows(dict):
-    """word -> row; an unknown word gets the next row."""
+    """text -> row; an unknown text gets the next number."""
+
+    def __init__(self, number: Iterator[int]):
+        super().__init__()
+        self.number = number
 
-    def __missing__(self, word: str) -> int:
-        row = self[word] = len(self)
+    def __missing__(self, text: str) -> int:
+        row = self[text] = next(self.number)
         return row
 
 
