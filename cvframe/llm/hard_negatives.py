@@ -17,19 +17,19 @@ block from tile to tile and between blocks in a Spark window.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cvframe.llm.blocks import blocks_of, meet, streamed
 from cvframe.llm.common import quoted, written
 
 SCALE = 256
 LEAF = 32                    # quadrants this thin are multiplied directly
 BLOCK_BYTES = 64 << 20       # vectors of a block
-SPREAD_ROWS = 4096           # smaller blocks are not made for the sake of more tasks
 TILE_ANCHORS, TILE_ROWS = 512, 8192
 LEAST, LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
@@ -143,36 +143,6 @@ class _Block:
             yield strassen(a, self.v[part]), self.ids[part], label == self.label[part], own == self.ids[part]
 
 
-def _streamed(work: Callable[[_Block, pa.RecordBatch], pa.RecordBatch | None]):
-    """A mapInArrow function over rows sorted by (block, dim, anchor?, id):
-    collects a block's rows, then hands on its anchors tile by tile."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, block = None, [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block_no, dim, is_anchor = (batch[c].to_numpy(zero_copy_only=False) for c in ("cb", "dim", "is_anchor"))
-            change = np.flatnonzero((np.diff(block_no) != 0) | (np.diff(dim) != 0) | (np.diff(is_anchor.astype(np.int8)) != 0)) + 1
-            for a, b in zip([0, *change], [*change, batch.num_rows]):
-                if key != (here := (int(block_no[a]), int(dim[a]))):
-                    key, parts, block = here, [], None
-                run_rows = batch.slice(a, b - a)
-                if not is_anchor[a]:
-                    parts.append(run_rows)
-                    continue
-                if block is None and parts:
-                    block, parts = _Block(parts), []
-                if block is None:       # no row of this length in the block
-                    continue
-                for s in range(0, run_rows.num_rows, TILE_ANCHORS):
-                    out = work(block, run_rows.slice(s, TILE_ANCHORS))
-                    if out is not None and out.num_rows:
-                        yield out
-
-    return run
-
-
 def _positives(k: int):
     def work(block: _Block, anchors: pa.RecordBatch) -> pa.RecordBatch:
         heaps, owners = Heaps(anchors.num_rows, k), np.arange(anchors.num_rows)
@@ -182,7 +152,7 @@ def _positives(k: int):
         return pa.record_batch([anchors["vec_id"].take(owner), anchors["key"].take(owner), pa.array(ids), pa.array(score)],
                                names=["anchor_id", "key", "id", "score"])
 
-    return _streamed(work)
+    return streamed(_Block, work, TILE_ANCHORS)
 
 
 def _negatives(k: int, low: int, high: int):
@@ -206,24 +176,12 @@ def _negatives(k: int, low: int, high: int):
              flat.field("id").take(at), pa.array(positive[at]), pa.array(ids), pa.array(score)],
             names=["anchor_id", "key", "place", "positive_id", "positive_score", "id", "score"])
 
-    return _streamed(work)
-
-
-def _meet(rows: DataFrame, anchors: DataFrame, blocks: int) -> DataFrame:
-    """Every row in its block, every anchor in all, rows before anchors."""
-    extra = [c for c in anchors.columns if c not in rows.columns]
-    kinds = dict(anchors.dtypes)
-    own = rows.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in extra], F.lit(False).alias("is_anchor"),
-                      F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("cb"))
-    streamed = anchors.select(*rows.columns, *extra, F.lit(True).alias("is_anchor"),
-                              F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
-    both = own.unionByName(streamed).withColumn("dim", F.size("v"))
-    return both.repartitionById(blocks, "cb").sortWithinPartitions("cb", "dim", "is_anchor", "vec_id")
+    return streamed(_Block, work, TILE_ANCHORS)
 
 
 def mine(df: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 5, window: tuple[int, int] = (80, 100),
          id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", scale: int = SCALE,
-         block_bytes: int = BLOCK_BYTES, spread_rows: int = SPREAD_ROWS) -> DataFrame:
+         block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score).
 
     Components become floor(scale * x), x as double.  The positives of an
@@ -250,18 +208,17 @@ def mine(df: DataFrame, is_anchor: Column, positives: int = 5, negatives: int =
     rows = written(rows, "vectors")
     n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     per_block = max(1, block_bytes // (8 * (dim or 1)))
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // per_block), min(cores, -(-n // spread_rows)))
+    blocks = blocks_of(rows.sparkSession, n, per_block)
 
     anchors = rows.where(is_anchor).withColumn("key", F.xxhash64("label", "v"))
-    found = _meet(rows, anchors, blocks).mapInArrow(_positives(positives), "anchor_id long, key long, id long, score long")
+    found = meet(rows, anchors, blocks).mapInArrow(_positives(positives), "anchor_id long, key long, id long, score long")
     first = Window.partitionBy("anchor_id", "key").orderBy(F.col("score").desc(), "id")
     found = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= positives)
     heaps = found.groupBy("anchor_id", "key").agg(F.sort_array(F.collect_list(F.struct("place", "id", "score"))).alias("positives"))
     heaps = heaps.withColumnsRenamed({"anchor_id": "vec_id"})
     anchors = written(anchors.join(heaps, ["vec_id", "key"]), "anchors")
 
-    hard = _meet(rows, anchors, blocks).mapInArrow(
+    hard = meet(rows, anchors, blocks).mapInArrow(
         _negatives(negatives, *window),
         "anchor_id long, key long, place int, positive_id long, positive_score long, id long, score long")
     best = Window.partitionBy("anchor_id", "key", "place").orderBy(F.col("score").desc(), "id")

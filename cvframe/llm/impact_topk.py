@@ -92,15 +92,16 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vecto
     smaller id; fewer than k other rows give them all; an empty table or no
     query gives no rows.  Only the two named columns are read."""
 
-    def top(query_ids, queries, ids, vectors):
-        parts = []
-        if len(ids):
-            index = ImpactIndex(ids, np.floor(scale * vectors).astype(np.int64))
-            for q, v in zip(query_ids.tolist(), np.floor(scale * queries).astype(np.int64)):
-                parts.append((q, *index.top(v, k, q)))
-        return joined(parts, np.int64)
-
-    return search(usable_vectors(df, id_col, vector_col, False), is_query, k, "long", top, query_block, candidate_block)
+    def build(ids, vectors):
+        index = ImpactIndex(ids, np.floor(scale * vectors).astype(np.int64))
+
+        def find(query_ids, queries):
+            whole = np.floor(scale * queries).astype(np.int64)
+            return joined([(q, *index.top(v, k, q)) for q, v in zip(query_ids.tolist(), whole)], np.int64)
+
+        return find
+
+    return search(usable_vectors(df, id_col, vector_col, False), is_query, k, "long", build, query_block, candidate_block)
 
 
 ORACLE = """

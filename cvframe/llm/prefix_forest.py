@@ -120,14 +120,17 @@ def nearest(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     longest = vectors.agg(F.sqrt(F.max(square))).first()[0] or 1.0
 
-    def top(query_ids, queries, ids, matrix):
-        parts = []
-        if len(ids) and len(query_ids):
-            forest = PrefixForest(ids, matrix, longest, trees, bits, seed)
+    def build(ids, matrix):
+        forest = PrefixForest(ids, matrix, longest, trees, bits, seed)
+
+        def find(query_ids, queries):
+            parts = []
             for a in range(0, len(queries), 256):
                 low, high = forest.prefixes(queries[a:a + 256])
                 for i, (q, v) in enumerate(zip(query_ids[a:a + 256].tolist(), queries[a:a + 256])):
                     parts.append((q, *forest.search(v, low[:, i], high[:, i], k, q, recall)))
-        return joined(parts, np.float64)
+            return joined(parts, np.float64)
+
+        return find
 
-    return search(vectors, is_query, k, "double", top, query_block, candidate_block)
+    return search(vectors, is_query, k, "double", build, query_block, candidate_block)
