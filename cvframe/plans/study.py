@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from cvframe.operators import runs as R
 from cvframe.operators import scoring as G
 from cvframe.operators import stats as J
-from cvframe.operators.metrics import confusion_counts, macro_prf, predicted_labels, run_records, test_rows, unscored
+from cvframe.operators.metrics import CELL, confusion_counts, macro_prf, predicted_labels, run_records, test_rows, unscored
 from cvframe.operators.splits import wide_bits
 from cvframe.operators.training import EVERY, NUM_FEATURES, STEPS, train_cells
 from cvframe.plans.prepare import prepare_corpus, write_prepared
 from cvframe.schema import KFOLD_SEEDS, LABEL_COLS, N_FOLDS
+from cvframe.session import written
 from cvframe.sources import corpus_io as C
 from cvframe.sources import runs_io as RIO
 
@@ -68,8 +69,8 @@ def train_study(prepared: DataFrame, out: str, kind: str = "multilabel", approac
     return prepared.sparkSession.read.parquet(f"{out}/preds")
 
 
-def _test_cells_from_wide(prepared: DataFrame, id_col: str = "post_id") -> DataFrame:
-    """``(id, repeat, fold, 'TEST')``: per repeat, the one cell whose split
+def _test_cells_from_wide(prepared: DataFrame, id_col: str = "post_id", by: Sequence[str] = ()) -> DataFrame:
+    """``(by.., id, repeat, fold, 'TEST')``: per repeat, the one cell whose split
     column says TEST - five rows per post, never the 25-cell long form."""
     def test_fold(r: int) -> str:
         whens = " ".join(f"WHEN `fold{r}_{f}` = 'TEST' THEN {f}" for f in range(N_FOLDS))
@@ -77,13 +78,17 @@ def _test_cells_from_wide(prepared: DataFrame, id_col: str = "post_id") -> DataF
 
     entries = ", ".join(f"named_struct('repeat', {r}, 'fold', {test_fold(r)}, 'split', 'TEST')"
                         for r in range(len(KFOLD_SEEDS)))
-    return prepared.selectExpr(f"`{id_col}`", f"inline(array({entries}))").filter(F.col("fold").isNotNull())
+    return prepared.selectExpr(*[f"`{b}`" for b in by], f"`{id_col}`", f"inline(array({entries}))").filter(F.col("fold").isNotNull())
 
 
 def evaluate_study(prepared: DataFrame, preds: DataFrame, kind: str = "multilabel", repair: str | None = None,
-                   dims: Sequence[str] = LABEL_COLS, allow_missing: bool = False) -> DataFrame:
+                   dims: Sequence[str] = LABEL_COLS, allow_missing: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Stage 2: wide run records for every approach and cell on TEST.
 
+    ``by`` columns of ``prepared`` (``dataset_version``) evaluate several
+    variants in one plan: each is scored on its own splits and labels, with
+    its own predictions if those carry the columns, and the records do.
+
     ``kind='binary'`` scores the root label: with columns ``logit_0`` and
     ``logit_1`` alone these are the two classes' logits, else ``logit_0`` is
     one score x that stands for ``(-x, x)``.  ``repair`` in {None,
@@ -93,15 +98,16 @@ def evaluate_study(prepared: DataFrame, preds: DataFrame, kind: str = "multilabe
 
     A TEST post without a prediction, or with a NULL or NaN logit, is refused
     unless ``allow_missing``: the scores would look complete."""
-    splits = _test_cells_from_wide(prepared)
-    gold = prepared.select("post_id", *dims)
+    by = list(by)
+    splits = _test_cells_from_wide(prepared, by=by)
+    gold = prepared.select(*by, "post_id", *dims)
     if not allow_missing:
-        gaps = unscored(preds, splits).filter("n_missing > 0 OR n_invalid > 0").limit(1).collect()
+        gaps = unscored(preds, splits, by=by).filter("n_missing > 0 OR n_invalid > 0").limit(1).collect()
         if gaps:
             g = gaps[0]
             raise ValueError(f"run {g['approach']} {g['repeat']}.{g['fold']}: of {g['n_posts']} TEST posts {g['n_missing']} have "
                              f"no prediction and {g['n_invalid']} a NULL or NaN logit")
-    keys = [c for c in ("approach", "repeat", "fold", "post_id") if c in preds.columns]
+    keys = [c for c in (*by, "approach", "repeat", "fold", "post_id") if c in preds.columns]
     if kind == "binary":
         dims = dims[:1]
         logits = [c for c in preds.columns if c.startswith("logit_")]
@@ -112,8 +118,8 @@ def evaluate_study(prepared: DataFrame, preds: DataFrame, kind: str = "multilabe
         p01 = G.repair(preds, repair, dims)
     else:
         p01 = predicted_labels(preds, dims)
-    per_label = macro_prf(confusion_counts(test_rows(p01, gold, splits, dims=dims), dims=dims))
-    return run_records(per_label, dims=dims)
+    per_label = macro_prf(confusion_counts(test_rows(p01, gold, splits, dims=dims, by=by), keys=[*by, *CELL], dims=dims))
+    return run_records(per_label, keys=[*by, *CELL], dims=dims)
 
 
 def compare_study(runs: DataFrame, kind: str = "multilabel", alpha: float = 0.5) -> dict[str, DataFrame]:
@@ -151,7 +157,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     pt.add_argument("--out", required=True)
     p2 = sub.add_parser("evaluate")
     p2.add_argument("--prepared", required=True)
-    p2.add_argument("--variant", default="majority")
+    p2.add_argument("--variant", action="append", help="several: records go to out/<variant>")
     p2.add_argument("--preds", required=True, help="parquet (approach, post_id, logit_0..logit_13)")
     p2.add_argument("--kind", default="multilabel", choices=["multilabel", "binary"])
     p2.add_argument("--repair", default=None, choices=[None, "reference", "corrected"])
@@ -173,9 +179,13 @@ def main(argv: Sequence[str] | None = None) -> None:
         prepared = spark.read.parquet(a.prepared).filter(F.col("dataset_version") == a.variant)
         train_study(prepared, a.out, a.kind, a.approach, a.text, num_features=a.num_features, steps=a.steps, every=a.every)
     elif a.stage == "evaluate":
-        prepared = spark.read.parquet(a.prepared).filter(F.col("dataset_version") == a.variant)
-        records = evaluate_study(prepared, spark.read.parquet(a.preds), a.kind, a.repair, allow_missing=a.allow_missing)
-        (RIO.write_runs if a.layout == "partitioned" else RIO.write_study_runs)(records, a.out)
+        variants = a.variant or ["majority"]
+        prepared = spark.read.parquet(a.prepared).filter(F.col("dataset_version").isin(variants))
+        write = RIO.write_runs if a.layout == "partitioned" else RIO.write_study_runs
+        records = evaluate_study(prepared, spark.read.parquet(a.preds), a.kind, a.repair, allow_missing=a.allow_missing, by=["dataset_version"])
+        records = written(records, "study-records")          # one row per variant and run
+        for v in variants:
+            write(records.filter(F.col("dataset_version") == v).drop("dataset_version"), f"{a.out}/{v}" if len(variants) > 1 else a.out)
     else:
         out = compare_study(RIO.read_runs(spark, a.runs, a.layout), a.kind, alpha=a.alpha)
         out["leaderboard"].write.mode("overwrite").parquet(f"{a.out}/leaderboard")

@@ -121,3 +121,22 @@ def test_train_stage_fits_all_labels_of_all_cells(spark, sf_small):
     assert rec.count() == 25
     binary = study.train_study(spark.read.parquet(f"{root}/prepared"), f"{root}/one", kind="binary", num_features=64, steps=1, every=1)
     assert [c for c in binary.columns if c.startswith("logit_")] == ["logit_0"] and binary.count() == 5 * n
+
+
+def test_several_variants_are_evaluated_apart(spark, sf_small):
+    root = tempfile.mkdtemp(prefix="cvframe-by-")
+    docs = fx.table(spark, sf_small, "documents", ["doc_id", "source", "text"])
+    both = C.union_variants({v: fx.corpus_from_documents(docs, v) for v in ("full", "conservative")})
+    prepared = study.prepare_corpus(both)
+    prepared.write.parquet(f"{root}/prepared")
+    preds = fx.preds(spark, sf_small)
+    preds.write.parquet(f"{root}/preds")
+    study.main(["evaluate", "--prepared", f"{root}/prepared", "--variant", "full", "--variant", "conservative", "--preds", f"{root}/preds",
+                "--out", f"{root}/runs"])
+    prepared = spark.read.parquet(f"{root}/prepared")
+    for v in ("full", "conservative"):
+        alone = study.evaluate_study(prepared.where(F.col("dataset_version") == v), preds)
+        got = {(r["approach"], r["repeat"], r["fold"], r["metric"]): r["value"] for r in RIO.read_runs(spark, f"{root}/runs/{v}").collect()}
+        want = alone.select("approach", "repeat", "fold", "eval_mean_F1").collect()
+        assert len(want) == 75
+        assert all(abs(got[str(r["approach"]), r["repeat"], r["fold"], "mean_F1"] - r["eval_mean_F1"]) < 1e-12 for r in want)
