@@ -402,3 +402,19 @@ def stratification_balance(assigned: DataFrame, k: int = N_FOLDS, code: str = "_
     return sets.join(sizes, "repeat").select(
         "repeat", F.col(code).alias("code"), "n_rows", F.col("n_folds").cast("int").alias("n_folds"),
         (F.col("_s") <= 1).alias("spread_within_one"), (F.col("_d") <= 1).alias("sizes_within_one"))
+
+
+def label_balance(assigned: DataFrame, dims: Sequence[str] = LABEL_COLS, k: int = N_FOLDS, code: str = "_code") -> DataFrame:
+    """Per (repeat, label): positives, the largest distance of a fold's
+    positives from an even share, and whether that is at most 5 rows or 2 %
+    of the share.  Counts per labelset first, so labels are decoded once."""
+    n = len(dims)
+    per = assigned.groupBy("repeat", "fold", code).agg(F.count(F.lit(1)).alias("n"))
+    bits = ", ".join(f"named_struct('dim', '{d}', 'y', n * (shiftright(greatest({code}, 0L), {n - 1 - i}) & 1))" for i, d in enumerate(dims))
+    folds = per.selectExpr("repeat", "fold", f"inline(array({bits}))").groupBy("repeat", "dim", "fold").agg(F.sum("y").alias("y"))
+    # a fold without any row is a fold without positives
+    low = F.when(F.count(F.lit(1)) < k, F.lit(0)).otherwise(F.min("y"))
+    out = folds.groupBy("repeat", "dim").agg(F.sum("y").alias("n_pos"), F.max("y").alias("_hi"), low.alias("_lo"))
+    share = F.col("n_pos") / F.lit(float(k))
+    worst = F.greatest(F.col("_hi") - share, share - F.col("_lo"))
+    return out.select("repeat", "dim", "n_pos", worst.alias("worst"), (worst <= F.greatest(F.lit(5.0), 0.02 * share)).alias("balanced"))

@@ -110,6 +110,19 @@ def q_iterative_stratify_balance(spark, sf):
     return S.stratification_balance(assigned)
 
 
+def _d5_labels_sql() -> str:
+    """Per repeat and label the positives, whose folds' shares D5 must keep even."""
+    parts = " UNION ALL ".join(f"SELECT '{d}' AS dim, CAST(sum({d}) AS BIGINT) AS n_pos FROM corpus" for d in L)
+    return ("WITH " + O.corpus_cte() + f""",
+pos AS ({parts})
+SELECT CAST(r.range AS INTEGER) AS repeat, dim, n_pos, TRUE AS balanced FROM pos CROSS JOIN range(5) r""")
+
+
+@register("iterative_stratify_labels", _d5_labels_sql())
+def q_iterative_stratify_labels(spark, sf):
+    return S.label_balance(S.iterative_stratify(_gold(spark, sf), keep_code=True)).drop("worst")
+
+
 @register(
     "split_filter",
     WITH_SPLITS + "SELECT c.post_id, c.issue FROM corpus c JOIN splits s USING (post_id) "
