@@ -168,7 +168,10 @@ class Network:
     temperature: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.shift) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
+        # row by row, so that a score does not depend on the rows beside it
+        z = (x - self.shift) / self.scale
+        hidden = np.array([row @ self.w1 for row in z]).reshape(len(z), -1)
+        return (np.tanh(hidden + self.b1) * self.w2).sum(1) + self.b2
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
