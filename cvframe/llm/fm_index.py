@@ -187,7 +187,9 @@ class Vocabulary:
             s = onward.extend(s, c)
         erred = Intervals.joined([erred, onward.grown_otherwise(s, np.full(len(s.who), -1), self.symbols)])
         end = onward.extend(erred, np.zeros(len(erred.who), np.int64))
-        return end.who, (end.other if first_half else end.low) - 1
+        rank = (end.other if first_half else end.low) - 1
+        word = rank >= 0        # the text's ends meet in the transform: an empty word would be found there
+        return end.who[word], rank[word]
 
 
 def _codes(text: str) -> np.ndarray:
