@@ -23,8 +23,8 @@ broadcasts the offsets when their measured size is small and falls back to
 a co-partitioned join otherwise.
 
 Both uses of the shuffled rows must ask for the same columns, or Spark
-would prune one of them and shuffle twice: everything but the keys travels
-in one struct, which is also the sort key of the window.
+would prune one of them and shuffle twice: everything but keys and hash
+travels in one struct, which is also the window's last sort key.
 """
 
 from __future__ import annotations
@@ -87,12 +87,13 @@ def ordered_index(
     (``group_order``: expressions over P and G to order the groups by).
     Rows equal in hash and id are ordered by their other columns."""
     keys = [*partition_cols, *group_cols, BUCKET_COL]
-    lead = [c for c in dict.fromkeys([hash_col, id_col]) if c not in keys]
-    row = F.struct(*lead, *[c for c in df.columns if c not in keys and c not in lead])
-    d = df.withColumn(BUCKET_COL, F.substring(F.col(hash_col), 1, digits)).select(*keys, row.alias("_row"))
-    ranked = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("_row")).cast("bigint"))
+    lead = [id_col] if id_col not in keys else []
+    row = F.struct(*lead, *[F.col(c) for c in df.columns if c not in keys and c not in (id_col, hash_col)])
+    d = df.withColumn(BUCKET_COL, F.substring(F.col(hash_col), 1, digits)).select(*keys, hash_col, row.alias("_row"))
+    # the struct decides among equal hashes only: comparing it is slow
+    ranked = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(hash_col, "_row")).cast("bigint"))
     sizes = ranked.groupBy(*keys).agg(F.max("_rn").alias("_n"))
     offsets = running_offsets(sizes, partition_cols, group_cols, BUCKET_COL, ["_n"], ["_off"], group_order).drop("_n")
     j = ranked.join(offsets, keys, "left")
-    cols = [F.col(f"_row.`{c}`").alias(c) if c not in keys else F.col(c) for c in df.columns]
+    cols = [F.col(f"_row.`{c}`").alias(c) if c not in keys and c != hash_col else F.col(c) for c in df.columns]
     return j.select(*cols, (F.col("_off") + F.col("_rn") - F.lit(1)).cast("bigint").alias(out_col))

@@ -143,8 +143,8 @@ def assign_splits(
         BUCKET_COL, F.substring("_h2", 1, digits)
     )
     keys = [*by, "repeat", "_code", BUCKET_COL]
-    d = d.select(*keys, F.struct("_h2", id_col, "_test").alias("_row"))     # as in ordered_index: one shuffle
-    w_rn = Window.partitionBy(*keys).orderBy("_row")
+    d = d.select(*keys, "_h2", F.struct(id_col, "_test").alias("_row"))     # as in ordered_index: one shuffle
+    w_rn = Window.partitionBy(*keys).orderBy("_h2", "_row")
     w_run = w_rn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = d.select(
         "*",
