@@ -11,10 +11,12 @@ columns ("responses") of one coefficient matrix:
   one packed word saying in which split each cell has it
   (:func:`cvframe.operators.splits.cell_bits`);
 * a step reads the rows once.  A task multiplies blocks of rows with the
-  coefficient matrix, masks each response to the TRAIN rows of its cell and
-  adds up its gradient; the partial gradients are cut into blocks of
-  features and summed per block, so no task holds more than its share.  The
-  same margins give VALID confusion counts for every cell and label;
+  coefficient matrix (sparse: each row with the coefficients of its own
+  terms, each term with the rows that have it), masks each response to the
+  TRAIN rows of its cell and adds up its gradient; the partial gradients are
+  cut into blocks of features and summed per block, so no task holds more
+  than its share.  The same margins give VALID confusion counts for every
+  cell and label;
 * steps are spectral gradient steps (Barzilai-Borwein) on centred terms; a
   point whose loss is above the last few ones is not taken, and a shorter
   step is tried from the last point.  Every response has its own step and
@@ -52,7 +54,7 @@ from cvframe.session import scratch_dir, written
 
 NUM_FEATURES = 1 << 14
 MAX_MATRIX = 256 << 20
-ROWS, TERMS = 128, 1 << 17      # of a block of rows multiplied at once
+ROWS, TERMS = 5000, 1 << 21     # of a block of rows multiplied at once
 FEATURE_BLOCK = 2048
 STEPS, EVERY, DECAY = 20, 4, 1e-3
 RECENT = 5                      # losses a new point may not exceed
@@ -69,10 +71,11 @@ def term_features(df: DataFrame, text_col: str = "text", num_features: int = NUM
     src = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     out = pipe.fit(src).transform(src).withColumn("_u", F.unwrap_udt("_tf"))
     out = out.withColumn("_w", F.transform("_u.values", lambda v: F.log1p(v)))
-    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, v: s + v * v))
-    return out.withColumn("_n", norm).withColumn("terms", F.col("_u.indices")) \
-        .withColumn("weights", F.transform("_w", lambda v: (v / F.col("_n")).cast("float"))) \
-        .drop("_text", "_tok", "_tf", "_u", "_w", "_n")
+    # the sum of squares is handed on within one expression: as a column of its
+    # own Catalyst would put it into the division, a sum over the text per term
+    scaled = F.aggregate("_w", F.lit(0.0), lambda s, v: s + v * v,
+                         lambda s: F.transform("_w", lambda v: (v / F.sqrt(s)).cast("float")))
+    return out.withColumn("terms", F.col("_u.indices")).withColumn("weights", scaled).drop("_text", "_tok", "_tf", "_u", "_w")
 
 
 def training_rows(labelled: DataFrame, bits: DataFrame, labels: Sequence[str], text_col: str = "text", id_col: str = "post_id",
@@ -129,19 +132,38 @@ class Shape:
 
 
 class Rows:
-    """A block of rows as a dense matrix over the terms that occur in it."""
+    """A block of rows as a sparse matrix over the terms and an intercept."""
 
     def __init__(self, batch: pa.RecordBatch, num_features: int):
         terms, weights = batch["terms"], batch["weights"]
-        size = np.diff(terms.offsets.to_numpy())
-        used, at = np.unique(np.asarray(terms.flatten()), return_inverse=True)
-        self.used = np.append(used, num_features)           # and the intercept
-        self.x = np.zeros((batch.num_rows, len(self.used)))
-        self.x[np.repeat(np.arange(batch.num_rows), size), at] = np.asarray(weights.flatten())
-        self.x[:, -1] = 1.0
+        self.size, self.num_features = np.diff(terms.offsets.to_numpy()), num_features
+        self.terms = np.asarray(terms.flatten()).astype(np.intp)
+        self.weights = np.asarray(weights.flatten()).astype(float)
         self.cells, self.gold, self.known = (np.asarray(batch[c]) if c in batch.schema.names else None
                                              for c in ("cells", "gold", "known"))
 
+    def times(self, coefficients: np.ndarray) -> np.ndarray:
+        """Rows x columns: the rows' products with ``coefficients``."""
+        out = np.empty((len(self.size), coefficients.shape[1]))
+        end = np.cumsum(self.size)
+        for i, (a, b) in enumerate(zip((end - self.size).tolist(), end.tolist())):
+            np.dot(self.weights[a:b], coefficients.take(self.terms[a:b], axis=0), out=out[i])
+        return out + coefficients[-1]
+
+    def add_to(self, matrix: np.ndarray, per_row: np.ndarray, factors: Callable[[np.ndarray], np.ndarray] = lambda w: w) -> None:
+        """Adds to each term's row of ``matrix`` the rows of ``per_row`` that
+        have the term, times ``factors`` of its weights there; several rows of
+        factors give columns beside each other.  The intercept's factors are 1."""
+        order = np.argsort(self.terms.astype(np.uint16 if self.num_features <= 1 << 16 else np.intp), kind="stable")
+        terms, times = self.terms[order], factors(self.weights[order])
+        rows = np.repeat(np.arange(len(self.size)), self.size)[order]
+        first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])[:len(terms)])
+        out = np.empty((len(first), *times.shape[:-1], per_row.shape[1]))
+        for j, (a, b) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(terms)])):
+            np.dot(times[..., a:b], per_row.take(rows[a:b], axis=0), out=out[j])
+        matrix[terms[first]] += out.reshape(len(first), matrix.shape[1])
+        matrix[-1] += np.tile(per_row.sum(0), matrix.shape[1] // per_row.shape[1])
+
 
 def _row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -208,8 +230,7 @@ def _corpus(rows: DataFrame, shape: Shape) -> _Corpus:
 
     def add(block: Rows, matrix: np.ndarray, counts: np.ndarray) -> None:
         train = (shape.splits(block.cells) == SPLIT_BITS["TRAIN"]).astype(float)
-        for i, x in enumerate(((block.x != 0).astype(float), block.x, block.x * block.x)):
-            matrix[block.used, i * n:(i + 1) * n] += x.T @ train
+        block.add_to(matrix, train, lambda w: np.stack([(w != 0).astype(float), w, w * w]))
         known = shape.bits(block.known)
         counts[:n] += train.sum(0)
         counts[n:n + k] += (train.T @ known).ravel()
@@ -228,12 +249,12 @@ def _step(rows: DataFrame, shape: Shape, coefficients: np.ndarray, weight: np.nd
     labels, n = len(shape.labels), shape.responses
 
     def add(block: Rows, matrix: np.ndarray, counts: np.ndarray) -> None:
-        margin = block.x @ shared.value[block.used]
+        margin = block.times(shared.value)
         split = shape.splits(block.cells)
         known_here = np.tile(shape.bits(block.known), len(shape.cells))
         y = np.tile(shape.bits(block.gold), len(shape.cells))
         part = np.where(y, weight, 1.0) * (shape.wide(split == SPLIT_BITS["TRAIN"]) & known_here) * share
-        matrix[block.used] += block.x.T @ ((0.5 * (1.0 + np.tanh(0.5 * margin)) - y) * part)
+        block.add_to(matrix, (0.5 * (1.0 + np.tanh(0.5 * margin)) - y) * part)
         counts[:n] += ((np.logaddexp(0.0, margin) - y * margin) * part).sum(0)
         valid = shape.wide(split == SPLIT_BITS["VALID"]) & known_here
         p = margin > 0
@@ -418,7 +439,7 @@ def predict(model: StackedModel, rows: DataFrame, splits: Sequence[str] = ("VALI
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _row_blocks(batches):
             block = Rows(part, shape.num_features)
-            margin = block.x @ shared.value[block.used]
+            margin = block.times(shared.value)
             split = shape.splits(block.cells)
             i, c = np.nonzero(np.isin(split, list(names)))
             at = pa.array(i)

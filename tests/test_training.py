@@ -1,7 +1,10 @@
 """Joint training: whole results against a dense restatement, cells alone and
 together, restart, step selection, one-pass scoring."""
 
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +180,40 @@ def test_constant_labels_and_empty_tables(spark, rows):
     assert not none.coefficients.any() and TR.predict(none, rows.where("false")).count() == 0
 
 
+def test_a_long_text_is_scaled_in_one_go(spark):
+    n = 30_000
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)) + " w7" * 4), (2, "")], "post_id long, text string")
+    out = TR.term_features(df, num_features=1 << 20)
+    # the sum of squares is not part of what is done for each term
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"lambda \w+#\w+ / [^,]*aggregate\(", plan)
+    got = {r["post_id"]: r for r in out.collect()}
+    w = np.array(got[1]["weights"])
+    assert len(w) > 0.98 * n - 1000 and (w * w).sum() == pytest.approx(1, abs=1e-4)
+    assert got[2]["weights"] == [] == got[2]["terms"]
+
+
+def test_blocks_multiply_as_dense_matrices():
+    r = np.random.default_rng(8)
+    x = np.where(r.random((40, 30)) < 0.2, r.random((40, 30)), 0).astype(np.float32).astype(float)
+    x[5] = x[39] = x[:, 3] = 0
+    lists = [np.flatnonzero(row).astype(np.int32) for row in x]
+    batch = pa.record_batch([pa.array(lists, pa.list_(pa.int32())), pa.array([row[t] for row, t in zip(x, lists)], pa.list_(pa.float32()))],
+                            names=["terms", "weights"])
+    for at in (slice(0, 40), slice(4, 6), slice(5, 6), slice(11, 40)):
+        block = TR.Rows(batch.slice(at.start, at.stop - at.start), 30)
+        whole = np.column_stack([x[at], np.ones(at.stop - at.start)])
+        c, per_row = r.normal(size=(31, 4)), r.normal(size=(at.stop - at.start, 4))
+        assert block.times(c) == pytest.approx(whole @ c)
+        one, two = np.ones((31, 4)), np.ones((31, 8))
+        block.add_to(one, per_row)
+        block.add_to(two, per_row, lambda w: np.stack([w, w * w]))
+        assert one == pytest.approx(1 + whole.T @ per_row)
+        assert two == pytest.approx(1 + np.hstack([whole.T @ per_row, (whole * whole).T @ per_row]))
+        # nothing as large as rows x terms is built
+        assert all(getattr(v, "size", 0) <= max(len(block.terms), len(whole)) for v in vars(block).values())
+
+
 def test_limits():
     with pytest.raises(ValueError, match="too large"):
         TR.Shape(tuple(TR.ALL_CELLS), tuple("abcdefgh"), 1 << 22)
