@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 ROUNDS = 4
 ADD, MULTIPLY = 40503, 739982445       # of the round function, modulo 2^32
+POSITIONS = 1 << 17                    # worked on together (some 20 MB)
 
 
 def key_words(key: Column) -> Column:
@@ -36,18 +37,25 @@ def _network(x: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (left << bits) | right
 
 
-def permuted_positions(sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def permuted_positions(sizes: np.ndarray, keys: np.ndarray, at_once: int = POSITIONS) -> np.ndarray:
     """Row after row, for each output position the input position it takes;
-    ``keys`` has a row of words per row."""
-    bits = np.maximum(1, (np.frexp((sizes - 1).astype(np.float64))[1].astype(np.int64) + 1) // 2)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    out = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    todo, words = np.arange(len(row)), np.ascontiguousarray(keys.T)
-    while len(todo):
-        at = row[todo]
-        x = _network(out[todo], bits[at], words[:, at])
-        out[todo] = x
-        todo = todo[x >= sizes[at]]
+    ``keys`` has a row of words per row.  Positions do not depend on each
+    other: ``at_once`` of them are worked on together, whatever the rows."""
+    half = np.maximum(1, (np.frexp((sizes - 1).astype(np.float64))[1].astype(np.int64) + 1) // 2)
+    end, words = np.cumsum(sizes), np.ascontiguousarray(keys.T)
+    out = np.empty(int(sizes.sum()), np.int32 if sizes.max(initial=0) < 1 << 31 else np.int64)
+    for a in range(0, len(out), at_once):
+        b = min(a + at_once, len(out))
+        rows = np.arange(np.searchsorted(end, a, "right"), np.searchsorted(end, b - 1, "right") + 1)
+        row = np.repeat(rows, np.minimum(end[rows], b) - np.maximum(end[rows] - sizes[rows], a))
+        part = np.arange(a, b) - (end - sizes)[row]
+        todo = np.arange(b - a)
+        while len(todo):
+            at = row[todo]
+            x = _network(part[todo], half[at], words[:, at])
+            part[todo] = x
+            todo = todo[x >= sizes[at]]
+        out[a:b] = part
     return out
 
 
@@ -58,10 +66,10 @@ def permuted(values: pa.Array, keys: pa.Array) -> pa.Array:
     sizes = np.asarray(pc.fill_null(pc.list_value_length(values), 0)).astype(np.int64)
     flat = values.flatten()
     words = np.asarray(keys.flatten(), dtype=np.int64).reshape(-1, ROUNDS)
-    start = np.cumsum(sizes) - sizes
-    taken = flat.take(pa.array(np.repeat(start, sizes) + permuted_positions(sizes, words)))
-    offsets = pa.array(np.append(start, sizes.sum()).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, taken, mask=null if null.true_count else None)
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    at = permuted_positions(sizes, words)
+    at += np.repeat(offsets[:-1], sizes)
+    return pa.ListArray.from_arrays(pa.array(offsets), flat.take(pa.array(at)), mask=null if null.true_count else None)
 
 
 def permutation_sql(rows: str, name: str, id_col: str, key: str) -> str:

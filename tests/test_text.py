@@ -68,6 +68,21 @@ def test_encode_keeps_rows_apart_and_both_ways_agree(spark):
         [(i, [1] * len(t or [])) for i, t in rows], key=str)
 
 
+def test_positions_need_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    sizes, keys = r.integers(0, 1500, 2000), r.integers(0, 1 << 32, (2000, 4))
+    whole = permuted_positions(sizes, keys, at_once=1 << 30)
+    for at_once in (1000, 99_991):
+        assert (permuted_positions(sizes, keys, at_once) == whole).all()
+    tracemalloc.start()
+    permuted_positions(sizes, keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * sizes.sum()          # 115 bytes a position when all are worked on together
+
+
 def test_positions_are_permuted():
     sizes = np.array([0, 1, 2, 3, 4, 5, 16, 17, 0, 257, 5000])
     keys = np.random.default_rng(3).integers(0, 1 << 32, (len(sizes), 4))
