@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from cvframe.functions.hashing import keyed_md5
 from cvframe.functions.permute import key_words, permuted
@@ -90,47 +90,86 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "post_id", tokens: str
 
     The vocabulary is written first.  Up to ``dictionary_tokens`` tokens it is
     sent to the workers as one Arrow dictionary and each array is looked up
-    where it is: no row per token and no shuffle.  A larger vocabulary is
-    joined (:func:`encode_joined`)."""
+    where it is: no row per token and no shuffle.  Of a larger vocabulary the
+    tokens with the smallest ids are sent, the others joined
+    (:func:`encode_joined`)."""
     vocab = written(vocab.select("token", "id"), "vocab")
     if vocab.count() > dictionary_tokens:
-        return encode_joined(df, vocab, id_col, tokens, out)
-    known = vocab.toArrow()             # at most dictionary_tokens rows
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((known["token"].combine_chunks(), known["id"].combine_chunks()))
-    schema = StructType([df.schema[id_col], StructField(out, ArrayType(IntegerType()))])
+        return encode_joined(df, vocab, id_col, tokens, out, dictionary_tokens)
+    return _looked_up(df.select(id_col, tokens), vocab, out)
+
+
+def _looked_up(df: DataFrame, vocab: DataFrame, out: str, rest: str | None = None) -> DataFrame:
+    """``(.., ids)`` for ``(.., tokens)`` by a dictionary sent to the workers.
+    With ``rest``, tokens that it lacks are NULL among the ids and follow in
+    that column, in order; else they are unknown."""
+    known = vocab.toArrow()             # at most the caller's dictionary_tokens rows
+    shared = df.sparkSession.sparkContext.broadcast((known["token"].combine_chunks(), known["id"].combine_chunks()))
+    strings = [StructField(rest, ArrayType(StringType()))] if rest else []
+    schema = StructType([*df.schema.fields[:-1], StructField(out, ArrayType(IntegerType())), *strings])
+
+    def lists(size: np.ndarray, flat: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), flat)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids = shared.value
         for batch in batches:
-            arrays = batch.column(1)
+            arrays = batch.column(batch.num_columns - 1)
             size = np.asarray(pc.fill_null(pc.list_value_length(arrays), 0))
-            distinct = arrays.flatten().dictionary_encode()
-            found = pc.fill_null(ids.take(pc.index_in(distinct.dictionary, names)), UNK_ID)
-            flat = pc.fill_null(found.take(distinct.indices), UNK_ID).cast(pa.int32())
-            offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
-
-    return df.select(id_col, tokens).mapInArrow(look_up, schema)
-
-
-def encode_joined(df: DataFrame, vocab: DataFrame, id_col: str = "post_id", tokens: str = "tokens", out: str = "ids") -> DataFrame:
-    """:func:`encode` for a vocabulary of any size: a join on the token.
-
-    Only (row number, position, token) is shuffled, never the text; the rows
-    get their number in a written table, so a retry sees the same ones.
-    Frequent tokens are left to AQE, which splits them.  A group of the final
-    regrouping never outgrows its text.
+            flat = arrays.flatten()
+            distinct = flat.dictionary_encode()
+            at = pc.index_in(distinct.dictionary, names)
+            found = pc.fill_null(ids.take(at), UNK_ID).take(distinct.indices)
+            if rest:
+                lacking = pc.fill_null(pc.is_null(at).take(distinct.indices), False)
+                found = pc.if_else(lacking, pa.scalar(None, pa.int32()), pc.fill_null(found, UNK_ID))
+                before = np.append(0, np.cumsum(np.asarray(lacking), dtype=np.int32))
+                per_row = np.diff(before[np.append(0, np.cumsum(size))])
+                columns = [lists(size, found.cast(pa.int32())), lists(per_row, flat.filter(lacking))]
+            else:
+                columns = [lists(size, pc.fill_null(found, UNK_ID).cast(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
+
+    return df.mapInArrow(look_up, schema)
+
+
+def encode_joined(df: DataFrame, vocab: DataFrame, id_col: str = "post_id", tokens: str = "tokens", out: str = "ids",
+                  dictionary_tokens: int = DICTIONARY_TOKENS) -> DataFrame:
+    """:func:`encode` for a vocabulary of any size: the tokens with the
+    smallest ids (``dictionary_tokens`` of them, in a vocabulary by frequency
+    nearly all that occur) are looked up, only the others joined.
+
+    What is shuffled is (row number, position, token) of those others and the
+    ids of each row, never the text; the rows get their number in a written
+    table, so a retry sees the same ones.  Frequent tokens are left to AQE,
+    which splits them.  A group of the final regrouping never outgrows its text.
     """
-    rows = written(df.select(id_col, tokens).withColumn("_row", F.monotonically_increasing_id()), "encode-rows")
-    exploded = rows.select("_row", F.posexplode(tokens).alias("pos", "token"))
-    looked = exploded.join(vocab, "token", "left")
+    first = vocab.agg(F.min("id")).first()[0]
+    near = (F.col("id") - F.coalesce(F.lit(first), F.lit(0))) < dictionary_tokens
+    sent = vocab.where(near)
+    if sent.count() > dictionary_tokens:        # ids that many tokens share say nothing
+        near, sent = F.lit(False), vocab.where("false")
+    numbered = df.select(id_col, F.monotonically_increasing_id().alias("_row"), tokens)
+    rows = written(_looked_up(numbered, sent, "_ids", "_rest"), "encode-rows")
+    exploded = rows.select("_row", F.posexplode("_rest").alias("pos", "token"))
+    looked = exploded.join(vocab.where(~near), "token", "left")
     # (position, id) packed into one BIGINT: collecting and sorting a
     # primitive array is far cheaper than an array of structs
     packed = F.expr(f"shiftleft(CAST(pos AS BIGINT), 32) + coalesce(id, {UNK_ID})")
     grouped = looked.groupBy("_row").agg(F.sort_array(F.collect_list(packed)).alias("_p"))
-    ids = f"coalesce(transform(_p, x -> CAST(x & 4294967295 AS INT)), CAST(array() AS ARRAY<INT>)) AS `{out}`"
-    return rows.select("_row", id_col).join(grouped, "_row", "left").selectExpr(f"`{id_col}`", ids)
+    grouped = grouped.selectExpr("_row", "transform(_p, x -> CAST(x & 4294967295 AS INT)) AS _found")
+    joined = rows.select("_row", id_col, "_ids").join(grouped, "_row", "left").select(id_col, "_ids", "_found")
+    schema = StructType([df.schema[id_col], StructField(out, ArrayType(IntegerType()))])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1)
+            flat = ids.flatten()
+            flat = pc.replace_with_mask(flat, pc.is_null(flat), batch.column(2).flatten())
+            offsets = np.append(0, np.cumsum(np.asarray(pc.list_value_length(ids)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=schema.names)
+
+    return joined.mapInArrow(fill, schema)
 
 
 def attention_mask(ids: Column) -> Column:

@@ -68,6 +68,25 @@ def test_encode_keeps_rows_apart_and_both_ways_agree(spark):
         [(i, [1] * len(t or [])) for i, t in rows], key=str)
 
 
+def test_only_tokens_beyond_the_dictionary_are_joined(spark):
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, [words[(i * j) % 50] for j in range(i)] + ["new", None] * (i % 3)) for i in range(60)] + [(7, None)]
+    df = spark.createDataFrame(rows, "post_id long, tokens array<string>")
+    vocab = spark.createDataFrame([(w, i + 2) for i, w in enumerate(words)], "token string, id int")
+    number = {w: i + 2 for i, w in enumerate(words)}
+    want = sorted((i, [number.get(t, 1) for t in tokens or []]) for i, tokens in rows)
+    for n in (1, 20, 49):
+        joined = T.encode(df, vocab, dictionary_tokens=n)
+        assert sorted(map(tuple, joined.collect())) == want
+    # what is exploded are the words that were not sent, no row per token
+    exploded = [r for f in joined.inputFiles() if "encode-rows" in f for r in spark.read.parquet(f).collect()]
+    assert sum(len(r["_rest"]) for r in exploded) == sum(t == "w49" or t == "new" for _, x in rows for t in x or [])
+    # ids that many tokens share: all are joined
+    same = spark.createDataFrame([(w, 5) for w in words], "token string, id int")
+    got = sorted(map(tuple, T.encode(df, same, dictionary_tokens=3).collect()))
+    assert got == [(i, [x if x == 1 else 5 for x in ids]) for i, ids in want]
+
+
 def test_positions_need_little_memory():
     import tracemalloc
 
